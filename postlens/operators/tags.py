@@ -14,7 +14,7 @@ from .links import top_keys_by_period
 
 def exploded_tags(df: DataFrame, list_col: str, name: str, *keep: str) -> DataFrame:
     """One row per non-empty (trimmed) list element."""
-    e = df.select(*keep, F.trim(F.explode(list_col)).alias(name))
+    e = df.select(*keep, F.explode(F.transform(list_col, lambda x: F.trim(x))).alias(name))
     return e.where(F.col(name) != "")
 
 

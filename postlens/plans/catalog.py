@@ -515,3 +515,215 @@ SELECT CAST(session_id AS BIGINT) AS session_id, min(ms) AS start_ms, max(ms) AS
 FROM sid GROUP BY session_id"""))
 def q_session_ids(spark, sf):
     return GP.sessions(stream(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# 2.7 links, tags, mentions, keyword categories, co-occurrence
+# ---------------------------------------------------------------------------
+
+from ..operators import links as L  # noqa: E402
+from ..operators import tags as TG  # noqa: E402
+
+_DOMAINS = "(SELECT {keep} unnest(domains) AS domain FROM {src})"
+
+
+@query("domain_ranking", S(f"""
+SELECT domain, count(*) AS occurrences FROM {_DOMAINS.format(keep='', src='sp')} x GROUP BY domain"""))
+def q_domain_ranking(spark, sf):
+    return L.domain_ranking(stream(spark, sf), None)
+
+
+@query("explode_list", S(f"""
+SELECT domain, count(*) AS occurrences FROM {_DOMAINS.format(keep='', src='sp')} x GROUP BY domain"""))
+def q_explode_list(spark, sf):
+    return L.domain_ranking(stream(spark, sf), None)
+
+
+@query("tld_distribution", S(f"""
+SELECT tld, count(*) AS occurrences
+FROM (SELECT nullif(regexp_extract(lower(domain), '\\.([A-Za-z0-9-]+)$', 1), '') AS tld
+      FROM {_DOMAINS.format(keep='', src='sp')} x) y
+WHERE tld IS NOT NULL GROUP BY tld"""))
+def q_tld(spark, sf):
+    return L.tld_distribution(stream(spark, sf), None)
+
+
+def _trend_sql(src: str, key: str, exploded: str, top_n: int) -> str:
+    return f"""
+SELECT year, {key}, count(*) AS occurrences FROM {exploded} e
+WHERE {key} IN (SELECT {key} FROM {exploded} t GROUP BY {key} ORDER BY count(*) DESC, {key} LIMIT {top_n})
+GROUP BY year, {key}"""
+
+
+_TREND_DOMAINS = _DOMAINS.format(keep="year,", src="ap")
+
+
+@query("domain_year_trend", A(_trend_sql("ap", "domain", _TREND_DOMAINS, 10)))
+def q_domain_year_trend(spark, sf):
+    return L.domain_year_trend(archive(spark, sf), 10)
+
+
+@query("join_top_domains", A(_trend_sql("ap", "domain", _TREND_DOMAINS, 5)))
+def q_join_top_domains(spark, sf):
+    return L.domain_year_trend(archive(spark, sf), 5)
+
+
+_DOMAIN_MONTH_SQL = A(f"""
+SELECT year, month, count(*) AS occurrences, CAST(year AS VARCHAR) || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS year_month
+FROM {_DOMAINS.format(keep='year, month,', src='ap')} e
+WHERE domain = (SELECT domain FROM {_DOMAINS.format(keep='', src='ap')} t GROUP BY domain
+                ORDER BY count(*) DESC, domain LIMIT 1)
+GROUP BY year, month""")
+
+
+@query("domain_month_trend", _DOMAIN_MONTH_SQL)
+def q_domain_month(spark, sf):
+    return L.domain_month_trend(archive(spark, sf))
+
+
+@query("filter_domain", _DOMAIN_MONTH_SQL)
+def q_filter_domain(spark, sf):
+    return L.domain_month_trend(archive(spark, sf))
+
+
+def _tags(src: str, col: str, name: str, keep: str = "") -> str:
+    return (f"(SELECT {keep} {name} FROM (SELECT {keep} trim(unnest({col})) AS {name} FROM {src}) z "
+            f"WHERE {name} <> '')")
+
+
+@query("hashtag_ranking", S(f"""
+SELECT hashtag, count(*) AS occurrences FROM {_tags('sp', 'hashtag_list', 'hashtag')} x GROUP BY hashtag"""))
+def q_hashtag_ranking(spark, sf):
+    return TG.hashtag_ranking(stream(spark, sf), None)
+
+
+_TREND_TAGS = _tags("ap", "hashtag_list", "hashtag", "year,")
+
+
+@query("hashtag_year_trend", A(_trend_sql("ap", "hashtag", _TREND_TAGS, 20)))
+def q_hashtag_year_trend(spark, sf):
+    return TG.hashtag_year_trend(archive(spark, sf), 20)
+
+
+@query("join_top_hashtags", A(_trend_sql("ap", "hashtag", _TREND_TAGS, 10)))
+def q_join_top_hashtags(spark, sf):
+    return TG.hashtag_year_trend(archive(spark, sf), 10)
+
+
+@query("mention_ranking", S(f"""
+SELECT mention, count(*) AS occurrences FROM {_tags('sp', 'mention_list', 'mention')} x
+GROUP BY mention ORDER BY occurrences DESC, mention LIMIT 200"""))
+def q_mention_ranking(spark, sf):
+    return TG.mention_ranking(stream(spark, sf), 200)
+
+
+_MW = _tags("sp", "mention_list", "mention", "weekday,")
+
+
+@query("mention_weekday_counts", S(f"SELECT weekday, mention, count(*) AS occurrences FROM {_MW} x GROUP BY 1, 2"))
+def q_mention_weekday(spark, sf):
+    return TG.mention_weekday_counts(stream(spark, sf))
+
+
+@query("mention_weekday_totals", S(f"""
+SELECT weekday, CAST(count(*) AS BIGINT) AS occurrences, {_WD_LABEL_SQL.format(c='weekday')} AS weekday_label
+FROM {_MW} x GROUP BY weekday"""))
+def q_mention_weekday_totals(spark, sf):
+    return TG.mention_weekday_totals(stream(spark, sf))
+
+
+_MW_TOP = S(f"""
+SELECT weekday, mention, count(*) AS occurrences, {_WD_LABEL_SQL.format(c='weekday')} AS weekday_label FROM {_MW} x
+WHERE mention IN (SELECT mention FROM {_tags('sp', 'mention_list', 'mention')} t GROUP BY mention
+                  ORDER BY count(*) DESC, mention LIMIT 5)
+GROUP BY weekday, mention""")
+
+
+@query("mention_weekday_top", _MW_TOP)
+def q_mention_weekday_top(spark, sf):
+    return TG.mention_weekday_top(stream(spark, sf), 5)
+
+
+@query("top_mentions_filter", _MW_TOP)
+def q_top_mentions_filter(spark, sf):
+    return TG.mention_weekday_top(stream(spark, sf), 5)
+
+
+def _pairs_sql(items: str, a: str, b: str, min_count: int, top_n: int | None) -> str:
+    limit = f" ORDER BY count DESC, {a}, {b} LIMIT {top_n}" if top_n else ""
+    return f"""
+items AS (SELECT DISTINCT id, item FROM {items} i),
+kept AS (SELECT * FROM items WHERE item IN (SELECT item FROM items GROUP BY item HAVING count(*) >= {min_count})),
+pairs AS (SELECT x.item AS {a}, y.item AS {b}, count(*) AS count FROM kept x JOIN kept y
+          ON x.id = y.id AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {min_count}{limit})"""
+
+
+_TAG_ITEMS = "(SELECT tweet_id AS id, hashtag AS item FROM " + _tags("sp", "hashtag_list", "hashtag", "tweet_id,") + " q)"
+_TAG_PAIRS = S("SELECT 1").replace("\nSELECT 1", "") + "," + _pairs_sql(_TAG_ITEMS, "tag_a", "tag_b", 2, 200)
+
+HASHTAG_PAIR_TOP = 200
+
+
+@query("hashtag_cooccurrence", _TAG_PAIRS + "\nSELECT * FROM pairs")
+def q_hashtag_cooc(spark, sf):
+    return TG.hashtag_cooccurrence(stream(spark, sf), HASHTAG_PAIR_TOP, 2)
+
+
+@query("cooccurrence_nodes", _TAG_PAIRS + "\nSELECT DISTINCT node FROM (SELECT tag_a AS node FROM pairs UNION ALL "
+                                          "SELECT tag_b FROM pairs) n")
+def q_cooc_nodes(spark, sf):
+    return TG.cooccurrence_nodes(TG.hashtag_cooccurrence(stream(spark, sf), HASHTAG_PAIR_TOP, 2))
+
+
+@query("cooccurrence_degree", _TAG_PAIRS + "\nSELECT node, count(*) AS degree FROM (SELECT tag_a AS node FROM pairs "
+                                           "UNION ALL SELECT tag_b FROM pairs) n GROUP BY node")
+def q_cooc_degree(spark, sf):
+    return TG.cooccurrence_degree(TG.hashtag_cooccurrence(stream(spark, sf), HASHTAG_PAIR_TOP, 2))
+
+
+@query("pair_generate", S(f"""
+SELECT x.id AS tweet_id, x.item AS tag_a, y.item AS tag_b
+FROM (SELECT DISTINCT id, item FROM {_TAG_ITEMS} i) x
+JOIN (SELECT DISTINCT id, item FROM {_TAG_ITEMS} i) y ON x.id = y.id AND x.item < y.item"""))
+def q_pair_generate(spark, sf):
+    return TG.hashtag_pairs_raw(stream(spark, sf))
+
+
+# Keyword dictionary used by the registered query: the sample from the original
+# tool's documentation plus categories that occur in the test tables; mixed
+# separators (':' / '：', ',' / '、') and a duplicate label exercise the parser.
+KEYWORD_DICT = """Cloudflare: WAF,ゼロトラスト,Workers
+Next.js: App Router,ISR,Server Actions
+Hono: Hono,Edge,Middleware
+Auth: 認証,OAuth,JWT
+Database: Postgres,MySQL,Redis
+Events：signup、click
+Links: https://,example.com
+Secrets: token,password,secret
+Mail: @mail
+Code: def,import
+Links: http,www
+"""
+
+
+def _keyword_sql(entries) -> str:
+    parts = []
+    for i, (label, terms) in enumerate(entries):
+        cond = " OR ".join(f"contains(lower(text), '{t.lower()}')" for t in terms)
+        parts.append(f"SELECT '{label}' AS category, (SELECT count(*) FROM sp WHERE {cond}) AS posts")
+    return S("\nUNION ALL\n".join(parts))
+
+
+@query("keyword_category_counts", _keyword_sql(TG.parse_keyword_dictionary(KEYWORD_DICT)))
+def q_keyword_counts(spark, sf):
+    return TG.keyword_category_counts(stream(spark, sf), KEYWORD_DICT)
+
+
+@query("join_keyword_contains", _keyword_sql(TG.parse_keyword_dictionary(KEYWORD_DICT)))
+def q_join_keyword(spark, sf):
+    return TG.keyword_category_counts(stream(spark, sf), KEYWORD_DICT)
+
+
+@query("keyword_dict_parse", _keyword_sql(TG.parse_keyword_dictionary(KEYWORD_DICT)))
+def q_keyword_parse(spark, sf):
+    return TG.keyword_category_counts(stream(spark, sf), KEYWORD_DICT)
