@@ -727,3 +727,207 @@ def q_join_keyword(spark, sf):
 @query("keyword_dict_parse", _keyword_sql(TG.parse_keyword_dictionary(KEYWORD_DICT)))
 def q_keyword_parse(spark, sf):
     return TG.keyword_category_counts(stream(spark, sf), KEYWORD_DICT)
+
+
+# ---------------------------------------------------------------------------
+# 2.9 tokens, frequency, TF-IDF, trends, co-occurrence
+# ---------------------------------------------------------------------------
+
+from ..functions import patterns as PT  # noqa: E402
+from ..operators import terms as TM  # noqa: E402
+from ..operators import tokens as TK  # noqa: E402
+
+# Parameters of the registered text queries.
+TERM = "the"
+# Stop-word sample of the original tool's documentation plus common words of the test texts.
+STOPWORDS = "ログ\nメモ\nやった\n対応\n調整\nバグ\n修正\nレビュー\nリリース\nthe,and,of\nde,la,le\nder,die,und\nel,los"
+POS_FILTER = "名詞,動詞"
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+def _tok_sql(src: str, keep: str, mode: str = "C", stop=None) -> str:
+    """Kept tokens with their 0-based position among kept tokens."""
+    re_ = PT.TOKEN_PATTERNS_RE2[mode]
+    cond = "length(t) > 1" + (f" AND NOT list_contains({_sql_list(stop)}, t)" if stop else "")
+    return f"""(SELECT {keep} unnest(arr) AS token, CAST(unnest(range(len(arr))) AS INTEGER) AS position
+   FROM (SELECT {keep} list_filter(regexp_extract_all(text, '{re_}', 0), lambda t: {cond}) AS arr FROM {src}) a)"""
+
+
+def _S_with(ctes: str, body: str) -> str:
+    return S("").rstrip() + "," + ctes + "\n" + body
+
+
+def _A_with(ctes: str, body: str) -> str:
+    return A("").rstrip() + "," + ctes + "\n" + body
+
+
+def s_tokens(spark, sf, opts: TK.TextOptions | None = None, keep=("tweet_id",)):
+    return TK.tokenize(stream(spark, sf), opts, keep)
+
+
+@query("tokenize_posts", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}", "SELECT tweet_id, position, token FROM toks"))
+def q_tokenize(spark, sf):
+    return s_tokens(spark, sf)
+
+
+def _freq_sql(tok_cte: str, top_n: int | None, extra_cols: str = "") -> str:
+    limit = f" ORDER BY count DESC, word LIMIT {top_n}" if top_n else ""
+    return _S_with(f"toks AS {tok_cte}", f"SELECT {extra_cols}token AS word, count(*) AS count FROM toks "
+                                         f"GROUP BY token{limit}")
+
+
+@query("word_frequency", _freq_sql(_tok_sql("sp", "tweet_id,"), None))
+def q_word_frequency(spark, sf):
+    return TM.word_frequency(s_tokens(spark, sf), None)
+
+
+@query("stopwords", _freq_sql(_tok_sql("sp", "tweet_id,", stop=TK.parse_stopwords(STOPWORDS)), 100))
+def q_stopwords(spark, sf):
+    return TM.word_frequency(s_tokens(spark, sf, TK.TextOptions(stopwords=STOPWORDS)), 100)
+
+
+_LEXICON_SQL = (f"(SELECT DISTINCT unnest(regexp_extract_all(text, '{PT.TOKEN_PATTERNS_RE2['C']}', 0)) AS word "
+                f"FROM benchmark)")
+
+
+@query("pos_filter", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}",
+                             f"SELECT token AS word, count(*) AS count FROM toks WHERE token IN {_LEXICON_SQL} "
+                             f"GROUP BY token"))
+def q_pos_filter(spark, sf):
+    lex = TK.benchmark_lexicon(spark, T.table(spark, sf, "benchmark"))
+    return TM.word_frequency(s_tokens(spark, sf, TK.TextOptions(pos_filter=POS_FILTER, lexicon=lex)), None)
+
+
+@query("token_modes", _S_with(
+    ", ".join(f"t{m} AS {_tok_sql('sp', 'tweet_id,', m)}" for m in "ABC"),
+    "\nUNION ALL\n".join(f"SELECT '{m}' AS mode, token AS word, count(*) AS count FROM t{m} GROUP BY token"
+                         for m in "ABC")))
+def q_token_modes(spark, sf):
+    d = stream(spark, sf)
+    parts = [TM.word_frequency(TK.tokenize(d, TK.TextOptions(mode=m)), None).withColumn("mode", F.lit(m))
+             for m in "ABC"]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("mode", "word", "count")
+
+
+@query("token_mode_compare", _S_with(
+    ", ".join(f"t{m} AS {_tok_sql('sp', 'tweet_id,', m)}" for m in "ABC"),
+    "\nUNION ALL\n".join(f"(SELECT '{m}' AS mode, token AS word, count(*) AS count FROM t{m} GROUP BY token "
+                         f"ORDER BY count DESC, word LIMIT 50)" for m in "ABC")))
+def q_token_mode_compare(spark, sf):
+    return TM.token_mode_compare(stream(spark, sf), top_n=50)
+
+
+@query("word_cloud_weights", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}", """
+SELECT word, count, count / max(count) OVER () AS weight
+FROM (SELECT token AS word, count(*) AS count FROM toks GROUP BY token ORDER BY count DESC, word LIMIT 150) t"""))
+def q_word_cloud(spark, sf):
+    return TM.word_cloud_weights(s_tokens(spark, sf), 150)
+
+
+def _idf(tf: str, df: str, n: str) -> str:
+    return f"floor((CAST({tf} AS DOUBLE) * (ln((1 + {n}) / (1 + {df})) + 1)) * 1e4 + 0.5) / 1e4"
+
+
+_TFIDF_CORPUS = f"""
+pt AS (SELECT tweet_id, token, count(*) AS c FROM toks GROUP BY 1, 2),
+agg AS (SELECT token AS word, CAST(sum(c) AS BIGINT) AS tf, count(*) AS df FROM pt GROUP BY 1),
+nn AS (SELECT greatest(count(*), 1) AS n FROM sp),
+corpus AS (SELECT word, tf, df, {_idf('tf', 'df', 'nn.n')} AS score FROM agg, nn)"""
+
+
+@query("tfidf_corpus", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}," + _TFIDF_CORPUS,
+                               "SELECT * FROM corpus ORDER BY score DESC, word LIMIT 50"))
+def q_tfidf_corpus(spark, sf):
+    d = stream(spark, sf)
+    return TM.tfidf_corpus(d, TK.tokenize(d), 50)
+
+
+def _period_sql(period_expr: str) -> str:
+    return f"""
+pt AS (SELECT tweet_id, {period_expr} AS period, token, count(*) AS c FROM toks
+       WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2, 3),
+tf AS (SELECT period, token AS word, CAST(sum(c) AS BIGINT) AS tf FROM pt GROUP BY 1, 2),
+dfc AS (SELECT token AS word, count(*) AS df FROM pt GROUP BY 1),
+np AS (SELECT count(DISTINCT period) AS n FROM tf),
+scored AS (SELECT period, word, tf, df, {_idf('tf', 'df', 'np.n')} AS score FROM tf JOIN dfc USING (word), np),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY score DESC, word) AS rn FROM scored)"""
+
+
+_YM = "CAST(year AS VARCHAR) || '-' || lpad(CAST(month AS VARCHAR), 2, '0')"
+
+
+@query("tfidf_by_period", _A_with(f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}," + _period_sql(_YM),
+                                  "SELECT period AS year_month, word, tf, df, score FROM ranked WHERE rn <= 50"))
+def q_tfidf_by_period(spark, sf):
+    return TM.tfidf_by_period(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), "month", 50)
+
+
+@query("tfidf_by_year", _A_with(f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}," +
+                                _period_sql("CAST(year AS VARCHAR)"),
+                                "SELECT period AS year, word, tf, df, score FROM ranked WHERE rn <= 50"))
+def q_tfidf_by_year(spark, sf):
+    return TM.tfidf_by_period(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), "year", 50)
+
+
+_MONTHLY_TOP = _A_with(f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}," + _period_sql(_YM), """
+SELECT CAST(split_part(period, '-', 1) AS INTEGER) AS year, CAST(split_part(period, '-', 2) AS INTEGER) AS month,
+       period AS year_month, word, score FROM ranked WHERE rn <= 5""")
+
+
+@query("monthly_tfidf_top", _MONTHLY_TOP)
+def q_monthly_tfidf_top(spark, sf):
+    return TM.monthly_tfidf_top(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), 5)
+
+
+@query("topn_per_group", _MONTHLY_TOP)
+def q_topn_per_group(spark, sf):
+    return TM.monthly_tfidf_top(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), 5)
+
+
+@query("word_monthly_counts", _A_with(f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}", f"""
+SELECT year, month, count(*) AS posts, {_YM} AS year_month
+FROM (SELECT DISTINCT tweet_id, year, month FROM toks
+      WHERE token = '{TERM}' AND year IS NOT NULL AND month IS NOT NULL) t GROUP BY year, month"""))
+def q_word_monthly(spark, sf):
+    return TM.word_monthly_counts(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), TERM)
+
+
+@query("word_cooccurrence_for_term", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}", f"""
+SELECT token AS word, count(*) AS count
+FROM (SELECT DISTINCT tweet_id, token FROM toks) s
+WHERE token <> '{TERM}' AND tweet_id IN (SELECT tweet_id FROM toks WHERE token = '{TERM}')
+GROUP BY token ORDER BY count DESC, word LIMIT 200"""))
+def q_word_cooc_term(spark, sf):
+    return TM.word_cooccurrence_for_term(s_tokens(spark, sf), TERM, 200)
+
+
+WORD_PAIR_TOP = 200
+
+
+@query("word_cooccurrence_pairs", _S_with(
+    f"toks AS {_tok_sql('sp', 'tweet_id,')}," +
+    _pairs_sql("(SELECT tweet_id AS id, token AS item FROM toks)", "word_a", "word_b", 2, WORD_PAIR_TOP),
+    "SELECT * FROM pairs"))
+def q_word_pairs(spark, sf):
+    return TM.word_cooccurrence_pairs(s_tokens(spark, sf), WORD_PAIR_TOP, 2)
+
+
+@query("topic_word_trend", _A_with(
+    f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}," + _TFIDF_CORPUS.replace("FROM sp", "FROM ap"), f"""
+SELECT year_month, count(*) AS posts, word
+FROM (SELECT DISTINCT tweet_id, token AS word, {_YM} AS year_month FROM toks
+      WHERE year IS NOT NULL AND month IS NOT NULL
+        AND token IN (SELECT word FROM corpus ORDER BY score DESC, word LIMIT 5)) t
+GROUP BY year_month, word"""))
+def q_topic_trend(spark, sf):
+    d = archive(spark, sf)
+    return TM.topic_word_trend(d, TK.tokenize(d, keep=("tweet_id", "year", "month")), 5)
+
+
+@query("vocab_topk_by_df", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}", """
+SELECT token AS word, count(DISTINCT tweet_id) AS df FROM toks GROUP BY token ORDER BY df DESC, word LIMIT 200"""))
+def q_vocab(spark, sf):
+    return TM.vocab_topk_by_df(s_tokens(spark, sf), 200)
