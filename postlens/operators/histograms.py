@@ -62,3 +62,14 @@ def value_counts_topn(df: DataFrame, column: str, top_n: int | None = None) -> D
     """Count per value of any column, most frequent first (ties by value)."""
     out = df.groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc(column))
     return out.limit(top_n) if top_n else out
+
+
+def long_text_ranking(df: DataFrame, top_n: int = 20) -> DataFrame:
+    """Longest posts first (ties by tweet_id): tweet_id, created_at, text_length,
+    text, status_url.  A top-N sort (TakeOrderedAndProject), no global sort."""
+    cols = [c for c in ["tweet_id", "created_at", "text_length", "text", "status_url"] if c in df.columns]
+    d = df.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    if "text_length" not in d.columns:
+        d = d.withColumn("text_length", F.char_length("text"))
+        cols = cols + ["text_length"]
+    return d.select(*cols).orderBy(F.desc("text_length"), F.asc("tweet_id")).limit(top_n)

@@ -931,3 +931,139 @@ def q_topic_trend(spark, sf):
 SELECT token AS word, count(DISTINCT tweet_id) AS df FROM toks GROUP BY token ORDER BY df DESC, word LIMIT 200"""))
 def q_vocab(spark, sf):
     return TM.vocab_topk_by_df(s_tokens(spark, sf), 200)
+
+
+# ---------------------------------------------------------------------------
+# 2.1 sources and sinks (CSV round trips through the shared scratch folder)
+# ---------------------------------------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import csv_ingest as CSV  # noqa: E402
+
+_SECONDS = "yyyy-MM-dd HH:mm:ss"
+
+
+def _csv_source(spark, sf, order, header: bool) -> str:
+    """Write the stream posts as CSV (created_at as text, to whole seconds) in the
+    given column order; return the folder."""
+    p = T.stream_posts(spark, sf).withColumn("created_at", F.date_format("created_at", _SECONDS))
+    path = scratch_path(spark, "posts-csv")
+    (p.select(*order).write.option("header", header).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+_CSV_ORACLE = S("""
+SELECT tweet_id, date_trunc('second', created_at) AS created_at, text, status_url FROM stream_posts""")
+
+
+@query("csv_ingest", _CSV_ORACLE)
+def q_csv_ingest(spark, sf):
+    path = _csv_source(spark, sf, ["text", "created_at", "status_url", "tweet_id"], header=True)
+    return CSV.read_posts_csv(spark, path)
+
+
+@query("header_detect", _CSV_ORACLE)
+def q_header_detect(spark, sf):
+    path = _csv_source(spark, sf, ["created_at", "status_url", "tweet_id", "text"], header=False)
+    return CSV.read_posts_csv(spark, path)
+
+
+@query("infer_columns", _CSV_ORACLE)
+def q_infer_columns(spark, sf):
+    path = _csv_source(spark, sf, ["status_url", "text", "tweet_id", "created_at"], header=False)
+    return CSV.read_posts_csv(spark, path, has_header=False)
+
+
+@query("normalize_posts", S("""
+SELECT tweet_id, date_trunc('minute', created_at) AS created_at, text, NULL::VARCHAR AS status_url FROM stream_posts"""))
+def q_normalize_posts(spark, sf):
+    raw = T.stream_posts(spark, sf).select(
+        F.col("text").alias("c0"), F.col("tweet_id").cast("string").alias("c1"),
+        F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("c2"))
+    return CSV.normalize_posts(raw, CSV.ColumnMapping(tweet_id="c1", created_at="c2", text="c0"))
+
+
+def _mixed_format():
+    return (F.when(F.col("event_type") == "signup", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+            .when(F.col("event_type") == "click", F.concat(F.lit(" "), F.date_format("ts", "yyyy-MM-dd HH:mm"),
+                                                          F.lit(" ")))
+            .when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM-dd"))
+            .when(F.col("event_type") == "error", F.date_format("ts", "yyyy-MM-dd'T'HH:mm"))
+            .otherwise(F.date_format("ts", "yyyy/MM/dd")))
+
+_PARSED_SQL = """
+parsed AS (SELECT CAST(event_id AS VARCHAR) AS tweet_id,
+                  CASE event_type WHEN 'signup' THEN date_trunc('second', ts) WHEN 'click' THEN date_trunc('minute', ts)
+                                  WHEN 'view' THEN date_trunc('day', ts) ELSE NULL END AS created_at FROM events)"""
+
+
+def _mixed_dates(spark, sf):
+    e = T.table(spark, sf, "events")
+    return e.select(F.col("event_id").cast("string").alias("tweet_id"),
+                    CSV.parse_created_at(_mixed_format()).alias("created_at"))
+
+
+@query("parse_created_at", "WITH" + _PARSED_SQL + "\nSELECT tweet_id, created_at FROM parsed")
+def q_parse_created_at(spark, sf):
+    return _mixed_dates(spark, sf)
+
+
+@query("parse_score", "WITH" + _PARSED_SQL + "\nSELECT count(created_at) AS parsed FROM parsed")
+def q_parse_score(spark, sf):
+    return CSV.parse_score(_mixed_dates(spark, sf))
+
+
+@query("csv_export")
+def q_csv_export(spark, sf):
+    """Export a result table to CSV and read it back (row count / header check)."""
+    from ..operators import calendar as _cal
+    path = CSV.write_csv(_cal.weekday_hour_counts(stream(spark, sf), with_label=True), scratch_path(spark, "export"))
+    return spark.read.option("header", True).csv(path)
+
+
+# ---------------------------------------------------------------------------
+# 2.10 clustering (property checks only) and 2.11 top-N ranking
+# ---------------------------------------------------------------------------
+
+from ..operators import topics as TP  # noqa: E402
+
+KMEANS_K, KMEANS_ITER, KMEANS_FEATURES = 4, 12, 200
+
+
+@query("tfidf_vectors")
+def q_tfidf_vectors(spark, sf):
+    d = stream(spark, sf)
+    vectors, _, _ = TP.tfidf_vectors(d, TK.tokenize(d), KMEANS_FEATURES)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
+    return vectors.select("tweet_id", F.size(F.filter(arr, lambda v: v != 0)).alias("nnz"),
+                          F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v * v)).alias("l2"))
+
+
+@query("kmeans_cluster_summary")
+def q_kmeans_summary(spark, sf):
+    d = stream(spark, sf)
+    return TP.kmeans_cluster_summary(d, TK.tokenize(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ITER)
+
+
+@query("cluster_sizes")
+def q_cluster_sizes(spark, sf):
+    d = stream(spark, sf)
+    assigned, k, _, _ = TP.kmeans_clusters(d, TK.tokenize(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ITER)
+    return TP.cluster_sizes(assigned, k)
+
+
+_LONG_SQL = S("""
+SELECT tweet_id, created_at, text_length, text, status_url FROM sp
+ORDER BY text_length DESC, tweet_id LIMIT 100""")
+
+
+@query("long_text_ranking", _LONG_SQL)
+def q_long_text(spark, sf):
+    return H.long_text_ranking(stream(spark, sf), 100)
+
+
+@query("topk", _LONG_SQL)
+def q_topk(spark, sf):
+    return H.long_text_ranking(stream(spark, sf), 100)
