@@ -118,12 +118,12 @@ def keyword_category_counts(df: DataFrame, keyword_dict: str | list) -> DataFram
     spark = df.sparkSession
     if not entries:
         return spark.createDataFrame([], "category string, posts bigint")
-    low = F.lower(F.col("text"))
+    low = F.col("_low")
     counts = []
     for i, (_, terms) in enumerate(entries):
         term_arr = F.array(*[F.lit(t.lower()) for t in terms])
         counts.append(F.count_if(F.exists(term_arr, lambda t: F.contains(low, t))).alias(f"c{i}"))
-    wide = df.agg(*counts)
+    wide = df.select(F.lower(F.col("text")).alias("_low")).agg(*counts)
     stack = F.explode(F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(label).alias("category"), F.col(f"c{i}").alias("posts"))
         for i, (label, _) in enumerate(entries)])).alias("r")
