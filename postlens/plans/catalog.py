@@ -1019,7 +1019,7 @@ def q_csv_export(spark, sf):
     """Export a result table to CSV and read it back (row count / header check)."""
     from ..operators import calendar as _cal
     path = CSV.write_csv(_cal.weekday_hour_counts(stream(spark, sf), with_label=True), scratch_path(spark, "export"))
-    return spark.read.option("header", True).csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 # ---------------------------------------------------------------------------
