@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import shuffle_partitions
 
-_TIE_COLS = ("tweet_id", "text", "status_url")
+# Tie-breaker for range partitioning: spreads posts sharing one instant over
+# partitions.  Identifiers only -- hashing whole texts would cost a pass over them.
+_TIE_COLS = ("tweet_id", "status_url")
 
 
 def ordered_gaps(df: DataFrame, gap_minutes: float | None = None, by: str | None = None,

@@ -1067,3 +1067,34 @@ def q_long_text(spark, sf):
 @query("topk", _LONG_SQL)
 def q_topk(spark, sf):
     return H.long_text_ranking(stream(spark, sf), 100)
+
+
+# ---------------------------------------------------------------------------
+# 2.11 building blocks with keys of their own
+# ---------------------------------------------------------------------------
+
+@query("multi_key_sort", A(_trend_sql("ap", "domain", _TREND_DOMAINS, 10)))
+def q_multi_key_sort(spark, sf):
+    """year ascending, count descending (the trend ordering)."""
+    return L.domain_year_trend(archive(spark, sf), 10)
+
+
+@query("union_vertical", _S_with(
+    ", ".join(f"t{m} AS {_tok_sql('sp', 'tweet_id,', m)}" for m in "ABC"),
+    "\nUNION ALL\n".join(f"(SELECT '{m}' AS mode, token AS word, count(*) AS count FROM t{m} GROUP BY token "
+                         f"ORDER BY count DESC, word LIMIT 20)" for m in "ABC")))
+def q_union_vertical(spark, sf):
+    return TM.token_mode_compare(stream(spark, sf), top_n=20)
+
+
+@query("distinct", S("SELECT DISTINCT tweet_id, token FROM " + _tok_sql("sp", "tweet_id,") + " t"))
+def q_distinct(spark, sf):
+    return s_tokens(spark, sf).select("tweet_id", "token").distinct()
+
+
+@query("series_split", A(f"""
+SELECT domain AS series, year AS x, occurrences AS y FROM ({_trend_sql("ap", "domain", _TREND_DOMAINS, 5)}) t"""))
+def q_series_split(spark, sf):
+    t = L.domain_year_trend(archive(spark, sf), 5)
+    return t.select(F.col("domain").alias("series"), F.col("year").alias("x"),
+                    F.col("occurrences").alias("y")).orderBy("series", "x")
