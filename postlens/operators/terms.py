@@ -1,5 +1,11 @@
 """Word frequency, TF-IDF, term trends and word co-occurrence.
 
+Inputs are per-post token arrays (``tokens.token_arrays``): one row per post with
+its kept tokens.  Term frequency and document frequency come from a single
+explode of ``occurrences ++ distinct tokens`` and one partial aggregation, so a
+frequent word is pre-aggregated in every map task and no token is shuffled by
+post.  Term filters (``array_contains``) need no explode at all.
+
 All scores use idf = ln((1 + N) / (1 + df)) + 1 and are rounded half-up to 4
 places; rankings order by the rounded score, then the word.
 """
@@ -10,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
 from . import pairs as PR
-from .tokens import TextOptions, tokenize
+from .tokens import TextOptions, token_arrays
 
 
 def _idf_score(tf: Column, df: Column, n: Column) -> Column:
@@ -19,49 +26,59 @@ def _idf_score(tf: Column, df: Column, n: Column) -> Column:
     return C.round_half_up(tf * idf, 4)
 
 
-def word_frequency(tokens: DataFrame, top_n: int | None = 50) -> DataFrame:
-    out = (tokens.groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("count"))
+def term_rows(arrays: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., token, occ, doc): one row per occurrence (occ=1) plus one per
+    distinct token of the post (doc=1).  sum(occ) is the term frequency,
+    sum(doc) the number of posts containing the token."""
+    occ = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("occ"), F.lit(0).alias("doc")))
+    doc = F.transform(F.array_distinct("tokens"),
+                      lambda t: F.struct(t.alias("token"), F.lit(0).alias("occ"), F.lit(1).alias("doc")))
+    return arrays.select(*keep, F.explode(F.concat(occ, doc)).alias("r")).select(*keep, "r.token", "r.occ", "r.doc")
+
+
+def word_frequency(arrays: DataFrame, top_n: int | None = 50) -> DataFrame:
+    out = (arrays.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
            .orderBy(F.desc("count"), F.asc("word")))
     return out.limit(top_n) if top_n else out
 
 
-def word_cloud_weights(tokens: DataFrame, max_words: int = 150) -> DataFrame:
+def word_cloud_weights(arrays: DataFrame, max_words: int = 150) -> DataFrame:
     """The table behind a word cloud: top words (max_words clamped to 10..400) with
     weight = count / largest count."""
     n = min(max(int(max_words), 10), 400)
-    top = word_frequency(tokens, n)
+    top = word_frequency(arrays, n)
     w = Window.partitionBy()  # at most 400 rows
     return top.withColumn("weight", F.col("count") / F.max("count").over(w)).orderBy(
         F.desc("count"), F.asc("word"))
 
 
-def _post_terms(tokens: DataFrame, *extra: str) -> DataFrame:
-    """(tweet_id, [extra], token, c): occurrences of each term in each post."""
-    return tokens.groupBy("tweet_id", *extra, "token").agg(F.count(F.lit(1)).alias("c"))
+def _tf_df(arrays: DataFrame, *keys: str) -> DataFrame:
+    return (term_rows(arrays, *keys).groupBy(*keys, F.col("token").alias("word"))
+            .agg(F.sum("occ").cast("long").alias("tf"), F.sum("doc").cast("long").alias("df")))
 
 
-def tfidf_corpus(posts: DataFrame, tokens: DataFrame, top_n: int | None = 50,
+def tfidf_corpus(posts: DataFrame, arrays: DataFrame, top_n: int | None = 50,
                  n_posts: int | None = None) -> DataFrame:
     """Corpus TF-IDF: tf = occurrences, df = posts containing the word, N = all posts."""
-    n = n_posts if n_posts is not None else posts.count()
-    n = max(n, 1)
-    per = _post_terms(tokens)
-    agg = per.groupBy(F.col("token").alias("word")).agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
-    out = agg.withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.lit(float(n)))).orderBy(
+    n = max(n_posts if n_posts is not None else posts.count(), 1)
+    out = _tf_df(arrays).withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.lit(float(n)))).orderBy(
         F.desc("score"), F.asc("word"))
     return out.limit(top_n) if top_n else out
 
 
-def _period_scores(tokens: DataFrame, period_col: Column) -> DataFrame:
+def _period_scores(arrays: DataFrame, period_col: Column) -> DataFrame:
     """(period, word, tf, df, score) where a document is a period, df counts posts
-    and N counts periods that have at least one word."""
-    per = _post_terms(tokens.where(period_col.isNotNull()).withColumn("period", period_col), "period")
-    tf = per.groupBy("period", F.col("token").alias("word")).agg(F.sum("c").alias("tf"))
-    df = per.groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("df"))
-    periods = tf.select("period").distinct()
+    and N counts periods that have at least one word.
+
+    (period, word, tf, posts) comes from one aggregation and is materialised, as
+    three branches read it; df is a window sum of posts over the word, N a count
+    over the small table of distinct periods."""
+    with_period = arrays.where(period_col.isNotNull()).select(period_col.alias("period"), "tokens")
+    pw = materialize(_tf_df(with_period, "period").withColumnRenamed("df", "posts"))
+    periods = pw.select("period").distinct()
     periods = periods.withColumn("n_periods", F.count(F.lit(1)).over(Window.partitionBy()))  # one row per period
-    return (tf.join(df, "word").join(F.broadcast(periods), "period")
-            .withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.col("n_periods").cast("double"))))
+    scored = pw.withColumn("df", F.sum("posts").over(Window.partitionBy("word"))).join(F.broadcast(periods), "period")
+    return scored.withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.col("n_periods").cast("double")))
 
 
 def _top_per_period(scored: DataFrame, top_n: int) -> DataFrame:
@@ -69,51 +86,49 @@ def _top_per_period(scored: DataFrame, top_n: int) -> DataFrame:
     return scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top_n).drop("_rn")
 
 
-def tfidf_by_period(tokens: DataFrame, period: str = "month", top_n: int = 50) -> DataFrame:
-    """Top words per period ('year' or 'month'); tokens must carry year and month."""
+def _month_label() -> Column:
+    return F.when(F.col("month").isNotNull(), C.year_month_label(F.col("year"), F.col("month")))
+
+
+def tfidf_by_period(arrays: DataFrame, period: str = "month", top_n: int = 50) -> DataFrame:
+    """Top words per period ('year' or 'month'); arrays must carry year and month."""
     if period == "year":
         key, pcol = "year", F.col("year").cast("string")
     else:
-        key, pcol = "year_month", F.when(F.col("month").isNotNull(),
-                                         C.year_month_label(F.col("year"), F.col("month")))
-    scored = _period_scores(tokens, pcol)
+        key, pcol = "year_month", _month_label()
+    scored = _period_scores(arrays, pcol)
     return (_top_per_period(scored, top_n)
             .select(F.col("period").alias(key), "word", "tf", "df", "score")
             .orderBy(F.asc(key), F.desc("score"), F.asc("word")))
 
 
-def monthly_tfidf_top(tokens: DataFrame, top_n: int = 5) -> DataFrame:
-    pcol = F.when(F.col("month").isNotNull(), C.year_month_label(F.col("year"), F.col("month")))
-    scored = _period_scores(tokens, pcol)
-    out = _top_per_period(scored, top_n)
+def monthly_tfidf_top(arrays: DataFrame, top_n: int = 5) -> DataFrame:
+    out = _top_per_period(_period_scores(arrays, _month_label()), top_n)
     return (out.select(F.split("period", "-")[0].cast("int").alias("year"),
                        F.split("period", "-")[1].cast("int").alias("month"),
                        F.col("period").alias("year_month"), "word", "score")
             .orderBy("year", "month", F.desc("score"), F.asc("word")))
 
 
-def word_monthly_counts(tokens: DataFrame, term: str) -> DataFrame:
+def word_monthly_counts(arrays: DataFrame, term: str) -> DataFrame:
     """Posts per (year, month) containing the exact token ``term``."""
-    hits = (tokens.where((F.col("token") == F.lit(term)) & F.col("year").isNotNull() & F.col("month").isNotNull())
-            .select("tweet_id", "year", "month").distinct())
+    hits = arrays.where(F.array_contains("tokens", term) & F.col("year").isNotNull() & F.col("month").isNotNull())
     return (hits.groupBy("year", "month").agg(F.count(F.lit(1)).alias("posts"))
             .withColumn("year_month", C.year_month_label(F.col("year"), F.col("month")))
             .orderBy("year", "month"))
 
 
-def word_cooccurrence_for_term(tokens: DataFrame, term: str, top_n: int | None = 30) -> DataFrame:
+def word_cooccurrence_for_term(arrays: DataFrame, term: str, top_n: int | None = 30) -> DataFrame:
     """Other distinct words of the posts that contain ``term``, by number of posts."""
-    sets = tokens.select("tweet_id", "token").distinct()
-    with_term = sets.where(F.col("token") == F.lit(term)).select("tweet_id")
-    out = (sets.where(F.col("token") != F.lit(term)).join(with_term, "tweet_id", "left_semi")
-           .groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("count"))
-           .orderBy(F.desc("count"), F.asc("word")))
+    others = (arrays.where(F.array_contains("tokens", term))
+              .select(F.explode(F.array_distinct("tokens")).alias("word")).where(F.col("word") != F.lit(term)))
+    out = others.groupBy("word").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc("word"))
     return out.limit(top_n) if top_n else out
 
 
-def word_cooccurrence_pairs(tokens: DataFrame, top_n: int | None = 50, min_count: int = 2) -> DataFrame:
-    return PR.top_pairs(tokens, "tweet_id", "token", top_n=top_n, min_count=min_count,
-                        names=("word_a", "word_b"))
+def word_cooccurrence_pairs(arrays: DataFrame, top_n: int | None = 50, min_count: int = 2) -> DataFrame:
+    items = arrays.select("tweet_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    return PR.top_pairs(items, "tweet_id", "token", top_n=top_n, min_count=min_count, names=("word_a", "word_b"))
 
 
 def token_mode_compare(posts: DataFrame, opts: TextOptions | None = None, top_n: int = 20) -> DataFrame:
@@ -122,25 +137,29 @@ def token_mode_compare(posts: DataFrame, opts: TextOptions | None = None, top_n:
     parts = []
     for mode in ("A", "B", "C"):
         o = TextOptions(mode=mode, pos_filter=opts.pos_filter, stopwords=opts.stopwords, lexicon=opts.lexicon)
-        parts.append(word_frequency(tokenize(posts, o), top_n).withColumn("mode", F.lit(mode)))
+        parts.append(word_frequency(token_arrays(posts, o), top_n).withColumn("mode", F.lit(mode)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("mode", "word", "count")
 
 
-def topic_word_trend(posts: DataFrame, tokens: DataFrame, top_n: int = 5, n_posts: int | None = None) -> DataFrame:
-    """For the top corpus TF-IDF words: posts per month containing each word, in one
-    pass (the word list has at most top_n rows and is broadcast)."""
-    top = tfidf_corpus(posts, tokens, top_n, n_posts).select(F.col("word").alias("token"))
-    hits = (tokens.where(F.col("year").isNotNull() & F.col("month").isNotNull())
-            .join(F.broadcast(top), "token", "left_semi")
-            .select("tweet_id", "token", C.year_month_label(F.col("year"), F.col("month")).alias("year_month"))
-            .distinct())
-    return (hits.groupBy("year_month", F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("posts"))
+def topic_word_trend(posts: DataFrame, arrays: DataFrame, top_n: int = 5, n_posts: int | None = None) -> DataFrame:
+    """For the top corpus TF-IDF words: posts per month containing each word.  The
+    ranking is one aggregation; its word list (at most top_n words) is inlined in
+    the second pass, which filters each post's array without exploding the rest."""
+    n = max(n_posts if n_posts is not None else posts.count(), 1)
+    top = [r["word"] for r in tfidf_corpus(posts, arrays, top_n, n).select("word").collect()]
+    if not top:
+        return posts.sparkSession.createDataFrame([], "year_month string, posts bigint, word string")
+    words = F.array(*[F.lit(w) for w in top])
+    hits = (arrays.where(F.col("year").isNotNull() & F.col("month").isNotNull())
+            .select(C.year_month_label(F.col("year"), F.col("month")).alias("year_month"),
+                    F.explode(F.array_intersect(F.array_distinct("tokens"), words)).alias("word")))
+    return (hits.groupBy("year_month", "word").agg(F.count(F.lit(1)).alias("posts"))
             .select("year_month", "posts", "word").orderBy("year_month", "word"))
 
 
-def vocab_topk_by_df(tokens: DataFrame, max_features: int = 200) -> DataFrame:
-    return (tokens.select("tweet_id", "token").distinct().groupBy(F.col("token").alias("word"))
+def vocab_topk_by_df(arrays: DataFrame, max_features: int = 200) -> DataFrame:
+    return (arrays.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word")
             .agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), F.asc("word")).limit(max_features))

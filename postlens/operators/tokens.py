@@ -56,11 +56,9 @@ def normalize_pos_filter(raw: str | None) -> list[str]:
     return list(allowed)
 
 
-def tokenize(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str] = ("tweet_id",)) -> DataFrame:
-    """One row per kept token: ``keep`` columns, ``position`` (0-based among the
-    kept tokens of the post) and ``token``.  Tokens of one character, stop-words
-    and (with a lexicon) tokens outside the allowed classes are dropped."""
-    opts = opts or TextOptions()
+def _kept_tokens(opts: TextOptions):
+    """Array expression of the kept tokens of ``text`` (length > 1, not a stop-word
+    when the list is small enough to inline) and the stop-words left for a join."""
     pattern = P.TOKEN_PATTERNS_JAVA[P.token_mode(opts.mode)]
     stop = parse_stopwords(opts.stopwords)
     arr = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(pattern), F.lit(0))
@@ -70,9 +68,37 @@ def tokenize(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str]
         arr = F.filter(arr, lambda t: (F.char_length(t) > 1) & ~F.array_contains(stop_arr, t))
     else:
         arr = F.filter(arr, lambda t: F.char_length(t) > 1)
+    return arr, (stop if not inline else [])
+
+
+def token_arrays(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str] = ("tweet_id",)) -> DataFrame:
+    """One row per post: ``keep`` columns and ``tokens`` (kept tokens in text order).
+
+    This is the working representation of the text operators: counts, document
+    frequencies, term filters and vectors are computed from the array of each
+    post without shuffling tokens by post.  Only a stop-word list too large to
+    inline or a lexicon (part-of-speech filter) needs the exploded form; then the
+    kept tokens are gathered back per post (posts left without tokens drop out).
+    """
+    opts = opts or TextOptions()
+    arr, stop_rest = _kept_tokens(opts)
+    allowed = normalize_pos_filter(opts.pos_filter)
+    if not stop_rest and (opts.lexicon is None or not allowed):
+        return df.select(*keep, arr.alias("tokens"))
+    ex = tokenize(df, opts, keep)
+    back = ex.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("_t"))
+    return back.select(*keep, F.transform("_t", lambda s: s["token"]).alias("tokens"))
+
+
+def tokenize(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str] = ("tweet_id",)) -> DataFrame:
+    """One row per kept token: ``keep`` columns, ``position`` (0-based among the
+    kept tokens of the post) and ``token``.  Tokens of one character, stop-words
+    and (with a lexicon) tokens outside the allowed classes are dropped."""
+    opts = opts or TextOptions()
+    arr, stop_rest = _kept_tokens(opts)
     out = df.select(*keep, F.posexplode(arr).alias("position", "token"))
-    if stop and not inline:
-        words = df.sparkSession.createDataFrame([(w,) for w in stop], "token string")
+    if stop_rest:
+        words = df.sparkSession.createDataFrame([(w,) for w in stop_rest], "token string")
         out = out.join(words, "token", "left_anti")
     allowed = normalize_pos_filter(opts.pos_filter)
     if opts.lexicon is not None and allowed:

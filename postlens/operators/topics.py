@@ -1,15 +1,15 @@
 """TF-IDF vectors and k-means clustering of posts (Spark ML).
 
 * vocabulary: the ``max_features`` words with the highest document frequency
-  (ties by word), at most that many rows reach the driver;
-* vectors: occurrences of the vocabulary words per post scaled by
-  idf = ln((1 + N) / (1 + df)) + 1 (no normalisation; posts without any
-  vocabulary word keep an all-zero vector), N = all posts;
+  (ties by word); at most that many rows reach the driver;
+* vectors: ``CountVectorizerModel`` over each post's token array, scaled by
+  idf = ln((1 + N) / (1 + df)) + 1 (``ElementwiseProduct``; no normalisation;
+  posts without any vocabulary word keep an all-zero vector), N = all posts;
 * clustering: ``pyspark.ml.clustering.KMeans`` (Lloyd iterations, squared
   Euclidean distance, random initial centres drawn from the rows with a fixed
   seed, at most ``max_iter`` iterations);
-* summary: size per cluster and the eight words with the largest summed weight,
-  computed relationally from the token table (no dense vectors are exploded).
+* summary: size per cluster and the eight words with the largest summed weight
+  (``Summarizer`` sum per cluster: k rows of max_features values).
 """
 
 from __future__ import annotations
@@ -18,49 +18,52 @@ import math
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SEED = 42
 
 
-def _vocab(tokens: DataFrame, max_features: int) -> list[tuple[str, int]]:
-    rows = (tokens.select("tweet_id", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-            .orderBy(F.desc("df"), F.asc("token")).limit(max_features).collect())
+def _vocab(arrays: DataFrame, max_features: int) -> list[tuple[str, int]]:
+    rows = (arrays.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token")
+            .agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), F.asc("token")).limit(max_features).collect())
     return [(r["token"], r["df"]) for r in rows]
 
 
-def tfidf_vectors(posts: DataFrame, tokens: DataFrame, max_features: int = 200):
-    """(vectors DataFrame[tweet_id, features], vocabulary list, idf list)."""
+def tfidf_vectors(posts: DataFrame, arrays: DataFrame, max_features: int = 200):
+    """(vectors DataFrame[tweet_id, features] or None, vocabulary list, idf list, n_posts)."""
     n_docs = posts.count()
-    vocab = _vocab(tokens, max_features)
+    vocab = _vocab(arrays, max_features)
     words = [w for w, _ in vocab]
     idf = [math.log((1 + n_docs) / (1 + df)) + 1 for _, df in vocab]
-    per_post = tokens.groupBy("tweet_id").agg(F.collect_list("token").alias("tokens"))
-    docs = (posts.select("tweet_id").join(per_post, "tweet_id", "left")
-            .select("tweet_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")))
     if not words:
-        return None, words, idf
+        return None, words, idf, n_docs
+    docs = (posts.select("tweet_id").join(arrays.select("tweet_id", "tokens"), "tweet_id", "left")
+            .select("tweet_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")))
     cv = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="tf")
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="features")
-    return scale.transform(cv.transform(docs)).select("tweet_id", "features"), words, idf
+    return scale.transform(cv.transform(docs)).select("tweet_id", "features"), words, idf, n_docs
 
 
-def kmeans_clusters(posts: DataFrame, tokens: DataFrame, k: int = 4, max_features: int = 200,
+def kmeans_clusters(posts: DataFrame, arrays: DataFrame, k: int = 4, max_features: int = 200,
                     max_iter: int = 15):
-    """(assignments[tweet_id, cluster_id], k_used, vocabulary, idf) or None when fewer than two posts."""
-    vectors, words, idf = tfidf_vectors(posts, tokens, max_features)
-    if vectors is None:
-        return None
-    n = posts.count()
-    if n < 2:
+    """(assigned[tweet_id, features, cluster_id], k_used, vocabulary) or None when
+    there is no vocabulary or fewer than two posts."""
+    vectors, words, _, n = tfidf_vectors(posts, arrays, max_features)
+    if vectors is None or n < 2:
         return None
     k = max(2, min(int(k), n))
+    # The vectors are read once per k-means iteration: compute them once.
+    vectors = materialize(vectors)
     model = KMeans(k=k, maxIter=max_iter, initMode="random", seed=SEED, tol=0.0,
                    featuresCol="features", predictionCol="cluster_id").fit(vectors)
-    assigned = model.transform(vectors).select("tweet_id", F.col("cluster_id").cast("int"))
-    return assigned, k, words, idf
+    assigned = model.transform(vectors).withColumn("cluster_id", F.col("cluster_id").cast("int"))
+    return assigned, k, words
 
 
 def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
@@ -71,21 +74,20 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
             .select("cluster_id", F.coalesce("size", F.lit(0)).alias("size")).orderBy("cluster_id"))
 
 
-def kmeans_cluster_summary(posts: DataFrame, tokens: DataFrame, k: int = 4, max_features: int = 200,
+def kmeans_cluster_summary(posts: DataFrame, arrays: DataFrame, k: int = 4, max_features: int = 200,
                            max_iter: int = 15) -> DataFrame:
     """cluster_id, size, top_terms (up to 8 words with positive summed weight, ', ' joined)."""
     spark = posts.sparkSession
-    res = kmeans_clusters(posts, tokens, k, max_features, max_iter)
+    res = kmeans_clusters(posts, arrays, k, max_features, max_iter)
     if res is None:
         return spark.createDataFrame([], "cluster_id int, size bigint, top_terms string")
-    assigned, k, words, idf = res
-    weights = spark.createDataFrame(list(zip(words, idf)), "token string, idf double")  # <= max_features rows
-    tf = (tokens.join(F.broadcast(weights), "token").groupBy("tweet_id", "token", "idf")
-          .agg(F.count(F.lit(1)).alias("c")))
-    sums = (tf.join(assigned, "tweet_id").groupBy("cluster_id", "token")
-            .agg(F.sum(F.col("c") * F.col("idf")).alias("w")).where(F.col("w") > 0))
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("w"), F.asc("token"))
-    top = (sums.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 8)
+    assigned, k, words = res
+    sums = assigned.groupBy("cluster_id").agg(Summarizer.sum(F.col("features")).alias("s"))  # k rows
+    vocab = F.array(*[F.lit(w) for w in words])
+    cells = (sums.select("cluster_id", F.posexplode(vector_to_array("s")).alias("i", "w"))
+             .where(F.col("w") > 0).withColumn("token", F.element_at(vocab, F.col("i") + 1)))
+    w = Window.partitionBy("cluster_id").orderBy(F.desc("w"), F.asc("i"))
+    top = (cells.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 8)
            .groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rn", "token"))).alias("t"))
            .select("cluster_id", F.array_join(F.transform("t", lambda s: s["token"]), ", ").alias("top_terms")))
     return (cluster_sizes(assigned, k).join(top, "cluster_id", "left")

@@ -768,6 +768,10 @@ def s_tokens(spark, sf, opts: TK.TextOptions | None = None, keep=("tweet_id",)):
     return TK.tokenize(stream(spark, sf), opts, keep)
 
 
+def s_arrays(spark, sf, opts: TK.TextOptions | None = None, keep=("tweet_id",)):
+    return TK.token_arrays(stream(spark, sf), opts, keep)
+
+
 @query("tokenize_posts", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}", "SELECT tweet_id, position, token FROM toks"))
 def q_tokenize(spark, sf):
     return s_tokens(spark, sf)
@@ -781,12 +785,12 @@ def _freq_sql(tok_cte: str, top_n: int | None, extra_cols: str = "") -> str:
 
 @query("word_frequency", _freq_sql(_tok_sql("sp", "tweet_id,"), None))
 def q_word_frequency(spark, sf):
-    return TM.word_frequency(s_tokens(spark, sf), None)
+    return TM.word_frequency(s_arrays(spark, sf), None)
 
 
 @query("stopwords", _freq_sql(_tok_sql("sp", "tweet_id,", stop=TK.parse_stopwords(STOPWORDS)), 100))
 def q_stopwords(spark, sf):
-    return TM.word_frequency(s_tokens(spark, sf, TK.TextOptions(stopwords=STOPWORDS)), 100)
+    return TM.word_frequency(s_arrays(spark, sf, TK.TextOptions(stopwords=STOPWORDS)), 100)
 
 
 _LEXICON_SQL = (f"(SELECT DISTINCT unnest(regexp_extract_all(text, '{PT.TOKEN_PATTERNS_RE2['C']}', 0)) AS word "
@@ -798,7 +802,7 @@ _LEXICON_SQL = (f"(SELECT DISTINCT unnest(regexp_extract_all(text, '{PT.TOKEN_PA
                              f"GROUP BY token"))
 def q_pos_filter(spark, sf):
     lex = TK.benchmark_lexicon(spark, T.table(spark, sf, "benchmark"))
-    return TM.word_frequency(s_tokens(spark, sf, TK.TextOptions(pos_filter=POS_FILTER, lexicon=lex)), None)
+    return TM.word_frequency(s_arrays(spark, sf, TK.TextOptions(pos_filter=POS_FILTER, lexicon=lex)), None)
 
 
 @query("token_modes", _S_with(
@@ -807,7 +811,7 @@ def q_pos_filter(spark, sf):
                          for m in "ABC")))
 def q_token_modes(spark, sf):
     d = stream(spark, sf)
-    parts = [TM.word_frequency(TK.tokenize(d, TK.TextOptions(mode=m)), None).withColumn("mode", F.lit(m))
+    parts = [TM.word_frequency(TK.token_arrays(d, TK.TextOptions(mode=m)), None).withColumn("mode", F.lit(m))
              for m in "ABC"]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("mode", "word", "count")
 
@@ -824,7 +828,7 @@ def q_token_mode_compare(spark, sf):
 SELECT word, count, count / max(count) OVER () AS weight
 FROM (SELECT token AS word, count(*) AS count FROM toks GROUP BY token ORDER BY count DESC, word LIMIT 150) t"""))
 def q_word_cloud(spark, sf):
-    return TM.word_cloud_weights(s_tokens(spark, sf), 150)
+    return TM.word_cloud_weights(s_arrays(spark, sf), 150)
 
 
 def _idf(tf: str, df: str, n: str) -> str:
@@ -842,7 +846,7 @@ corpus AS (SELECT word, tf, df, {_idf('tf', 'df', 'nn.n')} AS score FROM agg, nn
                                "SELECT * FROM corpus ORDER BY score DESC, word LIMIT 50"))
 def q_tfidf_corpus(spark, sf):
     d = stream(spark, sf)
-    return TM.tfidf_corpus(d, TK.tokenize(d), 50)
+    return TM.tfidf_corpus(d, TK.token_arrays(d), 50)
 
 
 def _period_sql(period_expr: str) -> str:
@@ -862,14 +866,14 @@ _YM = "CAST(year AS VARCHAR) || '-' || lpad(CAST(month AS VARCHAR), 2, '0')"
 @query("tfidf_by_period", _A_with(f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}," + _period_sql(_YM),
                                   "SELECT period AS year_month, word, tf, df, score FROM ranked WHERE rn <= 50"))
 def q_tfidf_by_period(spark, sf):
-    return TM.tfidf_by_period(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), "month", 50)
+    return TM.tfidf_by_period(TK.token_arrays(archive(spark, sf), keep=("tweet_id", "year", "month")), "month", 50)
 
 
 @query("tfidf_by_year", _A_with(f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}," +
                                 _period_sql("CAST(year AS VARCHAR)"),
                                 "SELECT period AS year, word, tf, df, score FROM ranked WHERE rn <= 50"))
 def q_tfidf_by_year(spark, sf):
-    return TM.tfidf_by_period(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), "year", 50)
+    return TM.tfidf_by_period(TK.token_arrays(archive(spark, sf), keep=("tweet_id", "year", "month")), "year", 50)
 
 
 _MONTHLY_TOP = _A_with(f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}," + _period_sql(_YM), """
@@ -879,12 +883,12 @@ SELECT CAST(split_part(period, '-', 1) AS INTEGER) AS year, CAST(split_part(peri
 
 @query("monthly_tfidf_top", _MONTHLY_TOP)
 def q_monthly_tfidf_top(spark, sf):
-    return TM.monthly_tfidf_top(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), 5)
+    return TM.monthly_tfidf_top(TK.token_arrays(archive(spark, sf), keep=("tweet_id", "year", "month")), 5)
 
 
 @query("topn_per_group", _MONTHLY_TOP)
 def q_topn_per_group(spark, sf):
-    return TM.monthly_tfidf_top(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), 5)
+    return TM.monthly_tfidf_top(TK.token_arrays(archive(spark, sf), keep=("tweet_id", "year", "month")), 5)
 
 
 @query("word_monthly_counts", _A_with(f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}", f"""
@@ -892,7 +896,7 @@ SELECT year, month, count(*) AS posts, {_YM} AS year_month
 FROM (SELECT DISTINCT tweet_id, year, month FROM toks
       WHERE token = '{TERM}' AND year IS NOT NULL AND month IS NOT NULL) t GROUP BY year, month"""))
 def q_word_monthly(spark, sf):
-    return TM.word_monthly_counts(TK.tokenize(archive(spark, sf), keep=("tweet_id", "year", "month")), TERM)
+    return TM.word_monthly_counts(TK.token_arrays(archive(spark, sf), keep=("tweet_id", "year", "month")), TERM)
 
 
 @query("word_cooccurrence_for_term", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}", f"""
@@ -901,7 +905,7 @@ FROM (SELECT DISTINCT tweet_id, token FROM toks) s
 WHERE token <> '{TERM}' AND tweet_id IN (SELECT tweet_id FROM toks WHERE token = '{TERM}')
 GROUP BY token ORDER BY count DESC, word LIMIT 200"""))
 def q_word_cooc_term(spark, sf):
-    return TM.word_cooccurrence_for_term(s_tokens(spark, sf), TERM, 200)
+    return TM.word_cooccurrence_for_term(s_arrays(spark, sf), TERM, 200)
 
 
 WORD_PAIR_TOP = 200
@@ -912,7 +916,7 @@ WORD_PAIR_TOP = 200
     _pairs_sql("(SELECT tweet_id AS id, token AS item FROM toks)", "word_a", "word_b", 2, WORD_PAIR_TOP),
     "SELECT * FROM pairs"))
 def q_word_pairs(spark, sf):
-    return TM.word_cooccurrence_pairs(s_tokens(spark, sf), WORD_PAIR_TOP, 2)
+    return TM.word_cooccurrence_pairs(s_arrays(spark, sf), WORD_PAIR_TOP, 2)
 
 
 @query("topic_word_trend", _A_with(
@@ -924,13 +928,13 @@ FROM (SELECT DISTINCT tweet_id, token AS word, {_YM} AS year_month FROM toks
 GROUP BY year_month, word"""))
 def q_topic_trend(spark, sf):
     d = archive(spark, sf)
-    return TM.topic_word_trend(d, TK.tokenize(d, keep=("tweet_id", "year", "month")), 5)
+    return TM.topic_word_trend(d, TK.token_arrays(d, keep=("tweet_id", "year", "month")), 5)
 
 
 @query("vocab_topk_by_df", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}", """
 SELECT token AS word, count(DISTINCT tweet_id) AS df FROM toks GROUP BY token ORDER BY df DESC, word LIMIT 200"""))
 def q_vocab(spark, sf):
-    return TM.vocab_topk_by_df(s_tokens(spark, sf), 200)
+    return TM.vocab_topk_by_df(s_arrays(spark, sf), 200)
 
 
 # ---------------------------------------------------------------------------
@@ -1034,7 +1038,7 @@ KMEANS_K, KMEANS_ITER, KMEANS_FEATURES = 4, 12, 200
 @query("tfidf_vectors")
 def q_tfidf_vectors(spark, sf):
     d = stream(spark, sf)
-    vectors, _, _ = TP.tfidf_vectors(d, TK.tokenize(d), KMEANS_FEATURES)
+    vectors, _, _, _ = TP.tfidf_vectors(d, TK.token_arrays(d), KMEANS_FEATURES)
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array("features")
     return vectors.select("tweet_id", F.size(F.filter(arr, lambda v: v != 0)).alias("nnz"),
@@ -1044,13 +1048,13 @@ def q_tfidf_vectors(spark, sf):
 @query("kmeans_cluster_summary")
 def q_kmeans_summary(spark, sf):
     d = stream(spark, sf)
-    return TP.kmeans_cluster_summary(d, TK.tokenize(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ITER)
+    return TP.kmeans_cluster_summary(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ITER)
 
 
 @query("cluster_sizes")
 def q_cluster_sizes(spark, sf):
     d = stream(spark, sf)
-    assigned, k, _, _ = TP.kmeans_clusters(d, TK.tokenize(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ITER)
+    assigned, k, _ = TP.kmeans_clusters(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ITER)
     return TP.cluster_sizes(assigned, k)
 
 

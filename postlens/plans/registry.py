@@ -65,7 +65,8 @@ def _n(kind: str, preset: str):
 
 
 def _tokens(d: DataFrame, o: AnalysisOptions, keep=("tweet_id",)) -> DataFrame:
-    return TK.tokenize(d, o.text(), keep)
+    """Per-post token arrays (the input of the text operators)."""
+    return TK.token_arrays(d, o.text(), keep)
 
 
 def _period_tokens(d: DataFrame, o: AnalysisOptions) -> DataFrame:

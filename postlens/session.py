@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Needed only to read Shift_JIS / EUC-JP archives (see sources.csv_ingest).
     "spark.sql.legacy.javaCharsets": "true",
+    # Remove checkpoint files of materialised intermediates once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -56,7 +58,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="postlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # noqa: BLE001 - some deployments refuse runtime core settings
+            pass
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
@@ -68,5 +73,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
+    shared checkpoint folder.  Used for intermediates that several branches of a
+    plan read (column pruning makes those branches differ, so Spark could not
+    reuse one exchange for them and would recompute e.g. the tokenisation)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
