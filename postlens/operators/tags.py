@@ -33,22 +33,17 @@ def hashtag_year_trend(df: DataFrame, top_n: int = 10) -> DataFrame:
         F.asc("year"), F.desc("occurrences"), F.asc("hashtag"))
 
 
+def _clean_tags() -> F.Column:
+    return F.filter(F.transform("hashtag_list", lambda x: F.trim(x)), lambda x: x != "")
+
+
 def hashtag_pairs_raw(df: DataFrame) -> DataFrame:
     """Every unordered pair of distinct tags within each post (tweet_id, tag_a, tag_b)."""
-    sets = PR.item_sets(exploded_tags(df, "hashtag_list", "tag", "tweet_id"), "tweet_id", "tag")
-    per = (sets.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("arr"))
-           .where(F.size("arr") >= 2))
-    n = F.size("arr")
-    pairs = F.flatten(F.transform(F.col("arr"), lambda a, i: F.transform(
-        F.slice(F.col("arr"), i + F.lit(2), F.greatest(n - i - F.lit(1), F.lit(0))),
-        lambda b: F.struct(a.alias("tag_a"), b.alias("tag_b")))))
-    return per.select(F.col("id").alias("tweet_id"), F.explode(pairs).alias("p")).select(
-        "tweet_id", "p.tag_a", "p.tag_b")
+    return PR.pairs_per_post(df, "tweet_id", _clean_tags(), names=("tag_a", "tag_b"))
 
 
 def hashtag_cooccurrence(df: DataFrame, top_n: int | None = 50, min_count: int = 2) -> DataFrame:
-    e = exploded_tags(df, "hashtag_list", "tag", "tweet_id")
-    return PR.top_pairs(e, "tweet_id", "tag", top_n=top_n, min_count=min_count, names=("tag_a", "tag_b"))
+    return PR.top_pairs(df, "tweet_id", _clean_tags(), top_n=top_n, min_count=min_count, names=("tag_a", "tag_b"))
 
 
 def cooccurrence_nodes(pairs: DataFrame, a: str = "tag_a", b: str = "tag_b") -> DataFrame:

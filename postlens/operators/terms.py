@@ -127,8 +127,7 @@ def word_cooccurrence_for_term(arrays: DataFrame, term: str, top_n: int | None =
 
 
 def word_cooccurrence_pairs(arrays: DataFrame, top_n: int | None = 50, min_count: int = 2) -> DataFrame:
-    items = arrays.select("tweet_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    return PR.top_pairs(items, "tweet_id", "token", top_n=top_n, min_count=min_count, names=("word_a", "word_b"))
+    return PR.top_pairs(arrays, "tweet_id", "tokens", top_n=top_n, min_count=min_count, names=("word_a", "word_b"))
 
 
 def token_mode_compare(posts: DataFrame, opts: TextOptions | None = None, top_n: int = 20) -> DataFrame:
