@@ -32,14 +32,20 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     s_rows = [tuple(r) for r in df.collect()]
-    res = duck.execute(E.oracle_sql()[name])
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    rel = duck.sql(E.oracle_sql()[name])
+    d_cols = rel.columns
+    d_rows = rel.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString()) for f in df.schema.fields}
+    assert s_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert _rows(df.columns, s_rows) == _rows(d_cols, d_rows)
 
 

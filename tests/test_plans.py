@@ -62,3 +62,14 @@ def test_pushdown_and_pruning(spark):
     # only the columns the query needs are read from orders
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in scan
     assert "PushedFilters: [IsNotNull(o_orderdate)" in scan or "o_orderdate" in scan
+
+
+def test_year_partitions_pruned(spark, tmp_path):
+    from postlens.operators import derive as DV
+    from postlens.sources import posts_table as PT
+    from postlens.sources import tables as T
+    path = PT.write_posts_table(DV.derive(T.archive_posts(spark, SF_SMALL)), str(tmp_path / "posts"))
+    df = PT.read_posts_table(spark, path, years=[1996])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "1996" in plan
+    assert {r["year"] for r in df.select("year").distinct().collect()} == {1996}
