@@ -100,10 +100,12 @@ def interval_lag(df: DataFrame, by: str | None = None) -> DataFrame:
         (F.col("diff_ms") / F.lit(60000.0)).alias("diff_min"))
 
 
-def posting_interval_distribution(df: DataFrame, bin_size: int = 30, max_minutes: int | None = None) -> DataFrame:
+def posting_interval_distribution(df: DataFrame, bin_size: int = 30, max_minutes: int | None = None,
+                                  by: str | None = None) -> DataFrame:
+    """Histogram of minutes between consecutive posts (of the same ``by`` key)."""
     if bin_size <= 0:
         bin_size = 30
-    d = interval_lag(df).where(F.col("diff_min") >= 0)
+    d = interval_lag(df, by).where(F.col("diff_min") >= 0)
     if max_minutes is not None and max_minutes > 0:
         d = d.where(F.col("diff_min") <= F.lit(float(max_minutes)))
     start = (F.floor(F.col("diff_min") / F.lit(float(bin_size))) * F.lit(bin_size)).cast("double")
@@ -176,14 +178,14 @@ def _r2(x: float) -> float:
     return math.floor(x * 100.0 + 0.5) / 100.0
 
 
-def interval_lag_ms(df: DataFrame) -> DataFrame:
-    g = ordered_gaps(df)
+def interval_lag_ms(df: DataFrame, by: str | None = None) -> DataFrame:
+    g = ordered_gaps(df, by=by)
     return g.where(F.col("diff_ms").isNotNull()).select(F.col("diff_ms").alias("d"))
 
 
-def _interval_ranks(df: DataFrame, which) -> tuple[int, int, int, dict]:
+def _interval_ranks(df: DataFrame, which, by: str | None = None) -> tuple[int, int, int, dict]:
     """(n, min_ms, sum_ms, {rank: value_ms}) over the persisted intervals."""
-    g = interval_lag_ms(df).persist(StorageLevel.MEMORY_AND_DISK)
+    g = interval_lag_ms(df, by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = g.agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"),
                       F.sum("d").alias("s")).collect()[0]
@@ -208,10 +210,11 @@ def _median(n: int, vals: dict) -> float:
     return vals[mid] / 60000.0
 
 
-def posting_interval_summary(df: DataFrame) -> DataFrame:
+def posting_interval_summary(df: DataFrame, by: str | None = None) -> DataFrame:
     """count, min, median, mean and p90 of the minutes between consecutive posts
-    (each rounded to 2 places).  All work runs in Spark; the result is one row."""
-    n, lo, s, vals = _interval_ranks(df, lambda n: _median_ranks(n) + [p90_index(n)])
+    (of the same ``by`` key; each rounded to 2 places).  All work runs in Spark;
+    the result is one row."""
+    n, lo, s, vals = _interval_ranks(df, lambda n: _median_ranks(n) + [p90_index(n)], by)
     spark = df.sparkSession
     schema = "count bigint, min double, median double, mean double, p90 double"
     if n == 0:

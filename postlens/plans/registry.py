@@ -40,6 +40,10 @@ class AnalysisOptions:
     exclude_retweets: bool = False   # mention panel switch
     max_words: int = 150             # word cloud size (clamped 10..400)
     max_minutes: int = 720           # interval panel upper bound (clamped 30..1440)
+    per_author: bool = False         # intervals / sessions between posts of the same author_id
+
+    def author(self, d: DataFrame) -> str | None:
+        return "author_id" if self.per_author and "author_id" in d.columns else None
 
     def text(self, mode: str | None = None) -> TK.TextOptions:
         return TK.TextOptions(mode=mode or self.mode, pos_filter=self.pos_filter, stopwords=self.stopwords,
@@ -75,8 +79,8 @@ def _period_tokens(d: DataFrame, o: AnalysisOptions) -> DataFrame:
 
 def _intervals(d, o, t, p):
     if p == "panel":
-        return GP.posting_interval_distribution(d, 30, _clamp(o.max_minutes, 30, 1440))
-    return GP.posting_interval_distribution(d, 30).select("bin_label", "posts")
+        return GP.posting_interval_distribution(d, 30, _clamp(o.max_minutes, 30, 1440), by=o.author(d))
+    return GP.posting_interval_distribution(d, 30, by=o.author(d)).select("bin_label", "posts")
 
 
 def _mentions(d, o, t, p):
@@ -114,7 +118,7 @@ KINDS: dict[str, Callable] = {
     "lengths": lambda d, o, t, p: H.text_length_distribution(d, 20).select("bin_label", "posts"),
     "tlds": lambda d, o, t, p: L.tld_distribution(d, _n("tlds", p)),
     "intervals": _intervals,
-    "sessions": lambda d, o, t, p: GP.session_length_distribution(d, 30),
+    "sessions": lambda d, o, t, p: GP.session_length_distribution(d, 30, by=o.author(d)),
     "url_counts": lambda d, o, t, p: H.url_count_distribution(d),
     "url_rate": lambda d, o, t, p: R.url_presence_stats(d),
     "newlines": lambda d, o, t, p: H.newline_count_distribution(d),
@@ -123,7 +127,7 @@ KINDS: dict[str, Callable] = {
     "hashtag_counts": lambda d, o, t, p: H.hashtag_count_distribution(d),
     "mention_counts": lambda d, o, t, p: H.mention_count_distribution(d),
     "night_ratio": lambda d, o, t, p: R.night_post_ratio(d),
-    "interval_stats": lambda d, o, t, p: GP.posting_interval_summary(d),
+    "interval_stats": lambda d, o, t, p: GP.posting_interval_summary(d, by=o.author(d)),
     "long_texts": lambda d, o, t, p: H.long_text_ranking(d, _n("long_texts", p)),
     "path_depth": lambda d, o, t, p: H.path_depth_distribution(d),
     "domain_month": lambda d, o, t, p: L.domain_month_trend(d, t or None),

@@ -62,8 +62,11 @@ def checkpoint_root(spark: SparkSession) -> str:
             spark.conf.set("spark.checkpoint.dir", conf_dir)
         except Exception:  # noqa: BLE001 - some deployments refuse runtime core settings
             pass
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(conf_dir)
+    try:
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(conf_dir)
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect sessions have no SparkContext
+        pass
     return conf_dir
 
 

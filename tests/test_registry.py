@@ -29,3 +29,15 @@ def test_year_selection(spark, derived):
     opts = RG.AnalysisOptions(years=[2024], years_mode="selected")
     assert RG.run("yearly", derived, opts).collect()[0]["year"] == 2024
     assert RG.run("yearly", derived, RG.AnalysisOptions(years=[1999], years_mode="selected")).count() == 0
+
+
+def test_per_author_intervals(spark, derived):
+    opts = RG.AnalysisOptions(per_author=True)
+    per_author = RG.run("interval_stats", derived, opts).collect()[0]
+    overall = RG.run("interval_stats", derived).collect()[0]
+    # one interval fewer per author than posts of that author
+    n_authors = derived.select("author_id").distinct().count()
+    assert per_author["count"] == derived.count() - n_authors
+    assert overall["count"] == derived.count() - 1
+    sizes = RG.run("sessions", derived, opts).collect()
+    assert sum(r["session_size"] * r["sessions"] for r in sizes) == derived.count()
