@@ -141,7 +141,7 @@ dz AS (SELECT date, posts, CAST(year(date) AS INTEGER) AS year, CAST(month(date)
 
 
 def _A_cal(body: str) -> str:
-    return with_posts("", stream=False, archive=True).rstrip() + "," + _CAL_DAYS_SQL + "\n" + body
+    return with_posts(body, stream=False, archive=True, ctes=_CAL_DAYS_SQL)
 
 
 @query("yearly_counts", A("SELECT year, count(*) AS posts FROM ap GROUP BY year"))
@@ -440,8 +440,8 @@ diffs AS (SELECT ms - lag(ms) OVER (ORDER BY ms) AS d FROM ms),
 dm AS (SELECT d, d / 60000.0 AS diff_min FROM diffs WHERE d IS NOT NULL)"""
 
 
-def _S_diffs(body: str) -> str:
-    return with_posts("", stream=True).rstrip() + "," + _DIFFS + "\n" + body
+def _S_diffs(body: str, extra: str = "") -> str:
+    return with_posts(body, ctes=_DIFFS + extra)
 
 
 @query("interval_lag", _S_diffs("SELECT diff_min FROM dm"))
@@ -466,28 +466,28 @@ st AS (SELECT count(*) AS n, min(d) AS lo, sum(d) AS s FROM dm),
 ranked AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS rk FROM dm)"""
 
 
-@query("posting_interval_summary", _S_diffs("," + _RANKED + f"""
+@query("posting_interval_summary", _S_diffs(f"""
 SELECT n AS count, {r2('lo / 60000.0')} AS min,
        {r2("CASE WHEN n % 2 = 1 THEN (SELECT d FROM ranked WHERE rk = n // 2) / 60000.0 ELSE "
            "((SELECT d FROM ranked WHERE rk = n // 2 - 1) / 60000.0 + (SELECT d FROM ranked WHERE rk = n // 2) / 60000.0) / 2 END")} AS median,
        {r2('CAST(s AS DOUBLE) / n / 60000.0')} AS mean,
        {r2(f'(SELECT d FROM ranked WHERE rk = {_P90_IDX}) / 60000.0')} AS p90
-FROM st""".replace(",\nst AS", "st AS", 0)))
+FROM st""", "," + _RANKED))
 def q_interval_summary(spark, sf):
     return GP.posting_interval_summary(stream(spark, sf))
 
 
-@query("rank_select_p90", _S_diffs("," + _RANKED + f"""
+@query("rank_select_p90", _S_diffs(f"""
 SELECT n, CAST({_P90_IDX} AS BIGINT) AS p90_rank,
-       (SELECT d FROM ranked WHERE rk = {_P90_IDX}) / 60000.0 AS p90_minutes FROM st"""))
+       (SELECT d FROM ranked WHERE rk = {_P90_IDX}) / 60000.0 AS p90_minutes FROM st""", "," + _RANKED))
 def q_rank_select_p90(spark, sf):
     return GP.rank_select_p90(stream(spark, sf))
 
 
-@query("median_exact", _S_diffs("," + _RANKED + """
+@query("median_exact", _S_diffs("""
 SELECT n, CASE WHEN n % 2 = 1 THEN (SELECT d FROM ranked WHERE rk = n // 2) / 60000.0 ELSE
        ((SELECT d FROM ranked WHERE rk = n // 2 - 1) / 60000.0 + (SELECT d FROM ranked WHERE rk = n // 2) / 60000.0) / 2 END
-       AS median_minutes FROM st"""))
+       AS median_minutes FROM st""", "," + _RANKED))
 def q_median_exact(spark, sf):
     return GP.median_exact(stream(spark, sf))
 
@@ -500,7 +500,7 @@ sid AS (SELECT ms, sum(f) OVER (ORDER BY ms ROWS BETWEEN UNBOUNDED PRECEDING AND
 
 
 def _S_sessions(body: str) -> str:
-    return with_posts("", stream=True).rstrip() + "," + _SESSIONS + "\n" + body
+    return with_posts(body, ctes=_SESSIONS)
 
 
 @query("session_length_distribution", _S_sessions("""
@@ -659,24 +659,24 @@ pairs AS (SELECT x.item AS {a}, y.item AS {b}, count(*) AS count FROM kept x JOI
 
 
 _TAG_ITEMS = "(SELECT tweet_id AS id, hashtag AS item FROM " + _tags("sp", "hashtag_list", "hashtag", "tweet_id,") + " q)"
-_TAG_PAIRS = S("SELECT 1").replace("\nSELECT 1", "") + "," + _pairs_sql(_TAG_ITEMS, "tag_a", "tag_b", 2, 200)
+_TAG_PAIRS_CTES = _pairs_sql(_TAG_ITEMS, "tag_a", "tag_b", 2, 200)
 
 HASHTAG_PAIR_TOP = 200
 
 
-@query("hashtag_cooccurrence", _TAG_PAIRS + "\nSELECT * FROM pairs")
+@query("hashtag_cooccurrence", with_posts("SELECT * FROM pairs", ctes=_TAG_PAIRS_CTES))
 def q_hashtag_cooc(spark, sf):
     return TG.hashtag_cooccurrence(stream(spark, sf), HASHTAG_PAIR_TOP, 2)
 
 
-@query("cooccurrence_nodes", _TAG_PAIRS + "\nSELECT DISTINCT node FROM (SELECT tag_a AS node FROM pairs UNION ALL "
-                                          "SELECT tag_b FROM pairs) n")
+@query("cooccurrence_nodes", with_posts("SELECT DISTINCT node FROM (SELECT tag_a AS node FROM pairs UNION ALL "
+                                        "SELECT tag_b FROM pairs) n", ctes=_TAG_PAIRS_CTES))
 def q_cooc_nodes(spark, sf):
     return TG.cooccurrence_nodes(TG.hashtag_cooccurrence(stream(spark, sf), HASHTAG_PAIR_TOP, 2))
 
 
-@query("cooccurrence_degree", _TAG_PAIRS + "\nSELECT node, count(*) AS degree FROM (SELECT tag_a AS node FROM pairs "
-                                           "UNION ALL SELECT tag_b FROM pairs) n GROUP BY node")
+@query("cooccurrence_degree", with_posts("SELECT node, count(*) AS degree FROM (SELECT tag_a AS node FROM pairs "
+                                         "UNION ALL SELECT tag_b FROM pairs) n GROUP BY node", ctes=_TAG_PAIRS_CTES))
 def q_cooc_degree(spark, sf):
     return TG.cooccurrence_degree(TG.hashtag_cooccurrence(stream(spark, sf), HASHTAG_PAIR_TOP, 2))
 
@@ -757,11 +757,11 @@ def _tok_sql(src: str, keep: str, mode: str = "C", stop=None) -> str:
 
 
 def _S_with(ctes: str, body: str) -> str:
-    return S("").rstrip() + "," + ctes + "\n" + body
+    return with_posts(body, ctes=ctes)
 
 
 def _A_with(ctes: str, body: str) -> str:
-    return A("").rstrip() + "," + ctes + "\n" + body
+    return with_posts(body, stream=False, archive=True, ctes=ctes)
 
 
 def s_tokens(spark, sf, opts: TK.TextOptions | None = None, keep=("tweet_id",)):

@@ -98,13 +98,17 @@ def derived_cte(name: str, source: str) -> str:
 )"""
 
 
-def with_posts(body: str, stream: bool = True, archive: bool = False) -> str:
-    ctes = []
+def with_posts(body: str, stream: bool = True, archive: bool = False, ctes: str = "") -> str:
+    """``WITH <post views>[, <ctes>] <body>``: the derived post views (``sp`` for
+    the event posts, ``ap`` for the order posts) plus extra CTEs."""
+    parts = []
     if stream:
-        ctes += [STREAM_POSTS, derived_cte("sp", "stream_posts")]
+        parts += [STREAM_POSTS, derived_cte("sp", "stream_posts")]
     if archive:
-        ctes += [ARCHIVE_POSTS, derived_cte("ap", "archive_posts")]
-    return "WITH " + ",".join(ctes) + "\n" + body
+        parts += [ARCHIVE_POSTS, derived_cte("ap", "archive_posts")]
+    if ctes.strip():
+        parts.append(ctes.strip().strip(","))
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 
 def r2(expr: str) -> str:
