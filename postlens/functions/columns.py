@@ -28,20 +28,25 @@ def epoch_millis(ts: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def extract_all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def extract_all(text: Column, pattern: str, needle: str | None = None) -> Column:
+    """All matches of ``pattern``; when every match must contain ``needle``, texts
+    without it skip the regex (a plain substring search decides)."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if needle is None:
+        return found
+    return F.when(F.contains(text, F.lit(needle)), found).otherwise(F.array().cast("array<string>"))
 
 
 def urls(text: Column) -> Column:
-    return extract_all(text, P.URL_PATTERN)
+    return extract_all(text, P.URL_PATTERN, "http")
 
 
 def hashtags(text: Column) -> Column:
-    return extract_all(text, P.HASHTAG_PATTERN)
+    return extract_all(text, P.HASHTAG_PATTERN, "#")
 
 
 def mentions(text: Column) -> Column:
-    return extract_all(text, P.MENTION_PATTERN)
+    return extract_all(text, P.MENTION_PATTERN, "@")
 
 
 def strip_scheme(url: Column) -> Column:
@@ -77,7 +82,8 @@ def contains_code(text: Column) -> Column:
 
 def language_hint(text: Column) -> Column:
     n = F.char_length(text)
-    ascii_n = F.char_length(F.regexp_replace(text, F.lit(P.NON_ASCII_PATTERN), F.lit("")))
+    # UTF-8: a text is all ASCII exactly when it has as many bytes as characters.
+    ascii_n = F.when(F.octet_length(text) == n, n).otherwise(n - F.regexp_count(text, F.lit(P.NON_ASCII_PATTERN)))
     ratio = ascii_n / F.when(n == 0, F.lit(1)).otherwise(n)
     return F.when(ratio > F.lit(P.ASCII_RATIO_THRESHOLD), F.lit(P.LANG_EN)).otherwise(F.lit(P.LANG_JA))
 
