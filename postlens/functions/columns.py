@@ -67,8 +67,14 @@ def strip_query_fragment(url: Column) -> Column:
     return F.substring_index(F.substring_index(url, "#", 1), "?", 1)
 
 
-def is_self_domain(domain: Column) -> Column:
+def is_self_domain(domain: Column, strict: bool = False) -> Column:
+    """Domain of the platform itself.  Default: plain suffix test, as in the
+    original (so 'netflix.com' ends with 'x.com'); ``strict``: the domain or one
+    of its subdomains."""
     low = F.lower(domain)
+    if strict:
+        alts = "|".join(s.replace(".", r"\.") for s in P.SELF_DOMAIN_SUFFIXES)
+        return low.rlike(f"(^|\\.)({alts})$")
     cond = None
     for suffix in P.SELF_DOMAIN_SUFFIXES:
         c = low.endswith(suffix)

@@ -46,14 +46,14 @@ def mention_count_distribution(df: DataFrame) -> DataFrame:
     return _dist(df, F.coalesce(F.col("mention_count").cast("bigint"), F.lit(0).cast("bigint")), "mention_count")
 
 
-def path_depth_distribution(df: DataFrame, exclude_self_ref: bool = True) -> DataFrame:
+def path_depth_distribution(df: DataFrame, exclude_self_ref: bool = True, strict_self_domain: bool = False) -> DataFrame:
     """Per URL: scheme, '#...' and '?...' removed, depth = number of '/' parts - 1.
     Links to the platform's own domains are skipped by default."""
     u = df.select(F.explode("urls").alias("url"))
     trimmed = C.strip_query_fragment(C.strip_scheme(F.col("url")))
     parts = u.select(F.split(trimmed, "/").alias("parts"))
     if exclude_self_ref:
-        parts = parts.where(~C.is_self_domain(F.col("parts")[0]))
+        parts = parts.where(~C.is_self_domain(F.col("parts")[0], strict_self_domain))
     return (parts.groupBy((F.size("parts") - 1).cast("bigint").alias("depth"))
             .agg(F.count(F.lit(1)).alias("occurrences")).orderBy("depth"))
 

@@ -30,10 +30,10 @@ def url_presence_stats(df: DataFrame) -> DataFrame:
     return _two_way(df, F.col("url_count") > 0, "with_url", "without_url")
 
 
-def self_reference_stats(df: DataFrame) -> DataFrame:
+def self_reference_stats(df: DataFrame, strict_self_domain: bool = False) -> DataFrame:
     """Posts linking to the platform's own domains; 'external' is everything else,
     posts without any URL included."""
-    return _two_way(df, F.exists("domains", C.is_self_domain), "self_ref", "external")
+    return _two_way(df, F.exists("domains", lambda d: C.is_self_domain(d, strict_self_domain)), "self_ref", "external")
 
 
 def _strip_status(url: Column) -> Column:

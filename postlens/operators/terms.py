@@ -66,9 +66,10 @@ def tfidf_corpus(posts: DataFrame, arrays: DataFrame, top_n: int | None = 50,
     return out.limit(top_n) if top_n else out
 
 
-def _period_scores(arrays: DataFrame, period_col: Column) -> DataFrame:
+def _period_scores(arrays: DataFrame, period_col: Column, df_unit: str = "post") -> DataFrame:
     """(period, word, tf, df, score) where a document is a period, df counts posts
-    and N counts periods that have at least one word.
+    (``df_unit='post'``, as the original does) or periods (``'period'``, the
+    textbook form), and N counts periods that have at least one word.
 
     (period, word, tf, posts) comes from one aggregation and is materialised, as
     three branches read it; df is a window sum of posts over the word, N a count
@@ -77,7 +78,9 @@ def _period_scores(arrays: DataFrame, period_col: Column) -> DataFrame:
     pw = materialize(_tf_df(with_period, "period").withColumnRenamed("df", "posts"))
     periods = pw.select("period").distinct()
     periods = periods.withColumn("n_periods", F.count(F.lit(1)).over(Window.partitionBy()))  # one row per period
-    scored = pw.withColumn("df", F.sum("posts").over(Window.partitionBy("word"))).join(F.broadcast(periods), "period")
+    per_word = Window.partitionBy("word")
+    df_col = F.count(F.lit(1)).over(per_word) if df_unit == "period" else F.sum("posts").over(per_word)
+    scored = pw.withColumn("df", df_col).join(F.broadcast(periods), "period")
     return scored.withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.col("n_periods").cast("double")))
 
 
@@ -90,13 +93,13 @@ def _month_label() -> Column:
     return F.when(F.col("month").isNotNull(), C.year_month_label(F.col("year"), F.col("month")))
 
 
-def tfidf_by_period(arrays: DataFrame, period: str = "month", top_n: int = 50) -> DataFrame:
+def tfidf_by_period(arrays: DataFrame, period: str = "month", top_n: int = 50, df_unit: str = "post") -> DataFrame:
     """Top words per period ('year' or 'month'); arrays must carry year and month."""
     if period == "year":
         key, pcol = "year", F.col("year").cast("string")
     else:
         key, pcol = "year_month", _month_label()
-    scored = _period_scores(arrays, pcol)
+    scored = _period_scores(arrays, pcol, df_unit)
     return (_top_per_period(scored, top_n)
             .select(F.col("period").alias(key), "word", "tf", "df", "score")
             .orderBy(F.asc(key), F.desc("score"), F.asc("word")))

@@ -41,6 +41,8 @@ class AnalysisOptions:
     max_words: int = 150             # word cloud size (clamped 10..400)
     max_minutes: int = 720           # interval panel upper bound (clamped 30..1440)
     per_author: bool = False         # intervals / sessions between posts of the same author_id
+    strict_self_domain: bool = False  # self domains as domain-or-subdomain instead of plain suffix
+    df_unit: str = "post"            # period TF-IDF document frequency: "post" (original) or "period"
 
     def author(self, d: DataFrame) -> str | None:
         return "author_id" if self.per_author and "author_id" in d.columns else None
@@ -113,7 +115,7 @@ KINDS: dict[str, Callable] = {
     "word_freq": lambda d, o, t, p: TM.word_frequency(_tokens(d, o), _n("word_freq", p)),
     "word_cloud": lambda d, o, t, p: TM.word_cloud_weights(_tokens(d, o), o.max_words),
     "tfidf": lambda d, o, t, p: TM.tfidf_by_period(_period_tokens(d, o), "year" if o.period == "year" else "month",
-                                                   _n("tfidf", p)),
+                                                   _n("tfidf", p), o.df_unit),
     "hashtags": lambda d, o, t, p: TG.hashtag_ranking(d, _n("hashtags", p)),
     "lengths": lambda d, o, t, p: H.text_length_distribution(d, 20).select("bin_label", "posts"),
     "tlds": lambda d, o, t, p: L.tld_distribution(d, _n("tlds", p)),
@@ -129,7 +131,7 @@ KINDS: dict[str, Callable] = {
     "night_ratio": lambda d, o, t, p: R.night_post_ratio(d),
     "interval_stats": lambda d, o, t, p: GP.posting_interval_summary(d, by=o.author(d)),
     "long_texts": lambda d, o, t, p: H.long_text_ranking(d, _n("long_texts", p)),
-    "path_depth": lambda d, o, t, p: H.path_depth_distribution(d),
+    "path_depth": lambda d, o, t, p: H.path_depth_distribution(d, True, o.strict_self_domain),
     "domain_month": lambda d, o, t, p: L.domain_month_trend(d, t or None),
     "mentions": _mentions,
     "mention_weekday": lambda d, o, t, p: TG.mention_weekday_totals(d),
@@ -140,7 +142,7 @@ KINDS: dict[str, Callable] = {
     "keyword_categories": lambda d, o, t, p: TG.keyword_category_counts(d, o.keyword_dict or ""),
     "word_trend": lambda d, o, t, p: TM.word_monthly_counts(_period_tokens(d, o), t or ""),
     "domain_years": lambda d, o, t, p: L.domain_year_trend(d, _n("domain_years", p)),
-    "self_reference": lambda d, o, t, p: R.self_reference_stats(d),
+    "self_reference": lambda d, o, t, p: R.self_reference_stats(d, o.strict_self_domain),
     "self_post_urls": lambda d, o, t, p: R.self_post_url_stats(d),
     "word_cooccurrence": lambda d, o, t, p: TM.word_cooccurrence_for_term(_tokens(d, o), t or "",
                                                                           _n("word_cooccurrence", p)),

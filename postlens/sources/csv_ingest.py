@@ -30,6 +30,7 @@ CANONICAL = ["tweet_id", "created_at", "text", "status_url"]
 ENCODINGS = ["UTF-8", "windows-31j", "Shift_JIS", "EUC-JP"]
 
 _DATE_PARSE = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?: ([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)?$"
+_DATE_PARSE_T = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[ T]([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)?$"
 
 
 class CSVLoadError(Exception):
@@ -44,15 +45,17 @@ class ColumnMapping:
     status_url: str | None = None
 
 
-def parse_created_at(col: Column) -> Column:
+def parse_created_at(col: Column, accept_t: bool = False) -> Column:
     """'YYYY-MM-DD HH:MM:SS', 'YYYY-MM-DD HH:MM' or 'YYYY-MM-DD' (after trimming)
     to TIMESTAMP_NTZ; anything else (or an impossible date) to null.  Independent
-    of the session time zone."""
+    of the session time zone.  ``accept_t`` also takes 'T' between date and time
+    (the column guess counts such cells as dates, the original parser did not)."""
     s = F.trim(col.cast("string"))
-    ok = s.rlike(_DATE_PARSE)
+    pattern = _DATE_PARSE_T if accept_t else _DATE_PARSE
+    ok = s.rlike(pattern)
 
     def part(i: int, default: int = 0) -> Column:
-        v = F.regexp_extract(s, _DATE_PARSE, i)
+        v = F.regexp_extract(s, pattern, i)
         return F.when(v == "", F.lit(default)).otherwise(v.cast("int"))
 
     ts = F.try_make_timestamp_ntz(part(1), part(2), part(3), part(4), part(5), part(6).cast("decimal(16,6)"))
@@ -119,13 +122,14 @@ def guess_mapping(df: DataFrame, sample_rows: int = P.GUESS_SAMPLE_ROWS) -> Colu
     return ColumnMapping(cols[tid], cols[created], cols[text], cols[status] if status is not None else None)
 
 
-def normalize_posts(df: DataFrame, mapping: ColumnMapping) -> DataFrame:
+def normalize_posts(df: DataFrame, mapping: ColumnMapping, accept_t: bool = False) -> DataFrame:
     """Project the four canonical columns as strings (status_url null when
     absent) and parse created_at."""
     def c(name):
         return F.col(f"`{name}`").cast("string")
     status = c(mapping.status_url) if mapping.status_url else F.lit(None).cast("string")
-    return df.select(c(mapping.tweet_id).alias("tweet_id"), parse_created_at(c(mapping.created_at)).alias("created_at"),
+    return df.select(c(mapping.tweet_id).alias("tweet_id"),
+                     parse_created_at(c(mapping.created_at), accept_t).alias("created_at"),
                      c(mapping.text).alias("text"), status.alias("status_url"))
 
 
@@ -137,7 +141,7 @@ def parse_score(df: DataFrame) -> DataFrame:
 
 
 def read_posts_csv(spark: SparkSession, path: str, has_header: bool | None = None,
-                   encoding: str | None = None) -> DataFrame:
+                   encoding: str | None = None, accept_t: bool = False) -> DataFrame:
     """Posts from CSV file(s): tweet_id, created_at (TIMESTAMP_NTZ), text, status_url."""
     enc = encoding or detect_encoding(spark, path)
     if enc != "UTF-8":
@@ -147,13 +151,13 @@ def read_posts_csv(spark: SparkSession, path: str, has_header: bool | None = Non
         if not plain.columns:
             raise CSVLoadError("no columns")
         mapping = guess_mapping(plain)
-        first = plain.limit(1).select(parse_created_at(F.col(mapping.created_at)).alias("t")).collect()
+        first = plain.limit(1).select(parse_created_at(F.col(mapping.created_at), accept_t).alias("t")).collect()
         if not first:
             raise CSVLoadError("CSV was read but contains no rows")
         has_header = first[0]["t"] is None
     df = _reader(spark, enc, has_header).csv(path)
     mapping = guess_mapping(df)
-    return normalize_posts(df, mapping)
+    return normalize_posts(df, mapping, accept_t)
 
 
 def write_csv(df: DataFrame, path: str) -> str:

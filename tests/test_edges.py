@@ -129,3 +129,34 @@ def test_text_length_bins(spark):
     rows = H.text_length_distribution(d, 5).collect()
     assert sum(r["posts"] for r in rows) == len(ROWS)
     assert rows[0]["bin_label"] == "0-4"
+
+
+def test_strict_self_domain(spark):
+    d = _derived(spark)
+    assert R.self_reference_stats(d, strict_self_domain=True).collect()[0]["self_ref"] == 1  # netflix.com no more
+
+
+def test_pos_filter_and_stopword_parsing():
+    from postlens.operators import tokens as TK
+    assert TK.normalize_pos_filter(None) == ["名詞", "動詞", "形容詞"]
+    assert TK.normalize_pos_filter("noun, Verb/adj") == ["名詞", "動詞", "形容詞"]
+    assert TK.normalize_pos_filter(" , / ") == []
+    assert TK.parse_stopwords("a\nb,, c\r\n\n") == ["a", "b", "c"]
+
+
+def test_parse_created_at_accepts_t_on_request(spark):
+    from postlens.sources import csv_ingest as CSV
+    df = spark.createDataFrame([("2024-01-05T10:11",)], "s string")
+    assert df.select(CSV.parse_created_at(F.col("s"))).collect()[0][0] is None
+    assert str(df.select(CSV.parse_created_at(F.col("s"), accept_t=True)).collect()[0][0]) == "2024-01-05 10:11:00"
+
+
+def test_period_df_unit(spark):
+    from postlens.operators import terms as TM
+    rows = [("1", "2024-01-01 10:00:00", "alpha beta", None), ("2", "2024-01-02 10:00:00", "alpha gamma", None),
+            ("3", "2024-02-01 10:00:00", "alpha", None)]
+    from postlens.operators import tokens as TK
+    arr = TK.token_arrays(DV.derive(make_posts(spark, rows)), keep=("tweet_id", "year", "month"))
+    posts_df = {r["word"]: r["df"] for r in TM.tfidf_by_period(arr, "month", 10).collect()}
+    period_df = {r["word"]: r["df"] for r in TM.tfidf_by_period(arr, "month", 10, df_unit="period").collect()}
+    assert posts_df["alpha"] == 3 and period_df["alpha"] == 2
