@@ -132,7 +132,9 @@ KINDS: dict[str, Callable] = {
     "interval_stats": lambda d, o, t, p: GP.posting_interval_summary(d, by=o.author(d)),
     "long_texts": lambda d, o, t, p: H.long_text_ranking(d, _n("long_texts", p)),
     "path_depth": lambda d, o, t, p: H.path_depth_distribution(d, True, o.strict_self_domain),
-    "domain_month": lambda d, o, t, p: L.domain_month_trend(d, t or None),
+    # export needs a domain (none -> empty); the panel defaults to the most linked one
+    "domain_month": lambda d, o, t, p: (L.domain_month_trend(d, t) if t else
+                                        L.domain_month_trend(d, None).limit(0 if p == "export" else 1 << 30)),
     "mentions": _mentions,
     "mention_weekday": lambda d, o, t, p: TG.mention_weekday_totals(d),
     "mention_weekday_detail": lambda d, o, t, p: (TG.mention_weekday_counts(d) if p == "export"
