@@ -91,6 +91,12 @@ def _mentions(d, o, t, p):
     return TG.mention_ranking(d, _n("mentions", p))
 
 
+def _domain_month(d, o, t, p):
+    """The export needs a domain (none: empty result); the panel defaults to the most linked one."""
+    out = L.domain_month_trend(d, t or None)
+    return out.limit(0) if (p == "export" and not t) else out
+
+
 def _clusters(d, o, t, p):
     k = _clamp(int(t or 4), 2, 8)
     return TP.kmeans_cluster_summary(d, _tokens(d, o), k=k, max_features=200, max_iter=12)
@@ -132,9 +138,7 @@ KINDS: dict[str, Callable] = {
     "interval_stats": lambda d, o, t, p: GP.posting_interval_summary(d, by=o.author(d)),
     "long_texts": lambda d, o, t, p: H.long_text_ranking(d, _n("long_texts", p)),
     "path_depth": lambda d, o, t, p: H.path_depth_distribution(d, True, o.strict_self_domain),
-    # export needs a domain (none -> empty); the panel defaults to the most linked one
-    "domain_month": lambda d, o, t, p: (L.domain_month_trend(d, t) if t else
-                                        L.domain_month_trend(d, None).limit(0 if p == "export" else 1 << 30)),
+    "domain_month": _domain_month,
     "mentions": _mentions,
     "mention_weekday": lambda d, o, t, p: TG.mention_weekday_totals(d),
     "mention_weekday_detail": lambda d, o, t, p: (TG.mention_weekday_counts(d) if p == "export"
