@@ -2,6 +2,8 @@
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from postlens.sources.posts_table import read_posts_table
 from postlens.streaming.ingest import start_ingest
 
@@ -32,3 +34,18 @@ def test_ingest_appends_new_files(spark):
     assert read_posts_table(spark, out, years=[2024]).count() == 7
     r = t.where("tweet_id = '1234567890100'").collect()[0]
     assert r["hashtag_list"] == ["#a"] and r["domains"] == ["e.com"]
+
+
+def test_ingest_parquet_files(spark):
+    from conftest import SF_SMALL
+    from postlens.sources import tables as T
+    src = os.path.join(tempfile.mkdtemp(prefix="postlens-psrc-"), "in")
+    out = os.path.join(tempfile.mkdtemp(prefix="postlens-pout-"), "posts")
+    posts = T.archive_posts(spark, SF_SMALL)
+    posts.write.parquet(src)
+    q = start_ingest(spark, src, out, fmt="parquet", checkpoint=tempfile.mkdtemp(prefix="postlens-pck-"))
+    q.awaitTermination(120)
+    t = read_posts_table(spark, out)
+    assert t.count() == posts.count()
+    years = {r["year"] for r in t.select("year").distinct().collect()}
+    assert years == {r["year"] for r in posts.select(F.year("created_at").alias("year")).distinct().collect()}
