@@ -61,7 +61,7 @@ SIZES = {
     "mentions": (200, 30), "hashtags": (None, 30), "domains": (None, 20), "tlds": (None, 20),
     "word_freq": (None, 50), "tfidf": (50, 20), "hashtag_years": (20, 8), "hashtag_pairs": (200, 40),
     "word_network": (200, 40), "word_cooccurrence": (200, 30), "domain_years": (10, 5), "long_texts": (100, 30),
-    "token_mode_compare": (50, 20),
+    "sudachi_compare": (50, 20),
 }
 
 
@@ -153,7 +153,7 @@ KINDS: dict[str, Callable] = {
     "word_cooccurrence": lambda d, o, t, p: TM.word_cooccurrence_for_term(_tokens(d, o), t or "",
                                                                           _n("word_cooccurrence", p)),
     "word_network": lambda d, o, t, p: TM.word_cooccurrence_pairs(_tokens(d, o), _n("word_network", p), 2),
-    "token_mode_compare": lambda d, o, t, p: TM.token_mode_compare(d, o.text(), _n("token_mode_compare", p)),
+    "sudachi_compare": lambda d, o, t, p: TM.token_mode_compare(d, o.text(), _n("sudachi_compare", p)),
     "topics_monthly": lambda d, o, t, p: TM.monthly_tfidf_top(_period_tokens(d, o), 5),
     "topic_trends": lambda d, o, t, p: TM.topic_word_trend(d, _period_tokens(d, o), 5),
     "clusters": _clusters,
@@ -167,8 +167,10 @@ EXPORT_KINDS = [
     "hashtag_counts", "mention_counts", "night_ratio", "interval_stats", "long_texts", "path_depth",
     "domain_month", "mentions", "mention_weekday", "mention_weekday_detail", "hashtag_years", "hashtag_pairs",
     "keyword_categories", "word_trend", "domain_years", "self_reference", "self_post_urls", "word_cooccurrence",
-    "word_network", "token_mode_compare", "topics_monthly", "topic_trends", "clusters",
+    "word_network", "sudachi_compare", "topics_monthly", "topic_trends", "clusters",
 ]
+# Same analysis under a name that says what it does (granularities A / B / C of our tokenizer).
+KINDS["token_mode_compare"] = KINDS["sudachi_compare"]
 
 
 def prepare(derived: DataFrame, options: AnalysisOptions) -> DataFrame:
