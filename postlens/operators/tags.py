@@ -70,9 +70,14 @@ def mention_weekday_totals(df: DataFrame) -> DataFrame:
 
 
 def mention_weekday_top(df: DataFrame, top_n: int = 5) -> DataFrame:
-    """Weekday counts for the top mentions only (at most top_n keys, broadcast)."""
-    top = mention_ranking(df, top_n).select("mention")
-    return (mention_weekday_counts(df).join(F.broadcast(top), "mention", "left_semi")
+    """Weekday counts for the top mentions only.  The ranking is taken from the
+    same per-(weekday, mention) aggregate (one pass over the posts); the top list
+    has at most top_n keys (broadcast)."""
+    per = (exploded_tags(df, "mention_list", "mention", "weekday")
+           .groupBy("weekday", "mention").agg(F.count(F.lit(1)).alias("occurrences")))
+    top = (per.groupBy("mention").agg(F.sum("occurrences").alias("total"))
+           .orderBy(F.desc("total"), F.asc("mention")).limit(top_n).select("mention"))
+    return (per.join(F.broadcast(top), "mention", "left_semi")
             .select("weekday", "mention", "occurrences",
                     C.weekday_label(F.col("weekday")).alias("weekday_label"))
             .orderBy(F.asc("weekday"), F.desc("occurrences"), F.asc("mention")))
