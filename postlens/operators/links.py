@@ -48,12 +48,13 @@ def domain_year_trend(df: DataFrame, top_n: int = 5) -> DataFrame:
 
 def domain_month_trend(df: DataFrame, domain: str | None = None) -> DataFrame:
     """Monthly counts of one domain (exact, case-sensitive); by default the most
-    linked domain, chosen inside the plan (no driver round trip)."""
+    linked domain, chosen inside the plan from the same per-(year, month, domain)
+    aggregate (one pass over the posts, no driver round trip)."""
     e = exploded_domains(df, "year", "month")
     if domain:
-        e = e.where(F.col("domain") == F.lit(domain))
+        per = (e.where(F.col("domain") == F.lit(domain))
+               .groupBy("year", "month").agg(F.count(F.lit(1)).alias("occurrences")))
     else:
-        e = e.join(F.broadcast(domain_ranking(df, 1).select("domain")), "domain", "left_semi")
-    return (e.groupBy("year", "month").agg(F.count(F.lit(1)).alias("occurrences"))
-            .withColumn("year_month", C.year_month_label(F.col("year"), F.col("month")))
-            .orderBy("year", "month"))
+        per = top_keys_by_period(e, "domain", ["year", "month"], 1).drop("domain")
+    return (per.withColumn("year_month", C.year_month_label(F.col("year"), F.col("month")))
+            .select("year", "month", "occurrences", "year_month").orderBy("year", "month"))
