@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import materialize
 from . import pairs as PR
-from .tokens import TextOptions, token_arrays
+from .tokens import TextOptions, _kept_tokens, normalize_pos_filter, token_arrays
 
 
 def _idf_score(tf: Column, df: Column, n: Column) -> Column:
@@ -133,17 +133,41 @@ def word_cooccurrence_pairs(arrays: DataFrame, top_n: int | None = 50, min_count
     return PR.top_pairs(arrays, "tweet_id", "tokens", top_n=top_n, min_count=min_count, names=("word_a", "word_b"))
 
 
+def _tag_with(mode: str):
+    """One-argument lambda for ``transform`` (a second parameter would receive the index)."""
+    return lambda t: F.struct(F.lit(mode).alias("mode"), t.alias("word"))
+
+
+def mode_frequencies(posts: DataFrame, opts: TextOptions | None = None, top_n: int | None = 20) -> DataFrame:
+    """Word counts for granularities A, B and C (column ``mode``), top_n per mode
+    (None: all).  The three token arrays come from one projection of the posts and
+    one explode, so the posts are read and joined once."""
+    opts = opts or TextOptions()
+    per_mode = {m: TextOptions(mode=m, pos_filter=opts.pos_filter, stopwords=opts.stopwords, lexicon=opts.lexicon)
+                for m in ("A", "B", "C")}
+    arrays = {}
+    for m, o in per_mode.items():
+        arr, stop_rest = _kept_tokens(o)
+        if stop_rest or (o.lexicon is not None and normalize_pos_filter(o.pos_filter)):
+            arrays = None  # needs joins: one pass per mode
+            break
+        arrays[m] = F.transform(arr, _tag_with(m))
+    if arrays is None:
+        parts = [word_frequency(token_arrays(posts, o), top_n).withColumn("mode", F.lit(m))
+                 for m, o in per_mode.items()]
+        out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return out.select("mode", "word", "count")
+    rows = posts.select(F.explode(F.concat(*arrays.values())).alias("r")).select("r.mode", "r.word")
+    counts = rows.groupBy("mode", "word").agg(F.count(F.lit(1)).alias("count"))
+    if top_n:
+        w = Window.partitionBy("mode").orderBy(F.desc("count"), F.asc("word"))
+        counts = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top_n).drop("_rn")
+    return counts.select("mode", "word", "count").orderBy("mode", F.desc("count"), F.asc("word"))
+
+
 def token_mode_compare(posts: DataFrame, opts: TextOptions | None = None, top_n: int = 20) -> DataFrame:
     """Top words for granularities A, B and C side by side (column ``mode``)."""
-    opts = opts or TextOptions()
-    parts = []
-    for mode in ("A", "B", "C"):
-        o = TextOptions(mode=mode, pos_filter=opts.pos_filter, stopwords=opts.stopwords, lexicon=opts.lexicon)
-        parts.append(word_frequency(token_arrays(posts, o), top_n).withColumn("mode", F.lit(mode)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("mode", "word", "count")
+    return mode_frequencies(posts, opts, top_n)
 
 
 def topic_word_trend(posts: DataFrame, arrays: DataFrame, top_n: int = 5, n_posts: int | None = None) -> DataFrame:

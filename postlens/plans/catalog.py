@@ -810,10 +810,7 @@ def q_pos_filter(spark, sf):
     "\nUNION ALL\n".join(f"SELECT '{m}' AS mode, token AS word, count(*) AS count FROM t{m} GROUP BY token"
                          for m in "ABC")))
 def q_token_modes(spark, sf):
-    d = stream(spark, sf)
-    parts = [TM.word_frequency(TK.token_arrays(d, TK.TextOptions(mode=m)), None).withColumn("mode", F.lit(m))
-             for m in "ABC"]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("mode", "word", "count")
+    return TM.mode_frequencies(stream(spark, sf), top_n=None)
 
 
 @query("token_mode_compare", _S_with(
