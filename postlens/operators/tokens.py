@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 
-# Stop-word lists up to this size are inlined in the filter expression; larger
-# ones are joined (left anti) so nothing large is built into the plan.
-_INLINE_STOPWORDS = 2000
+# Stop-word lists up to this size are inlined in the filter expression (a linear
+# check per token); larger ones are a broadcast anti join (the list is the user's
+# setting, so its size is known on the driver).
+_INLINE_STOPWORDS = 128
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,7 @@ def tokenize(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str]
     out = df.select(*keep, F.posexplode(arr).alias("position", "token"))
     if stop_rest:
         words = df.sparkSession.createDataFrame([(w,) for w in stop_rest], "token string")
-        out = out.join(words, "token", "left_anti")
+        out = out.join(F.broadcast(words), "token", "left_anti")
     allowed = normalize_pos_filter(opts.pos_filter)
     if opts.lexicon is not None and allowed:
         lex = (opts.lexicon.groupBy(F.col("word").alias("token")).agg(F.min("pos").alias("pos"))

@@ -160,3 +160,17 @@ def test_period_df_unit(spark):
     posts_df = {r["word"]: r["df"] for r in TM.tfidf_by_period(arr, "month", 10).collect()}
     period_df = {r["word"]: r["df"] for r in TM.tfidf_by_period(arr, "month", 10, df_unit="period").collect()}
     assert posts_df["alpha"] == 3 and period_df["alpha"] == 2
+
+
+def test_long_stopword_list_matches_inline(spark, monkeypatch):
+    from postlens.operators import terms as TM
+    from postlens.operators import tokens as TK
+    rows = [("1", None, "alpha beta gamma alpha delta", None), ("2", None, "beta epsilon zeta", None)]
+    posts = DV.derive(make_posts(spark, rows))
+    stop = "alpha\nzeta\n" + "\n".join(f"filler{i}" for i in range(300))
+    big = {r["word"]: r["count"] for r in TM.word_frequency(TK.token_arrays(posts, TK.TextOptions(stopwords=stop)),
+                                                             None).collect()}
+    monkeypatch.setattr(TK, "_INLINE_STOPWORDS", 10_000)
+    inline = {r["word"]: r["count"] for r in TM.word_frequency(TK.token_arrays(posts, TK.TextOptions(stopwords=stop)),
+                                                                None).collect()}
+    assert big == inline == {"beta": 2, "gamma": 1, "delta": 1, "epsilon": 1}
