@@ -1015,7 +1015,10 @@ def q_parse_score(spark, sf):
     return CSV.parse_score(_mixed_dates(spark, sf))
 
 
-@query("csv_export")
+@query("csv_export", S(f"""
+SELECT CAST(weekday AS VARCHAR) AS weekday, CAST(hour AS VARCHAR) AS hour, CAST(count(*) AS VARCHAR) AS posts,
+       {_WD_LABEL_SQL.format(c='weekday')} AS weekday_label
+FROM sp GROUP BY weekday, hour"""))
 def q_csv_export(spark, sf):
     """Export a result table to CSV and read it back (row count / header check)."""
     from ..operators import calendar as _cal
