@@ -12,6 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import calendar as CAL
 from ..operators import derive as DV
 from ..operators import gaps as GP
@@ -1035,14 +1036,23 @@ from ..operators import topics as TP  # noqa: E402
 KMEANS_K, KMEANS_ITER, KMEANS_FEATURES = 4, 12, 200
 
 
-@query("tfidf_vectors")
+@query("tfidf_vectors", _S_with(f"""toks AS {_tok_sql('sp', 'tweet_id,')},
+vocab AS (SELECT token AS word, count(DISTINCT tweet_id) AS df FROM toks GROUP BY token
+          ORDER BY df DESC, word LIMIT {KMEANS_FEATURES}),
+nn AS (SELECT count(*) AS n FROM sp),
+tf AS (SELECT tweet_id, token, count(*) AS c FROM toks WHERE token IN (SELECT word FROM vocab) GROUP BY 1, 2),
+w AS (SELECT tf.tweet_id, tf.c * (ln((1 + nn.n) / (1 + v.df)) + 1) AS x FROM tf JOIN vocab v ON v.word = tf.token, nn)""",
+    f"""SELECT sp.tweet_id, CAST(count(w.x) AS INTEGER) AS nnz, {r4('sqrt(coalesce(sum(w.x * w.x), 0))')} AS l2
+FROM sp LEFT JOIN w USING (tweet_id) GROUP BY sp.tweet_id"""))
 def q_tfidf_vectors(spark, sf):
+    """Per post: number of non-zero TF-IDF weights and the vector's L2 norm (4 places)."""
     d = stream(spark, sf)
     vectors, _, _, _ = TP.tfidf_vectors(d, TK.token_arrays(d), KMEANS_FEATURES)
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array("features")
+    l2 = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v * v))
     return vectors.select("tweet_id", F.size(F.filter(arr, lambda v: v != 0)).alias("nnz"),
-                          F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v * v)).alias("l2"))
+                          C.round_half_up(l2, 4).alias("l2"))
 
 
 @query("kmeans_cluster_summary")

@@ -50,7 +50,7 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_property_checked():
-    property_only = {"tfidf_vectors", "kmeans_cluster_summary", "cluster_sizes"}
+    property_only = {"kmeans_cluster_summary", "cluster_sizes"}
     assert set(E.queries()) - set(E.oracle_sql()) == property_only
 
 
