@@ -72,6 +72,13 @@ def _kept_tokens(opts: TextOptions):
     return arr, (stop if not inline else [])
 
 
+def keeps_every_post(opts: TextOptions | None = None) -> bool:
+    """True when ``token_arrays`` returns one row per input post (no join needed)."""
+    opts = opts or TextOptions()
+    _, stop_rest = _kept_tokens(opts)
+    return not stop_rest and (opts.lexicon is None or not normalize_pos_filter(opts.pos_filter))
+
+
 def token_arrays(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str] = ("tweet_id",)) -> DataFrame:
     """One row per post: ``keep`` columns and ``tokens`` (kept tokens in text order).
 
@@ -82,9 +89,8 @@ def token_arrays(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[
     kept tokens are gathered back per post (posts left without tokens drop out).
     """
     opts = opts or TextOptions()
-    arr, stop_rest = _kept_tokens(opts)
-    allowed = normalize_pos_filter(opts.pos_filter)
-    if not stop_rest and (opts.lexicon is None or not allowed):
+    arr, _ = _kept_tokens(opts)
+    if keeps_every_post(opts):
         return df.select(*keep, arr.alias("tokens"))
     ex = tokenize(df, opts, keep)
     back = ex.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("_t"))

@@ -35,26 +35,32 @@ def _vocab(arrays: DataFrame, max_features: int) -> list[tuple[str, int]]:
     return [(r["token"], r["df"]) for r in rows]
 
 
-def tfidf_vectors(posts: DataFrame, arrays: DataFrame, max_features: int = 200):
-    """(vectors DataFrame[tweet_id, features] or None, vocabulary list, idf list, n_posts)."""
+def tfidf_vectors(posts: DataFrame, arrays: DataFrame, max_features: int = 200, complete: bool = True):
+    """(vectors DataFrame[tweet_id, features] or None, vocabulary list, idf list, n_posts).
+
+    ``complete``: ``arrays`` has one row per post (the usual case); otherwise the
+    posts are joined to it so that posts without tokens get a zero vector."""
     n_docs = posts.count()
     vocab = _vocab(arrays, max_features)
     words = [w for w, _ in vocab]
     idf = [math.log((1 + n_docs) / (1 + df)) + 1 for _, df in vocab]
     if not words:
         return None, words, idf, n_docs
-    docs = (posts.select("tweet_id").join(arrays.select("tweet_id", "tokens"), "tweet_id", "left")
-            .select("tweet_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")))
+    if complete:
+        docs = arrays.select("tweet_id", "tokens")
+    else:
+        docs = (posts.select("tweet_id").join(arrays.select("tweet_id", "tokens"), "tweet_id", "left")
+                .select("tweet_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")))
     cv = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="tf")
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="features")
     return scale.transform(cv.transform(docs)).select("tweet_id", "features"), words, idf, n_docs
 
 
 def kmeans_clusters(posts: DataFrame, arrays: DataFrame, k: int = 4, max_features: int = 200,
-                    max_iter: int = 15):
+                    max_iter: int = 15, complete: bool = True):
     """(assigned[tweet_id, features, cluster_id], k_used, vocabulary) or None when
     there is no vocabulary or fewer than two posts."""
-    vectors, words, _, n = tfidf_vectors(posts, arrays, max_features)
+    vectors, words, _, n = tfidf_vectors(posts, arrays, max_features, complete)
     if vectors is None or n < 2:
         return None
     k = max(2, min(int(k), n))
@@ -75,10 +81,10 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
 
 
 def kmeans_cluster_summary(posts: DataFrame, arrays: DataFrame, k: int = 4, max_features: int = 200,
-                           max_iter: int = 15) -> DataFrame:
+                           max_iter: int = 15, complete: bool = True) -> DataFrame:
     """cluster_id, size, top_terms (up to 8 words with positive summed weight, ', ' joined)."""
     spark = posts.sparkSession
-    res = kmeans_clusters(posts, arrays, k, max_features, max_iter)
+    res = kmeans_clusters(posts, arrays, k, max_features, max_iter, complete)
     if res is None:
         return spark.createDataFrame([], "cluster_id int, size bigint, top_terms string")
     assigned, k, words = res

@@ -99,7 +99,8 @@ def _domain_month(d, o, t, p):
 
 def _clusters(d, o, t, p):
     k = _clamp(int(t or 4), 2, 8)
-    return TP.kmeans_cluster_summary(d, _tokens(d, o), k=k, max_features=200, max_iter=12)
+    return TP.kmeans_cluster_summary(d, _tokens(d, o), k=k, max_features=200, max_iter=12,
+                                     complete=TK.keeps_every_post(o.text()))
 
 
 KINDS: dict[str, Callable] = {
