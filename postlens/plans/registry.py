@@ -13,6 +13,7 @@ from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
+from ..functions import patterns as P
 from ..operators import calendar as CAL
 from ..operators import derive as DV
 from ..operators import gaps as GP
@@ -97,6 +98,16 @@ def _domain_month(d, o, t, p):
     return out.limit(0) if (p == "export" and not t) else out
 
 
+def _word_cloud(pos_filter: str | None):
+    """Word-cloud table; the cloud routes override the part-of-speech filter
+    (nouns; nouns and verbs).  ``term`` may carry max_words."""
+    def run_(d, o, t, p):
+        text = TK.TextOptions(mode=o.mode, pos_filter=pos_filter if pos_filter is not None else o.pos_filter,
+                              stopwords=o.stopwords, lexicon=o.lexicon)
+        return TM.word_cloud_weights(TK.token_arrays(d, text), int(t) if t else o.max_words)
+    return run_
+
+
 def _clusters(d, o, t, p):
     k = _clamp(int(t or 4), 2, 8)
     return TP.kmeans_cluster_summary(d, _tokens(d, o), k=k, max_features=200, max_iter=12,
@@ -120,7 +131,9 @@ KINDS: dict[str, Callable] = {
     "weekday_hour_matrix": lambda d, o, t, p: CAL.weekday_hour_matrix(d),
     "domains": lambda d, o, t, p: L.domain_ranking(d, _n("domains", p)),
     "word_freq": lambda d, o, t, p: TM.word_frequency(_tokens(d, o), _n("word_freq", p)),
-    "word_cloud": lambda d, o, t, p: TM.word_cloud_weights(_tokens(d, o), o.max_words),
+    "word_cloud": _word_cloud(None),
+    "wordcloud": _word_cloud(P.POS_NOUN),
+    "wordcloud_nv": _word_cloud(f"{P.POS_NOUN},{P.POS_VERB}"),
     "tfidf": lambda d, o, t, p: TM.tfidf_by_period(_period_tokens(d, o), "year" if o.period == "year" else "month",
                                                    _n("tfidf", p), o.df_unit),
     "hashtags": lambda d, o, t, p: TG.hashtag_ranking(d, _n("hashtags", p)),
@@ -174,6 +187,24 @@ EXPORT_KINDS = [
 KINDS["token_mode_compare"] = KINDS["sudachi_compare"]
 
 
+# Dashboard panels that show several tables at once (the other panels show one kind).
+PANELS = {
+    "summary": ["avg_yearly", "avg_monthly", "avg_weekday"],
+    "time": ["hourly", "weekday", "daily", "weekday_hour_matrix"],
+    "monthday_bias": ["monthday", "weekday_monthday"],
+    "urls": ["url_rate", "url_counts"],
+}
+
+
+def run_panel(name: str, derived: DataFrame, options: AnalysisOptions | None = None) -> dict[str, DataFrame]:
+    """Tables of a multi-table panel by kind name (``summary`` adds the average counts)."""
+    options = options or AnalysisOptions()
+    out = {kind: run(kind, derived, options, preset="panel") for kind in PANELS[name]}
+    if name == "summary":
+        out["average_counts"] = CAL.average_counts(prepare(derived, options))
+    return out
+
+
 def prepare(derived: DataFrame, options: AnalysisOptions) -> DataFrame:
     """Apply the year selection (partition pruning on a year-partitioned table)."""
     return DV.filter_years(derived, list(options.years), options.years_mode)

@@ -41,3 +41,15 @@ def test_per_author_intervals(spark, derived):
     assert overall["count"] == derived.count() - 1
     sizes = RG.run("sessions", derived, opts).collect()
     assert sum(r["session_size"] * r["sessions"] for r in sizes) == derived.count()
+
+
+def test_panels_and_word_clouds(spark, derived):
+    tables = RG.run_panel("summary", derived)
+    assert set(tables) == {"avg_yearly", "avg_monthly", "avg_weekday", "average_counts"}
+    assert tables["avg_weekday"].count() == 7
+    for name in RG.PANELS:
+        assert all(df.count() >= 0 for df in RG.run_panel(name, derived).values())
+    # without a lexicon there is no part-of-speech restriction, so both clouds equal the plain one
+    plain = RG.run("word_cloud", derived, term="30").collect()
+    assert RG.run("wordcloud", derived, term="30").collect() == plain
+    assert len(plain) == 30
