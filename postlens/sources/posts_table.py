@@ -12,9 +12,6 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARRAY_COLUMNS = ("urls", "hashtag_list", "mention_list", "domains")
-
-
 def write_posts_table(derived: DataFrame, path: str, mode: str = "error") -> str:
     """Write derived posts partitioned by year (null years go to their own partition).
 
