@@ -40,19 +40,26 @@ from ..session import shuffle_partitions
 _TIE_COLS = ("tweet_id", "status_url")
 
 
-def ordered_gaps(df: DataFrame, gap_minutes: float | None = None, by: str | None = None,
-                 num_partitions: int | None = None) -> DataFrame:
-    """One row per post with a time: ``ms`` (whole milliseconds), ``diff_ms`` to the
-    previous post of the same ``by`` key (null for the first) and, when
-    ``gap_minutes`` is given, ``session_id`` (sessions split where the gap is
-    larger than ``gap_minutes``; numbered in time order, globally unique)."""
+def range_partitioned(df: DataFrame, by: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """(k, ms, tb, pid): posts with a time, range-partitioned on (key, ms, tie) and
+    tagged with their partition id.  The tie column spreads posts that share one
+    instant (or one author's whole history) over several partitions."""
     n = num_partitions or shuffle_partitions(df.sparkSession)
     key = F.col(by) if by else F.lit(0)
     ties = [c for c in _TIE_COLS if c in df.columns]
     t = (df.where(F.col("created_at").isNotNull())
          .select(key.alias("k"), C.epoch_millis(F.col("created_at")).alias("ms"),
                  F.xxhash64(*ties).alias("tb") if ties else F.lit(0).alias("tb")))
-    r = t.repartitionByRange(n, "k", "ms", "tb").withColumn("pid", F.spark_partition_id())
+    return t.repartitionByRange(n, "k", "ms", "tb").withColumn("pid", F.spark_partition_id())
+
+
+def ordered_gaps(df: DataFrame, gap_minutes: float | None = None, by: str | None = None,
+                 num_partitions: int | None = None) -> DataFrame:
+    """One row per post with a time: ``ms`` (whole milliseconds), ``diff_ms`` to the
+    previous post of the same ``by`` key (null for the first) and, when
+    ``gap_minutes`` is given, ``session_id`` (sessions split where the gap is
+    larger than ``gap_minutes``; numbered in time order, globally unique)."""
+    r = range_partitioned(df, by, num_partitions)
 
     w = Window.partitionBy("pid").orderBy("k", "ms", "tb")
     local = (r.withColumn("prev_ms", F.lag("ms").over(w))

@@ -106,3 +106,15 @@ def test_empty_intervals(spark):
     r = GP.posting_interval_summary(d).collect()[0]
     assert r["count"] == 0
     assert GP.session_length_distribution(d).count() == 0
+
+
+def test_hot_instant_is_split_across_partitions(spark):
+    # a third of all posts share one millisecond
+    rows = [(str(i), 1704067200000 if i % 3 == 0 else 1704067200000 + i * 1000, "x", None, 0) for i in range(6000)]
+    df = _to_df(spark, rows)
+    sizes = [r["count"] for r in GP.range_partitioned(df, num_partitions=12).groupBy("pid").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) >= 10
+    assert max(sizes) < 2 * 6000 / 12  # no partition holds the hot instant's third
+    want, want_sizes = _brute(rows, 1800000)
+    got = sorted(r["diff_ms"] for r in GP.ordered_gaps(df, num_partitions=12).collect() if r["diff_ms"] is not None)
+    assert got == want
