@@ -59,7 +59,8 @@ def parse_created_at(col: Column, accept_t: bool = False) -> Column:
         return F.when(v == "", F.lit(default)).otherwise(v.cast("int"))
 
     ts = F.try_make_timestamp_ntz(part(1), part(2), part(3), part(4), part(5), part(6).cast("decimal(16,6)"))
-    return F.when(ok, ts)
+    # make_timestamp_ntz turns second 60 into the next minute; a clock reading of :60 is not accepted here
+    return F.when(ok & (part(6) < 60), ts)
 
 
 def _reader(spark: SparkSession, encoding: str, header: bool):

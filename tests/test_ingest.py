@@ -87,3 +87,31 @@ def test_export_round_trip(spark, tmp_path):
     assert back[0]["l"] == '["a","b"]' and back[0]["s"] == "x,y"
     with pytest.raises(CSV.CSVLoadError):
         CSV.write_csv(df.limit(0), str(tmp_path / "empty"))
+
+
+def test_parse_created_at_matches_strptime(spark):
+    import datetime as dt
+    import random
+    from pyspark.sql import functions as F
+    rnd = random.Random(9)
+    vals = []
+    for _ in range(400):
+        y, m, d = rnd.choice([1999, 2000, 2023, 2024]), rnd.randint(0, 13), rnd.randint(0, 32)
+        hh, mm, ss = rnd.randint(0, 25), rnd.randint(0, 61), rnd.randint(0, 61)
+        shape = rnd.randrange(6)
+        vals.append([f"{y:04d}-{m:02d}-{d:02d} {hh:02d}:{mm:02d}:{ss:02d}", f"{y:04d}-{m:02d}-{d:02d} {hh:02d}:{mm:02d}",
+                     f"{y:04d}-{m:02d}-{d:02d}", f" {y:04d}-{m:02d}-{d:02d} ", f"{y:04d}/{m:02d}/{d:02d}",
+                     f"{y:04d}-{m:02d}-{d:02d}T{hh:02d}:{mm:02d}"][shape])
+
+    def expected(s):
+        for fmt in ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d"):
+            try:
+                return dt.datetime.strptime(s.strip(), fmt)
+            except ValueError:
+                pass
+        return None
+
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = {r["s"]: r["t"] for r in df.select("s", CSV.parse_created_at(F.col("s")).alias("t")).collect()}
+    for v in vals:
+        assert got[v] == expected(v), v
