@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_classifier, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op4_quality_classifier": quality_classifier.query,
 }
 
 ORACLE: dict[str, str] = {}
