@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules
+from . import html_extraction, quality_classifier, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op7_html_extraction": html_extraction.query,
 }
 
 ORACLE: dict[str, str] = {}
