@@ -111,6 +111,14 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix64((sums[ends] - sums[starts]) * _pow("rinv", _RINV, n + 1)[starts])
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of 64-bit values, in order; also of its length."""
+    n = len(values)
+    sums = np.zeros(n + 1, dtype=_U)
+    np.cumsum(mix64(values) * _pow("r", _R, n), out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * _pow("rinv", _RINV, n + 1)[starts] + (ends - starts).astype(_U))
+
+
 _K = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16)], dtype=_U)
 
 
