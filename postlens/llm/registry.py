@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, html_extraction, merkle_fingerprints, quality_classifier, quality_rules, source_mixing
+from . import bpe_chunks, html_extraction, merkle_fingerprints, quality_classifier, quality_rules, source_mixing, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op3_bpe_chunks": bpe_chunks.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op6_token_counts": token_counts.query,
     "op7_html_extraction": html_extraction.query,
     "op9_source_mixing": source_mixing.query,
     "op10_merkle_fingerprints": merkle_fingerprints.query,
