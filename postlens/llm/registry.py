@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, html_extraction, merkle_fingerprints, quality_classifier, quality_rules, source_mixing, token_counts
+from . import bpe_chunks, html_extraction, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_classifier": quality_classifier.query,
     "op6_token_counts": token_counts.query,
     "op7_html_extraction": html_extraction.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_source_mixing": source_mixing.query,
     "op10_merkle_fingerprints": merkle_fingerprints.query,
 }
