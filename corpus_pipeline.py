@@ -7,9 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postlens.llm import bpe_chunks, ngram_join, quality_classifier, source_mixing, substring_dedup
 from postlens.llm.cluster import shared_dir
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: All but the last return the columns of their input.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier.stage),  # rejected documents go
+    ("ngram_join", ngram_join.stage),                  # one document of each near-duplicate group stays
+    ("substring_dedup", substring_dedup.stage),        # passages of earlier documents go
+    ("source_mixing", source_mixing.stage),            # documents as often as the mix takes them
+    ("bpe_chunks", bpe_chunks.stage),                  # token ids and round trip of each
+]
 
 #: A learned classifier and a tokenizer are stages, which SQL cannot express.
 ORACLE_SQL = None

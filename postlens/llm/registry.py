@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, html_extraction, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, token_counts
+from . import bpe_chunks, html_extraction, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_quality_rules": quality_rules.query,
     "op3_bpe_chunks": bpe_chunks.query,
     "op4_quality_classifier": quality_classifier.query,
