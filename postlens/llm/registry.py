@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, html_extraction, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts
+from . import bpe_chunks, html_extraction, license_scan, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_quality_rules": quality_rules.query,
     "op3_bpe_chunks": bpe_chunks.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op5_license_scan": license_scan.query,
     "op6_token_counts": token_counts.query,
     "op7_html_extraction": html_extraction.query,
     "op8_ngram_join": ngram_join.query,
@@ -16,4 +17,6 @@ QUERIES = {
     "op10_merkle_fingerprints": merkle_fingerprints.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_license_scan": license_scan.ORACLE_SQL,
+}
