@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +53,19 @@ _ASCII = np.zeros(256, dtype=bool)
 _ASCII[0x21:0x7F] = True
 
 
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct values of both, ascending."""
+    x = np.sort(np.concatenate([a, b]), kind="stable")
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def chunk_cuts(buf: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
     """Positions after which a chunk ends, by the rolling hash of the last 32 bytes."""
     h = _GEAR[buf]
     for k in range(5):  # h[i] = sum of gear[buf[i - j]] << j, j < 32
         step = 1 << k
         h[step:] += h[:-step] << np.uint32(step)
-    cuts = np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1
-    return np.union1d(cuts, offsets[(offsets > 0) & (offsets <= len(buf))])
+    return _merged(np.flatnonzero((h >> np.uint32(32 - bits)) == 0) + 1, offsets[offsets > 0])
 
 
 def sync_points(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -87,6 +93,14 @@ def cores(buf: np.ndarray, offsets: np.ndarray, sync: np.ndarray) -> tuple[np.nd
     return lo[short], hi[short]
 
 
+def _joinable(x: bytes) -> bool:
+    """Whether pieces before and after ``x`` join it at sync points."""
+    if len(x) < 2 or x[0] != 0x20 or not _NEXT[x[1]]:
+        return False
+    end = x[-1]
+    return bool(_ASCII[end]) or end >= 0x80 and 0xC3 <= x[-2] < 0xE0
+
+
 class Codec:
     """Tokenizer and id table of a worker process."""
 
@@ -107,6 +121,7 @@ class Codec:
             self.table[i] = bytes(byte_of[c] for c in token)
         for t in model["added_tokens"]:
             self.table[t["id"]] = t["content"].encode()
+        self.lengths = np.array([len(x) for x in self.table], dtype=np.int64)
         self.memo: dict[bytes, bytes] = {}
 
     @classmethod
@@ -120,14 +135,34 @@ class Codec:
         found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def joined(self, pieces: list[bytes]) -> list[bytes]:
+        """Like ``direct`` for pieces that can be joined at sync points: one text, one call."""
+        found = self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
+        ends = np.cumsum(self.lengths[ids])
+        at = np.searchsorted(ends, np.cumsum([len(x) for x in pieces]), "left") + 1
+        raw, last, out = ids.tobytes(), 0, []
+        for k in (4 * at).tolist():
+            out.append(raw[last:k])
+            last = k
+        return out
+
     def learn(self, pieces: list[bytes]) -> None:
         """Make sure that every piece has its ids in the memo."""
-        new = list(set(pieces).difference(self.memo))
+        needed = set(pieces)
+        new = needed.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_PIECES and self.memo:
-            self.memo = {}
-            new = list(set(pieces))
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
+            # The pieces met first are the most frequent ones: they stay.
+            self.memo = dict(islice(self.memo.items(), MEMO_PIECES // 2))
+            new = needed.difference(self.memo)
+        plain, odd = [], []
+        for x in new:
+            (plain if _joinable(x) else odd).append(x)
+        for lo in range(0, len(plain), 512):
+            part = plain[lo:lo + 512]
+            self.memo.update(zip(part, self.joined(part)))
+        for lo in range(0, len(odd), 512):
+            part = odd[lo:lo + 512]
             self.memo.update(zip(part, self.direct(part)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -138,7 +173,7 @@ def encode_slice(codec: Codec, s: ta.Slice, shared: dict[bytes, bytes]) -> list[
     """Ids (little-endian unsigned 32-bit) and decoded bytes of every text of a slice."""
     raw = s.buf.tobytes()
     sync = sync_points(s.buf, s.offsets)
-    borders = np.union1d(sync, s.offsets)
+    borders = _merged(sync, s.offsets)
     skip: dict[int, tuple[int, bytes]] = {}  # border of a dictionary core -> the border behind it and its ids
     if shared:
         lo, hi = cores(s.buf, s.offsets, sync)
