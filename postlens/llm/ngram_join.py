@@ -44,12 +44,13 @@ WIDTH = 3
 PERCENT = 90
 STAGE_WIDTH = 5      # of the pipeline stage
 STAGE_PERCENT = 80
-BUCKETS = 1 << 22    # hashed frequency counters; 8 MB in every task
-PARTS = 128          # of the suffix filter
+BUCKETS = 1 << 22    # hashed frequency counters; 4 MB in every task
+STEPS = 10           # of a counter, an octave
+PARTS = 64           # of the suffix filter
 BLOCK = 256          # classes of a block of the second round
 HOT = 1 << 14        # a shingle counted more often is dealt over several tasks
 SEEN = 1 << 20       # classes that a task remembers to have sent
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 23
 
 _U = np.uint64
 
@@ -108,10 +109,10 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) -> np.ndarray:
-    """Hashed counts of the shingles of all documents, saturating at 65,535 (uint16).
+    """Hashed counts of the shingles of all documents, in steps of 1 / STEPS octave (uint8).
 
-    Tasks send one table each (bytes, saturating); tables are summed in Spark before
-    the driver gets a few of them.
+    Tasks send one table each, saturating at 255; tables are summed in two levels and
+    the driver gets the result alone, ``buckets`` bytes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +125,23 @@ def frequencies(docs: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) ->
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["t"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, dtype=np.uint32)
-        for b in batches:
-            for t in b.column(0):
-                total += np.frombuffer(t.as_buffer(), dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 65_535).astype(np.uint16).tobytes()], pa.binary())], names=["t"])
+    def add(kind, done):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(buckets, dtype=np.uint32)
+            for b in batches:
+                for t in b.column(0):
+                    total += np.frombuffer(t.as_buffer(), dtype=kind)
+            yield pa.RecordBatch.from_arrays([pa.array([done(total).tobytes()], pa.binary())], names=["t"])
+
+        return run
+
+    def coded(total: np.ndarray) -> np.ndarray:
+        return np.minimum(np.rint(STEPS * np.log2(1.0 + total)), 255).astype(np.uint8)
 
-    tables = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "t binary").repartition(4).mapInArrow(add, "t binary")
-    out = np.zeros(buckets, dtype=np.uint32)
-    for r in tables.toLocalIterator():
-        out += np.frombuffer(r["t"], dtype=np.uint16)
-    return np.minimum(out, 65_535).astype(np.uint16)
+    tables = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "t binary")
+              .repartition(8).mapInArrow(add(np.uint8, lambda x: x), "t binary")
+              .repartition(1).mapInArrow(add(np.uint32, coded), "t binary"))
+    return np.frombuffer(tables.head()["t"], dtype=np.uint8)
 
 
 def shared_prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -162,7 +168,7 @@ def shared_prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int
                     rank = (f.astype(_U) << _U(48)) | (g >> _U(16))
                     head = np.argsort(rank, kind="stable")[:k]
                     token = g[head]
-                    salts = f[head].astype(np.int64) // HOT + 1
+                    salts = np.exp2(f[head] / STEPS).astype(np.int64) // HOT + 1
                     cols[0].append(token)
                     cols[1] += [cls] * len(token)
                     cols[2].append(np.full(len(token), len(g), dtype=np.int32))
@@ -198,8 +204,8 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     marked = (ends.select(bit.alias("bit")).selectExpr("bit div 64 AS w", "shiftleft(1L, CAST(bit % 64 AS INT)) AS v")
               .groupBy("w").agg(F.bit_or("v").alias("v")))  # FILTER_BITS / 64 rows at most
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in marked.collect():
-        bits[r["w"]] = r["v"]
+    found = marked.toPandas()
+    bits[found["w"].to_numpy(dtype=np.int64)] = found["v"].to_numpy(dtype=np.int64)
     wanted = spark.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,25 +224,19 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
                         sent.clear()
                     sent.add(name)
                     cls.append(name)
-                    sets.append(g.tobytes())
+                    sets.append(g)
                 if cls:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "set"])
+                    at = np.concatenate([[0], np.cumsum([len(g) for g in sets])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(ta.as_int64(np.concatenate(sets))))], names=["cls", "set"])
 
-    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "cls binary, set binary")
+    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "cls binary, set array<long>")
     sets = sets.join(ends.distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("set").alias("set"))
     both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                g, h = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
-                both = len(np.intersect1d(g, h, assume_unique=True))
-                ok.append(100 * both >= percent * (len(g) + len(h) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a binary, b binary")
+    overlap = F.size(F.array_intersect("set_a", "set_b"))
+    return (both.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("total"), overlap.alias("overlap"))
+            .where(100 * F.col("overlap") >= percent * (F.col("total") - F.col("overlap"))).select("a", "b"))
 
 
 def _likely(length: str = "n", other: str = "pn", percent: int = PERCENT):
@@ -262,7 +262,7 @@ def _length_class(n, percent: int):
     return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
 
 
-def cross_pairs(shared: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def cross_pairs(shared: DataFrame, parts: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Candidate pairs of different components (column ``comp``), compared in blocks.
 
     Rows of a (shingle, length class) group are parted into those of its largest
@@ -272,9 +272,9 @@ def cross_pairs(shared: DataFrame, percent: int, block: int = BLOCK) -> DataFram
     """
     placed = (shared.withColumn("home", _length_class(F.col("n"), percent))
               .withColumn("lc", F.explode(F.array(F.col("home"), F.col("home") + 1))))
-    sizes = placed.groupBy("token", "lc", "comp").agg(F.count("*").alias("m"))
-    groups = (sizes.groupBy("token", "lc").agg(F.max(F.struct("m", "comp")).alias("d"), F.sum("m").alias("m"), F.count("*").alias("comps"))
-              .where("comps > 1").select("token", "lc", F.col("d.comp").alias("dom"),
+    sizes = placed.groupBy("token", "lc", "comp").agg(F.count("*").alias("m"), F.max(F.col("home") == F.col("lc")).alias("h"))
+    groups = (sizes.groupBy("token", "lc").agg(F.max(F.struct("m", "comp")).alias("d"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.max("h").alias("h"))
+              .where("comps > 1 and h").select("token", "lc", F.col("d.comp").alias("dom"),
                                          F.ceil(F.col("d.m") / block).cast("int").alias("dn"),
                                          F.ceil((F.col("m") - F.col("d.m")) / block).cast("int").alias("rn")))
     rows = placed.join(groups, ["token", "lc"])
@@ -284,7 +284,8 @@ def cross_pairs(shared: DataFrame, percent: int, block: int = BLOCK) -> DataFram
     meets = F.when(of_dom, rest).otherwise(F.concat(F.sequence(F.lit(0), F.col("dn") - 1), rest))
     rows = (rows.withColumn("own", own).withColumn("meets", F.explode(meets))
             .select("token", "lc", F.least("own", "meets").alias("x"), F.greatest("own", "meets").alias("y"), "own",
-                    (F.col("home") == F.col("lc")).alias("at_home"), "cls", "comp", F.col("n").cast("int").alias("n"), "pos", "parts"))
+                    (F.col("home") == F.col("lc")).alias("at_home"), "cls", "comp", F.col("n").cast("int").alias("n"), "pos")
+            .join(parts, "cls"))
     n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "token", "lc", "x", "y").sortWithinPartitions("token", "lc", "x", "y")
 
@@ -352,10 +353,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: i
     rows = checkpointed(described(docs, width))
     named = classes(rows)
     shared = shared_prefixes(docs, frequencies(docs, width, buckets), width, percent)
-    shared = checkpointed(shared.join(named.select("cls", "parts", "copies"), "cls"))
+    shared = checkpointed(shared.join(named.select("cls", "copies"), "cls"))
     links = checkpointed(verified(docs, star_pairs(shared, percent), width, percent))
     first = connected_components(links)
-    pairs = checkpointed(cross_pairs(labelled(shared, first), percent))
+    pairs = checkpointed(cross_pairs(labelled(shared.drop("copies"), first), named.select("cls", "parts"), percent))
     more = verified(docs, pairs, width, percent)
     roots = connected_components(links.union(more))
     comps = labelled(named.select("cls", "low_id"), roots)
