@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..session import materialize
 from . import pairs as PR
-from .tokens import TextOptions, _kept_tokens, normalize_pos_filter, token_arrays
+from .tokens import TextOptions, _kept_tokens, restricts_classes, token_arrays
 
 
 def _idf_score(tf: Column, df: Column, n: Column) -> Column:
@@ -57,12 +56,19 @@ def _tf_df(arrays: DataFrame, *keys: str) -> DataFrame:
             .agg(F.sum("occ").cast("long").alias("tf"), F.sum("doc").cast("long").alias("df")))
 
 
+def _n_posts(posts: DataFrame, n_posts: int | None) -> Column:
+    """Number of posts, at least 1: the given one or a one-row aggregate inside the plan."""
+    if n_posts is not None:
+        return F.lit(float(max(n_posts, 1)))
+    return posts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double")).scalar()
+
+
 def tfidf_corpus(posts: DataFrame, arrays: DataFrame, top_n: int | None = 50,
                  n_posts: int | None = None) -> DataFrame:
     """Corpus TF-IDF: tf = occurrences, df = posts containing the word, N = all posts."""
-    n = max(n_posts if n_posts is not None else posts.count(), 1)
-    out = _tf_df(arrays).withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.lit(float(n)))).orderBy(
-        F.desc("score"), F.asc("word"))
+    scored = _tf_df(arrays).withColumn("_n", _n_posts(posts, n_posts))
+    out = (scored.withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.col("_n"))).drop("_n")
+           .orderBy(F.desc("score"), F.asc("word")))
     return out.limit(top_n) if top_n else out
 
 
@@ -71,17 +77,17 @@ def _period_scores(arrays: DataFrame, period_col: Column, df_unit: str = "post")
     (``df_unit='post'``, as the original does) or periods (``'period'``, the
     textbook form), and N counts periods that have at least one word.
 
-    (period, word, tf, posts) comes from one aggregation and is materialised, as
-    three branches read it; df is a window sum of posts over the word, N a count
-    over the small table of distinct periods."""
+    (period, word, tf, posts) comes from one aggregation; df is a window sum of posts
+    over the word, N a one-row aggregate over the same rows.  Both branches read all
+    columns of that aggregation, so its exchange is the same and Spark reuses it."""
     with_period = arrays.where(period_col.isNotNull()).select(period_col.alias("period"), "tokens")
-    pw = materialize(_tf_df(with_period, "period").withColumnRenamed("df", "posts"))
-    periods = pw.select("period").distinct()
-    periods = periods.withColumn("n_periods", F.count(F.lit(1)).over(Window.partitionBy()))  # one row per period
+    pw = _tf_df(with_period, "period").withColumnRenamed("df", "posts")
+    periods = pw.groupBy("period").agg(F.sum(F.col("tf") + F.col("posts")).alias("w")).where("w > 0")
+    n_periods = periods.agg(F.count(F.lit(1)).cast("double")).scalar()
     per_word = Window.partitionBy("word")
     df_col = F.count(F.lit(1)).over(per_word) if df_unit == "period" else F.sum("posts").over(per_word)
-    scored = pw.withColumn("df", df_col).join(F.broadcast(periods), "period")
-    return scored.withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.col("n_periods").cast("double")))
+    scored = pw.withColumn("df", df_col).withColumn("_n", n_periods)
+    return scored.withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.col("_n")))
 
 
 def _top_per_period(scored: DataFrame, top_n: int) -> DataFrame:
@@ -145,18 +151,12 @@ def mode_frequencies(posts: DataFrame, opts: TextOptions | None = None, top_n: i
     opts = opts or TextOptions()
     per_mode = {m: TextOptions(mode=m, pos_filter=opts.pos_filter, stopwords=opts.stopwords, lexicon=opts.lexicon)
                 for m in ("A", "B", "C")}
-    arrays = {}
-    for m, o in per_mode.items():
-        arr, stop_rest = _kept_tokens(o)
-        if stop_rest or (o.lexicon is not None and normalize_pos_filter(o.pos_filter)):
-            arrays = None  # needs joins: one pass per mode
-            break
-        arrays[m] = F.transform(arr, _tag_with(m))
-    if arrays is None:
+    if restricts_classes(opts):  # a join per mode
         parts = [word_frequency(token_arrays(posts, o), top_n).withColumn("mode", F.lit(m))
                  for m, o in per_mode.items()]
         out = parts[0].unionByName(parts[1]).unionByName(parts[2])
         return out.select("mode", "word", "count")
+    arrays = {m: F.transform(_kept_tokens(o), _tag_with(m)) for m, o in per_mode.items()}
     rows = posts.select(F.explode(F.concat(*arrays.values())).alias("r")).select("r.mode", "r.word")
     counts = rows.groupBy("mode", "word").agg(F.count(F.lit(1)).alias("count"))
     if top_n:
@@ -174,8 +174,7 @@ def topic_word_trend(posts: DataFrame, arrays: DataFrame, top_n: int = 5, n_post
     """For the top corpus TF-IDF words: posts per month containing each word.  The
     ranking is one aggregation; its word list (at most top_n words) is inlined in
     the second pass, which filters each post's array without exploding the rest."""
-    n = max(n_posts if n_posts is not None else posts.count(), 1)
-    top = [r["word"] for r in tfidf_corpus(posts, arrays, top_n, n).select("word").collect()]
+    top = [r["word"] for r in tfidf_corpus(posts, arrays, top_n, n_posts).select("word").collect()]
     if not top:
         return posts.sparkSession.createDataFrame([], "year_month string, posts bigint, word string")
     words = F.array(*[F.lit(w) for w in top])

@@ -13,15 +13,12 @@ import re
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 
-# Stop-word lists up to this size are inlined in the filter expression (a linear
-# check per token); larger ones are a broadcast anti join (the list is the user's
-# setting, so its size is known on the driver).
-_INLINE_STOPWORDS = 128
+POS_ADVERB = "副詞"
 
 
 @dataclass(frozen=True)
@@ -45,80 +42,79 @@ def parse_stopwords(raw: str | Sequence[str] | None) -> list[str]:
 
 
 def normalize_pos_filter(raw: str | None) -> list[str]:
-    """Blank -> the default noun / verb / adjective classes; otherwise split on
-    commas, spaces and slashes with English aliases; only separators -> [] (no
-    restriction)."""
+    """The classes that a filter text names, in order, each once.
+
+    Rule: no text means the default classes.  Names are what commas, slashes and white
+    space separate; an English alias stands for its class.  A text of separators only
+    names nothing, which means no restriction.
+    """
     if not raw:
-        return list(P.DEFAULT_POS)
-    allowed: dict[str, None] = {}
-    for part in re.split(r"[,\s/]+", raw.strip()):
-        if part:
-            allowed[P.POS_ALIASES.get(part.lower(), part)] = None
-    return list(allowed)
+        return [*P.DEFAULT_POS]
+    names = re.findall(r"[^,/\s]+", raw)
+    return [*dict.fromkeys(P.POS_ALIASES.get(n.lower(), n) for n in names)]
 
 
-def _kept_tokens(opts: TextOptions):
-    """Array expression of the kept tokens of ``text`` (length > 1, not a stop-word
-    when the list is small enough to inline) and the stop-words left for a join."""
+def _kept_tokens(opts: TextOptions) -> Column:
+    """Array expression of the tokens of ``text`` of two characters or more that are no
+    stop-word; one hashed membership test per token, whatever the length of the list."""
     pattern = P.TOKEN_PATTERNS_JAVA[P.token_mode(opts.mode)]
     stop = parse_stopwords(opts.stopwords)
     arr = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(pattern), F.lit(0))
-    inline = stop if len(stop) <= _INLINE_STOPWORDS else []
-    if inline:
-        stop_arr = F.array(*[F.lit(w) for w in inline])
-        arr = F.filter(arr, lambda t: (F.char_length(t) > 1) & ~F.array_contains(stop_arr, t))
-    else:
-        arr = F.filter(arr, lambda t: F.char_length(t) > 1)
-    return arr, (stop if not inline else [])
+    if stop:
+        return F.filter(arr, lambda t: (F.char_length(t) > 1) & ~t.isin(stop))
+    return F.filter(arr, lambda t: F.char_length(t) > 1)
 
 
-def keeps_every_post(opts: TextOptions | None = None) -> bool:
-    """True when ``token_arrays`` returns one row per input post (no join needed)."""
-    opts = opts or TextOptions()
-    _, stop_rest = _kept_tokens(opts)
-    return not stop_rest and (opts.lexicon is None or not normalize_pos_filter(opts.pos_filter))
+def restricts_classes(opts: TextOptions) -> bool:
+    """Whether a lexicon drops tokens (the only case that needs a join)."""
+    return opts.lexicon is not None and bool(normalize_pos_filter(opts.pos_filter))
+
+
+def _allowed_words(opts: TextOptions) -> DataFrame:
+    """Words that the lexicon lists under an allowed class (a word may have several)."""
+    allowed = normalize_pos_filter(opts.pos_filter)
+    return opts.lexicon.where(F.col("pos").isin(allowed)).select(F.col("word").alias("_word")).distinct()
 
 
 def token_arrays(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str] = ("tweet_id",)) -> DataFrame:
-    """One row per post: ``keep`` columns and ``tokens`` (kept tokens in text order).
+    """One row per post: ``keep`` columns and ``tokens`` (kept tokens in text order,
+    empty when none are left).
 
     This is the working representation of the text operators: counts, document
-    frequencies, term filters and vectors are computed from the array of each
-    post without shuffling tokens by post.  Only a stop-word list too large to
-    inline or a lexicon (part-of-speech filter) needs the exploded form; then the
-    kept tokens are gathered back per post (posts left without tokens drop out).
+    frequencies, term filters and vectors are computed from the array of each post
+    without shuffling tokens by post.  Only a lexicon (part-of-speech filter) needs a
+    join: rows that agree in ``keep`` and tokens are counted as one, their tokens
+    joined to the allowed words and gathered again, and the row repeated as often as
+    it was counted, so no row id is needed and a post stays a post.
     """
     opts = opts or TextOptions()
-    arr, _ = _kept_tokens(opts)
-    if keeps_every_post(opts):
-        return df.select(*keep, arr.alias("tokens"))
-    ex = tokenize(df, opts, keep)
-    back = ex.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("_t"))
-    return back.select(*keep, F.transform("_t", lambda s: s["token"]).alias("tokens"))
+    rows = df.select(*keep, _kept_tokens(opts).alias("tokens"))
+    if not restricts_classes(opts):
+        return rows
+    rows = rows.withColumn("_set", F.sha2(F.concat_ws("\u0000", "tokens"), 256))
+    each = rows.groupBy(*keep, "_set").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("_rows"))
+    items = each.select(*keep, "_set", "_rows", F.posexplode_outer("tokens").alias("_at", "_token"))
+    found = items.join(_allowed_words(opts), F.col("_token") == F.col("_word"), "left")
+    hit = F.when(F.col("_word").isNotNull(), F.struct("_at", "_token"))
+    back = found.groupBy(*keep, "_set", "_rows").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+    return (back.select(*keep, F.transform("_hits", lambda s: s["_token"]).alias("tokens"),
+                        F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_nth")).drop("_nth"))
 
 
 def tokenize(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str] = ("tweet_id",)) -> DataFrame:
     """One row per kept token: ``keep`` columns, ``position`` (0-based among the
     kept tokens of the post) and ``token``.  Tokens of one character, stop-words
     and (with a lexicon) tokens outside the allowed classes are dropped."""
-    opts = opts or TextOptions()
-    arr, stop_rest = _kept_tokens(opts)
-    out = df.select(*keep, F.posexplode(arr).alias("position", "token"))
-    if stop_rest:
-        words = df.sparkSession.createDataFrame([(w,) for w in stop_rest], "token string")
-        out = out.join(F.broadcast(words), "token", "left_anti")
-    allowed = normalize_pos_filter(opts.pos_filter)
-    if opts.lexicon is not None and allowed:
-        lex = (opts.lexicon.groupBy(F.col("word").alias("token")).agg(F.min("pos").alias("pos"))
-               .where(F.col("pos").isin(allowed)).select("token"))
-        out = out.join(lex, "token", "left_semi")
-    return out.select(*keep, "position", "token")
+    return token_arrays(df, opts, keep).select(*keep, F.posexplode("tokens").alias("position", "token"))
 
 
 def benchmark_lexicon(spark, benchmark: DataFrame) -> DataFrame:
-    """A (word, pos) lexicon derived from a text table: every C-mode word of the
-    texts, tagged as a noun.  Used to exercise lexicon-based filtering on the
-    given tables (which carry no part-of-speech data)."""
+    """A (word, pos) lexicon derived from a text table by a stated rule, to exercise
+    class filters on the given tables (which carry no part-of-speech data): every C-mode
+    word of the texts is a noun if it has an even number of characters and a verb if
+    that number is divisible by 3; a word may be both, and others are adverbs."""
     words = F.regexp_extract_all(F.col("text"), F.lit(P.TOKEN_PATTERNS_JAVA["C"]), F.lit(0))
-    return (benchmark.select(F.explode(words).alias("word")).distinct()
-            .select("word", F.lit(P.POS_NOUN).alias("pos")))
+    word, n = F.col("word"), F.char_length("word")
+    classes = F.filter(F.array(F.when(n % 2 == 0, F.lit(P.POS_NOUN)), F.when(n % 3 == 0, F.lit(P.POS_VERB)),
+                               F.when((n % 2 != 0) & (n % 3 != 0), F.lit(POS_ADVERB))), lambda c: c.isNotNull())
+    return benchmark.select(F.explode(words).alias("word")).distinct().select(word, F.explode(classes).alias("pos"))
