@@ -4,15 +4,17 @@ Global time order without a single partition
 --------------------------------------------
 ``Window.orderBy`` with no partition key moves every row to one task.  Instead:
 
-1. range-partition the (key, ms, tie) rows with ``repartitionByRange``; Spark samples
-   the keys, so a burst of posts at one instant is split too (the tie column is a
-   hash of the row), and partitions are balanced;
-2. inside each range partition, ``lag`` / running sums run as an ordinary window
-   partitioned by the partition id;
-3. the only cross-partition facts -- the last timestamp (and author) before each
-   partition, and the number of sessions started in earlier partitions -- come
-   from a table with one row per partition (bounded by the partition count, so
-   broadcasting it is safe), combined with a window over that tiny table.
+1. each row gets a range number ``pid`` from fixed bounds on (key, ms, tie): a bounded
+   sample, the rows of small hash, is sorted and every so-manieth row is a bound.
+   ``pid`` is an expression of the row alone, so every branch of a plan and every
+   recomputed task agrees on it, whether or not Spark reuses an exchange.  A burst of
+   posts at one instant is split too (the tie column is a hash of the row);
+2. rows are shuffled once, by ``pid``, several ranges to a task; ``lag`` and running
+   sums run as an ordinary window over ``pid`` on that same partitioning;
+3. the only facts that cross ranges -- the last timestamp (and author) before each
+   range, and the number of sessions started in earlier ranges -- come from a table
+   with one row per range (bounded by the number of ranges, so broadcasting it is
+   safe), combined with a window over that tiny table.
 
 The result equals a global ``lag`` over all rows in time order.
 
@@ -40,17 +42,49 @@ from ..session import shuffle_partitions
 _TIE_COLS = ("tweet_id", "status_url")
 
 
+# Ranges per task, and sampled rows per range.
+RANGES_PER_TASK = 4
+SAMPLE_PER_RANGE = 16
+
+
+def _range_bounds(t: DataFrame, ranges: int) -> list:
+    """Ascending (k, ms, tb) rows that part ``t`` into about equal ranges, from a sample of
+    about ``SAMPLE_PER_RANGE * ranges`` rows: those with a hash below a cut-off, the same in
+    every run and with so many rows brought to the driver at any size."""
+    wanted, n = SAMPLE_PER_RANGE * ranges, t.count()
+    if n > wanted:
+        steps = 1 << 40
+        t = t.where(F.pmod(F.xxhash64("tb", "ms"), F.lit(steps)) < int(steps * wanted / n))
+    rows = t.orderBy("k", "ms", "tb").collect()
+    step = max(1, len(rows) // ranges)
+    return rows[step::step]
+
+
+def _range_number(bounds: list, schema) -> F.Column:
+    """How many bounds are not above the row, found in two steps of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    kinds = [schema[c].dataType for c in ("k", "ms", "tb")]
+    lit = [F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(("k", "ms", "tb"), b, kinds)]) for b in bounds]
+    step = max(1, math.isqrt(len(lit)))
+    row = F.struct("k", "ms", "tb")
+    coarse = F.size(F.filter(F.array(*lit[step - 1::step]), lambda b: b <= row))
+    fine = F.size(F.filter(F.slice(F.array(*lit), coarse * step + 1, step - 1), lambda b: b <= row)) if step > 1 else F.lit(0)
+    return coarse * step + fine
+
+
 def range_partitioned(df: DataFrame, by: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """(k, ms, tb, pid): posts with a time, range-partitioned on (key, ms, tie) and
-    tagged with their partition id.  The tie column spreads posts that share one
-    instant (or one author's whole history) over several partitions."""
+    """(k, ms, tb, pid): posts with a time, shuffled by their range of (key, ms, tie).
+    The tie column spreads posts that share one instant (or one author's whole history)
+    over several ranges.  Building the plan reads the sample."""
     n = num_partitions or shuffle_partitions(df.sparkSession)
     key = F.col(by) if by else F.lit(0)
     ties = [c for c in _TIE_COLS if c in df.columns]
     t = (df.where(F.col("created_at").isNotNull())
          .select(key.alias("k"), C.epoch_millis(F.col("created_at")).alias("ms"),
-                 F.xxhash64(*ties).alias("tb") if ties else F.lit(0).alias("tb")))
-    return t.repartitionByRange(n, "k", "ms", "tb").withColumn("pid", F.spark_partition_id())
+                 F.xxhash64(*ties).alias("tb") if ties else F.lit(0).cast("long").alias("tb")))
+    pid = _range_number(_range_bounds(t, RANGES_PER_TASK * n), t.schema)
+    return t.withColumn("pid", pid).repartition(n, "pid")
 
 
 def ordered_gaps(df: DataFrame, gap_minutes: float | None = None, by: str | None = None,
@@ -63,21 +97,21 @@ def ordered_gaps(df: DataFrame, gap_minutes: float | None = None, by: str | None
 
     w = Window.partitionBy("pid").orderBy("k", "ms", "tb")
     local = (r.withColumn("prev_ms", F.lag("ms").over(w))
-              .withColumn("prev_k", F.lag("k").over(w)))
-    local = local.withColumn("prev_ms", F.when(F.col("prev_k").eqNullSafe(F.col("k")), F.col("prev_ms")))
+              .withColumn("prev_k", F.lag("k").over(w))
+              .withColumn("first_row", F.row_number().over(w) == 1))
+    local = local.withColumn("prev_ms", F.when(~F.col("first_row") & F.col("prev_k").eqNullSafe(F.col("k")), F.col("prev_ms")))
 
-    # One row per non-empty partition: first and last (key, ms).
+    # One row per non-empty range: first and last (key, ms).
     parts = r.groupBy("pid").agg(F.min(F.struct("k", "ms")).alias("first"),
                                  F.max(F.struct("k", "ms")).alias("last"))
     wp = Window.orderBy("pid")
     parts = (parts.withColumn("before", F.lag("last").over(wp))
-             .withColumn("carry", F.when(F.col("before.k").eqNullSafe(F.col("first.k")),
+             .withColumn("carry", F.when(F.col("before").isNotNull() & F.col("before.k").eqNullSafe(F.col("first.k")),
                                          F.col("before.ms"))))
 
     if gap_minutes is None:
         x = local.join(F.broadcast(parts.select("pid", "carry")), "pid", "left")
-        first_row = F.col("prev_ms").isNull() & F.col("prev_k").isNull()
-        prev = F.when(first_row, F.col("carry")).otherwise(F.col("prev_ms"))
+        prev = F.when(F.col("first_row"), F.col("carry")).otherwise(F.col("prev_ms"))
         return x.select(F.col("k").alias(by or "k"), "ms", (F.col("ms") - prev).alias("diff_ms"))
 
     gap_ms = float(gap_minutes) * 60000.0
@@ -94,8 +128,7 @@ def ordered_gaps(df: DataFrame, gap_minutes: float | None = None, by: str | None
              .withColumn("offset", F.coalesce(F.sum("adj").over(
                  wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     x = local.join(F.broadcast(parts.select("pid", "carry", "cont", "offset")), "pid", "left")
-    first_row = F.col("prev_ms").isNull() & F.col("prev_k").isNull()
-    prev = F.when(first_row, F.col("carry")).otherwise(F.col("prev_ms"))
+    prev = F.when(F.col("first_row"), F.col("carry")).otherwise(F.col("prev_ms"))
     return x.select(F.col("k").alias(by or "k"), "ms", (F.col("ms") - prev).alias("diff_ms"),
                     (F.col("offset") + F.col("local_sid") - F.col("cont")).alias("session_id"))
 
