@@ -2,15 +2,14 @@
 
 Every operator in this package is a plain ``DataFrame -> DataFrame`` function and
 works with whatever session the caller already has.  The helpers here only build
-a session for scripts and tests, and resolve the shared checkpoint folder.
+a session for scripts and tests, and resolve the shared folder.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 # Settings every session built here gets.  AQE re-plans joins and partition counts
@@ -24,10 +23,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Needed only to read Shift_JIS / EUC-JP archives (see sources.csv_ingest).
-    "spark.sql.legacy.javaCharsets": "true",
-    # Remove checkpoint files of materialised intermediates once unreferenced.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -47,42 +42,24 @@ def build_session(master: str | None = None, app_name: str = "postlens",
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
-
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
-    system).  Only when the session leaves it unset -- local runs and tests --
-    do we pick a fresh folder of our own.
-    """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="postlens-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", conf_dir)
-        except Exception:  # noqa: BLE001 - some deployments refuse runtime core settings
-            pass
-    try:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(conf_dir)
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect sessions have no SparkContext
-        pass
-    return conf_dir
+def shared_root(spark: SparkSession) -> str:
+    """Folder that the session names and all executors see: ``spark.checkpoint.dir`` or,
+    where that is unset, ``spark.sql.warehouse.dir``."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    """A new, unique path under the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
-    shared checkpoint folder.  Used for intermediates that several branches of a
-    plan read (column pruning makes those branches differ, so Spark could not
-    reuse one exchange for them and would recompute e.g. the tokenisation)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Keep ``df`` once computed, for intermediates that several branches of a plan read
+    (column pruning makes those branches differ, so Spark could not reuse one exchange
+    for them and would recompute e.g. the tokenisation).  Partitions that do not fit
+    in memory go to disk; those lost with an executor are computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,32 +1,41 @@
 """CSV source and sink for post archives.
 
-Reading is one distributed ``spark.read.csv`` with every column as a string.  The
-only decisions taken before it -- text encoding, header or not, which column is
-which -- look at a bounded sample (the first ``GUESS_SAMPLE_ROWS`` records), each
-as one small Spark aggregation:
-
-* encoding: UTF-8 unless the sample decodes with replacement characters; then
-  the Japanese encodings (windows-31j, Shift_JIS, EUC-JP) are tried and the one
-  that decodes cleanly with the most full-width Japanese characters wins.  UTF-8
-  with replacement characters is the last resort.
-* column roles (content, not names): most cells like a date -> created_at; most
-  cells containing "http" (only if any) -> status_url; longest mean length among
-  the rest -> text; most all-digit cells of length >= 10 among the rest ->
-  tweet_id.  Ties pick the leftmost column.  A header that already names the
-  canonical columns is used as is.
+Reading is splittable, also with line breaks inside quotes.  Files are read as lines
+(``spark.read.text``); a line begins a record if an even number of quotes precedes it
+in its file.  Quotes are counted within each split, the parity and the number of
+records before every split come from a table with one row per split, and only lines of
+records that span several lines are gathered.  Each record then goes through
+``from_csv``.  (Quotes must be balanced, as CSV writers leave them.)
+
+Decisions before it:
+
+* encoding: over the whole input.  UTF-8 if every line is valid UTF-8; else the
+  Japanese encoding (windows-31j, Shift_JIS, EUC-JP) that decodes most lines without
+  replacement, of equals the one with most full-width Japanese characters; UTF-8 with
+  replacement characters if each of them spoils more lines.
+* column roles, from the first ``GUESS_SAMPLE_ROWS`` records of the first file (content,
+  not names): most cells like a date -> created_at; most cells containing "http" (only
+  if any) -> status_url; longest mean length among the rest -> text; most all-digit
+  cells of length >= 10 among the rest -> tweet_id.  Ties pick the leftmost column.  A
+  header that already names the canonical columns is used as is.
 * header: the first record is a header when its created_at cell does not parse.
+
+No setting of the session is changed for longer than an expression is built.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 
 CANONICAL = ["tweet_id", "created_at", "text", "status_url"]
+# Lines of the first split of the first file that its first records are looked for in.
+HEAD_LINES = 10_000
 ENCODINGS = ["UTF-8", "windows-31j", "Shift_JIS", "EUC-JP"]
 
 _DATE_PARSE = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?: ([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)?$"
@@ -63,30 +72,121 @@ def parse_created_at(col: Column, accept_t: bool = False) -> Column:
     return F.when(ok & (part(6) < 60), ts)
 
 
-def _reader(spark: SparkSession, encoding: str, header: bool):
-    return (spark.read.option("header", header).option("encoding", encoding).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-            .option("inferSchema", False))
+_CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+_LEGACY = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
+
+
+@contextmanager
+def _legacy_charsets(spark: SparkSession):
+    """``decode`` takes these settings when it is analysed; they are put back at once."""
+    before = {k: spark.conf.get(k, None) for k in _LEGACY}
+    try:
+        for k, v in _LEGACY.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """(file, block, at, value): raw lines; ``at`` ascends within a split, ``block`` is its start."""
+    return (spark.read.option("lineSep", "\n").text(path)
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("at"), "value"))
 
-def detect_encoding(spark: SparkSession, path: str, sample_rows: int = P.GUESS_SAMPLE_ROWS) -> str:
-    def score(enc: str):
-        df = _reader(spark, enc, False).csv(path).limit(sample_rows)
-        cells = F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in df.columns])
-        row = df.agg(F.sum(F.regexp_count(cells, F.lit("�"))).alias("bad"),
-                     F.sum(F.regexp_count(cells, F.lit(r"[\p{IsHiragana}\p{IsHan}\x{30A0}-\x{30FF}]"))).alias("ja"),
-                     F.sum(F.regexp_count(cells, F.lit(r"[\x{FF61}-\x{FF9F}]"))).alias("half")).collect()[0]
-        return (row["bad"] or 0), (row["ja"] or 0) - (row["half"] or 0)
 
-    bad, _ = score("UTF-8")
-    if bad == 0:
+def _decoded(lines: DataFrame, encoding: str, column: str = "value") -> DataFrame:
+    """``lines`` with ``column`` as valid text; bytes that are none become U+FFFD."""
+    if encoding == "UTF-8":
+        return lines.withColumn(column, F.make_valid_utf8(column))
+    with _legacy_charsets(lines.sparkSession):
+        return lines.withColumn(column, F.decode(F.col(column).cast("binary"), encoding))
+
+
+def detect_encoding(spark: SparkSession, path) -> str:
+    """Encoding of the whole input: one pass, or two if it is not UTF-8."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    spoilt = lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("n")).head()["n"]
+    if not spoilt:
         return "UTF-8"
-    best, best_score = None, None
-    for enc in ENCODINGS[1:]:
-        b, s = score(enc)
-        if b == 0 and (best_score is None or s > best_score):
-            best, best_score = enc, s
-    return best or "UTF-8"
+    rows = lines
+    for k, enc in enumerate(ENCODINGS[1:]):
+        rows = _decoded(rows.withColumn(f"t{k}", F.col("value")), enc, f"t{k}")
+    found = rows.agg(*[a for k in range(len(ENCODINGS) - 1) for a in (
+        F.count_if(F.col(f"t{k}").contains("\ufffd")).alias(f"bad{k}"),
+        F.sum(F.regexp_count(f"t{k}", F.lit(r"[\p{IsHiragana}\p{IsHan}\x{30A0}-\x{30FF}]"))
+              - F.regexp_count(f"t{k}", F.lit(r"[\x{FF61}-\x{FF9F}]"))).alias(f"ja{k}"))]).head()
+    best = min(range(len(ENCODINGS) - 1), key=lambda k: (found[f"bad{k}"], -found[f"ja{k}"], k))
+    return ENCODINGS[1 + best] if found[f"bad{best}"] <= spoilt else "UTF-8"
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(file, rec, record): CSV records of decoded lines, numbered from 1 in each file."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    in_block = Window.partitionBy("file", "block").orderBy("at")
+    seen = F.coalesce(F.sum("q").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.withColumn("q", quotes).withColumn("odd", seen % 2)
+    rows = rows.withColumn("begun0", F.sum(1 - F.col("odd")).over(upto)).withColumn("begun1", F.sum("odd").over(upto))
+    # One row per split: the parity of the quotes before it and the records begun before it.
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (rows.groupBy("file", "block").agg(F.sum("q").alias("q"), F.sum("odd").alias("n1"), F.count(F.lit(1)).alias("n"))
+              .withColumn("flip", F.coalesce(F.sum("q").over(before), F.lit(0)) % 2)
+              .withColumn("begun", F.when(F.col("flip") == 1, F.col("n1")).otherwise(F.col("n") - F.col("n1")))
+              .select("file", "block", "flip", F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("earlier")))
+    placed = rows.join(blocks, ["file", "block"])
+    begins = F.col("odd") == F.col("flip")
+    rec = F.col("earlier") + F.when(F.col("flip") == 1, F.col("begun1")).otherwise(F.col("begun0"))
+    placed = placed.select("file", "block", "at", "value", rec.alias("rec"), (begins & (F.col("q") % 2 == 0)).alias("whole"))
+    whole = placed.where("whole").select("file", "rec", F.col("value").alias("record"))
+    spread = (placed.where("not whole").groupBy("file", "rec")
+              .agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+              .select("file", "rec", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("record")))
+    return (whole.union(spread).withColumn("record", F.regexp_replace("record", "\r$", ""))
+            .where((F.col("record") != "") | (F.col("rec") == 1)))
+
+
+def _parsed(records: DataFrame, columns: list[str]) -> DataFrame:
+    ddl = ", ".join(f"c{k} string" for k in range(len(columns)))
+    row = F.from_csv("record", F.lit(ddl), _CSV_OPTIONS)
+    return records.withColumn("row", row).select("file", "rec", *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)])
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What the files look like."""
+
+    encoding: str
+    header: bool
+    columns: tuple[str, ...]
+    mapping: ColumnMapping
+
+
+def layout(spark: SparkSession, path, has_header: bool | None = None, encoding: str | None = None,
+           accept_t: bool = False) -> Layout:
+    """Encoding from the whole input; header and column roles from the first records of the first file."""
+    enc = encoding or detect_encoding(spark, path)
+    files = sorted(spark.read.text(path).inputFiles())
+    head = []
+    if files:
+        first = _lines(spark, files[0]).where("block = 0").orderBy("at").limit(HEAD_LINES)
+        records = _records(_decoded(first, enc)).where(F.col("record") != "").orderBy("rec").limit(P.GUESS_SAMPLE_ROWS + 1)
+        head = [r["record"] for r in records.collect()]
+    if not head:
+        raise CSVLoadError("CSV was read but contains no rows")
+    table = spark.createDataFrame([(files[0], k, r) for k, r in enumerate(head, 1)], "file string, rec long, record string")
+    width = len(table.limit(1).select(F.schema_of_csv(F.lit(head[0]), _CSV_OPTIONS).alias("s")).head()["s"].split(","))
+    plain = _parsed(table, [f"_c{k}" for k in range(width)])
+    cells = plain.where("rec = 1").head()
+    names = [cells[f"_c{k}"] or f"_c{k}" for k in range(width)]
+    bare = guess_mapping(plain.drop("file", "rec"))
+    if has_header is None:
+        has_header = plain.where("rec = 1").select(parse_created_at(F.col(bare.created_at), accept_t).alias("t")).head()["t"] is None
+    if not has_header:
+        return Layout(enc, False, tuple(f"_c{k}" for k in range(width)), bare)
+    titled = _parsed(table, names).where("rec > 1").drop("file", "rec")
+    return Layout(enc, True, tuple(names), guess_mapping(titled))
 
 
 def guess_mapping(df: DataFrame, sample_rows: int = P.GUESS_SAMPLE_ROWS) -> ColumnMapping:
@@ -141,24 +241,14 @@ def parse_score(df: DataFrame) -> DataFrame:
     return df.agg(F.count("created_at").alias("parsed"))
 
 
-def read_posts_csv(spark: SparkSession, path: str, has_header: bool | None = None,
+def read_posts_csv(spark: SparkSession, path, has_header: bool | None = None,
                    encoding: str | None = None, accept_t: bool = False) -> DataFrame:
     """Posts from CSV file(s): tweet_id, created_at (TIMESTAMP_NTZ), text, status_url."""
-    enc = encoding or detect_encoding(spark, path)
-    if enc != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    if has_header is None:
-        plain = _reader(spark, enc, False).csv(path)
-        if not plain.columns:
-            raise CSVLoadError("no columns")
-        mapping = guess_mapping(plain)
-        first = plain.limit(1).select(parse_created_at(F.col(mapping.created_at), accept_t).alias("t")).collect()
-        if not first:
-            raise CSVLoadError("CSV was read but contains no rows")
-        has_header = first[0]["t"] is None
-    df = _reader(spark, enc, has_header).csv(path)
-    mapping = guess_mapping(df)
-    return normalize_posts(df, mapping, accept_t)
+    found = layout(spark, path, has_header, encoding, accept_t)
+    rows = _parsed(_records(_decoded(_lines(spark, path), found.encoding)), list(found.columns))
+    if found.header:
+        rows = rows.where("rec > 1")
+    return normalize_posts(rows.drop("file", "rec"), found.mapping, accept_t)
 
 
 def write_csv(df: DataFrame, path: str) -> str:

@@ -5,20 +5,18 @@ stream, given the derived columns, and appended to the year-partitioned posts
 table.  The column roles / header / encoding of CSV input are decided once from
 the files already present (bounded sample, see ``sources.csv_ingest``); the
 stream then reads every new file with that fixed schema.  Progress is kept in a
-checkpoint under the shared checkpoint folder, so a restarted or failed job
-resumes exactly once per file.
+checkpoint beside the table (its full path with ``.checkpoint``), so a restarted or
+failed job, in this or a new session, takes every file exactly once, and tables of
+one name in different folders keep apart.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.derive import derive
-from ..session import checkpoint_root
 from ..sources import csv_ingest as CSV
 
 
@@ -31,19 +29,15 @@ def posts_stream(spark: SparkSession, source_dir: str, fmt: str = "csv", max_fil
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
         return reader.parquet(source_dir)
-    enc = CSV.detect_encoding(spark, source_dir)
-    plain = CSV._reader(spark, enc, False).csv(source_dir)
-    mapping = CSV.guess_mapping(plain)
-    first = plain.limit(1).select(CSV.parse_created_at(plain[mapping.created_at]).alias("t")).collect()
-    header = bool(first) and first[0]["t"] is None
-    static = CSV._reader(spark, enc, header).csv(source_dir)
-    mapping = CSV.guess_mapping(static)
-    schema = StructType([StructField(c, StringType()) for c in static.columns])
-    reader = (spark.readStream.schema(schema).option("header", header).option("encoding", enc)
+    layout = CSV.layout(spark, source_dir)
+    if layout.encoding != "UTF-8" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise CSV.CSVLoadError(f"streaming {layout.encoding} files needs spark.sql.legacy.javaCharsets=true in the session")
+    schema = StructType([StructField(c, StringType()) for c in layout.columns])
+    reader = (spark.readStream.schema(schema).option("header", layout.header).option("encoding", layout.encoding)
               .option("multiLine", True).option("quote", '"').option("escape", '"'))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return CSV.normalize_posts(reader.csv(source_dir), mapping)
+    return CSV.normalize_posts(reader.csv(source_dir), layout.mapping)
 
 
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str, fmt: str = "csv",
@@ -52,8 +46,7 @@ def start_ingest(spark: SparkSession, source_dir: str, table_path: str, fmt: str
     """Append derived posts from ``source_dir`` to the year-partitioned table at
     ``table_path``.  ``available_now`` processes what is there and stops;
     otherwise the query keeps polling every ``processing_time``."""
-    checkpoint = checkpoint or os.path.join(checkpoint_root(spark), "ingest-" + os.path.basename(
-        table_path.rstrip("/")))
+    checkpoint = checkpoint or table_path.rstrip("/") + ".checkpoint"
     out = derive(posts_stream(spark, source_dir, fmt))
     writer = (out.writeStream.format("parquet").option("path", table_path)
               .option("checkpointLocation", checkpoint).partitionBy("year").outputMode("append"))
