@@ -7,7 +7,7 @@ row table, never by the number of posts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -53,17 +53,18 @@ def daily_counts(df: DataFrame) -> DataFrame:
     return _count(df, "date")
 
 
-def calendar_days(df: DataFrame) -> DataFrame:
-    """Every date from min(date) to max(date) (empty when there are no dates)."""
-    bounds = df.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    return bounds.where(F.col("lo").isNotNull()).select(
-        F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("date"))
-
-
 def daily_counts_full(df: DataFrame) -> DataFrame:
+    """Posts of every date from the first to the last, zeros included.
+
+    One pass over the posts: they are counted by date, and the span comes from those
+    counts.  Each date is then followed by the days up to the next date (a gap of days,
+    not of posts), so no second table is joined."""
     counts = df.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("posts"))
-    return (calendar_days(df).join(counts, "date", "left")
-            .select("date", F.coalesce("posts", F.lit(0)).alias("posts"))
+    after = F.lead("date").over(Window.orderBy("date"))  # one row per date
+    until = F.coalesce(F.date_sub("_after", 1), F.col("date"))
+    return (counts.withColumn("_after", after)
+            .select(F.col("date").alias("_day"), "posts", F.explode(F.sequence("date", until)).alias("date"))
+            .select("date", F.when(F.col("date") == F.col("_day"), F.col("posts")).otherwise(F.lit(0)).alias("posts"))
             .orderBy("date"))
 
 

@@ -65,7 +65,7 @@ def mention_weekday_counts(df: DataFrame) -> DataFrame:
 
 
 def mention_weekday_totals(df: DataFrame) -> DataFrame:
-    return (mention_weekday_counts(df).groupBy("weekday").agg(F.sum("occurrences").alias("occurrences"))
+    return (exploded_tags(df, "mention_list", "mention", "weekday").groupBy("weekday").agg(F.count(F.lit(1)).alias("occurrences"))
             .withColumn("weekday_label", C.weekday_label(F.col("weekday"))).orderBy("weekday"))
 
 
@@ -87,26 +87,23 @@ def mention_weekday_top(df: DataFrame, top_n: int = 5) -> DataFrame:
 # Keyword dictionary
 # ---------------------------------------------------------------------------
 
+def _entry(line: str) -> tuple[str, list[str]] | None:
+    """Label and terms of a line, or nothing if either is missing."""
+    colon = ":" if ":" in line else "："
+    label, found, rest = (part.strip() for part in line.partition(colon))
+    terms = [t for t in map(str.strip, rest.replace("、", ",").split(",")) if t]
+    return (label, terms) if found and label and terms else None
+
+
 def parse_keyword_dictionary(raw: str | None) -> list[tuple[str, list[str]]]:
-    """Lines 'label: a,b' (also full-width '：' and '、'); a later duplicate label
-    replaces the earlier terms but keeps its first position; blank labels / terms
-    are skipped.  This parses a small user setting, not data."""
-    mapping: dict[str, list[str]] = {}
-    for line in (raw or "").splitlines():
-        s = line.strip()
-        if not s:
-            continue
-        if ":" in s:
-            label, terms = s.split(":", 1)
-        elif "：" in s:
-            label, terms = s.split("：", 1)
-        else:
-            continue
-        label = label.strip()
-        cleaned = [t.strip() for t in re.split(r"[,、]+", terms) if t.strip()]
-        if label and cleaned:
-            mapping[label] = cleaned
-    return list(mapping.items())
+    """(label, terms) of a keyword setting, one entry a line.
+
+    Rule: the label ends at the first ASCII colon, or without one at the first
+    full-width colon.  Terms are separated by ',' or '、'.  Labels and terms are trimmed;
+    lines without a colon, a label or a term say nothing.  A label given again keeps
+    its place and takes the later terms.  This reads a small setting, not data.
+    """
+    return [*dict(filter(None, map(_entry, (raw or "").splitlines()))).items()]
 
 
 def keyword_category_counts(df: DataFrame, keyword_dict: str | list) -> DataFrame:

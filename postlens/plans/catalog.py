@@ -445,6 +445,15 @@ def _S_diffs(body: str, extra: str = "") -> str:
     return with_posts(body, ctes=_DIFFS + extra)
 
 
+@query("interval_lag_by_author", S("""
+SELECT (ms - prev) / 60000.0 AS diff_min
+FROM (SELECT ms, lag(ms) OVER (PARTITION BY author_id ORDER BY ms) AS prev
+      FROM (SELECT author_id, epoch_us(created_at) // 1000 AS ms FROM sp WHERE created_at IS NOT NULL) t) l
+WHERE prev IS NOT NULL"""))
+def q_interval_lag_by_author(spark, sf):
+    return GP.interval_lag(stream(spark, sf), by="author_id")
+
+
 @query("interval_lag", _S_diffs("SELECT diff_min FROM dm"))
 def q_interval_lag(spark, sf):
     return GP.interval_lag(stream(spark, sf))
@@ -690,21 +699,25 @@ def q_pair_generate(spark, sf):
     return TG.hashtag_pairs_raw(stream(spark, sf))
 
 
-# Keyword dictionary used by the registered query: the sample from the original
-# tool's documentation plus categories that occur in the test tables; mixed
-# separators (':' / '：', ',' / '、') and a duplicate label exercise the parser.
-KEYWORD_DICT = """Cloudflare: WAF,ゼロトラスト,Workers
-Next.js: App Router,ISR,Server Actions
-Hono: Hono,Edge,Middleware
-Auth: 認証,OAuth,JWT
-Database: Postgres,MySQL,Redis
-Events：signup、click
+# Keyword setting of the registered queries: terms that occur in the test tables, with
+# both colons and both separators, a label given twice and lines that say nothing.
+KEYWORD_DICT = """Events：signup、click
 Links: https://,example.com
-Secrets: token,password,secret
+Secrets: token , password,,secret
 Mail: @mail
+no colon here
 Code: def,import
+: term without label
+Nothing: ,、
+Syllables：tion、ment,heit
 Links: http,www
+Mixed: a：b、ing
 """
+# What it means, written out by hand.
+KEYWORD_ENTRIES = [
+    ("Events", ["signup", "click"]), ("Links", ["http", "www"]), ("Secrets", ["token", "password", "secret"]),
+    ("Mail", ["@mail"]), ("Code", ["def", "import"]), ("Syllables", ["tion", "ment", "heit"]), ("Mixed", ["a：b", "ing"]),
+]
 
 
 def _keyword_sql(entries) -> str:
@@ -715,17 +728,17 @@ def _keyword_sql(entries) -> str:
     return S("\nUNION ALL\n".join(parts))
 
 
-@query("keyword_category_counts", _keyword_sql(TG.parse_keyword_dictionary(KEYWORD_DICT)))
+@query("keyword_category_counts", _keyword_sql(KEYWORD_ENTRIES))
 def q_keyword_counts(spark, sf):
     return TG.keyword_category_counts(stream(spark, sf), KEYWORD_DICT)
 
 
-@query("join_keyword_contains", _keyword_sql(TG.parse_keyword_dictionary(KEYWORD_DICT)))
+@query("join_keyword_contains", _keyword_sql(KEYWORD_ENTRIES))
 def q_join_keyword(spark, sf):
     return TG.keyword_category_counts(stream(spark, sf), KEYWORD_DICT)
 
 
-@query("keyword_dict_parse", _keyword_sql(TG.parse_keyword_dictionary(KEYWORD_DICT)))
+@query("keyword_dict_parse", _keyword_sql(KEYWORD_ENTRIES))
 def q_keyword_parse(spark, sf):
     return TG.keyword_category_counts(stream(spark, sf), KEYWORD_DICT)
 
@@ -740,9 +753,13 @@ from ..operators import tokens as TK  # noqa: E402
 
 # Parameters of the registered text queries.
 TERM = "the"
-# Stop-word sample of the original tool's documentation plus common words of the test texts.
-STOPWORDS = "ログ\nメモ\nやった\n対応\n調整\nバグ\n修正\nレビュー\nリリース\nthe,and,of\nde,la,le\nder,die,und\nel,los"
-POS_FILTER = "名詞,動詞"
+# Stop-word setting of the registered queries and what it means, written out by hand.
+STOPWORDS = "the,and,of\n la , le,,de\r\nder,die,und\nel,los\nthe\n"
+STOPWORD_LIST = ["the", "and", "of", "la", "le", "de", "der", "die", "und", "el", "los"]
+# A long list by rule: all two-letter words over these letters (196).
+_LETTERS = "aeioudlnrstmhc"
+LONG_STOPWORDS = [x + y for x in _LETTERS for y in _LETTERS]
+POS_FILTER = "noun / 動詞"
 
 
 def _sql_list(words) -> str:
@@ -789,17 +806,24 @@ def q_word_frequency(spark, sf):
     return TM.word_frequency(s_arrays(spark, sf), None)
 
 
-@query("stopwords", _freq_sql(_tok_sql("sp", "tweet_id,", stop=TK.parse_stopwords(STOPWORDS)), 100))
+@query("stopwords", _freq_sql(_tok_sql("sp", "tweet_id,", stop=STOPWORD_LIST), 100))
 def q_stopwords(spark, sf):
     return TM.word_frequency(s_arrays(spark, sf, TK.TextOptions(stopwords=STOPWORDS)), 100)
 
 
+@query("stopwords_long", _S_with(
+    f"toks AS {_tok_sql('sp', 'tweet_id,', stop=LONG_STOPWORDS)}", "SELECT tweet_id, position, token FROM toks"))
+def q_stopwords_long(spark, sf):
+    return s_tokens(spark, sf, TK.TextOptions(stopwords=LONG_STOPWORDS))
+
+
 _LEXICON_SQL = (f"(SELECT DISTINCT unnest(regexp_extract_all(text, '{PT.TOKEN_PATTERNS_RE2['C']}', 0)) AS word "
                 f"FROM benchmark)")
 
 
 @query("pos_filter", _S_with(f"toks AS {_tok_sql('sp', 'tweet_id,')}",
                              f"SELECT token AS word, count(*) AS count FROM toks WHERE token IN {_LEXICON_SQL} "
+                             f"AND (length(token) % 2 = 0 OR length(token) % 3 = 0) "
                              f"GROUP BY token"))
 def q_pos_filter(spark, sf):
     lex = TK.benchmark_lexicon(spark, T.table(spark, sf, "benchmark"))
@@ -917,6 +941,17 @@ def q_word_pairs(spark, sf):
     return TM.word_cooccurrence_pairs(s_arrays(spark, sf), WORD_PAIR_TOP, 2)
 
 
+ALL_PAIRS_MIN = 40
+
+
+@query("word_cooccurrence_all", _S_with(
+    f"toks AS {_tok_sql('sp', 'tweet_id,')}," +
+    _pairs_sql("(SELECT tweet_id AS id, token AS item FROM toks)", "word_a", "word_b", ALL_PAIRS_MIN, None),
+    "SELECT * FROM pairs"))
+def q_word_pairs_all(spark, sf):
+    return TM.word_cooccurrence_pairs(s_arrays(spark, sf), None, ALL_PAIRS_MIN)
+
+
 @query("topic_word_trend", _A_with(
     f"toks AS {_tok_sql('ap', 'tweet_id, year, month,')}," + _TFIDF_CORPUS.replace("FROM sp", "FROM ap"), f"""
 SELECT year_month, count(*) AS posts, word

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from postlens.plans import catalog
 from conftest import SF_SMALL
 
 TABLES = ["orders", "events", "documents", "pages", "benchmark"]
@@ -36,11 +37,11 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
                  "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     s_rows = [tuple(r) for r in df.collect()]
-    rel = duck.sql(E.oracle_sql()[name])
+    rel = duck.sql(catalog.ORACLE[name])
     d_cols = rel.columns
     d_rows = rel.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
@@ -51,7 +52,7 @@ def test_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_property_checked():
     property_only = {"kmeans_cluster_summary", "cluster_sizes"}
-    assert set(E.queries()) - set(E.oracle_sql()) == property_only
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == property_only
 
 
 def test_entry_smoke(spark):
