@@ -8,6 +8,11 @@
 * clustering: ``pyspark.ml.clustering.KMeans`` (Lloyd iterations, squared
   Euclidean distance, random initial centres drawn from the rows with a fixed
   seed, at most ``max_iter`` iterations);
+* the same from stated starting rows (``start="first"``): the k posts of smallest numeric
+  id whose vector is not zero, then exactly ``max_iter`` Lloyd rounds as DataFrame
+  aggregations (k centres of max_features values are all that reaches the driver); ties
+  go to the lower cluster and an empty cluster keeps its centre, so the result can be
+  compared with SQL;
 * summary: size per cluster and the eight words with the largest summed weight
   (``Summarizer`` sum per cluster: k rows of max_features values).
 """
@@ -21,9 +26,10 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..session import materialize
 
 SEED = 42
@@ -35,37 +41,59 @@ def _vocab(arrays: DataFrame, max_features: int) -> list[tuple[str, int]]:
     return [(r["token"], r["df"]) for r in rows]
 
 
-def tfidf_vectors(posts: DataFrame, arrays: DataFrame, max_features: int = 200, complete: bool = True):
+def tfidf_vectors(posts: DataFrame, arrays: DataFrame, max_features: int = 200):
     """(vectors DataFrame[tweet_id, features] or None, vocabulary list, idf list, n_posts).
-
-    ``complete``: ``arrays`` has one row per post (the usual case); otherwise the
-    posts are joined to it so that posts without tokens get a zero vector."""
+    ``arrays`` has one row per post; posts without tokens get a zero vector.  The vocabulary
+    and the number of posts are read while the plan is built."""
     n_docs = posts.count()
     vocab = _vocab(arrays, max_features)
     words = [w for w, _ in vocab]
     idf = [math.log((1 + n_docs) / (1 + df)) + 1 for _, df in vocab]
     if not words:
         return None, words, idf, n_docs
-    if complete:
-        docs = arrays.select("tweet_id", "tokens")
-    else:
-        docs = (posts.select("tweet_id").join(arrays.select("tweet_id", "tokens"), "tweet_id", "left")
-                .select("tweet_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")))
+    docs = arrays.select("tweet_id", "tokens")
     cv = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="tf")
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="features")
     return scale.transform(cv.transform(docs)).select("tweet_id", "features"), words, idf, n_docs
 
 
+def _nearest(centres: list[list[float]]) -> Column:
+    """Number of the nearest centre, by squared distance to 4 places (without the row's
+    own norm, which is the same for all)."""
+    scores = []
+    for j, c in enumerate(centres):
+        dot = F.aggregate(F.zip_with("_x", F.array(*map(F.lit, c)), lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+        scores.append(F.struct(C.round_half_up(F.lit(sum(v * v for v in c)) - F.lit(2.0) * dot, 4).alias("d"), F.lit(j).alias("j")))
+    return F.array_min(F.array(*scores))["j"]
+
+
+def lloyd_from_first(vectors: DataFrame, k: int, rounds: int) -> DataFrame:
+    """``vectors`` (tweet_id, features) with ``cluster_id`` after ``rounds`` Lloyd rounds from
+    the first k posts (numeric id) with a vector other than zero."""
+    rows = vectors.withColumn("_x", vector_to_array("features"))
+    first = (rows.where(F.exists("_x", lambda v: v != 0)).orderBy(F.col("tweet_id").cast("long"), "tweet_id")
+             .limit(k).select("_x").collect())
+    centres = [r["_x"] for r in first]
+    for _ in range(rounds):
+        sums = (rows.withColumn("cluster_id", _nearest(centres)).groupBy("cluster_id")
+                .agg(Summarizer.sum(F.col("features")).alias("s"), F.count(F.lit(1)).alias("n")).collect())
+        for r in sums:
+            centres[r["cluster_id"]] = [v / r["n"] for v in r["s"].toArray().tolist()]
+    return rows.withColumn("cluster_id", _nearest(centres)).drop("_x")
+
+
 def kmeans_clusters(posts: DataFrame, arrays: DataFrame, k: int = 4, max_features: int = 200,
-                    max_iter: int = 15, complete: bool = True):
+                    max_iter: int = 15, start: str = "random"):
     """(assigned[tweet_id, features, cluster_id], k_used, vocabulary) or None when
     there is no vocabulary or fewer than two posts."""
-    vectors, words, _, n = tfidf_vectors(posts, arrays, max_features, complete)
+    vectors, words, _, n = tfidf_vectors(posts, arrays, max_features)
     if vectors is None or n < 2:
         return None
     k = max(2, min(int(k), n))
     # The vectors are read once per k-means iteration: compute them once.
     vectors = materialize(vectors)
+    if start == "first":
+        return lloyd_from_first(vectors, k, max_iter), k, words
     model = KMeans(k=k, maxIter=max_iter, initMode="random", seed=SEED, tol=0.0,
                    featuresCol="features", predictionCol="cluster_id").fit(vectors)
     assigned = model.transform(vectors).withColumn("cluster_id", F.col("cluster_id").cast("int"))
@@ -81,10 +109,10 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
 
 
 def kmeans_cluster_summary(posts: DataFrame, arrays: DataFrame, k: int = 4, max_features: int = 200,
-                           max_iter: int = 15, complete: bool = True) -> DataFrame:
+                           max_iter: int = 15, start: str = "random") -> DataFrame:
     """cluster_id, size, top_terms (up to 8 words with positive summed weight, ', ' joined)."""
     spark = posts.sparkSession
-    res = kmeans_clusters(posts, arrays, k, max_features, max_iter, complete)
+    res = kmeans_clusters(posts, arrays, k, max_features, max_iter, start)
     if res is None:
         return spark.createDataFrame([], "cluster_id int, size bigint, top_terms string")
     assigned, k, words = res
@@ -92,7 +120,7 @@ def kmeans_cluster_summary(posts: DataFrame, arrays: DataFrame, k: int = 4, max_
     vocab = F.array(*[F.lit(w) for w in words])
     cells = (sums.select("cluster_id", F.posexplode(vector_to_array("s")).alias("i", "w"))
              .where(F.col("w") > 0).withColumn("token", F.element_at(vocab, F.col("i") + 1)))
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("w"), F.asc("i"))
+    w = Window.partitionBy("cluster_id").orderBy(F.desc(C.round_half_up(F.col("w"), 4)), F.asc("i"))
     top = (cells.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 8)
            .groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rn", "token"))).alias("t"))
            .select("cluster_id", F.array_join(F.transform("t", lambda s: s["token"]), ", ").alias("top_terms")))

@@ -1068,7 +1068,7 @@ def q_csv_export(spark, sf):
 
 from ..operators import topics as TP  # noqa: E402
 
-KMEANS_K, KMEANS_ITER, KMEANS_FEATURES = 4, 12, 200
+KMEANS_K, KMEANS_FEATURES = 4, 200
 
 
 @query("tfidf_vectors", _S_with(f"""toks AS {_tok_sql('sp', 'tweet_id,')},
@@ -1090,16 +1090,52 @@ def q_tfidf_vectors(spark, sf):
                           C.round_half_up(l2, 4).alias("l2"))
 
 
-@query("kmeans_cluster_summary")
+KMEANS_ROUNDS = 5
+
+
+def _kmeans_sql(body: str) -> str:
+    """The same rounds in SQL: starting rows, then per round the nearest centre and the new centres."""
+    ctes = f"""toks AS {_tok_sql('sp', 'tweet_id,')},
+vocab AS MATERIALIZED (SELECT word, df, row_number() OVER (ORDER BY df DESC, word) AS i
+  FROM (SELECT token AS word, count(DISTINCT tweet_id) AS df FROM toks GROUP BY token ORDER BY df DESC, word LIMIT {KMEANS_FEATURES}) v),
+w AS MATERIALIZED (SELECT t.tweet_id, t.token, t.c * (ln((1 + (SELECT count(*) FROM sp)) / (1 + v.df)) + 1) AS x
+  FROM (SELECT tweet_id, token, count(*) AS c FROM toks GROUP BY 1, 2) t JOIN vocab v ON v.word = t.token),
+kk AS (SELECT unnest(range({KMEANS_K})) AS cid),
+c0 AS MATERIALIZED (SELECT cid, w.token, w.x AS c FROM (SELECT tweet_id, row_number() OVER (ORDER BY CAST(tweet_id AS BIGINT)) - 1 AS cid
+  FROM (SELECT DISTINCT tweet_id FROM w) d) s JOIN w USING (tweet_id) WHERE cid < {KMEANS_K})"""
+    for r in range(KMEANS_ROUNDS + 1):
+        score = r4("coalesce(n.cn, 0) - 2 * coalesce(dots.dot, 0)")
+        ctes += f""",
+a{r} AS MATERIALIZED (SELECT tweet_id, cid FROM (
+  SELECT p.tweet_id, kk.cid, row_number() OVER (PARTITION BY p.tweet_id ORDER BY {score}, kk.cid) AS rn
+  FROM (SELECT tweet_id FROM sp) p CROSS JOIN kk
+  LEFT JOIN (SELECT w.tweet_id, c.cid, sum(w.x * c.c) AS dot FROM w JOIN c{r} c USING (token) GROUP BY 1, 2) dots
+    ON dots.tweet_id = p.tweet_id AND dots.cid = kk.cid
+  LEFT JOIN (SELECT cid, sum(c * c) AS cn FROM c{r} GROUP BY cid) n ON n.cid = kk.cid) z WHERE rn = 1),
+c{r + 1} AS MATERIALIZED (SELECT a.cid, w.token, sum(w.x) / any_value(m.n) AS c FROM a{r} a JOIN w USING (tweet_id)
+  JOIN (SELECT cid, count(*) AS n FROM a{r} GROUP BY cid) m ON m.cid = a.cid GROUP BY a.cid, w.token
+  UNION ALL SELECT * FROM c{r} WHERE cid NOT IN (SELECT cid FROM a{r}))"""
+    return _S_with(ctes, body.format(a=f"a{KMEANS_ROUNDS}"))
+
+
+_SIZES_SQL = "(SELECT CAST(kk.cid AS INTEGER) AS cluster_id, count(x.tweet_id) AS size FROM kk LEFT JOIN {a} x USING (cid) GROUP BY kk.cid)"
+
+
+@query("kmeans_cluster_summary", _kmeans_sql(f"""
+SELECT z.cluster_id, z.size, coalesce(t.top_terms, '') AS top_terms FROM {_SIZES_SQL} z LEFT JOIN (
+  SELECT cid, string_agg(token, ', ' ORDER BY rn) AS top_terms FROM (
+    SELECT cid, token, row_number() OVER (PARTITION BY cid ORDER BY {r4('s')} DESC, i) AS rn FROM (
+      SELECT x.cid, w.token, v.i, sum(w.x) AS s FROM {{a}} x JOIN w USING (tweet_id) JOIN vocab v ON v.word = w.token GROUP BY 1, 2, 3) q) g
+  WHERE rn <= 8 GROUP BY cid) t ON t.cid = z.cluster_id"""))
 def q_kmeans_summary(spark, sf):
     d = stream(spark, sf)
-    return TP.kmeans_cluster_summary(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ITER)
+    return TP.kmeans_cluster_summary(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ROUNDS, start="first")
 
 
-@query("cluster_sizes")
+@query("cluster_sizes", _kmeans_sql("SELECT * FROM " + _SIZES_SQL + " z"))
 def q_cluster_sizes(spark, sf):
     d = stream(spark, sf)
-    assigned, k, _ = TP.kmeans_clusters(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ITER)
+    assigned, k, _ = TP.kmeans_clusters(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ROUNDS, start="first")
     return TP.cluster_sizes(assigned, k)
 
 

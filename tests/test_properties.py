@@ -69,8 +69,7 @@ def test_cluster_sizes(spark, posts):
 def test_cluster_sizes_with_lexicon_cover_all_posts(spark, posts):
     lex = TK.benchmark_lexicon(spark, T.table(spark, SF_SMALL, "benchmark"))
     opts = TK.TextOptions(pos_filter="noun", lexicon=lex)
-    assert not TK.keeps_every_post(opts)
     arrays = TK.token_arrays(posts, opts)
-    assert arrays.count() < posts.count()  # posts without lexicon words drop out of the arrays
-    assigned, k, _ = TP.kmeans_clusters(posts, arrays, k=3, max_features=30, max_iter=5, complete=False)
+    assert arrays.count() == posts.count()  # posts without lexicon words stay, with no tokens
+    assigned, k, _ = TP.kmeans_clusters(posts, arrays, k=3, max_features=30, max_iter=5)
     assert sum(r["size"] for r in TP.cluster_sizes(assigned, k).collect()) == posts.count()
