@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, ship
+from .cluster import checkpointed, released, ship
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def _contract(edges: DataFrame) -> DataFrame:
             links = [x for x in links if x[0] != x[1]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], kinds[0]), pa.array([x[1] for x in links], kinds[1])], names=["u", "v"])
 
-    return edges.mapInArrow(run, f"u {kind}, v {kind}")
+    return edges.mapInArrow(released(run), f"u {kind}, v {kind}")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import ship
+from .cluster import released, ship
 
 SIGMA = 1.0          # of the Gaussian, in lines
 DESCEND_SHARE = 0.7  # of the seeds' text that an inner element needs to become the region
@@ -234,7 +234,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

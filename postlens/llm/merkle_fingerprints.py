@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .cluster import ship
+from .cluster import released, ship
 
 LEAF_WORDS = 16
 SECTION_PARAGRAPHS = 4
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, n), pa.array(chars), pa.array(Trees(s.buf, s.offsets).fingerprints(), pa.string())],
                                                  names=["doc_id", "n_chars", "fingerprint"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         if ids:
             yield emit(ids, texts, nexts)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

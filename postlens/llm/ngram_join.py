@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textarrays as ta
-from .cluster import checkpointed, ship
+from .cluster import checkpointed, released, ship
 from .components import connected_components
 
 WIDTH = 3
@@ -105,7 +105,7 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     parts.append(np.minimum(np.bincount((g & _U(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(n)), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(parts, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def frequencies(docs: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) -> np.ndarray:
@@ -138,9 +138,9 @@ def frequencies(docs: DataFrame, width: int = WIDTH, buckets: int = BUCKETS) ->
     def coded(total: np.ndarray) -> np.ndarray:
         return np.minimum(np.rint(STEPS * np.log2(1.0 + total)), 255).astype(np.uint8)
 
-    tables = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "t binary")
-              .repartition(8).mapInArrow(add(np.uint8, lambda x: x), "t binary")
-              .repartition(1).mapInArrow(add(np.uint32, coded), "t binary"))
+    tables = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(count), "t binary")
+              .repartition(8).mapInArrow(released(add(np.uint8, lambda x: x)), "t binary")
+              .repartition(1).mapInArrow(released(add(np.uint32, coded)), "t binary"))
     return np.frombuffer(tables.head()["t"], dtype=np.uint8)
 
 
@@ -180,7 +180,7 @@ def shared_prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int
                         *(pa.array(np.concatenate(c)) for c in cols[2:])], names=["token", "cls", "n", "pos", "salt"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (rows.mapInArrow(emit, "token long, cls binary, n int, pos int, salt int").repartition(n, "token", "salt")
+    dealt = (rows.mapInArrow(released(emit), "token long, cls binary, n int, pos int, salt int").repartition(n, "token", "salt")
              .groupBy("token", "salt", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
     among = F.count("*").over(Window.partitionBy("token", "salt"))
     return dealt.withColumn("among", among).where("among > 1 or salt > 0").select("token", "cls", "n", "pos")
@@ -229,7 +229,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
                     at = np.concatenate([[0], np.cumsum([len(g) for g in sets])]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(ta.as_int64(np.concatenate(sets))))], names=["cls", "set"])
 
-    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "cls binary, set array<long>")
+    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(emit), "cls binary, set array<long>")
     sets = sets.join(ends.distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("set").alias("set"))
     both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b"))
@@ -259,7 +259,8 @@ def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _length_class(n, percent: int):
-    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+    # The small addend keeps powers of the ratio on their own side of the floor.
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent))) + F.lit(1e-9)).cast("int")
 
 
 def cross_pairs(shared: DataFrame, parts: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -338,7 +339,7 @@ def cross_pairs(shared: DataFrame, parts: DataFrame, percent: int, block: int =
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(released(run), "a binary, b binary").distinct()
 
 
 def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -382,7 +383,7 @@ def tagged(docs: DataFrame, width: int) -> DataFrame:
             cls = [_class(g) if len(g) else None for s in ta.slices(b.column(0)) for g in _sets(s, width)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(cls, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

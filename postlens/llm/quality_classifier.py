@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import docstats
-from .cluster import checkpointed, ship
+from .cluster import checkpointed, released, ship
 
 COMPONENTS = 128     # random Fourier features
 WIDTH = 3.0          # of the Gaussian kernel, in standard deviations
@@ -77,7 +77,7 @@ def features(docs: DataFrame) -> DataFrame:
             at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, flat)], names=["doc_id", "x"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return rows.mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -101,7 +101,7 @@ def _summed(rows: DataFrame, per_batch, size: int) -> np.ndarray:
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    parts = rows.select("x", "y").mapInArrow(partial, "s binary").repartition(SUM_ROWS).mapInArrow(add, "s binary")
+    parts = rows.select("x", "y").mapInArrow(released(partial), "s binary").repartition(SUM_ROWS).mapInArrow(released(add), "s binary")
     return np.sum([np.frombuffer(r.s) for r in parts.collect()], axis=0)
 
 
@@ -185,7 +185,7 @@ def classified(docs: DataFrame, model: Model, columns: list[str], keep: float =
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(k) for k in source), pa.array(s), pa.array((s >= keep).astype(np.int32))], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .cluster import checkpointed, ship
+from .cluster import checkpointed, released, ship
 
 MAX_EPOCHS = 3
 BLOCK_WORDS = 1 << 18
@@ -179,7 +179,7 @@ def plan(rows: DataFrame, narrow: DataFrame, seed: int = 9, block_words: int = B
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["shard", "_k", "_first", "_n"])
 
-    slots = (spark.range(leaves).mapInArrow(quotas, "shard long, _k long, _first long, _n long")
+    slots = (spark.range(leaves).mapInArrow(released(quotas), "shard long, _k long, _first long, _n long")
              .select("shard", "_k", F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)).alias("_slot")))
 
     # A source's block copies in permuted order: epoch after epoch, blocks by their random place.

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .cluster import ship
+from .cluster import released, ship
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
-MEMO_WORDS = 600_000  # remembered pre-tokens of a worker, about 100 MB
+MEMO_WORDS = 600_000  # remembered pre-tokens of a task, about 90 MB
 
 
 class Unigram:
@@ -117,18 +117,21 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unigram = Unigram.of_model(model.value)
-        for b in batches:
-            for s in ta.slices(b.column(1)):
-                raw, at = s.buf.tobytes(), s.offsets.tolist()
-                words = [raw[a:z].split() for a, z in zip(at, at[1:])]  # bytes split at the six ASCII separators
-                unigram.learn([w for text in words for w in text])
-                get = unigram.memo.__getitem__
-                n = len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s.first, n), pa.array([len(w) for w in words], pa.int64()),
-                     pa.array([sum(map(get, w)) for w in words], pa.int64())], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
+        try:
+            for b in batches:
+                for s in ta.slices(b.column(1)):
+                    raw, at = s.buf.tobytes(), s.offsets.tolist()
+                    words = [raw[a:z].split() for a, z in zip(at, at[1:])]  # bytes split at the six ASCII separators
+                    unigram.learn([w for text in words for w in text])
+                    get = unigram.memo.__getitem__
+                    n = len(words)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(s.first, n), pa.array([len(w) for w in words], pa.int64()),
+                         pa.array([sum(map(get, w)) for w in words], pa.int64())], names=schema.names)
+        finally:
+            unigram.memo = {}  # the worker process lives on in other stages
+
+    return rows.mapInArrow(released(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
