@@ -11,9 +11,9 @@ diagonals are candidates.  Candidates are verified token by token: spans that be
 end with a shared token, reach ``PERCENT`` per cent Jaccard and ``MIN_WORDS`` words.
 
 Each document is compared with the first document (smallest id) of each of its
-min-hashes; copies met within a task are linked there to the first of the task and only
-that one is dealt out by its hash, so a passage that a third of all documents share
-does not meet in one task.  The first document keeps a passage, later ones lose it.
+min-hashes and with the one before it; copies met within a task are linked there to the
+first of the task and only that one is dealt out by its hash, so a passage that a third
+of all documents share does not meet in one task.  The first document keeps a passage, later ones lose it.
 
 Defined results: null, empty and short texts have no windows and are never changed;
 rows alike in id and text are one document, rows that share only the id are different
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textarrays as ta
-from .cluster import checkpointed, ship
+from .cluster import checkpointed, released, ship
 
 WIDTH = 5
 MIN_WORDS = 50
@@ -43,7 +43,7 @@ ENOUGH = 2
 PERCENT = 80
 BAND = 16            # diagonals of a band
 TILE = 64            # tokens of a verified tile; one bit each in a long
-BUFFER_ROWS = 400_000
+BUFFER_ROWS = 150_000
 LAST_ID = (1 << 63) - 1  # stands for a null id
 
 _U = np.uint64
@@ -113,15 +113,27 @@ def windows(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
     one key, the first document's is dealt by the key; the others carry it as ``own``."""
 
     def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, i, id_, h, c, l, r = (np.concatenate(x) for x in zip(*parts))
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        key, _, id_, h, c, _, _ = cols
+        n = len(key)
         by = np.lexsort((c, h, id_, key))
-        key, i, id_, h, c, l, r = (x[by] for x in (key, i, id_, h, c, l, r))
-        start = np.append(True, key[1:] != key[:-1])
-        first = np.flatnonzero(start)[np.cumsum(start) - 1]
-        linked = (id_ != id_[first]) | (h != h[first])
-        key = np.where(linked, ta.as_int64(ta.mix64(key.view(np.uint64) + np.arange(len(key), dtype=np.uint64))), key)
-        own = pa.StructArray.from_arrays([pa.array(x[first]) for x in (id_, h, c, l, r)], names=_OWN.names, mask=pa.array(~linked))
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, i, id_, h, c, l, r)), own], names=_WINDOW.names)
+        start = np.append(True, key[by][1:] != key[by][:-1])
+        first = np.empty(n, dtype=np.int64)   # the first window of each one's key ...
+        first[by] = by[np.flatnonzero(start)[np.cumsum(start) - 1]]
+        before = np.empty(n, dtype=np.int64)  # ... and the one before it
+        before[by] = np.where(start, by, np.roll(by, 1))
+        other = lambda x: (id_ != id_[x]) | (h != h[x])
+        linked = other(first)
+        # Rows stay in the order of the texts, in which ids compress well.  A linked window
+        # also gets a row for the one before it, if that is of yet another document.
+        again = np.flatnonzero(linked & (before != first) & other(before))
+        rows = np.concatenate([np.arange(n), again])
+        owner = np.concatenate([first, before[again]])
+        linked = np.concatenate([linked, np.ones(len(again), dtype=bool)])
+        cols = [x[rows] for x in cols]
+        cols[0] = np.where(linked, ta.as_int64(ta.mix64(cols[0].view(np.uint64) + np.arange(len(rows), dtype=np.uint64))), cols[0])
+        own = pa.StructArray.from_arrays([pa.array(np.concatenate(x)[owner]) for k, x in enumerate(zip(*parts)) if k > 1], names=_OWN.names, mask=pa.array(~linked))
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), own], names=_WINDOW.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -146,15 +158,19 @@ def windows(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
         if parts:
             yield packed(parts)
 
-    return rows.mapInArrow(run, _WINDOW)
+    return rows.mapInArrow(released(run), _WINDOW)
 
 
 def candidates(rows: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """(id, h, oid, oh, band, dlo, dhi, first, last): token interval of a document whose
     windows meet those of an earlier document on a band of diagonals."""
     me = F.struct("id", "h", "c", "l", "r")
-    group = Window.partitionBy("key").orderBy("id", "h", "c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    linked = (windows(rows, hashes).withColumn("own", F.coalesce("own", F.first(me).over(group)))
+    group = Window.partitionBy("key").orderBy("id", "h", "c")
+    upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (windows(rows, hashes).withColumn("first", F.first(me).over(upto)).withColumn("before", F.lag(me).over(group))
+             .where("own is not null or before is not null"))
+    owners = F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array_distinct(F.array("first", "before")))
+    linked = (found.withColumn("own", F.explode(owners))
               .where((F.col("id") != F.col("own.id")) | (F.col("h") != F.col("own.h"))))
     diag = F.col("c") - F.col("own.c")
     lo = F.greatest(F.col("l"), F.col("own.l") + diag)
@@ -191,7 +207,7 @@ def strips(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
                                                      names=["id", "h", "tile", "strip"])
 
-    return asked.mapInArrow(run, "id long, h int, tile int, strip binary").dropDuplicates(["id", "h", "tile"])
+    return asked.mapInArrow(released(run), "id long, h int, tile int, strip binary").dropDuplicates(["id", "h", "tile"])
 
 
 def spans_of(matched: np.ndarray, percent: int = PERCENT, least: int = MIN_TOKENS) -> list[tuple[int, int]]:
@@ -240,7 +256,7 @@ def repeats(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(0), pa.array(masks.view(np.int64))], names=["id", "h", "oid", "oh", "band", "dlo", "tile", "mask"])
 
     hits = (both.select("tile", "strip", "other", "id", "h", "oid", "oh", "band", "dlo")
-            .mapInArrow(compare, "id long, h int, oid long, oh int, band long, dlo int, tile int, mask long").where("mask <> 0"))
+            .mapInArrow(released(compare), "id long, h int, oid long, oh int, band long, dlo int, tile int, mask long").where("mask <> 0"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     masks = (hits.groupBy("id", "h", "oid", "oh", "band", "dlo", "tile").agg(F.bit_or("mask").alias("mask"))
              .repartition(n, "id", "h").sortWithinPartitions("id", "h", "oid", "oh", "band", "tile"))
@@ -297,7 +313,7 @@ def repeats(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))],
                                              names=["id", "h", "start_word", "end_word", "oid", "oh", "source_start"])
 
-    return masks.mapInArrow(spans, "id long, h int, start_word int, end_word int, oid long, oh int, source_start int")
+    return masks.mapInArrow(released(spans), "id long, h int, start_word int, end_word int, oid long, oh int, source_start int")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -347,22 +363,26 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(len(names))
-            hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
-            cols = list(b.columns[:len(names)])
-            if len(hit):
-                texts = cols[text_at].to_pylist()
-                counts = cols[count_at].to_pylist() if count_at is not None else None
-                for k in hit:
-                    texts[k] = cut(texts[k], spans[k].as_py())
-                    if counts is not None:
-                        counts[k] = len(texts[k])
-                cols[text_at] = pa.array(texts, cols[text_at].type)
-                if counts is not None and isinstance(count_kind, (T.LongType, T.IntegerType)):
-                    cols[count_at] = pa.array(counts, cols[count_at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    done = joined.select(*names, "_cuts").mapInArrow(run, schema)
+            for lo in range(0, b.num_rows, 256):  # few texts as Python objects at a time
+                yield trimmed(b.slice(lo, 256))
+
+    def trimmed(b: pa.RecordBatch) -> pa.RecordBatch:
+        spans = b.column(len(names))
+        hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+        cols = list(b.columns[:len(names)])
+        if len(hit):
+            texts = cols[text_at].to_pylist()
+            counts = cols[count_at].to_pylist() if count_at is not None else None
+            for k in hit:
+                texts[k] = cut(texts[k], spans[k].as_py())
+                if counts is not None:
+                    counts[k] = len(texts[k])
+            cols[text_at] = pa.array(texts, cols[text_at].type)
+            if counts is not None and isinstance(count_kind, (T.LongType, T.IntegerType)):
+                cols[count_at] = pa.array(counts, cols[count_at].type)
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    done = joined.select(*names, "_cuts").mapInArrow(released(run), schema)
     return done.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
