@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .cluster import ship
+from .cluster import checkpointed, released, ship
 
 CHUNK_BITS = 9        # chunks of about 2**CHUNK_BITS bytes
-MAX_SHARED = 1 << 15  # chunks in the dictionary, about 15 MB of ids
+MAX_SHARED = 1 << 15  # chunks in the dictionary, about 8 MB of ids
 MAX_SHARED_BYTES = 1 << 14  # a longer core is encoded in place
-MEMO_PIECES = 500_000  # remembered pieces of a worker, about 100 MB
+MEMO_PIECES = 400_000  # remembered pieces of a task, about 80 MB
 VOCABULARY = "byte_bpe_50k.json"
 
 _GEAR = ta.mix64(np.arange(256, dtype=np.uint64) + np.uint64(77)).astype(np.uint32)
@@ -135,6 +135,13 @@ class Codec:
         found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def packed(self, ids: bytes) -> bytes:
+        """Ids as 16-bit numbers where the vocabulary allows it."""
+        return np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if len(self.table) <= 1 << 16 else ids
+
+    def unpacked(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes() if len(self.table) <= 1 << 16 else ids
+
     def joined(self, pieces: list[bytes]) -> list[bytes]:
         """Like ``direct`` for pieces that can be joined at sync points: one text, one call."""
         found = self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0]
@@ -182,7 +189,7 @@ def encode_slice(codec: Codec, s: ta.Slice, shared: dict[bytes, bytes]) -> list[
         for a, b, p, q in zip(lo.tolist(), hi.tolist(), place, behind):
             ids = shared.get(xxhash.xxh3_128_digest(raw[a:b]))
             if ids is not None:
-                skip[p] = (q, ids)
+                skip[p] = (q, codec.unpacked(ids))
     at = borders.tolist()
     first = np.searchsorted(borders, s.offsets).tolist()
     runs: list[list[bytes | list[bytes]]] = []
@@ -217,7 +224,7 @@ def encode_slice(codec: Codec, s: ta.Slice, shared: dict[bytes, bytes]) -> list[
 
 
 def shared_chunks(docs: DataFrame, spec, max_shared: int = MAX_SHARED) -> dict[bytes, bytes]:
-    """Hash -> ids of the repeated chunk cores that save most bytes; each encoded once."""
+    """Hash -> packed ids of the repeated chunk cores that save most bytes; each encoded once."""
     rows = docs.select(F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +235,16 @@ def shared_chunks(docs: DataFrame, spec, max_shared: int = MAX_SHARED) -> dict[b
                 keys = [xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(lo.tolist(), hi.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array((hi - lo).astype(np.int32))], names=["h", "n"])
 
-    seen = rows.mapInArrow(count, "h binary, n int").groupBy("h").agg(F.count("*").alias("times"), F.first("n").alias("n")).where("times > 1")
-    best = {bytes(r["h"]) for r in seen.orderBy(F.desc(F.col("n") * (F.col("times") - 1)), "h").limit(max_shared).select("h").collect()}
+    seen = rows.mapInArrow(released(count), "h binary, n int").groupBy("h").agg(F.count("*").alias("times"), F.first("n").alias("n")).where("times > 1")
+    # Eighths of an octave of the bytes saved; the best of them that hold max_shared chunks at most.
+    seen = checkpointed(seen.select("h", F.floor(8 * F.log2(F.col("n") * (F.col("times") - 1))).alias("step")))
+    least, room = None, max_shared
+    for r in sorted(seen.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    best = {bytes(r["h"]) for r in seen.where(F.col("step") >= least).select("h").collect()} if least is not None else set()
     if not best:
         return {}
     wanted = docs.sparkSession.sparkContext.broadcast(best)  # at most max_shared hashes of 16 bytes
@@ -252,10 +267,10 @@ def shared_chunks(docs: DataFrame, spec, max_shared: int = MAX_SHARED) -> dict[b
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec.direct(part.column(1).to_pylist()), pa.binary())], names=["h", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([codec.packed(x) for x in codec.direct(part.column(1).to_pylist())], pa.binary())], names=["h", "ids"])
 
-    once = rows.mapInArrow(texts, "h binary, text binary").groupBy("h").agg(F.min("text").alias("text"))
-    return {bytes(r["h"]): bytes(r["ids"]) for r in once.mapInArrow(encode, "h binary, ids binary").collect()}
+    once = rows.mapInArrow(released(texts), "h binary, text binary").groupBy("h").agg(F.min("text").alias("text"))
+    return {bytes(r["h"]): bytes(r["ids"]) for r in once.mapInArrow(released(encode), "h binary, ids binary").collect()}
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -284,13 +299,16 @@ def _encoded(docs: DataFrame, path: str | None, max_shared: int, columns: list)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.get(spec.value)
-        for b in batches:
-            for s in ta.slices(b.column(1)):
-                done = encode_slice(codec, s, shared.value)
-                out = [pa.array([f(ids, text) for ids, text in done], kind) for _, _, kind, f in columns]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(done)), *out], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
+        try:
+            for b in batches:
+                for s in ta.slices(b.column(1)):
+                    done = encode_slice(codec, s, shared.value)
+                    out = [pa.array([f(ids, text) for ids, text in done], kind) for _, _, kind, f in columns]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(done)), *out], names=schema.names)
+        finally:
+            codec.memo = {}  # the worker process lives on in other stages
+
+    return rows.mapInArrow(released(run), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, max_shared: int = MAX_SHARED) -> DataFrame:
