@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import docstats
-from .cluster import ship
+from .cluster import released, ship
 
 #: Labelled rows that a list is learned from at most, those of smallest hash of the id.
 SAMPLE_ROWS = 20_000
@@ -167,7 +167,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 [b.column(0), *(pa.array(c[:, i]) for i in range(c.shape[1])), *(pa.array(f[:, i]) for i in range(f.shape[1]))],
                 names=["doc_id", *docstats.COUNTS, *docstats.FEATURES])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def base_failed() -> Column:
@@ -181,9 +181,13 @@ def learn(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l
     Of several labels of one id the smallest counts; null ids and labels are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_label"))
-    rows = stats.where(~base_failed()).join(known, "doc_id")
     if usable is not None:
-        rows = rows.where(usable(F.col("doc_id")))
+        known = known.where(usable(F.col("doc_id")))
+    n = known.count()
+    if n > sample_rows:
+        # By a cut-off on the hash, so that tasks do not each send a full sample to the driver.
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * sample_rows / n))
+    rows = stats.where(~base_failed()).join(known, "doc_id")
     sample = (rows.orderBy(F.xxhash64("doc_id"), "doc_id", *docstats.FEATURES).limit(sample_rows)
               .select(*docstats.FEATURES, "_label").toPandas())
     if not len(sample):
