@@ -62,7 +62,8 @@ def _nearest(centres: list[list[float]]) -> Column:
     own norm, which is the same for all)."""
     scores = []
     for j, c in enumerate(centres):
-        dot = F.aggregate(F.zip_with("_x", F.array(*map(F.lit, c)), lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+        at = F.lit(c)
+        dot = F.aggregate("_x", F.lit(0.0), lambda t, e: t + e["v"] * F.get(at, e["i"]))
         scores.append(F.struct(C.round_half_up(F.lit(sum(v * v for v in c)) - F.lit(2.0) * dot, 4).alias("d"), F.lit(j).alias("j")))
     return F.array_min(F.array(*scores))["j"]
 
@@ -70,10 +71,11 @@ def _nearest(centres: list[list[float]]) -> Column:
 def lloyd_from_first(vectors: DataFrame, k: int, rounds: int) -> DataFrame:
     """``vectors`` (tweet_id, features) with ``cluster_id`` after ``rounds`` Lloyd rounds from
     the first k posts (numeric id) with a vector other than zero."""
-    rows = vectors.withColumn("_x", vector_to_array("features"))
-    first = (rows.where(F.exists("_x", lambda v: v != 0)).orderBy(F.col("tweet_id").cast("long"), "tweet_id")
-             .limit(k).select("_x").collect())
+    first = (vectors.withColumn("_x", vector_to_array("features")).where(F.exists("_x", lambda v: v != 0))
+             .orderBy(F.col("tweet_id").cast("long"), "tweet_id").limit(k).select("_x").collect())
     centres = [r["_x"] for r in first]
+    weights = F.transform(vector_to_array("features"), lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    rows = materialize(vectors.withColumn("_x", F.filter(weights, lambda e: e["v"] != 0)))  # once, not per round
     for _ in range(rounds):
         sums = (rows.withColumn("cluster_id", _nearest(centres)).groupBy("cluster_id")
                 .agg(Summarizer.sum(F.col("features")).alias("s"), F.count(F.lit(1)).alias("n")).collect())
