@@ -13,7 +13,14 @@ end with a shared token, reach ``PERCENT`` per cent Jaccard and ``MIN_WORDS`` wo
 Each document is compared with the first document (smallest id) of each of its
 min-hashes and with the one before it; copies met within a task are linked there to the
 first of the task and only that one is dealt out by its hash, so a passage that a third
-of all documents share does not meet in one task.  The first document keeps a passage, later ones lose it.
+of all documents share does not meet in one task.  Min-hashes of three or more documents
+are compared further, by the min-hash with the ``HALF`` tokens to its left or right: any
+common passage of ``MIN_WORDS`` words holds one side of its minimum.  Windows with the
+same ``REACH`` tokens to each side of the minimum form a class, which its first document
+stands for, and the classes of a key meet pairwise in blocks.  There a class is a candidate with an earlier one if they share a
+span as above near the minimum that no earlier one met in the block has already covered,
+so a common passage does not expand into its pairs.  The first document keeps a passage,
+later ones lose it.
 
 Defined results: null, empty and short texts have no windows and are never changed;
 rows alike in id and text are one document, rows that share only the id are different
@@ -23,6 +30,7 @@ not reported; an empty table gives no rows; extra columns pass through the stage
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +51,9 @@ ENOUGH = 2
 PERCENT = 80
 BAND = 16            # diagonals of a band
 TILE = 64            # tokens of a verified tile; one bit each in a long
+REACH = MIN_TOKENS - 1  # of a strip, to each side of a minimum
+HALF = MIN_TOKENS // 2  # of a side that documents share with the minimum
+BLOCK = 512          # classes of a block
 BUFFER_ROWS = 150_000
 LAST_ID = (1 << 63) - 1  # stands for a null id
 
@@ -99,7 +110,8 @@ def compact_windows(f: np.ndarray, ptr: np.ndarray, least: int) -> tuple[np.ndar
 
 _OWN = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.IntegerType()), T.StructField("c", T.IntegerType()),
                      T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType())])
-_WINDOW = T.StructType([T.StructField("key", T.LongType()), T.StructField("i", T.IntegerType()), *_OWN.fields, T.StructField("own", _OWN)])
+_WINDOW = T.StructType([T.StructField("key", T.LongType()), T.StructField("i", T.IntegerType()), *_OWN.fields, T.StructField("own", _OWN),
+                        T.StructField("minhash", T.LongType())])  # minhash: the key before it is changed for a linked window
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -131,9 +143,10 @@ def windows(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
         owner = np.concatenate([first, before[again]])
         linked = np.concatenate([linked, np.ones(len(again), dtype=bool)])
         cols = [x[rows] for x in cols]
+        minhash = pa.array(cols[0])
         cols[0] = np.where(linked, ta.as_int64(ta.mix64(cols[0].view(np.uint64) + np.arange(len(rows), dtype=np.uint64))), cols[0])
         own = pa.StructArray.from_arrays([pa.array(np.concatenate(x)[owner]) for k, x in enumerate(zip(*parts)) if k > 1], names=_OWN.names, mask=pa.array(~linked))
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), own], names=_WINDOW.names)
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), own, minhash], names=_WINDOW.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -161,14 +174,18 @@ def windows(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
     return rows.mapInArrow(released(run), _WINDOW)
 
 
-def candidates(rows: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
-    """(id, h, oid, oh, band, dlo, dhi, first, last): token interval of a document whose
-    windows meet those of an earlier document on a band of diagonals."""
+def met_windows(rows: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """Windows that meet others of their min-hash: with ``own``, or with the first and the previous one."""
     me = F.struct("id", "h", "c", "l", "r")
     group = Window.partitionBy("key").orderBy("id", "h", "c")
     upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = (windows(rows, hashes).withColumn("first", F.first(me).over(upto)).withColumn("before", F.lag(me).over(group))
-             .where("own is not null or before is not null"))
+    return (windows(rows, hashes).withColumn("first", F.first(me).over(upto)).withColumn("before", F.lag(me).over(group))
+            .where("own is not null or before is not null"))
+
+
+def candidates(found: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(id, h, oid, oh, band, dlo, dhi, first, last): token interval of a document whose
+    windows meet those of an earlier document on a band of diagonals."""
     owners = F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array_distinct(F.array("first", "before")))
     linked = (found.withColumn("own", F.explode(owners))
               .where((F.col("id") != F.col("own.id")) | (F.col("h") != F.col("own.h"))))
@@ -183,6 +200,150 @@ def candidates(rows: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> D
             .where(F.bit_count("which") >= enough).drop("which"))
 
 
+def crowded(found: DataFrame) -> DataFrame:
+    """(minhash, id, h, c): windows of the min-hashes of three or more windows."""
+    members = found.select("minhash", F.explode(F.array(
+        *(F.struct(*(F.col(f"{s}{c}").alias(c) for c in ("id", "h", "c"))) for s in ("", "own.", "first.")))).alias("m"))
+    members = members.select("minhash", "m.*").where("id is not null").distinct()
+    many = members.groupBy("minhash").agg(F.count("*").alias("n")).where("n > 2").select("minhash")
+    return members.join(many, "minhash")
+
+
+def around(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, id, h, c, at, strip): 16-bit hashes of the tokens within REACH of c; at: of c in it.
+    One row for each side of c that has HALF tokens, its key made of them and the min-hash."""
+    lists = wanted.groupBy("id", "h").agg(F.collect_set(F.struct("minhash", "c")).alias("centres"))  # at most a text's windows
+    asked = rows.join(lists, ["id", "h"]).select("id", "h", "text", "centres")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hs, centres = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)
+            for s in ta.slices(b.column(2)):
+                g, ptr = tokens(s)
+                small = (g >> _U(11)).astype(np.uint16)
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for t in range(len(ptr) - 1):
+                    k = s.first + t
+                    full, own = g[ptr[t]:ptr[t + 1]], small[ptr[t]:ptr[t + 1]]
+                    for x in centres[k].as_py():
+                        c = x["c"]
+                        a = max(0, c - REACH)
+                        for lo, hi in ((c - HALF, c), (c, c + HALF)):
+                            if lo < 0 or hi >= len(own):
+                                continue
+                            key = hashlib.blake2b(full[lo:hi + 1].tobytes() + bytes([lo == c]) + x["minhash"].to_bytes(8, "little", signed=True), digest_size=8).digest()
+                            for col, v in zip(out, (int.from_bytes(key, "little", signed=True), ids[k], hs[k], c, c - a, own[a:c + REACH + 1].tobytes())):
+                                col.append(v)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
+                                                     names=["key", "id", "h", "c", "at", "strip"])
+
+    return asked.mapInArrow(released(run), "key long, id long, h int, c int, at int, strip binary")
+
+
+def in_classes(strip: DataFrame) -> DataFrame:
+    """One row for each class: key, at, strip and its first id, h and c."""
+    return (strip.groupBy("key", "at", "strip").agg(F.min(F.struct("id", "h", "c")).alias("f"))
+            .select("key", "at", "strip", "f.*"))
+
+
+def of_classes(strip: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates of every window with the first of its class."""
+    first = classes.select("key", "at", "strip", F.col("id").alias("oid"), F.col("h").alias("oh"), F.col("c").alias("oc"))
+    return (strip.join(first, ["key", "at", "strip"]).where((F.col("id") != F.col("oid")) | (F.col("h") != F.col("oh")))
+            .select("id", "h", "oid", "oh", (F.col("c") - F.col("oc")).alias("dlo"), (F.col("c") - F.col("oc")).alias("dhi"),
+                    (F.col("c") - F.col("at")).alias("first"), (F.col("c") - F.col("at") + F.octet_length("strip") / 2 - 1).cast("int").alias("last")))
+
+
+def new_spans(x: np.ndarray, others: np.ndarray, percent: int = PERCENT, least: int = MIN_TOKENS) -> list[tuple[int, int, int]]:
+    """(row of ``others``, start, end) of spans of the strip ``x`` that rows share, of those
+    that share most first; a row whose spans earlier ones cover is left out.
+
+    ``others``: strips padded with 1 << 16.
+    """
+    place = np.full((1 << 16) + 1, len(x), dtype=np.int16)
+    place[x[::-1]] = np.arange(len(x) - 1, -1, -1)
+    hit = np.zeros((len(others), len(x) + 1), dtype=bool)
+    hit[np.arange(len(others))[:, None], place[others]] = True
+    hit = hit[:, place[x]]  # repeated tokens too
+    total = hit.sum(1)
+    left = np.flatnonzero(total >= -(-2 * percent * least // (100 + percent)))
+    left = left[np.argsort(-total[left], kind="stable")]
+    covered = np.zeros(len(x), dtype=bool)
+    out = []
+    while len(left):
+        k, left = left[0], left[1:]
+        for a, b in spans_of(hit[k], percent, least):
+            if not covered[a:b].all():
+                covered[a:b] = True
+                out.append((int(k), a, b))
+        left = left[(hit[left] & ~covered).any(1)]
+    return out
+
+
+def across(classes: DataFrame) -> DataFrame:
+    """Candidates of the first windows of different classes, compared in blocks."""
+    sizes = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))
+    rows = (classes.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "h", "c"), F.col("n")).cast("int"))
+            .withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            .select("key", F.least("own", "meets").alias("x"), F.greatest("own", "meets").alias("y"), "own", "id", "h", "c", "at", "strip"))
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id", "h", "c")
+    names = ["id", "h", "oid", "oh", "dlo", "dhi", "first", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            if not t.num_rows:
+                continue
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+            rest = t.slice(edges[-1])
+            yield from met([t.slice(p, q - p) for p, q in zip(edges, edges[1:])])
+        if rest is not None:
+            yield from met([rest])
+
+    def met(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for g in groups:
+            if g.num_rows > 1:
+                out += in_block(g)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(
+                (list(x) for x in zip(*out)), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=names)
+
+    def in_block(g: pa.Table) -> list[tuple]:
+        id_, h, c, at, own = (g.column(k).to_numpy() for k in ("id", "h", "c", "at", "own"))
+        one = g.column("x")[0].as_py() == g.column("y")[0].as_py()
+        strips_ = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in g.column("strip").combine_chunks()]
+        padded = np.full((len(strips_), 2 * REACH + 1), 1 << 16, dtype=np.int32)
+        for k, x in enumerate(strips_):
+            padded[k, :len(x)] = x
+        out = []
+        for k in range(1, len(id_)):  # rows are in the order of their documents
+            earlier = np.arange(k)
+            earlier = earlier[((id_[:k] != id_[k]) | (h[:k] != h[k])) & (one | (own[:k] != own[k]))]
+            if not len(earlier):
+                continue
+            base = int(c[k] - at[k])
+            for j, a, b in new_spans(strips_[k], padded[earlier]):
+                o = earlier[j]
+                out.append((int(id_[k]), int(h[k]), int(id_[o]), int(h[o]), int(c[k] - c[o]) - BAND, int(c[k] - c[o]) + BAND, base + a, base + b - 1))
+        return out
+
+    return rows.mapInArrow(released(run), "id long, h int, oid long, oh int, dlo int, dhi int, first int, last int")
+
+
+def more_candidates(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates as of ``candidates`` among all documents of a min-hash, with repeats."""
+    strip = checkpointed(around(rows, crowded(found)))
+    classes = checkpointed(in_classes(strip))
+    return (of_classes(strip, classes).union(across(classes))
+            .select("id", "h", "oid", "oh", F.floor((F.col("dlo") + F.col("dhi")) / (2 * BAND)).alias("band"), "dlo", "dhi", "first", "last"))
+
+
 def strips(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, h, tile, strip): 16-bit token hashes of the tiles asked for."""
     lists = wanted.groupBy("id", "h").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))  # at most a text's tiles
@@ -238,7 +399,10 @@ def repeats(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> Data
     spark = docs.sparkSession
     ship(spark)
     rows = keyed(docs)
-    found = checkpointed(candidates(rows, hashes, enough))
+    met = checkpointed(met_windows(rows, hashes))
+    found = checkpointed(candidates(met, enough).union(more_candidates(rows, met))
+                         .groupBy("id", "h", "oid", "oh", "band")
+                         .agg(F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi"), F.min("first").alias("first"), F.max("last").alias("last")))
     mine = found.withColumn("tile", F.explode(F.expr(f"sequence(CAST(first div {TILE} AS INT), CAST(last div {TILE} AS INT))")))
     lo, hi = (F.greatest(F.lit(0), F.floor((F.col("tile") * TILE + edge) / TILE)).cast("int") for edge in (-F.col("dhi"), TILE - 1 - F.col("dlo")))
     theirs = mine.where(hi >= 0).withColumn("otile", F.explode(F.sequence(lo, hi)))

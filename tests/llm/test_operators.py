@@ -126,6 +126,52 @@ def test_exact_repeats_of_the_corpus_are_found(spark, corpus):
     assert sum(len(truth[i] - got[i]) for i in truth) <= 0.01 * sum(map(len, truth.values()))
 
 
+def repeated_words(rows):
+    """Words of exact passages of 50 or more words that an earlier document has: {(id, place)}."""
+    first, out = {}, set()
+    for i, t in sorted(rows):
+        w = words(lower(t))
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k:k + 50]), i) != i:
+                out |= {(i, j) for j in range(k, k + 50)}
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_repeats_among_stock_lines_match_brute_force(spark, parts):
+    import random
+
+    r = random.Random(8)
+    lines = [prose(1000 + k, 10) for k in range(30)]
+    texts = [r.sample(lines, 12) for _ in range(240)]
+    for k in range(0, 60, 2):  # passages of six lines that only two texts share
+        at, there = r.randrange(7), r.randrange(7)
+        texts[239 - k][at:at + 6] = texts[100 + k][there:there + 6]
+    rows = [(k, "\n".join(t)) for k, t in enumerate(texts)]
+    truth = repeated_words(rows)
+    assert len({i for i, _ in truth}) >= 25
+    found = substring_dedup.report(documents(spark, rows).repartition(parts)).collect()
+    assert truth <= {(x.doc_id, j) for x in found for j in range(x.start_word, x.end_word)}
+    by_id = dict(rows)
+    for x in found:
+        span = shingles(" ".join(words(by_id[x.doc_id])[x.start_word:x.end_word]), 5)
+        assert x.source_doc_id < x.doc_id and len(span & shingles(by_id[x.source_doc_id], 5)) >= 0.8 * len(span)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_a_variant_between_the_first_and_the_previous_is_found(spark, parts):
+    passage = prose(31, 100).split()
+
+    def variant(k):  # every twelfth word another
+        return " ".join(f"other{k}x{j}" if (j + k) % 12 == 0 else w for j, w in enumerate(passage))
+
+    rows = [(k, prose(100 + k, 30) + " " + variant(k)) for k in range(1, 25)]
+    rows += [(12.5, prose(99, 40) + " " + " ".join(passage)), (30, " ".join(passage) + " " + prose(98, 30))]
+    rows = [(int(2 * k), t) for k, t in rows]
+    found = {x.doc_id: x for x in substring_dedup.report(documents(spark, rows).repartition(parts)).collect()}
+    assert (found[60].source_doc_id, found[60].start_word, found[60].end_word) == (25, 0, 100)
+
+
 # ---- 2 quality rules --------------------------------------------------------------
 
 def brute_stats(t):
