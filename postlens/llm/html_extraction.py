@@ -3,12 +3,11 @@
 The standard library's parser feeds events to :class:`Blocks`, which cuts the page
 into block lines (the text between block-level tags) and counts the tags of each.
 The text-to-tag ratio of every line is smoothed with a Gaussian and thresholded at
-the spread of the page; lines above it seed the content region.  The region is the
-article (or main) element that holds the seeds, or else the innermost element with
-most of their text.  All of its lines belong to the result, short paragraphs too,
-but for those inside elements that by tag, role or class are menus, headers,
-footers, sidebars, notices, adverts, forms or comments, and link-only list items
-below the threshold.
+the spread of the page; lines above it seed the content region.  The region is all
+article and main elements that hold seeds, if most of the seeds' text is in them, or
+else the lowest division that holds all seeds.  All of its lines belong to the result,
+short paragraphs and lists of links too, but for those inside elements that by tag,
+role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
 Defined results: null or empty html and pages without text give an empty string;
 unclosed and stray tags are tolerated; repeated rows give repeated results; an empty
@@ -30,7 +29,8 @@ from pyspark.sql import types as T
 from .cluster import released, ship
 
 SIGMA = 1.0          # of the Gaussian, in lines
-DESCEND_SHARE = 0.7  # of the seeds' text that an inner element needs to become the region
+
+DIVISIONS = frozenset("page html body div center dialog".split())  # what can be a region without article or main
 
 # HTML element names and the usual words in classes, ids and roles.
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -195,28 +195,20 @@ def main_text(html: str | None) -> str:
             mass[x[1]] += len(x[0])
     for node in range(n - 1, 0, -1):
         mass[page.parent[node]] += mass[node]
-    region = 0
     named = [k for k in range(n) if page.kind[k] in ("article", "main") and mass[k]]
-    if named:
-        region = max(named, key=lambda k: (mass[k], -k))
-        articles = [k for k in named if page.kind[k] == "article"]
-        if articles:
-            best = max(articles, key=lambda k: (mass[k], -k))
-            region = best if 2 * mass[best] >= mass[region] else region
-    else:
-        heaviest: dict[int, int] = {}
-        for k in range(1, n):
-            up = page.parent[k]
-            if up not in heaviest or mass[k] > mass[heaviest[up]]:
-                heaviest[up] = k
-        while region in heaviest and page.kind[heaviest[region]] not in ("p", "li", "tr", "td", "pre") and mass[heaviest[region]] >= DESCEND_SHARE * max(mass[region], 1):
-            region = heaviest[region]
     within = [False] * n
-    within[region] = True
-    for node in range(region + 1, n):
-        within[node] = within[page.parent[node]]
-    return "\n".join(x[0] for x, s in zip(lines, smooth)
-                     if within[x[1]] and not x[3] and not (x[4] and page.kind[x[1]] == "li" and s < threshold))
+    for k in named:
+        within[k] = True
+    for node in range(1, n):
+        within[node] |= within[page.parent[node]]
+    if 2 * sum(len(x[0]) for x, seed in zip(lines, seeds) if seed and within[x[1]]) < mass[0] or not named:
+        region = max(k for k in range(n) if mass[k] == mass[0])  # nodes are numbered from the outside in
+        while page.kind[region] not in DIVISIONS:
+            region = page.parent[region]
+        within = [k == region for k in range(n)]
+        for node in range(region + 1, n):
+            within[node] |= within[page.parent[node]]
+    return "\n".join(x[0] for x in lines if within[x[1]] and not x[3])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -353,6 +353,23 @@ def test_articles_of_the_pages(spark):
 
 # ---- 8 n-gram join ----------------------------------------------------------------
 
+def test_main_text_drops_only_marked_boilerplate():
+    p, q, head = prose(41, 130), prose(42, 45), "A Heading"
+    menu = '<nav><a href="/">Home</a></nav>'
+    for body, expected in (
+        (f"<div id=content><div class=part><p>{p}</p></div><div class=part><p>{q}</p></div></div>", [p, q]),
+        (f"<div><h1>{head}</h1><blockquote><p>{p}</p></blockquote><p>{q}</p></div>", [head, p, q]),
+        (f"<div><h1>{head}</h1><section><p>{p}</p></section><p>short</p></div>", [head, p, "short"]),
+        (f"<div><h1>{head}</h1><ul><li>{p}</li><li>{q}</li></ul><p>short</p></div>", [head, p, q, "short"]),
+        (f"<div><h1>{head}</h1><table><tr><td>{p}</td></tr></table><p>{q}</p></div>", [head, p, q]),
+        (f"<main><article><p>{p}</p></article><article><p>{q}</p></article></main>", [p, q]),
+        (f"<article><p>{p}</p></article><article><p>{q}</p></article>", [p, q]),
+        (f'<article><p>{p}</p><ul><li><a href="/a">a source</a></li></ul><p>{q}</p></article>', [p, "a source", q]),
+    ):
+        html = f"<html><body>{menu}{body}<footer>imprint</footer></body></html>"
+        assert html_extraction.main_text(html).split("\n") == expected, body
+
+
 def brute_components(rows, width, percent):
     sets = [shingles(t, width) for _, t in rows]
     up = list(range(len(rows)))
