@@ -9,7 +9,7 @@
   Euclidean distance, random initial centres drawn from the rows with a fixed
   seed, at most ``max_iter`` iterations);
 * the same from stated starting rows (``start="first"``): the k posts of smallest numeric
-  id whose vector is not zero, then exactly ``max_iter`` Lloyd rounds as DataFrame
+  id whose vector is not zero, then Lloyd rounds, until no centre changes or ``max_iter``, as DataFrame
   aggregations (k centres of max_features values are all that reaches the driver); ties
   go to the lower cluster and an empty cluster keeps its centre, so the result can be
   compared with SQL;
@@ -79,8 +79,11 @@ def lloyd_from_first(vectors: DataFrame, k: int, rounds: int) -> DataFrame:
     for _ in range(rounds):
         sums = (rows.withColumn("cluster_id", _nearest(centres)).groupBy("cluster_id")
                 .agg(Summarizer.sum(F.col("features")).alias("s"), F.count(F.lit(1)).alias("n")).collect())
+        before = list(centres)
         for r in sums:
             centres[r["cluster_id"]] = [v / r["n"] for v in r["s"].toArray().tolist()]
+        if centres == before:  # further rounds change nothing
+            break
     return rows.withColumn("cluster_id", _nearest(centres)).drop("_x")
 
 

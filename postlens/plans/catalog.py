@@ -1090,7 +1090,7 @@ def q_tfidf_vectors(spark, sf):
                           C.round_half_up(l2, 4).alias("l2"))
 
 
-KMEANS_ROUNDS = 3
+KMEANS_ROUNDS = 12
 
 
 def _kmeans_sql(body: str) -> str:

@@ -73,3 +73,22 @@ def test_cluster_sizes_with_lexicon_cover_all_posts(spark, posts):
     assert arrays.count() == posts.count()  # posts without lexicon words stay, with no tokens
     assigned, k, _ = TP.kmeans_clusters(posts, arrays, k=3, max_features=30, max_iter=5)
     assert sum(r["size"] for r in TP.cluster_sizes(assigned, k).collect()) == posts.count()
+
+
+def test_kmeans_rounds_suffice_for_a_slow_start(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from postlens.operators import topics as TP
+    from postlens.plans import catalog
+    xs = [1.0 + 0.25 * k for k in range(40)]  # both first posts at one end: the border moves for many rounds
+    centres, part, rounds = xs[:2], None, 0
+    while True:
+        now = [min((0, 1), key=lambda j: abs(x - centres[j])) for x in xs]
+        if now == part:
+            break
+        part, rounds = now, rounds + 1
+        centres = [sum(x for x, p in zip(xs, part) if p == j) / part.count(j) for j in (0, 1)]
+    assert 3 < rounds <= 12
+    vectors = spark.createDataFrame([(str(k), Vectors.dense([x])) for k, x in enumerate(xs)], ["tweet_id", "features"])
+    got = {int(r.tweet_id): r.cluster_id for r in TP.lloyd_from_first(vectors, 2, catalog.KMEANS_ROUNDS).collect()}
+    assert [got[k] for k in range(len(xs))] == part
