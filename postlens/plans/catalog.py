@@ -941,7 +941,7 @@ def q_word_pairs(spark, sf):
     return TM.word_cooccurrence_pairs(s_arrays(spark, sf), WORD_PAIR_TOP, 2)
 
 
-ALL_PAIRS_MIN = 40
+ALL_PAIRS_MIN = 2
 
 
 @query("word_cooccurrence_all", _S_with(

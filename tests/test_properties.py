@@ -92,3 +92,11 @@ def test_kmeans_rounds_suffice_for_a_slow_start(spark):
     vectors = spark.createDataFrame([(str(k), Vectors.dense([x])) for k, x in enumerate(xs)], ["tweet_id", "features"])
     got = {int(r.tweet_id): r.cluster_id for r in TP.lloyd_from_first(vectors, 2, catalog.KMEANS_ROUNDS).collect()}
     assert [got[k] for k in range(len(xs))] == part
+
+
+def test_all_word_pairs_of_two_posts_are_listed(spark):
+    from conftest import SF_SMALL
+
+    from postlens.plans import catalog
+    counts = catalog.QUERIES["word_cooccurrence_all"](spark, SF_SMALL).agg({"count": "min"}).head()
+    assert counts[0] == 2
