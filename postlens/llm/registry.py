@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, dataset_manifest, html_extraction, license_scan, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts
+from . import bpe_chunks, conversation_trie, dataset_manifest, html_extraction, license_scan, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_source_mixing": source_mixing.query,
     "op10_merkle_fingerprints": merkle_fingerprints.query,
+    "op12_conversation_trie": conversation_trie.query,
     "op13_dataset_manifest": dataset_manifest.query,
 }
 
 ORACLE: dict[str, str] = {
     "op5_license_scan": license_scan.ORACLE_SQL,
+    "op12_conversation_trie": conversation_trie.ORACLE_SQL,
     "op13_dataset_manifest": dataset_manifest.ORACLE_SQL,
 }
