@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_chunks, conversation_trie, dataset_manifest, html_extraction, license_scan, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts
+from . import bpe_chunks, conversation_trie, dataset_manifest, html_extraction, language_id, license_scan, merkle_fingerprints, ngram_join, quality_classifier, quality_rules, source_mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_source_mixing": source_mixing.query,
     "op10_merkle_fingerprints": merkle_fingerprints.query,
+    "op11_language_id": language_id.query,
     "op12_conversation_trie": conversation_trie.query,
     "op13_dataset_manifest": dataset_manifest.query,
 }
