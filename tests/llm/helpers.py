@@ -33,7 +33,7 @@ def shingles(text, width):
 ODD = [
     (1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, "one", "b"), (5, "one two", "b"), (6, "One TWO", None),
     (7, "x " * 30_000, "c"), (8, "é ü 日本 語　です " * 40, "c"), (9, "tie tie tie", "a"), (10, "tie tie tie", "a"),
-    (10, "tie tie tie", "a"), (11, "other text of the same id", "b"), (11, "and a second one", "b"), (None, "no id here", "a"),
+    (10, "tie tie tie", "a"), (11, "other text of the same id", "b"), (11, "and a second one", "b"), (None, "No Id here", "a"),
     (None, None, None), (12, "<|endoftext|> \u0085 \U0001F600 $$$ ###", "zz"), (13, "a\nb\n\na\nb\n", "a"),
 ]
 
