@@ -1094,7 +1094,7 @@ KMEANS_ROUNDS = 12
 
 
 def _kmeans_sql(body: str) -> str:
-    """The same rounds in SQL: starting rows, then per round the nearest centre and the new centres."""
+    """The same assignments in SQL: starting rows, then per round the nearest centre and the new centres."""
     ctes = f"""toks AS {_tok_sql('sp', 'tweet_id,')},
 vocab AS MATERIALIZED (SELECT word, df, row_number() OVER (ORDER BY df DESC, word) AS i
   FROM (SELECT token AS word, count(DISTINCT tweet_id) AS df FROM toks GROUP BY token ORDER BY df DESC, word LIMIT {KMEANS_FEATURES}) v),
@@ -1103,7 +1103,7 @@ w AS MATERIALIZED (SELECT t.tweet_id, t.token, t.c * (ln((1 + (SELECT count(*) F
 kk AS (SELECT unnest(range({KMEANS_K})) AS cid),
 c0 AS MATERIALIZED (SELECT cid, w.token, w.x AS c FROM (SELECT tweet_id, row_number() OVER (ORDER BY CAST(tweet_id AS BIGINT)) - 1 AS cid
   FROM (SELECT DISTINCT tweet_id FROM w) d) s JOIN w USING (tweet_id) WHERE cid < {KMEANS_K})"""
-    for r in range(KMEANS_ROUNDS + 1):
+    for r in range(KMEANS_ROUNDS):
         score = r4("coalesce(n.cn, 0) - 2 * coalesce(dots.dot, 0)")
         ctes += f""",
 a{r} AS MATERIALIZED (SELECT tweet_id, cid FROM (
@@ -1115,7 +1115,7 @@ a{r} AS MATERIALIZED (SELECT tweet_id, cid FROM (
 c{r + 1} AS MATERIALIZED (SELECT a.cid, w.token, sum(w.x) / any_value(m.n) AS c FROM a{r} a JOIN w USING (tweet_id)
   JOIN (SELECT cid, count(*) AS n FROM a{r} GROUP BY cid) m ON m.cid = a.cid GROUP BY a.cid, w.token
   UNION ALL SELECT * FROM c{r} WHERE cid NOT IN (SELECT cid FROM a{r}))"""
-    return _S_with(ctes, body.format(a=f"a{KMEANS_ROUNDS}"))
+    return _S_with(ctes, body.format(a=f"a{KMEANS_ROUNDS - 1}"))
 
 
 _SIZES_SQL = "(SELECT CAST(kk.cid AS INTEGER) AS cluster_id, count(x.tweet_id) AS size FROM kk LEFT JOIN {a} x USING (cid) GROUP BY kk.cid)"

@@ -62,5 +62,14 @@ def materialize(df):
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def checkpointed(df):
+    """``df`` computed and written to the shared folder, its plan cut there: for steps that
+    repeat, whose plans would otherwise grow into each other."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(f"{shared_root(df.sparkSession).rstrip('/')}/_checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
