@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -106,21 +108,78 @@ def parse_keyword_dictionary(raw: str | None) -> list[tuple[str, list[str]]]:
     return [*dict(filter(None, map(_entry, (raw or "").splitlines()))).items()]
 
 
+def _char_class(chars: Iterable[str]) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"
+
+
+def _branches(children: dict[str, str]) -> str:
+    """Alternatives by first character.  Many are halved by look-ahead, so that a position
+    costs the logarithm of their number, as in a search tree."""
+    chars = sorted(children)
+    if len(chars) <= 4:
+        return "|".join(f"\\x{{{ord(c):X}}}{children[c]}" for c in chars)
+    half = len(chars) // 2
+    low, high = ({c: children[c] for c in part} for part in (chars[:half], chars[half:]))
+    return f"(?={_char_class(low)})(?:{_branches(low)})|{_branches(high)}"
+
+
+def terms_pattern(terms: Iterable[str]) -> str:
+    """One regular expression for all terms: their trie, longer terms before shorter ones.
+
+    It is a look-ahead, so a search stops at every position where a term begins, overlaps
+    included, with the longest such term as group 1; the others there are its prefixes.
+    """
+    trie: dict = {}
+    for term in terms:
+        node = trie
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    done: dict[int, str] = {}
+    walk = [(trie, False)]
+    while walk:  # children before their node, without recursion
+        node, ready = walk.pop()
+        below = {c: n for c, n in node.items() if c}
+        if not ready:
+            walk += [(node, True), *((n, False) for n in below.values())]
+        elif below:
+            done[id(node)] = f"(?:{_branches({c: done[id(n)] for c, n in below.items()})}){'?' if '' in node else ''}"
+        else:
+            done[id(node)] = ""
+    first = _char_class(sorted(trie))
+    return f"(?={first})(?=({done[id(trie)]}))"
+
+
+def _is_in(terms: list[str], t: Column) -> Column:
+    return t.isin(terms)
+
+
 def keyword_category_counts(df: DataFrame, keyword_dict: str | list) -> DataFrame:
     """Posts per category: a post counts once for a category when any of its terms
-    occurs in the lower-cased text.  One pass: the (small) dictionary is inlined as
-    literal arrays, one conditional count per category, then unpivoted; categories
-    with no posts stay with 0."""
+    occurs in the lower-cased text.
+
+    One search of each text by :func:`terms_pattern` finds the longest term at every
+    position, whatever their number; a category has a post if one of the found terms has
+    one of the category's terms as a prefix, which is a set made beforehand.  One
+    conditional count per category, then unpivoted; categories with no posts stay with 0.
+    """
     entries = parse_keyword_dictionary(keyword_dict) if isinstance(keyword_dict, str) else list(keyword_dict)
     spark = df.sparkSession
     if not entries:
         return spark.createDataFrame([], "category string, posts bigint")
-    low = F.col("_low")
-    counts = []
-    for i, (_, terms) in enumerate(entries):
-        term_arr = F.array(*[F.lit(t.lower()) for t in terms])
-        counts.append(F.count_if(F.exists(term_arr, lambda t: F.contains(low, t))).alias(f"c{i}"))
-    wide = df.select(F.lower(F.col("text")).alias("_low")).agg(*counts)
+    lowered = [[t.lower() for t in terms] for _, terms in entries]
+    every = sorted({t for terms in lowered for t in terms})
+    holders: dict[str, set[int]] = {}
+    for i, terms in enumerate(lowered):
+        for t in terms:
+            holders.setdefault(t, set()).add(i)
+    implied = [[] for _ in entries]  # terms that begin with one of the category's
+    for t in every:
+        for i in set().union(*(holders.get(t[:k], set()) for k in range(1, len(t) + 1))):
+            implied[i].append(t)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(terms_pattern(every)), F.lit(1)))
+    counts = [F.count_if(F.exists("_found", partial(_is_in, own))).alias(f"c{i}") for i, own in enumerate(implied)]
+    wide = df.select(found.alias("_found")).agg(*counts)
     stack = F.explode(F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(label).alias("category"), F.col(f"c{i}").alias("posts"))
         for i, (label, _) in enumerate(entries)])).alias("r")
