@@ -48,10 +48,19 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("page_id").agg(F.max("url").alias("page_url"))
 
 
+def _with_texts(rows: DataFrame, key, docs: DataFrame) -> DataFrame:
+    """``rows`` with the text of the document of their ``key``.
+
+    The narrow side is dealt to the documents by id.  Texts are never broadcast, however
+    few they are: that would leave all work on them to the scan tasks of the other table.
+    """
+    return rows.join(docs.hint("merge"), key == docs.doc_id, "left")
+
+
 def stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     d, p = _documents(spark, sf_dir), _pages(spark, sf_dir)
-    j = (e.join(d, e.event_id == d.doc_id, "left")
+    j = (_with_texts(e, e.event_id, d)
           .join(p, e.event_id == p.page_id, "left"))
     uid, eid, etype = _s(F.col("user_id")), _s(F.col("event_id")), _s(F.col("event_type"))
     prefix = (F.when(etype == "signup", F.concat(F.lit("RT @user"), uid, F.lit(": ")))
@@ -72,7 +81,7 @@ def archive_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
                                               "o_orderpriority")
     d, p = _documents(spark, sf_dir), _pages(spark, sf_dir)
-    j = (o.join(d, o.o_orderkey == d.doc_id, "left")
+    j = (_with_texts(o, o.o_orderkey, d)
           .join(p, o.o_orderkey == p.page_id, "left"))
     key, cust = _s(F.col("o_orderkey")), _s(F.col("o_custkey"))
     status, prio = _s(F.col("o_orderstatus")), _s(F.col("o_orderpriority"))
