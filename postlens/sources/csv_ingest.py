@@ -1,41 +1,52 @@
 """CSV source and sink for post archives.
 
-Reading is splittable, also with line breaks inside quotes.  Files are read as lines
-(``spark.read.text``); a line begins a record if an even number of quotes precedes it
-in its file.  Quotes are counted within each split, the parity and the number of
-records before every split come from a table with one row per split, and only lines of
-records that span several lines are gathered.  Each record then goes through
-``from_csv``.  (Quotes must be balanced, as CSV writers leave them.)
-
-Decisions before it:
-
-* encoding: over the whole input.  UTF-8 if every line is valid UTF-8; else the
-  Japanese encoding (windows-31j, Shift_JIS, EUC-JP) that decodes most lines without
-  replacement, of equals the one with most full-width Japanese characters; UTF-8 with
-  replacement characters if each of them spoils more lines.
-* column roles, from the first ``GUESS_SAMPLE_ROWS`` records of the first file (content,
-  not names): most cells like a date -> created_at; most cells containing "http" (only
-  if any) -> status_url; longest mean length among the rest -> text; most all-digit
-  cells of length >= 10 among the rest -> tweet_id.  Ties pick the leftmost column.  A
-  header that already names the canonical columns is used as is.
+Any number of files of any layout: encoding, header and column roles are decided for each
+file by itself.  Reading is splittable, also with line breaks inside quotes.
+
+Files are read as lines (``spark.read.text``).  A line with an even number of quotes leaves
+the state "inside quotes" as it was, one with an odd number changes it, so only odd lines
+matter: a first pass returns one row for each split (lines, odd lines, invalid UTF-8), a
+prefix sum over splits gives the state and the line number at the start of each, and in
+the order of a file its odd lines alternately open and close a *span*, a record of several
+lines.  All other lines are records as they stand and are never shuffled; without spans
+there is no exchange of lines at all.  The line numbers of spans are broadcast while there
+are up to ``SPAN_LINES``; beyond, the lines of splits that touch a span are joined with
+them by a shuffle.  (Quotes must be balanced, as CSV writers leave them.)
+
+Decisions for each file:
+
+* encoding, over the whole file.  UTF-8 if every line is valid UTF-8; else the Japanese
+  encoding (windows-31j, Shift_JIS, EUC-JP) that decodes most lines without replacement,
+  of equals the one with most full-width Japanese characters; UTF-8 with replacement
+  characters if each of them spoils more lines.
+* column roles, from the first ``GUESS_SAMPLE_ROWS`` records (content, not names), see
+  ``ROLES``.  Ties pick the leftmost column.  A header that already names the canonical
+  columns is used as is.
 * header: the first record is a header when its created_at cell does not parse.
 
-No setting of the session is changed for longer than an expression is built.
+What is kept of a file is one row for it or for each of its splits; these are what is
+broadcast.  No setting of the session is changed for longer than an expression is built.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import materialize
 
 CANONICAL = ["tweet_id", "created_at", "text", "status_url"]
-# Lines of the first split of the first file that its first records are looked for in.
-HEAD_LINES = 10_000
+# Lines of each file that its first records are first looked for in; 16 times as many next.
+HEAD_LINES = 256
+# Most lines of records of several lines whose numbers (8 bytes and the span's) are broadcast.
+SPAN_LINES = 1 << 20
+# A line's key: the file's number above this many bits, its own number below.
+_LINE_BITS = 40
 ENCODINGS = ["UTF-8", "windows-31j", "Shift_JIS", "EUC-JP"]
 
 _DATE_PARSE = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?: ([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)?$"
@@ -104,123 +115,194 @@ def _decoded(lines: DataFrame, encoding: str, column: str = "value") -> DataFram
         return lines.withColumn(column, F.decode(F.col(column).cast("binary"), encoding))
 
 
-def detect_encoding(spark: SparkSession, path) -> str:
-    """Encoding of the whole input: one pass, or two if it is not UTF-8."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    spoilt = lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("n")).head()["n"]
-    if not spoilt:
-        return "UTF-8"
+def _japanese_scores(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Per group and encoding: lines with replacement characters, full-width less half-width Japanese."""
     rows = lines
     for k, enc in enumerate(ENCODINGS[1:]):
         rows = _decoded(rows.withColumn(f"t{k}", F.col("value")), enc, f"t{k}")
-    found = rows.agg(*[a for k in range(len(ENCODINGS) - 1) for a in (
+    return rows.groupBy(*by).agg(F.count_if(~F.is_valid_utf8("value")).alias("spoilt"), *[a for k in range(len(ENCODINGS) - 1) for a in (
         F.count_if(F.col(f"t{k}").contains("\ufffd")).alias(f"bad{k}"),
         F.sum(F.regexp_count(f"t{k}", F.lit(r"[\p{IsHiragana}\p{IsHan}\x{30A0}-\x{30FF}]"))
-              - F.regexp_count(f"t{k}", F.lit(r"[\x{FF61}-\x{FF9F}]"))).alias(f"ja{k}"))]).head()
-    best = min(range(len(ENCODINGS) - 1), key=lambda k: (found[f"bad{k}"], -found[f"ja{k}"], k))
-    return ENCODINGS[1 + best] if found[f"bad{best}"] <= spoilt else "UTF-8"
+              - F.regexp_count(f"t{k}", F.lit(r"[\x{FF61}-\x{FF9F}]"))).alias(f"ja{k}"))])
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """(file, rec, record): CSV records of decoded lines, numbered from 1 in each file."""
-    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    in_block = Window.partitionBy("file", "block").orderBy("at")
-    seen = F.coalesce(F.sum("q").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumn("q", quotes).withColumn("odd", seen % 2)
-    rows = rows.withColumn("begun0", F.sum(1 - F.col("odd")).over(upto)).withColumn("begun1", F.sum("odd").over(upto))
-    # One row per split: the parity of the quotes before it and the records begun before it.
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (rows.groupBy("file", "block").agg(F.sum("q").alias("q"), F.sum("odd").alias("n1"), F.count(F.lit(1)).alias("n"))
-              .withColumn("flip", F.coalesce(F.sum("q").over(before), F.lit(0)) % 2)
-              .withColumn("begun", F.when(F.col("flip") == 1, F.col("n1")).otherwise(F.col("n") - F.col("n1")))
-              .select("file", "block", "flip", F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("earlier")))
-    placed = rows.join(blocks, ["file", "block"])
-    begins = F.col("odd") == F.col("flip")
-    rec = F.col("earlier") + F.when(F.col("flip") == 1, F.col("begun1")).otherwise(F.col("begun0"))
-    placed = placed.select("file", "block", "at", "value", rec.alias("rec"), (begins & (F.col("q") % 2 == 0)).alias("whole"))
-    whole = placed.where("whole").select("file", "rec", F.col("value").alias("record"))
-    spread = (placed.where("not whole").groupBy("file", "rec")
-              .agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
-              .select("file", "rec", F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("record")))
-    return (whole.union(spread).withColumn("record", F.regexp_replace("record", "\r$", ""))
-            .where((F.col("record") != "") | (F.col("rec") == 1)))
-
-
-def _parsed(records: DataFrame, columns: list[str]) -> DataFrame:
-    ddl = ", ".join(f"c{k} string" for k in range(len(columns)))
-    row = F.from_csv("record", F.lit(ddl), _CSV_OPTIONS)
-    return records.withColumn("row", row).select("file", "rec", *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)])
+def _best_encoding(scores: DataFrame) -> Column:
+    """Number in ENCODINGS: fewest spoilt lines, then most Japanese, then the first."""
+    each = [F.struct(F.col(f"bad{k}").alias("bad"), (-F.col(f"ja{k}")).alias("ja"), F.lit(k + 1).alias("k")) for k in range(len(ENCODINGS) - 1)]
+    best = F.least(*each)
+    return F.when(best["bad"] <= F.col("spoilt"), best["k"]).otherwise(0)
 
 
-@dataclass(frozen=True)
-class Layout:
-    """What the files look like."""
-
-    encoding: str
-    header: bool
-    columns: tuple[str, ...]
-    mapping: ColumnMapping
-
-
-def layout(spark: SparkSession, path, has_header: bool | None = None, encoding: str | None = None,
-           accept_t: bool = False) -> Layout:
-    """Encoding from the whole input; header and column roles from the first records of the first file."""
-    enc = encoding or detect_encoding(spark, path)
-    files = sorted(spark.read.text(path).inputFiles())
-    head = []
-    if files:
-        first = _lines(spark, files[0]).where("block = 0").orderBy("at").limit(HEAD_LINES)
-        records = _records(_decoded(first, enc)).where(F.col("record") != "").orderBy("rec").limit(P.GUESS_SAMPLE_ROWS + 1)
-        head = [r["record"] for r in records.collect()]
-    if not head:
+def detect_encoding(spark: SparkSession, path) -> str:
+    """Encoding of the whole input: one pass, or two if it is not UTF-8."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if not lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("n")).head()["n"]:
+        return "UTF-8"
+    scores = _japanese_scores(lines, [])
+    return ENCODINGS[scores.select(_best_encoding(scores).alias("k")).head()["k"]]
+
+
+def _splits(lines: DataFrame) -> DataFrame:
+    """One row for each split: its file's number ``f``, ``base`` (a line's key less its ``at``),
+    ``last`` key of the file, odd lines, and how many odd lines the file has before it."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    each = lines.groupBy("file", "block").agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("bad"),
+        F.array_sort(F.collect_list(F.when(quotes % 2 == 1, F.col("at")))).alias("odd"))
+    whole = Window.partitionBy("file")
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.shiftleft(F.col("f"), _LINE_BITS)
+    return (each.withColumn("f", (F.dense_rank().over(Window.orderBy("file")) - 1).cast("long"))
+            .withColumn("base", start + F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
+            .withColumn("last", start + F.sum("n").over(whole) - 1)
+            .withColumn("spoilt", F.sum("bad").over(whole))
+            .withColumn("earlier", F.coalesce(F.sum(F.size("odd")).over(before), F.lit(0)))
+            .drop("first", "n", "bad"))
+
+
+def _spans(splits: DataFrame) -> DataFrame:
+    """(f, open, key): the lines of records of several lines; ``open`` is the first line's key."""
+    odd = splits.select("f", "base", "last", "earlier", F.posexplode("odd").alias("k", "at"))
+    pairs = (odd.groupBy("f", F.floor((F.col("earlier") + F.col("k")) / 2).alias("pair"))
+             .agg(F.min(F.col("at") + F.col("base")).alias("open"), F.max(F.col("at") + F.col("base")).alias("end"),
+                  F.count(F.lit(1)).alias("n"), F.max("last").alias("last")))
+    close = F.when(F.col("n") == 2, F.col("end")).otherwise(F.col("last"))  # never closed: to the end of the file
+    return pairs.select("f", "open", F.explode(F.sequence("open", close)).alias("key"))
+
+
+def _line_of(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << _LINE_BITS) - 1))
+
+
+class Source:
+    """Lines of the input, surveyed once."""
+
+    def __init__(self, spark: SparkSession, path, encoding: str | None = None) -> None:
+        self.lines = _lines(spark, path)
+        self.splits = materialize(_splits(self.lines))
+        self.span_lines = _spans(self.splits).count()
+        spoilt = self.splits.where("spoilt > 0")
+        if encoding is not None:
+            known = [encoding, *ENCODINGS]
+            self.encodings, enc = known, F.lit(0)
+            self.files = self.splits.select("f").distinct().withColumn("enc", enc)
+        else:
+            self.encodings = ENCODINGS
+            self.files = self.splits.select("f").distinct().withColumn("enc", F.lit(0))
+            if not spoilt.isEmpty():
+                odd_files = self.lines.join(F.broadcast(spoilt.select("file", "block", "f")), ["file", "block"])
+                scores = _japanese_scores(odd_files, ["f"])
+                found = scores.select("f", _best_encoding(scores).alias("enc"))
+                self.files = self.files.drop("enc").join(found, "f", "left").select("f", F.coalesce("enc", F.lit(0)).alias("enc"))
+        self.files = materialize(self.files)
+        self.present = sorted(r["enc"] for r in self.files.select("enc").distinct().collect())
+
+    def numbered(self) -> DataFrame:
+        """(f, key, value, dirty): decoded lines; dirty where the split touches a span."""
+        per_split = (self.splits.join(self.files, "f")
+                     .select("file", "block", "f", "base", "enc", ((F.size("odd") > 0) | (F.col("earlier") % 2 == 1)).alias("dirty")))
+        rows = self.lines.join(F.broadcast(per_split), ["file", "block"]).withColumn("raw", F.col("value"))
+        text = F.lit(None)
+        for k in self.present:
+            rows = _decoded(rows.withColumn(f"t{k}", F.when(F.col("enc") == k, F.col("raw"))), self.encodings[k], f"t{k}")
+            text = F.coalesce(text, F.col(f"t{k}"))
+        return rows.select("f", (F.col("at") + F.col("base")).alias("key"), text.alias("value"), "dirty")
+
+    def records(self, first_lines: int | None = None) -> DataFrame:
+        """(f, key, record): records that are not empty, by the key of their first line; with
+        ``first_lines`` those that begin in that many lines of their file."""
+        rows = self.numbered()
+        spans = _spans(self.splits)
+        begun = rows
+        if first_lines is not None:
+            spans = spans.where(_line_of(F.col("open")) < first_lines)
+            begun = rows.where(_line_of(F.col("key")) < first_lines)
+        parts = [begun]
+        if self.span_lines:
+            if self.span_lines <= SPAN_LINES:
+                spans = F.broadcast(spans)
+                parts = [begun.join(spans.select("key"), "key", "left_anti")]
+            else:
+                parts = [begun.where("not dirty"), begun.where("dirty").join(spans.select("key"), "key", "left_anti")]
+            inside = rows.where("dirty").select("key", "value").join(spans, "key")
+            parts.append(inside.groupBy("f", F.col("open").alias("key")).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("p"))
+                         .select("f", "key", F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value")))
+        out = reduce(DataFrame.union, [p.select("f", "key", F.regexp_replace("value", "\r$", "").alias("record")) for p in parts])
+        return out.where("record != ''")
+
+    def heads(self) -> DataFrame:
+        """(f, head): the first GUESS_SAMPLE_ROWS + 1 records of each file, in order."""
+        want, lines = P.GUESS_SAMPLE_ROWS + 1, HEAD_LINES
+        totals = self.splits.groupBy("f").agg((_line_of(F.max("last")) + 1).alias("total"))
+        while True:
+            found = materialize(self.records(lines).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("key", "record"))).alias("head"))
+                                .select("f", F.slice("head", 1, want).alias("head")))
+            short = totals.where(F.col("total") > lines).join(found.where(F.size("head") >= want), "f", "left_anti")
+            if short.isEmpty():
+                return found
+            found.unpersist()
+            lines *= 16
+
+
+def _cells(record: Column, width: int) -> Column:
+    row = F.from_csv(record, F.lit(", ".join(f"c{k} string" for k in range(width))), _CSV_OPTIONS)
+    return F.array(*[row[f"c{k}"] for k in range(width)])
+
+
+#: Column roles in the order they are given: role, score of a column, whether only among
+#: columns that no role has yet (all if none is left).  The best score wins.
+ROLES = [("created_at", "dates", False), ("status_url", "links", False), ("text", "length", True), ("tweet_id", "ids", True)]
+
+
+def _scores(rows: DataFrame, sample: Column) -> list[Column]:
+    v = F.when(sample, F.col("v"))
+    return [F.count_if(v.rlike(P.DATE_GUESS_PATTERN)).cast("double").alias("dates"), F.count_if(F.lower(v).contains("http")).cast("double").alias("links"),
+            F.coalesce(F.avg(F.char_length(v)), F.lit(0.0)).alias("length"),
+            F.count_if(v.rlike(r"^\p{Nd}+$") & (F.char_length(v) >= 10)).cast("double").alias("ids")]
+
+
+def _with_roles(files: DataFrame, columns: str, prefix: str) -> DataFrame:
+    """``files`` with the column number of each role; status_url null if no cell has a link."""
+    taken: list[Column] = []
+    for role, score, only_free in ROLES:
+        every = F.col(columns)
+        free = reduce(lambda c, t: F.filter(c, lambda x: ~x["c"].eqNullSafe(t)), taken, every) if only_free else every
+        among = F.when(F.size(free) > 0, free).otherwise(every)
+        best = F.array_max(F.transform(among, lambda x: F.struct(x["s"][score].alias("s"), (-x["c"]).alias("left"))))
+        number = -best["left"]
+        if role == "status_url":
+            number = F.when(best["s"] > 0, number)
+        files = files.withColumn(prefix + role, number)
+        taken.append(F.col(prefix + role))
+    return files
+
+
+def _layouts(source: Source, has_header: bool | None, accept_t: bool) -> tuple[DataFrame, int]:
+    """One row for each file with records: its roles' column numbers and ``skip``, the key of
+    its header; and the most columns of any file."""
+    heads = source.heads()
+    width = F.regexp_count(F.regexp_replace(F.col("head")[0]["record"], '"[^"]*"', ""), F.lit(",")) + 1
+    files = heads.withColumn("width", width)
+    most = files.agg(F.max("width")).head()[0]
+    if most is None:
         raise CSVLoadError("CSV was read but contains no rows")
-    table = spark.createDataFrame([(files[0], k, r) for k, r in enumerate(head, 1)], "file string, rec long, record string")
-    width = len(table.limit(1).select(F.schema_of_csv(F.lit(head[0]), _CSV_OPTIONS).alias("s")).head()["s"].split(","))
-    plain = _parsed(table, [f"_c{k}" for k in range(width)])
-    cells = plain.where("rec = 1").head()
-    names = [cells[f"_c{k}"] or f"_c{k}" for k in range(width)]
-    bare = guess_mapping(plain.drop("file", "rec"))
-    if has_header is None:
-        has_header = plain.where("rec = 1").select(parse_created_at(F.col(bare.created_at), accept_t).alias("t")).head()["t"] is None
-    if not has_header:
-        return Layout(enc, False, tuple(f"_c{k}" for k in range(width)), bare)
-    titled = _parsed(table, names).where("rec > 1").drop("file", "rec")
-    return Layout(enc, True, tuple(names), guess_mapping(titled))
-
-
-def guess_mapping(df: DataFrame, sample_rows: int = P.GUESS_SAMPLE_ROWS) -> ColumnMapping:
-    """Column roles from the first ``sample_rows`` records (one aggregation)."""
-    cols = df.columns
-    if set(CANONICAL[:3]) <= set(cols):
-        return ColumnMapping("tweet_id", "created_at", "text", "status_url" if "status_url" in cols else None)
-    sample = df.limit(sample_rows)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(f"`{c}`")
-        aggs += [F.count_if(v.rlike(P.DATE_GUESS_PATTERN)).alias(f"d{i}"),
-                 F.count_if(F.lower(v).contains("http")).alias(f"u{i}"),
-                 F.coalesce(F.avg(F.char_length(v)), F.lit(0.0)).alias(f"l{i}"),
-                 F.count_if(v.rlike(r"^\p{Nd}+$") & (F.char_length(v) >= 10)).alias(f"i{i}")]
-    row = sample.agg(*aggs).collect()[0]
-
-    def argmax(cands, key):
-        best = None
-        for i in cands:
-            if best is None or row[f"{key}{i}"] > row[f"{key}{best}"]:
-                best = i
-        return best
-
-    idx = list(range(len(cols)))
-    created = argmax(idx, "d")
-    status = argmax(idx, "u")
-    if row[f"u{status}"] == 0:
-        status = None
-    rest = [i for i in idx if i not in (created, status)]
-    text = argmax(rest, "l") if rest else argmax(idx, "l")
-    rest = [i for i in rest if i != text]
-    tid = argmax(rest, "i") if rest else argmax(idx, "i")
-    return ColumnMapping(cols[tid], cols[created], cols[text], cols[status] if status is not None else None)
+    rows = (files.select("f", "width", F.posexplode("head").alias("rn", "r"))
+            .select("f", "width", "rn", F.posexplode(_cells(F.col("r.record"), most)).alias("c", "v")).where("c < width"))
+    n = P.GUESS_SAMPLE_ROWS
+    scored = (rows.groupBy("f", "c").agg(F.struct(*_scores(rows, F.col("rn") < n)).alias("bare"),
+                                         F.struct(*_scores(rows, F.col("rn") > 0)).alias("titled"),
+                                         F.max(F.when(F.col("rn") == 0, F.col("v"))).alias("name"))
+              .groupBy("f").agg(F.array_sort(F.collect_list(F.struct("c", F.col("bare").alias("s"), "name"))).alias("bare"),
+                                F.array_sort(F.collect_list(F.struct("c", F.col("titled").alias("s")))).alias("titled")))
+    found = _with_roles(_with_roles(scored, "bare", "bare_"), "titled", "titled_")
+    names = F.transform("bare", lambda x: F.coalesce(x["name"], F.lit("")))
+    header = F.lit(has_header) if has_header is not None else parse_created_at(F.get(names, F.col("bare_created_at")), accept_t).isNull()
+    found = found.withColumn("names", names).withColumn("header", header)
+    named = reduce(lambda a, c: a & F.array_contains("names", c), CANONICAL[:3], F.col("header"))
+    roles = [F.when(named, F.nullif(F.array_position("names", F.lit(c)).cast("int"), F.lit(0)) - 1)
+             .when(F.col("header"), F.col(f"titled_{c}")).otherwise(F.col(f"bare_{c}")).alias(f"at_{c}") for c in CANONICAL]
+    keyed = found.join(heads.select("f", F.col("head")[0]["key"].alias("begin")), "f")
+    return keyed.select("f", *roles, F.when(F.col("header"), F.col("begin")).alias("skip")), most
 
 
 def normalize_posts(df: DataFrame, mapping: ColumnMapping, accept_t: bool = False) -> DataFrame:
@@ -243,12 +325,13 @@ def parse_score(df: DataFrame) -> DataFrame:
 
 def read_posts_csv(spark: SparkSession, path, has_header: bool | None = None,
                    encoding: str | None = None, accept_t: bool = False) -> DataFrame:
-    """Posts from CSV file(s): tweet_id, created_at (TIMESTAMP_NTZ), text, status_url."""
-    found = layout(spark, path, has_header, encoding, accept_t)
-    rows = _parsed(_records(_decoded(_lines(spark, path), found.encoding)), list(found.columns))
-    if found.header:
-        rows = rows.where("rec > 1")
-    return normalize_posts(rows.drop("file", "rec"), found.mapping, accept_t)
+    """Posts from CSV file(s), each of its own layout: tweet_id, created_at (TIMESTAMP_NTZ), text, status_url."""
+    source = Source(spark, path, encoding)
+    layouts, most = _layouts(source, has_header, accept_t)
+    rows = source.records().join(F.broadcast(materialize(layouts)), "f").where("skip IS NULL OR key != skip")  # a row for each file
+    rows = rows.withColumn("cells", _cells(F.col("record"), most))
+    rows = rows.select(*[F.get("cells", F.col(f"at_{c}")).alias(c) for c in CANONICAL])
+    return normalize_posts(rows, ColumnMapping(*CANONICAL), accept_t)
 
 
 def write_csv(df: DataFrame, path: str) -> str:

@@ -1,4 +1,4 @@
-"""The derived posts table on storage: Parquet partitioned by year.
+"""The derived posts table on storage: Parquet partitioned by year and, below, by what wrote it.
 
 Writing the derived table once and reading it back means every later analysis
 starts from the precomputed columns, and a year selection prunes whole
@@ -12,18 +12,23 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Partition column below the year: the files of an ingest batch, or ``WRITTEN``.
+BATCH = "ingest_batch"
+WRITTEN = "written"
+
+
 def write_posts_table(derived: DataFrame, path: str, mode: str = "error") -> str:
     """Write derived posts partitioned by year (null years go to their own partition).
 
     No repartition by year first: one year may hold a large share of all posts,
     and shuffling it into one task would serialise that share; each task writes
     its own file per year it holds instead."""
-    derived.write.mode(mode).partitionBy("year").parquet(path)
+    derived.withColumn(BATCH, F.lit(WRITTEN)).write.mode(mode).partitionBy("year", BATCH).parquet(path)
     return path
 
 
 def read_posts_table(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop(BATCH)
     if years:
         df = df.where(F.col("year").isin([int(y) for y in years]))
     return df
