@@ -42,7 +42,7 @@ from ..session import materialize
 
 CANONICAL = ["tweet_id", "created_at", "text", "status_url"]
 # Lines of each file that its first records are first looked for in; 16 times as many next.
-HEAD_LINES = 256
+HEAD_LINES = 4096
 # Most lines of records of several lines whose numbers (8 bytes and the span's) are broadcast.
 SPAN_LINES = 1 << 20
 # A line's key: the file's number above this many bits, its own number below.
@@ -143,31 +143,11 @@ def detect_encoding(spark: SparkSession, path) -> str:
 
 
 def _splits(lines: DataFrame) -> DataFrame:
-    """One row for each split: its file's number ``f``, ``base`` (a line's key less its ``at``),
-    ``last`` key of the file, odd lines, and how many odd lines the file has before it."""
+    """One row for each split: least ``at``, lines, lines that are not UTF-8, and the odd lines."""
     quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    each = lines.groupBy("file", "block").agg(
+    return lines.groupBy("file", "block").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("bad"),
         F.array_sort(F.collect_list(F.when(quotes % 2 == 1, F.col("at")))).alias("odd"))
-    whole = Window.partitionBy("file")
-    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.shiftleft(F.col("f"), _LINE_BITS)
-    return (each.withColumn("f", (F.dense_rank().over(Window.orderBy("file")) - 1).cast("long"))
-            .withColumn("base", start + F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
-            .withColumn("last", start + F.sum("n").over(whole) - 1)
-            .withColumn("spoilt", F.sum("bad").over(whole))
-            .withColumn("earlier", F.coalesce(F.sum(F.size("odd")).over(before), F.lit(0)))
-            .drop("first", "n", "bad"))
-
-
-def _spans(splits: DataFrame) -> DataFrame:
-    """(f, open, key): the lines of records of several lines; ``open`` is the first line's key."""
-    odd = splits.select("f", "base", "last", "earlier", F.posexplode("odd").alias("k", "at"))
-    pairs = (odd.groupBy("f", F.floor((F.col("earlier") + F.col("k")) / 2).alias("pair"))
-             .agg(F.min(F.col("at") + F.col("base")).alias("open"), F.max(F.col("at") + F.col("base")).alias("end"),
-                  F.count(F.lit(1)).alias("n"), F.max("last").alias("last")))
-    close = F.when(F.col("n") == 2, F.col("end")).otherwise(F.col("last"))  # never closed: to the end of the file
-    return pairs.select("f", "open", F.explode(F.sequence("open", close)).alias("key"))
 
 
 def _line_of(key: Column) -> Column:
@@ -175,33 +155,53 @@ def _line_of(key: Column) -> Column:
 
 
 class Source:
-    """Lines of the input, surveyed once."""
+    """Lines of the input, surveyed once.
+
+    ``table`` has a row for each split, as the driver's own list of splits has: its file's
+    number ``f``, ``base`` (a line's key less its ``at``), the file's ``last`` key, how many
+    odd lines the file has before it, the number of its encoding, and whether it is dirty,
+    that is touches a span.
+    """
 
     def __init__(self, spark: SparkSession, path, encoding: str | None = None) -> None:
         self.lines = _lines(spark, path)
-        self.splits = materialize(_splits(self.lines))
-        self.span_lines = _spans(self.splits).count()
-        spoilt = self.splits.where("spoilt > 0")
-        if encoding is not None:
-            known = [encoding, *ENCODINGS]
-            self.encodings, enc = known, F.lit(0)
-            self.files = self.splits.select("f").distinct().withColumn("enc", enc)
-        else:
-            self.encodings = ENCODINGS
-            self.files = self.splits.select("f").distinct().withColumn("enc", F.lit(0))
-            if not spoilt.isEmpty():
-                odd_files = self.lines.join(F.broadcast(spoilt.select("file", "block", "f")), ["file", "block"])
-                scores = _japanese_scores(odd_files, ["f"])
-                found = scores.select("f", _best_encoding(scores).alias("enc"))
-                self.files = self.files.drop("enc").join(found, "f", "left").select("f", F.coalesce("enc", F.lit(0)).alias("enc"))
-        self.files = materialize(self.files)
-        self.present = sorted(r["enc"] for r in self.files.select("enc").distinct().collect())
+        self.encodings = [encoding] if encoding is not None else ENCODINGS
+        self._splits = materialize(_splits(self.lines))
+        found = sorted(self._splits.select("file", "block", "first", "n", "bad", F.size("odd").alias("odd")).collect())
+        files: dict[str, list] = {}
+        for r in found:
+            files.setdefault(r["file"], []).append(r)
+        spoilt = [f for f, rows in files.items() if any(r["bad"] for r in rows)] if encoding is None else []
+        code = dict.fromkeys(files, 0)
+        if spoilt:
+            some = spark.createDataFrame([(f,) for f in spoilt], "file string")
+            scores = _japanese_scores(self.lines.join(F.broadcast(some), "file"), ["file"])
+            code |= {r["file"]: r["enc"] for r in scores.select("file", _best_encoding(scores).alias("enc")).collect()}
+        table = []
+        for k, (file, rows) in enumerate(files.items()):
+            start, line, odd = k << _LINE_BITS, 0, 0
+            last = start + sum(r["n"] for r in rows) - 1
+            for r in rows:
+                table.append((file, r["block"], k, start + line - r["first"], last, odd, code[file], bool(r["odd"] or odd % 2)))
+                line, odd = line + r["n"], odd + r["odd"]
+        self.present = sorted(set(code.values()))
+        self.lengths = [sum(r["n"] for r in rows) for rows in files.values()]
+        self.table = spark.createDataFrame(table, "file string, block long, f long, base long, last long, earlier long, enc int, dirty boolean")
+        self.span_lines = self.spans().count() if any(r["odd"] for r in found) else 0
+
+    def spans(self) -> DataFrame:
+        """(f, open, key): the lines of records of several lines; ``open`` is the first line's key."""
+        odd = (self._splits.where(F.size("odd") > 0).join(F.broadcast(self.table), ["file", "block"])
+               .select("f", "base", "last", "earlier", F.posexplode("odd").alias("k", "at")))
+        pairs = (odd.groupBy("f", F.floor((F.col("earlier") + F.col("k")) / 2).alias("pair"))
+                 .agg(F.min(F.col("at") + F.col("base")).alias("open"), F.max(F.col("at") + F.col("base")).alias("end"),
+                      F.count(F.lit(1)).alias("n"), F.max("last").alias("last")))
+        close = F.when(F.col("n") == 2, F.col("end")).otherwise(F.col("last"))  # never closed: to the end of the file
+        return pairs.select("f", "open", F.explode(F.sequence("open", close)).alias("key"))
 
     def numbered(self) -> DataFrame:
         """(f, key, value, dirty): decoded lines; dirty where the split touches a span."""
-        per_split = (self.splits.join(self.files, "f")
-                     .select("file", "block", "f", "base", "enc", ((F.size("odd") > 0) | (F.col("earlier") % 2 == 1)).alias("dirty")))
-        rows = self.lines.join(F.broadcast(per_split), ["file", "block"]).withColumn("raw", F.col("value"))
+        rows = self.lines.join(F.broadcast(self.table), ["file", "block"]).withColumn("raw", F.col("value"))
         text = F.lit(None)
         for k in self.present:
             rows = _decoded(rows.withColumn(f"t{k}", F.when(F.col("enc") == k, F.col("raw"))), self.encodings[k], f"t{k}")
@@ -212,7 +212,7 @@ class Source:
         """(f, key, record): records that are not empty, by the key of their first line; with
         ``first_lines`` those that begin in that many lines of their file."""
         rows = self.numbered()
-        spans = _spans(self.splits)
+        spans = self.spans()
         begun = rows
         if first_lines is not None:
             spans = spans.where(_line_of(F.col("open")) < first_lines)
@@ -230,16 +230,19 @@ class Source:
         out = reduce(DataFrame.union, [p.select("f", "key", F.regexp_replace("value", "\r$", "").alias("record")) for p in parts])
         return out.where("record != ''")
 
-    def heads(self) -> DataFrame:
-        """(f, head): the first GUESS_SAMPLE_ROWS + 1 records of each file, in order."""
+    def heads(self) -> tuple[DataFrame, int | None]:
+        """(f, head, width): the first GUESS_SAMPLE_ROWS + 1 records of each file that has any, in
+        order, and the columns of its first; and the most columns of any file."""
         want, lines = P.GUESS_SAMPLE_ROWS + 1, HEAD_LINES
-        totals = self.splits.groupBy("f").agg((_line_of(F.max("last")) + 1).alias("total"))
+        width = F.regexp_count(F.regexp_replace(F.col("head")[0]["record"], '"[^"]*"', ""), F.lit(",")) + 1
         while True:
             found = materialize(self.records(lines).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("key", "record"))).alias("head"))
-                                .select("f", F.slice("head", 1, want).alias("head")))
-            short = totals.where(F.col("total") > lines).join(found.where(F.size("head") >= want), "f", "left_anti")
-            if short.isEmpty():
-                return found
+                                .select("f", F.slice("head", 1, want).alias("head")).withColumn("width", width))
+            full = found.agg(F.count_if(F.size("head") >= want).alias("n"), F.max("width").alias("most")).head()
+            longer = sum(n > lines for n in self.lengths)
+            if longer <= full["n"] or not found.join(self.table.where(_line_of(F.col("last")) >= lines).select("f").distinct(), "f", "right").where(
+                    F.col("head").isNull() | (F.size("head") < want)).count():
+                return found, full["most"]
             found.unpersist()
             lines *= 16
 
@@ -280,13 +283,10 @@ def _with_roles(files: DataFrame, columns: str, prefix: str) -> DataFrame:
 def _layouts(source: Source, has_header: bool | None, accept_t: bool) -> tuple[DataFrame, int]:
     """One row for each file with records: its roles' column numbers and ``skip``, the key of
     its header; and the most columns of any file."""
-    heads = source.heads()
-    width = F.regexp_count(F.regexp_replace(F.col("head")[0]["record"], '"[^"]*"', ""), F.lit(",")) + 1
-    files = heads.withColumn("width", width)
-    most = files.agg(F.max("width")).head()[0]
+    heads, most = source.heads()
     if most is None:
         raise CSVLoadError("CSV was read but contains no rows")
-    rows = (files.select("f", "width", F.posexplode("head").alias("rn", "r"))
+    rows = (heads.select("f", "width", F.posexplode("head").alias("rn", "r"))
             .select("f", "width", "rn", F.posexplode(_cells(F.col("r.record"), most)).alias("c", "v")).where("c < width"))
     n = P.GUESS_SAMPLE_ROWS
     scored = (rows.groupBy("f", "c").agg(F.struct(*_scores(rows, F.col("rn") < n)).alias("bare"),
@@ -328,7 +328,7 @@ def read_posts_csv(spark: SparkSession, path, has_header: bool | None = None,
     """Posts from CSV file(s), each of its own layout: tweet_id, created_at (TIMESTAMP_NTZ), text, status_url."""
     source = Source(spark, path, encoding)
     layouts, most = _layouts(source, has_header, accept_t)
-    rows = source.records().join(F.broadcast(materialize(layouts)), "f").where("skip IS NULL OR key != skip")  # a row for each file
+    rows = source.records().join(F.broadcast(layouts), "f").where("skip IS NULL OR key != skip")  # a row for each file
     rows = rows.withColumn("cells", _cells(F.col("record"), most))
     rows = rows.select(*[F.get("cells", F.col(f"at_{c}")).alias(c) for c in CANONICAL])
     return normalize_posts(rows, ColumnMapping(*CANONICAL), accept_t)
