@@ -4,7 +4,9 @@ Global time order without a single partition
 --------------------------------------------
 ``Window.orderBy`` with no partition key moves every row to one task.  Instead:
 
-1. each row gets a range number ``pid`` from fixed bounds on (key, ms, tie): a bounded
+1. each row gets a range number ``pid`` from fixed bounds on (key, ms, tie).  Without a
+   key one pass of mergeable quantile sketches over the times gives them, and bounds that
+   fall on one instant part it evenly by the tie, which is a hash; with a key a bounded
    sample, the rows of small hash, is sorted and every so-manieth row is a bound.
    ``pid`` is an expression of the row alone, so every branch of a plan and every
    recomputed task agrees on it, whether or not Spark reuses an exchange.  A burst of
@@ -18,16 +20,26 @@ Global time order without a single partition
 
 The result equals a global ``lag`` over all rows in time order.
 
+Sessions without their posts
+----------------------------
+Posts of one key in one cell of time, no wider than the gap, are in one session.  So
+session sizes are worked out from cells (first, last, count), which are summed where the
+posts are read: what is shuffled and ordered are the cells with posts, at most the time
+span divided by the gap for each key, however many posts there are.
+
 Exact percentiles without a single group
 ----------------------------------------
 ``median``/``percentile`` keep a map of all distinct values of the group in one
-task.  ``select_ranks`` finds exact k-th smallest values by repeatedly counting
-values in 2048 equal-width bins of the current candidate range (one partial
-aggregation per round), narrowing to one integer value in a few rounds.
+task.  Here the pass that counts the values also merges quantile sketches, which give an
+interval of values around each rank; a second pass counts the values below and in
+``BINS`` bins of it.  Where a bin is one integer that ends it, else the next pass divides
+the bin; an interval that should have missed its rank is replaced by the rest of
+the range.  The result is exact in any case.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark import StorageLevel
@@ -45,6 +57,9 @@ _TIE_COLS = ("tweet_id", "status_url")
 # Ranges per task, and sampled rows per range.
 RANGES_PER_TASK = 4
 SAMPLE_PER_RANGE = 16
+# Bins of a count around a rank, and the relative error of the sketches before it.
+BINS = 1 << 13
+SKETCH_ERROR = 1e-4
 
 
 def _range_bounds(t: DataFrame, ranges: int) -> list:
@@ -60,6 +75,17 @@ def _range_bounds(t: DataFrame, ranges: int) -> list:
     return rows[step::step]
 
 
+def _time_bounds(t: DataFrame, ranges: int) -> list[tuple]:
+    """Ascending (0, ms, tb) that part ``t`` (all of key 0) into about equal ranges, from one pass."""
+    shares = [i / ranges for i in range(1, ranges)]
+    times = (t.agg(F.percentile_approx("ms", shares, F.lit(10 * ranges))).head()[0] or []) if shares else []
+    out = []
+    for ms, same in itertools.groupby(times):
+        n = len(list(same))  # a burst: n bounds on one instant part its ties
+        out += [(0, ms, -(1 << 63) + (i << 64) // n) for i in range(n)]
+    return out
+
+
 def _range_number(bounds: list, schema) -> F.Column:
     """How many bounds are not above the row, found in two steps of about the root of their number."""
     if not bounds:
@@ -83,7 +109,7 @@ def range_partitioned(df: DataFrame, by: str | None = None, num_partitions: int
     t = (df.where(F.col("created_at").isNotNull())
          .select(key.alias("k"), C.epoch_millis(F.col("created_at")).alias("ms"),
                  F.xxhash64(*ties).alias("tb") if ties else F.lit(0).cast("long").alias("tb")))
-    pid = _range_number(_range_bounds(t, RANGES_PER_TASK * n), t.schema)
+    pid = _range_number((_range_bounds if by else _time_bounds)(t, RANGES_PER_TASK * n), t.schema)
     return t.withColumn("pid", pid).repartition(n, "pid")
 
 
@@ -156,10 +182,29 @@ def posting_interval_distribution(df: DataFrame, bin_size: int = 30, max_minutes
                                C.float_label(F.col("bin_end"))).alias("bin_label")).orderBy("bin_start")
 
 
+def session_cells(df: DataFrame, gap_minutes: float, by: str | None = None) -> DataFrame:
+    """One row for each key and cell of time that has posts: ``k``, ``cell``, ``first`` and
+    ``last`` (ms) and ``posts``."""
+    width = max(1, math.floor(gap_minutes * 60000.0))
+    t = df.where(F.col("created_at").isNotNull()).select((F.col(by) if by else F.lit(0)).alias("k"), C.epoch_millis(F.col("created_at")).alias("ms"))
+    # div cuts towards zero, so the cell around 1970 is twice as wide: pmod keeps all alike.
+    cell = (F.col("ms") - F.pmod("ms", F.lit(width).cast("long"))) / F.lit(width)
+    return (t.groupBy("k", cell.cast("long").alias("cell"))
+            .agg(F.min("ms").alias("first"), F.max("ms").alias("last"), F.count(F.lit(1)).alias("posts")))
+
+
+def session_sizes(df: DataFrame, gap_minutes: float, by: str | None = None) -> DataFrame:
+    """One row for each session: ``k``, its number within the key, ``start_ms``, ``end_ms``, ``posts``."""
+    cells = session_cells(df, gap_minutes, by)
+    w = Window.partitionBy("k").orderBy("cell") if by else Window.orderBy("cell")
+    begins = F.coalesce(F.col("first") - F.lag("last").over(w) > F.lit(gap_minutes * 60000.0), F.lit(True))
+    numbered = cells.withColumn("begins", begins.cast("long")).withColumn("nth", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy("k", "nth").agg(F.min("first").alias("start_ms"), F.max("last").alias("end_ms"), F.sum("posts").alias("posts"))
+
+
 def session_length_distribution(df: DataFrame, gap_minutes: int = 30, by: str | None = None) -> DataFrame:
     """Number of sessions per session size (posts per session)."""
-    g = ordered_gaps(df, gap_minutes=gap_minutes, by=by)
-    sizes = g.groupBy("session_id").agg(F.count(F.lit(1)).alias("session_size"))
+    sizes = session_sizes(df, gap_minutes, by).select(F.col("posts").alias("session_size"))
     return (sizes.groupBy("session_size").agg(F.count(F.lit(1)).alias("sessions")).orderBy("session_size"))
 
 
@@ -170,42 +215,41 @@ def sessions(df: DataFrame, gap_minutes: int = 30, by: str | None = None) -> Dat
                                         F.count(F.lit(1)).alias("posts")).orderBy("session_id"))
 
 
-def select_ranks(values: DataFrame, col: str, ranks: list[int], lo: int, hi: int, bins: int = 2048) -> dict:
+def select_ranks(values: DataFrame, col: str, ranks: list[int], lo: int, hi: int, bins: int = BINS,
+                 within: dict[int, tuple[int, int]] | None = None, few: bool = False) -> dict:
     """Exact k-th smallest (0-based) integer values of ``col`` for each k in ranks.
 
-    Each round is one aggregation returning at most ``len(ranks) * bins`` rows.
+    ``within`` gives an interval to look in first for each k; with ``few`` that holds so few
+    values that each is counted by itself.  Otherwise, and in later rounds, each round is one aggregation
+    returning at most ``len(ranks) * (bins + 2)`` rows: counts in the bins of each rank's
+    interval, below and above it.
     """
-    state = {k: [lo, hi, 0] for k in set(ranks)}  # k -> [lo, hi, below]
+    state = {k: (within or {}).get(k, (lo, hi)) for k in set(ranks)}
     done: dict[int, int] = {}
     while len(done) < len(state):
-        open_ = [(k, s) for k, s in state.items() if k not in done]
-        specs = []
-        for i, (k, (a, b, _)) in enumerate(open_):
-            width = max(1, math.ceil((b - a + 1) / bins))
-            specs.append((i, k, a, b, width))
+        open_ = [(k, a, b, 1 if few else max(1, math.ceil((b - a + 1) / bins))) for k, (a, b) in state.items() if k not in done]
         tagged = F.array(*[
-            F.when(F.col(col).between(a, b),
-                   F.struct(F.lit(i).alias("t"), F.floor((F.col(col) - F.lit(a)) / F.lit(w)).alias("bin")))
-            for i, _, a, b, w in specs])
-        hist = (values.select(F.explode(F.filter(tagged, lambda s: s.isNotNull())).alias("s"))
-                .groupBy("s.t", "s.bin").agg(F.count(F.lit(1)).alias("c")).collect())
+            F.struct(F.lit(i).alias("t"), F.when(F.col(col) < a, F.lit(-1)).when(F.col(col) > b, F.lit(1 << 62))
+                     .otherwise(F.floor((F.col(col) - F.lit(a)) / F.lit(w)).cast("long")).alias("bin"))
+            for i, (_, a, b, w) in enumerate(open_)])
+        hist = (values.select(F.explode(tagged).alias("s")).groupBy("s.t", "s.bin").agg(F.count(F.lit(1)).alias("c")).collect())
         by_target: dict[int, list] = {}
         for row in hist:
             by_target.setdefault(row["t"], []).append((row["bin"], row["c"]))
-        for i, k, a, b, w in specs:
-            need = k - state[k][2]
+        for i, (k, a, b, w) in enumerate(open_):
             acc = 0
             for bin_, c in sorted(by_target.get(i, [])):
-                if acc + c > need:
-                    new_lo = a + bin_ * w
-                    new_hi = min(b, new_lo + w - 1)
-                    state[k] = [new_lo, new_hi, state[k][2] + acc]
-                    if new_lo == new_hi:
-                        done[k] = new_lo
+                if acc + c > k:
+                    inside = 0 <= bin_ < 1 << 62
+                    new = (a + bin_ * w, min(b, a + bin_ * w + w - 1)) if inside else (lo, a - 1) if bin_ < 0 else (b + 1, hi)
+                    state[k] = new
+                    if inside and new[0] == new[1]:
+                        done[k] = new[0]
                     break
                 acc += c
             else:  # rank beyond the data: cannot happen for 0 <= k < n
                 raise ValueError(f"rank {k} out of range")
+        few = False
     return done
 
 
@@ -223,17 +267,23 @@ def interval_lag_ms(df: DataFrame, by: str | None = None) -> DataFrame:
     return g.where(F.col("diff_ms").isNotNull()).select(F.col("diff_ms").alias("d"))
 
 
-def _interval_ranks(df: DataFrame, which, by: str | None = None) -> tuple[int, int, int, dict]:
-    """(n, min_ms, sum_ms, {rank: value_ms}) over the persisted intervals."""
+def _interval_ranks(df: DataFrame, which, shares: list[float], by: str | None = None) -> tuple[int, int, int, dict]:
+    """(n, min_ms, sum_ms, {rank: value_ms}) over the persisted intervals; ``which`` gives the
+    ranks for n, each near one of ``shares`` of n."""
     g = interval_lag_ms(df, by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = g.agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"),
-                      F.sum("d").alias("s")).collect()[0]
+        around = sorted({min(1.0, max(0.0, share + side * 2 * SKETCH_ERROR)) for share in shares for side in (-50, -1, 1, 50)})
+        stats = g.agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum("d").alias("s"),
+                      F.percentile_approx("d", around, F.lit(int(1 / SKETCH_ERROR))).alias("near")).collect()[0]
         n = stats["n"]
         if not n:
             return 0, 0, 0, {}
-        vals = select_ranks(g, "d", which(n), int(stats["lo"]), int(stats["hi"]))
-        return n, int(stats["lo"]), int(stats["s"]), vals
+        lo, hi, ranks = int(stats["lo"]), int(stats["hi"]), which(n)
+        known = [(0.0, lo), *zip(around, stats["near"]), (1.0, hi)]
+        within = {k: (max(v for p, v in known if p <= k / n or v == lo), min(v for p, v in known if p >= (k + 1) / n or v == hi)) for k in ranks}
+        few = n * 200 * SKETCH_ERROR <= 4 * BINS  # the widest interval around a share holds 2 %
+        vals = select_ranks(g, "d", ranks, lo, hi, within=within, few=few)
+        return n, lo, int(stats["s"]), vals
     finally:
         g.unpersist()
 
@@ -254,7 +304,7 @@ def posting_interval_summary(df: DataFrame, by: str | None = None) -> DataFrame:
     """count, min, median, mean and p90 of the minutes between consecutive posts
     (of the same ``by`` key; each rounded to 2 places).  All work runs in Spark;
     the result is one row."""
-    n, lo, s, vals = _interval_ranks(df, lambda n: _median_ranks(n) + [p90_index(n)], by)
+    n, lo, s, vals = _interval_ranks(df, lambda n: _median_ranks(n) + [p90_index(n)], [0.5, 0.9], by)
     spark = df.sparkSession
     schema = "count bigint, min double, median double, mean double, p90 double"
     if n == 0:
@@ -266,7 +316,7 @@ def posting_interval_summary(df: DataFrame, by: str | None = None) -> DataFrame:
 
 def rank_select_p90(df: DataFrame) -> DataFrame:
     """n, the 0-based p90 rank and the interval at that rank in minutes (unrounded)."""
-    n, _, _, vals = _interval_ranks(df, lambda n: [p90_index(n)])
+    n, _, _, vals = _interval_ranks(df, lambda n: [p90_index(n)], [0.9])
     k = p90_index(n) if n else 0
     return df.sparkSession.createDataFrame(
         [(n, k, vals[k] / 60000.0 if n else None)], "n bigint, p90_rank bigint, p90_minutes double")
@@ -274,6 +324,6 @@ def rank_select_p90(df: DataFrame) -> DataFrame:
 
 def median_exact(df: DataFrame) -> DataFrame:
     """Exact median of the intervals in minutes (mean of the two middle values when even)."""
-    n, _, _, vals = _interval_ranks(df, _median_ranks)
+    n, _, _, vals = _interval_ranks(df, _median_ranks, [0.5])
     return df.sparkSession.createDataFrame(
         [(n, _median(n, vals) if n else None)], "n bigint, median_minutes double")

@@ -1,4 +1,5 @@
 """Distributed global-order operators against brute force."""
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -118,3 +119,56 @@ def test_hot_instant_is_split_across_partitions(spark):
     want, want_sizes = _brute(rows, 1800000)
     got = sorted(r["diff_ms"] for r in GP.ordered_gaps(df, num_partitions=12).collect() if r["diff_ms"] is not None)
     assert got == want
+
+
+def test_ranks_outside_their_first_interval(spark):
+    rnd = random.Random(4)
+    vals = [int(rnd.paretovariate(0.3)) for _ in range(800)]
+    df = spark.createDataFrame([(v,) for v in vals], "d bigint")
+    ranks = [0, 1, 399, 400, 719, 799]
+    for within in ({}, {k: (sorted(vals)[k], sorted(vals)[k]) for k in ranks}, {k: (min(vals), min(vals)) for k in ranks}, {k: (max(vals), max(vals)) for k in ranks},
+                   {k: (10 ** 6, 10 ** 7) for k in ranks}):
+        for bins, few in ((3, False), (GP.BINS, False), (3, True)):
+            assert GP.select_ranks(df, "d", ranks, min(vals), max(vals), bins, within, few) == {k: sorted(vals)[k] for k in ranks}
+
+
+def test_summary_takes_two_counts(spark, monkeypatch):
+    """One pass with sketches, then one count of each rank's bins, at a range of years."""
+    rounds = []
+    plain = GP.select_ranks
+    monkeypatch.setattr(GP, "select_ranks", lambda v, *a, **k: plain(_counted(v, rounds), *a, **k))
+    rows = [(str(i), str(dt.datetime(2000, 1, 1) + dt.timedelta(minutes=i * i)), "x", None) for i in range(2000)]
+    got = GP.posting_interval_summary(make_posts(spark, rows)).head()
+    gaps = sorted((2 * i + 1) * 1.0 for i in range(1999))
+    assert (got["median"], got["p90"], got["count"]) == (gaps[999], gaps[GP.p90_index(1999)], 1999)
+    assert len(rounds) == 1
+
+
+def _counted(df, rounds):
+    class Counting:
+        def select(self, *a):
+            rounds.append(1)
+            return df.select(*a)
+    return Counting()
+
+
+def test_session_sizes_are_those_of_the_posts(spark):
+    rnd = random.Random(8)
+    rows, t = [], dt.datetime(1969, 12, 25)
+    for i in range(600):
+        t += dt.timedelta(milliseconds=rnd.choice([0, 1, 59_999, 60_000, 60_001, 1_799_999, 1_800_000, 1_800_001, 90_000_000]))
+        rows.append((str(i), str(t) if "." in str(t) else f"{t}.000000", "x", None, i % 3))
+    posts = make_posts(spark, rows, with_author=True)
+    for gap in (0, 1, 30, 0.5):
+        for by in (None, "author_id"):
+            expected = sorted((r["start_ms"], r["end_ms"], r["posts"]) for r in GP.sessions(posts, gap, by).collect())
+            assert sorted((r["start_ms"], r["end_ms"], r["posts"]) for r in GP.session_sizes(posts, gap, by).collect()) == expected
+    assert GP.session_cells(posts, 30).count() < 600
+
+
+def test_bounds_part_a_burst(spark):
+    from pyspark.sql import functions as F
+    rows = [(str(i), "2024-01-05 10:00:00" if i < 900 else f"2024-01-{6 + i % 20:02d} 10:00:00", "x", None) for i in range(1000)]
+    r = GP.range_partitioned(make_posts(spark, rows), num_partitions=4)
+    sizes = [x["n"] for x in r.groupBy("pid").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) < 130
