@@ -6,6 +6,7 @@ import ctypes
 import hashlib
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,13 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Jobs begun inside give the files of their shuffles back when they end, so that a
+    sequence of steps needs the disk of its largest step and not that of all together.
+    What they have written stays; the session's own setting is put back."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the files are in the shared folder, so the result
-    survives the loss of any executor."""
-    sc = df.sparkSession.sparkContext
+    survives the loss of any executor, and the shuffles behind it are not kept."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_dir(spark))
+    with shuffles_dropped(spark):
+        # The plan is made here: it takes the setting that holds now.
+        return df.select("*").checkpoint(eager=True)
 
 
 def ship(spark: SparkSession) -> None:
