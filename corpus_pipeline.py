@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postlens.llm import bpe_chunks, ngram_join, quality_classifier, source_mixing, substring_dedup
-from postlens.llm.cluster import shared_dir
+from postlens.llm.cluster import shared_dir, shuffles_dropped
 
 #: All but the last return the columns of their input.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -29,6 +29,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with shuffles_dropped(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
