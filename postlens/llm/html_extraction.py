@@ -9,6 +9,13 @@ else the lowest division that holds all seeds.  All of its lines belong to the r
 short paragraphs and lists of links too, but for those inside elements that by tag,
 role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
+Marks are believed of parts of a page only: where nothing else is left, the marked elements
+that hold most of the seeds' text, the outermost first, count as unmarked (a page that is
+one form, or whose content division is named after its sidebar).
+
+Declarations and marked sections of any kind are skipped to the next ``>``, as browsers do;
+text or another element ends a head that was never closed.
+
 Defined results: null or empty html and pages without text give an empty string;
 unclosed and stray tags are tolerated; repeated rows give repeated results; an empty
 table gives no rows; other columns than page_id, url and html are ignored.
@@ -30,6 +37,7 @@ from .cluster import released, ship
 
 SIGMA = 1.0          # of the Gaussian, in lines
 
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 DIVISIONS = frozenset("page html body div center dialog".split())  # what can be a region without article or main
 
 # HTML element names and the usual words in classes, ids and roles.
@@ -49,9 +57,12 @@ sharing social related recommended recommendations newsletter subscribe subscrip
 pager widget widgets skip""".split())
 PLAIN_HEADER = frozenset("header page-header site-header top-header main-header topbar".split())
 
+_COMMENT = frozenset("comment comments comment-body comment-list comment-content".split())
+
 _WHITE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[\s_-]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_COMMENT_END = re.compile("--!?>")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -62,7 +73,7 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name in ("class", "id"):
             names = value or ""
             if names.lower() in PLAIN_HEADER or not WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", names).lower())):
-                return tag not in ("body", "html", "article", "main") or "comment" in names.lower()
+                return tag not in ("body", "html", "article", "main") or not _COMMENT.isdisjoint(names.lower().split())
         elif name == "role" and (value or "").lower() in ROLES:
             return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
@@ -84,6 +95,8 @@ class Blocks(HTMLParser):
         self.text: list[str] = []
         self.link_chars = self.tags = 0
         self.lines: list[tuple[str, int, int, bool, bool]] = []  # text, node, tags, boilerplate, only links
+        self.marked: list[bool] = [False]                 # of each node: marked as boilerplate
+        self.doubtful: list[bool] = []                    # of each line: off by marks of nodes alone
 
     def flush(self) -> None:
         if self.text:
@@ -91,11 +104,25 @@ class Blocks(HTMLParser):
             if line:
                 linked = self.link_chars >= sum(len(x) for x in self.text) - 2
                 self.lines.append((line, self.open[-1][1], self.tags, self.off > 0, linked))
+                self.doubtful.append(self.off == sum(off for (tag, _), off in zip(self.open, self.off_at) if tag in BLOCK) if self.off else False)
                 self.tags = 0
             self.text = []
         self.link_chars = 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        end = _COMMENT_END.search(self.rawdata, i + 2)
+        return end.end() if end else -1
+
+    def leave_head(self) -> None:
+        if self.open[-1][0] == "head":
+            self.leave(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD:
+            self.leave_head()
         self.tags += 1
         if tag == "a":
             self.link += 1
@@ -110,6 +137,8 @@ class Blocks(HTMLParser):
             self.flush()
         if tag in VOID:
             return
+        if tag in BLOCK and self.open[-1][0] == "button":
+            self.leave(len(self.open) - 1)  # never closed
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.open[-1][0] == tag or self.open[-1][0] == "p" and not silent:
             self.leave(len(self.open) - 1)
         if silent:
@@ -122,6 +151,7 @@ class Blocks(HTMLParser):
             self.parent.append(node)
             self.kind.append(tag)
             node = len(self.kind) - 1
+            self.marked.append(off)
         elif off:
             self.flush()
         self.open.append((tag, node))
@@ -157,6 +187,8 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][0] == "head" and not data.isspace():
+            self.leave_head()
         if not self.silent:
             self.text.append(data)
             if self.link:
@@ -174,6 +206,21 @@ def ratios(lines: list[tuple[str, int, int, bool, bool]], sigma: float = SIGMA)
     return smooth, float(smooth.std())
 
 
+def _unmarked(page: Blocks) -> list[bool]:
+    """Whether each line is off when the marked nodes that hold most of the page are not believed."""
+    n = len(page.kind)
+    mass = [0] * n
+    for x, doubtful in zip(page.lines, page.doubtful):
+        if doubtful:
+            mass[x[1]] += len(x[0])
+    for node in range(n - 1, 0, -1):
+        mass[page.parent[node]] += mass[node]
+    off = [False] * n  # nodes come after their parents
+    for node in range(1, n):
+        off[node] = off[page.parent[node]] or page.marked[node] and 2 * mass[node] <= mass[0]
+    return [off[x[1]] or not doubtful for x, doubtful in zip(page.lines, page.doubtful)]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -182,12 +229,16 @@ def main_text(html: str | None) -> str:
     page.close()
     page.flush()
     lines = page.lines
+    if lines and all(x[3] for x in lines):
+        lines = [(*x[:3], off, x[4]) for x, off in zip(lines, _unmarked(page))]
     if not lines:
         return ""
     smooth, threshold = ratios(lines)
     seeds = [not x[3] and s >= threshold for x, s in zip(lines, smooth)]
     if not any(seeds):
         seeds = [not x[3] for x in lines]
+    if not any(seeds):
+        return ""
     n = len(page.kind)
     mass = [0] * n
     for x, seed in zip(lines, seeds):
