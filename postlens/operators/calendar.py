@@ -3,18 +3,52 @@
 All counts are partial (map-side) aggregations; zero-filling joins a generated
 calendar whose size is bounded by the date span (days), or a fixed 7 / 24 / 31
 row table, never by the number of posts.
+
+Every operator takes posts or the cells that :func:`calendar_cells` makes of them: one row
+for each date and hour with posts, at most the hours of the time span.  A dashboard counts
+the posts once and works out all its tables from the cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
 
+# Columns of a cell: its posts and the last of their times (``created_at`` is the first).
+CELL_POSTS, CELL_LAST = "_posts", "_last_at"
+# Tables that GROUPING SETS roll up from the cells at once.
+ROLLUPS = [["year"], ["year", "month"], ["weekday"], ["hour"], ["date"], ["weekday", "hour"]]
+
+
+def _posts(df: DataFrame) -> Column:
+    """Aggregate: number of posts of rows that are posts or cells."""
+    return F.coalesce(F.sum(CELL_POSTS), F.lit(0)) if CELL_POSTS in df.columns else F.count(F.lit(1))
+
+
+def _last(df: DataFrame) -> Column:
+    return F.col(CELL_LAST if CELL_LAST in df.columns else "created_at")
+
+
+def calendar_cells(df: DataFrame) -> DataFrame:
+    """One row for each date and hour that has posts (and one for posts without a time): the
+    calendar columns, the posts, and their first and last time."""
+    return (df.groupBy("date", "year", "month", "weekday", "hour")
+            .agg(F.count(F.lit(1)).alias(CELL_POSTS), F.min("created_at").alias("created_at"), F.max("created_at").alias(CELL_LAST)))
+
+
+def calendar_rollups(df: DataFrame) -> DataFrame:
+    """Posts of every year, month, weekday, hour, date and weekday with hour, from one count of
+    the posts; ``level`` is the grouping id over (year, month, weekday, hour, date)."""
+    keys = ["year", "month", "weekday", "hour", "date"]
+    cells = df if CELL_POSTS in df.columns else calendar_cells(df)
+    return cells.groupingSets(ROLLUPS, *keys).agg(_posts(cells).alias("posts"), F.grouping_id().alias("level")).select("level", *keys, "posts")
+
+
 def _count(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("posts")).orderBy(*keys)
+    return df.groupBy(*keys).agg(_posts(df).alias("posts")).orderBy(*keys)
 
 
 def _range_table(df: DataFrame, name: str, start: int, stop: int) -> DataFrame:
@@ -37,7 +71,7 @@ def weekday_counts(df: DataFrame) -> DataFrame:
 
 def weekday_counts_filled(df: DataFrame) -> DataFrame:
     """Panel form: all seven weekdays, zero when absent, with label."""
-    counts = df.where(F.col("weekday").isNotNull()).groupBy("weekday").agg(F.count(F.lit(1)).alias("posts"))
+    counts = df.where(F.col("weekday").isNotNull()).groupBy("weekday").agg(_posts(df).alias("posts"))
     base = _range_table(df, "weekday", 0, 7)
     return (F.broadcast(base).join(counts, "weekday", "left")
             .select("weekday", F.coalesce("posts", F.lit(0)).alias("posts"),
@@ -59,7 +93,7 @@ def daily_counts_full(df: DataFrame) -> DataFrame:
     One pass over the posts: they are counted by date, and the span comes from those
     counts.  Each date is then followed by the days up to the next date (a gap of days,
     not of posts), so no second table is joined."""
-    counts = df.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("posts"))
+    counts = df.where(F.col("date").isNotNull()).groupBy("date").agg(_posts(df).alias("posts"))
     after = F.lead("date").over(Window.orderBy("date"))  # one row per date
     until = F.coalesce(F.date_sub("_after", 1), F.col("date"))
     return (counts.withColumn("_after", after)
@@ -109,7 +143,7 @@ def weekly_counts(df: DataFrame) -> DataFrame:
 
 def monthday_counts(df: DataFrame) -> DataFrame:
     counts = (df.where(F.col("date").isNotNull())
-              .groupBy(F.dayofmonth("date").alias("monthday")).agg(F.count(F.lit(1)).alias("posts")))
+              .groupBy(F.dayofmonth("date").alias("monthday")).agg(_posts(df).alias("posts")))
     base = _range_table(df, "monthday", 1, 32)
     return (F.broadcast(base).join(counts, "monthday", "left")
             .select("monthday", F.coalesce("posts", F.lit(0)).alias("posts")).orderBy("monthday"))
@@ -135,7 +169,7 @@ def _dense_pivot(counts: DataFrame, row_key: str, col_key: str, values, prefix:
 def weekday_hour_matrix(df: DataFrame) -> DataFrame:
     """Dense 7 x 24 matrix: weekday rows, columns h00..h23."""
     counts = (df.where(F.col("weekday").isNotNull() & F.col("hour").isNotNull())
-              .groupBy("weekday", "hour").agg(F.count(F.lit(1)).alias("posts")))
+              .groupBy("weekday", "hour").agg(_posts(df).alias("posts")))
     out = _dense_pivot(counts, "weekday", "hour", range(24), "h", 2, _range_table(df, "weekday", 0, 7))
     return out.withColumn("weekday_label", C.weekday_label(F.col("weekday"))).orderBy("weekday")
 
@@ -144,7 +178,7 @@ def weekday_monthday_matrix(df: DataFrame) -> DataFrame:
     """Dense 7 x 31 matrix from the date: weekday rows, columns d01..d31."""
     counts = (df.where(F.col("date").isNotNull())
               .groupBy(F.weekday("date").alias("weekday"), F.dayofmonth("date").alias("monthday"))
-              .agg(F.count(F.lit(1)).alias("posts")))
+              .agg(_posts(df).alias("posts")))
     out = _dense_pivot(counts, "weekday", "monthday", range(1, 32), "d", 2, _range_table(df, "weekday", 0, 7))
     return out.withColumn("weekday_label", C.weekday_label(F.col("weekday"))).orderBy("weekday")
 
@@ -162,8 +196,8 @@ def daily_calendar_matrix(df: DataFrame) -> DataFrame:
 
 def basic_counts(df: DataFrame) -> DataFrame:
     """total posts and posts per day over whole 24 h periods between first and last post."""
-    agg = df.agg(F.count(F.lit(1)).alias("total"), F.min("created_at").alias("lo"),
-                 F.max("created_at").alias("hi"))
+    agg = df.agg(_posts(df).alias("total"), F.min("created_at").alias("lo"),
+                 F.max(_last(df)).alias("hi"))
     days = _span_days(F.col("lo"), F.col("hi"))
     return agg.select("total", C.round_half_up(F.col("total") / days, 2).alias("avg_per_day"))
 
@@ -177,9 +211,11 @@ def _span_days(lo, hi):
 
 def average_counts(df: DataFrame) -> DataFrame:
     """Average posts per day, week, month (calendar months spanned) and year."""
-    ym = F.year("created_at") * 12 + F.month("created_at")
-    agg = df.agg(F.count(F.lit(1)).alias("total"), F.min("created_at").alias("lo"),
-                 F.max("created_at").alias("hi"), F.min(ym).alias("ym_lo"), F.max(ym).alias("ym_hi"))
+    def ym(at: Column) -> Column:
+        return F.year(at) * 12 + F.month(at)
+
+    agg = df.agg(_posts(df).alias("total"), F.min("created_at").alias("lo"),
+                 F.max(_last(df)).alias("hi"), F.min(ym(F.col("created_at"))).alias("ym_lo"), F.max(ym(_last(df))).alias("ym_hi"))
     days = _span_days(F.col("lo"), F.col("hi"))
     weeks = F.greatest(days / F.lit(7.0), F.lit(1.0))
     months = F.when(F.col("ym_lo").isNull(), F.greatest(days / F.lit(30.4), F.lit(1.0))).otherwise(

@@ -2,7 +2,7 @@
 
 Inputs are per-post token arrays (``tokens.token_arrays``): one row per post with
 its kept tokens.  Term frequency and document frequency come from a single
-explode of ``occurrences ++ distinct tokens`` and one partial aggregation, so a
+explode of each post's sorted tokens and one partial aggregation, so a
 frequent word is pre-aggregated in every map task and no token is shuffled by
 post.  Term filters (``array_contains``) need no explode at all.
 
@@ -26,13 +26,13 @@ def _idf_score(tf: Column, df: Column, n: Column) -> Column:
 
 
 def term_rows(arrays: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., token, occ, doc): one row per occurrence (occ=1) plus one per
-    distinct token of the post (doc=1).  sum(occ) is the term frequency,
-    sum(doc) the number of posts containing the token."""
-    occ = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("occ"), F.lit(0).alias("doc")))
-    doc = F.transform(F.array_distinct("tokens"),
-                      lambda t: F.struct(t.alias("token"), F.lit(0).alias("occ"), F.lit(1).alias("doc")))
-    return arrays.select(*keep, F.explode(F.concat(occ, doc)).alias("r")).select(*keep, "r.token", "r.occ", "r.doc")
+    """(keep..., token, doc): one row per occurrence; doc is 1 for one of a post's equal tokens
+    and 0 for the others.  The count of rows is the term frequency, sum(doc) the number of
+    posts containing the token.  Sorting a post's tokens puts equal ones side by side, so
+    one explode in generated code tells the first of them."""
+    each = arrays.select(*keep, F.sort_array("tokens").alias("_s")).select(*keep, "_s", F.posexplode("_s").alias("_i", "token"))
+    again = (F.col("_i") > 0) & (F.get("_s", F.col("_i") - 1) == F.col("token"))
+    return each.select(*keep, "token", F.when(again, 0).otherwise(1).alias("doc"))
 
 
 def word_frequency(arrays: DataFrame, top_n: int | None = 50) -> DataFrame:
@@ -53,7 +53,7 @@ def word_cloud_weights(arrays: DataFrame, max_words: int = 150) -> DataFrame:
 
 def _tf_df(arrays: DataFrame, *keys: str) -> DataFrame:
     return (term_rows(arrays, *keys).groupBy(*keys, F.col("token").alias("word"))
-            .agg(F.sum("occ").cast("long").alias("tf"), F.sum("doc").cast("long").alias("df")))
+            .agg(F.count(F.lit(1)).alias("tf"), F.sum("doc").cast("long").alias("df")))
 
 
 def _n_posts(posts: DataFrame, n_posts: int | None) -> Column:
@@ -171,18 +171,17 @@ def token_mode_compare(posts: DataFrame, opts: TextOptions | None = None, top_n:
 
 
 def topic_word_trend(posts: DataFrame, arrays: DataFrame, top_n: int = 5, n_posts: int | None = None) -> DataFrame:
-    """For the top corpus TF-IDF words: posts per month containing each word.  The
-    ranking is one aggregation; its word list (at most top_n words) is inlined in
-    the second pass, which filters each post's array without exploding the rest."""
-    top = [r["word"] for r in tfidf_corpus(posts, arrays, top_n, n_posts).select("word").collect()]
-    if not top:
-        return posts.sparkSession.createDataFrame([], "year_month string, posts bigint, word string")
-    words = F.array(*[F.lit(w) for w in top])
-    hits = (arrays.where(F.col("year").isNotNull() & F.col("month").isNotNull())
-            .select(C.year_month_label(F.col("year"), F.col("month")).alias("year_month"),
-                    F.explode(F.array_intersect(F.array_distinct("tokens"), words)).alias("word")))
-    return (hits.groupBy("year_month", "word").agg(F.count(F.lit(1)).alias("posts"))
-            .select("year_month", "posts", "word").orderBy("year_month", "word"))
+    """For the top corpus TF-IDF words: posts per month containing each word.
+
+    Words are counted once, by month (posts without one included); sums over the months
+    rank them, inside the plan, and the ``top_n`` words of that select among the same counts."""
+    by_month = _tf_df(arrays.select(_month_label().alias("year_month"), "tokens"), "year_month")
+    corpus = by_month.groupBy("word").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).withColumn("_n", _n_posts(posts, n_posts))
+    top = (corpus.withColumn("score", _idf_score(F.col("tf"), F.col("df"), F.col("_n")))
+           .orderBy(F.desc("score"), F.asc("word")).limit(top_n).select("word"))
+    # The filter holds for every row; with it both branches read both counts, so their exchange is one.
+    hits = by_month.where(F.col("year_month").isNotNull() & (F.col("tf") > 0)).join(F.broadcast(top), "word")
+    return hits.select("year_month", F.col("df").alias("posts"), "word").orderBy("year_month", "word")
 
 
 def vocab_topk_by_df(arrays: DataFrame, max_features: int = 200) -> DataFrame:

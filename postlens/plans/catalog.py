@@ -291,6 +291,13 @@ _SPAN_DAYS = ("CASE WHEN min(created_at) IS NULL THEN 1.0 ELSE CAST(greatest(flo
               "date_diff('microsecond', min(created_at), max(created_at)) / 86400000000.0) + 1, 1) AS DOUBLE) END")
 
 
+@query("calendar_rollups", S("""
+SELECT GROUPING(year, month, weekday, hour, date) AS level, year, month, weekday, hour, date, count(*) AS posts FROM sp
+GROUP BY GROUPING SETS ((year), (year, month), (weekday), (hour), (date), (weekday, hour))"""))
+def q_calendar_rollups(spark, sf):
+    return CAL.calendar_rollups(stream(spark, sf))
+
+
 @query("basic_counts", A(f"""
 SELECT count(*) AS total, {r2(f'count(*) / ({_SPAN_DAYS})')} AS avg_per_day FROM ap"""))
 def q_basic_counts(spark, sf):

@@ -24,6 +24,7 @@ from ..operators import tags as TG
 from ..operators import terms as TM
 from ..operators import tokens as TK
 from ..operators import topics as TP
+from ..session import materialize
 from ..sources import csv_ingest as CSV
 
 
@@ -195,12 +196,26 @@ PANELS = {
 }
 
 
+# Panels whose tables are all worked out from calendar cells.
+CALENDAR_PANELS = ("summary", "time", "monthday_bias")
+
+
 def run_panel(name: str, derived: DataFrame, options: AnalysisOptions | None = None) -> dict[str, DataFrame]:
-    """Tables of a multi-table panel by kind name (``summary`` adds the average counts)."""
+    """Tables of a multi-table panel by kind name (``summary`` adds the average counts).
+    The posts of a calendar panel are read once, for its cells."""
+    if name in CALENDAR_PANELS:
+        return run_calendar(derived, options, (name,))[name]
+    return {kind: run(kind, derived, options, preset="panel") for kind in PANELS[name]}
+
+
+def run_calendar(derived: DataFrame, options: AnalysisOptions | None = None,
+                 panels: Sequence[str] = CALENDAR_PANELS) -> dict[str, dict[str, DataFrame]]:
+    """All calendar panels of a dashboard, by panel and kind, from one count of the posts."""
     options = options or AnalysisOptions()
-    out = {kind: run(kind, derived, options, preset="panel") for kind in PANELS[name]}
-    if name == "summary":
-        out["average_counts"] = CAL.average_counts(prepare(derived, options))
+    cells = materialize(CAL.calendar_cells(prepare(derived, options)))  # at most the hours of the time span
+    out = {name: {kind: run(kind, cells, options, preset="panel") for kind in PANELS[name]} for name in panels}
+    if "summary" in out:
+        out["summary"]["average_counts"] = CAL.average_counts(cells)
     return out
 
 
