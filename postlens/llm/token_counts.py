@@ -7,7 +7,10 @@ of every shared prefix once: the best score of a segmentation of the prefix into
 vocabulary pieces, and its number of pieces.  The terminal count of each pre-token is
 kept and summed over the words of every text.
 
-The vocabulary is that of a public sentencepiece model: its pieces with their scores.
+The vocabulary is that of a public sentencepiece model.  Its file holds the order of its
+pieces, merge ranks, and no probabilities; a unigram score is a log-probability, so the
+piece of rank r (1 for the first) gets that of Zipf's law, ln(1 / (r * H)), H being the sum of
+all 1 / r.  Common pieces then win over many short ones, as they do where scores are learned.
 A character without a piece of its own costs ``UNKNOWN`` below the lowest score and
 counts as its UTF-8 bytes.  Of equally good segmentations the one of fewest tokens
 counts.
@@ -19,6 +22,7 @@ give repeated results; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,8 +60,10 @@ class Unigram:
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-            cls._have[key] = cls({sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size())
-                                  if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))})
+            ranked = sorted((i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))),
+                            key=lambda i: (-sp.get_score(i), i))
+            total = math.fsum(1 / r for r in range(1, len(ranked) + 1))
+            cls._have[key] = cls({sp.id_to_piece(i): -math.log(r * total) for r, i in enumerate(ranked, 1)})
         return cls._have[key]
 
     def counts(self, ranked: list[str]) -> list[int]:
