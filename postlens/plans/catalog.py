@@ -1161,6 +1161,13 @@ def q_topk(spark, sf):
     return H.long_text_ranking(stream(spark, sf), 100)
 
 
+@query("long_texts_stored", _LONG_SQL)
+def q_long_texts_stored(spark, sf):
+    """The same ranking over the stored table: lengths first, then the texts of the winners alone."""
+    from ..sources import posts_table as STORED
+    return STORED.long_texts(spark, STORED.write_posts_table(stream(spark, sf), scratch_path(spark, "posts")), 100)
+
+
 # ---------------------------------------------------------------------------
 # 2.11 building blocks with keys of their own
 # ---------------------------------------------------------------------------

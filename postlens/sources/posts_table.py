@@ -32,3 +32,22 @@ def read_posts_table(spark: SparkSession, path: str, years: Sequence[int] | None
     if years:
         df = df.where(F.col("year").isin([int(y) for y in years]))
     return df
+
+
+def long_texts(spark: SparkSession, path: str, top_n: int = 100, years: Sequence[int] | None = None) -> DataFrame:
+    """The longest texts of a stored table, as ``histograms.long_text_ranking`` ranks them.
+
+    The table has the length of every text, so the ranking reads lengths and ids alone and
+    keeps the place (file and row) of ``top_n`` rows.  Then only the files of those rows are
+    read again, for their texts; texts are neither sorted nor shuffled."""
+    table = spark.read.parquet(path)
+    if years:
+        table = table.where(F.col("year").isin([int(y) for y in years]))
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    order = [F.desc("text_length"), F.asc("tweet_id")]
+    won = table.select("text_length", "tweet_id", *place).orderBy(*order).limit(int(top_n)).select("_file", "_row").collect()
+    files = sorted({r["_file"] for r in won})
+    rows = table.where(F.col("_metadata.file_path").isin(files)) if files else table.limit(0)
+    rows = rows.select("tweet_id", "created_at", "text_length", "text", "status_url", *place)
+    places = spark.createDataFrame([tuple(r) for r in won], "_file string, _row long")
+    return rows.join(F.broadcast(places), ["_file", "_row"], "left_semi").drop("_file", "_row").orderBy(*order)
