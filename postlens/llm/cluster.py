@@ -21,7 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.sql.warehouse.dir`` is used, which the session names as well.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if path:
+        return path
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.partition(":")[0] in ("file", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse.rstrip("/") + "/_checkpoints"
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file(spark, path)
+    return files.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of intermediate results that this package has written."""
+    files, at = _file(spark, path)
+    files.delete(at, True)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

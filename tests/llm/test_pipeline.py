@@ -5,6 +5,8 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 from postlens.llm import bpe_chunks, ngram_join, quality_classifier, substring_dedup  # noqa: E402
 
@@ -33,3 +35,28 @@ def test_pipeline(spark):
     last = bpe_chunks.stage(spark, docs, sf).count()
     assert last == len(rows["source_mixing"])
     assert quality_classifier.KEEP == 0.3
+
+
+def test_a_failed_run_goes_on_after_its_last_stage(spark, tmp_path, monkeypatch):
+    """Stages that only count their calls: the run fails in the third, the next goes on there."""
+    calls, broken = [], [True]
+
+    def stage(name):
+        def run(spark, docs, sf_dir):
+            calls.append(name)
+            if name == "c" and broken:
+                raise RuntimeError("lost")
+            return docs.withColumn("text", F.concat("text", F.lit(name)))
+        return run
+
+    spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage(n)) for n in "abcd"])
+    folder = str(tmp_path / "run")
+    try:
+        corpus_pipeline.run(spark, str(tmp_path), folder)
+    except RuntimeError:
+        broken.clear()
+    got = corpus_pipeline.run(spark, str(tmp_path), folder)
+    assert calls == ["a", "b", "c", "c", "d"] and sorted(r.text for r in got.collect()) == ["xabcd", "yabcd"]
+    assert sorted(p.name for p in (tmp_path / "run").iterdir()) == ["3-d"]
+    assert sorted(r.text for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ["xabcd", "yabcd"]
