@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postlens.llm import bpe_chunks, ngram_join, quality_classifier, source_mixing, substring_dedup
-from postlens.llm.cluster import shared_dir, shuffles_dropped
+from postlens.llm.cluster import delete, exists, shared_dir, shuffles_dropped
 
 #: All but the last return the columns of their input.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -23,13 +23,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to the whole of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{root}/{k}-{name}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Apply every stage to the whole of ``documents``.
+
+    A run with the ``folder`` of one that failed goes on after its last finished stage;
+    without one the stages are written to a folder of their own.  The output of a stage
+    is deleted when the next one's is there.
+    """
+    root = (folder or f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}").rstrip("/")
+    paths = [f"{root}/{k}-{name}" for k, (name, _) in enumerate(STAGES)]
+    done = max((k for k, path in enumerate(paths) if exists(spark, f"{path}/_SUCCESS")), default=-1)
+    docs = spark.read.parquet(paths[done] if done >= 0 else f"{sf_dir}/documents.parquet")
+    for k in range(done + 1, len(STAGES)):
         with shuffles_dropped(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+            STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k])
+        docs = spark.read.parquet(paths[k])
+        if k:
+            delete(spark, paths[k - 1])
     return docs
