@@ -46,7 +46,12 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that the session names and all executors see: ``spark.checkpoint.dir`` or,
     where that is unset, ``spark.sql.warehouse.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir")
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.partition(":")[0] in ("file", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
