@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -29,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return warehouse.rstrip("/") + "/_checkpoints"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of intermediate tables in the shared folder, not yet made."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: for large intermediates, which take a
+    fraction of a checkpoint's disk and are read by column.  The shuffles behind it are not
+    kept; :func:`delete` it once what reads it is written itself."""
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _file(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textarrays as ta
-from .cluster import checkpointed, released, ship
+from .cluster import delete, new_folder, released, ship, written
 
 WIDTH = 5
 MIN_WORDS = 50
@@ -336,10 +336,11 @@ def across(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(released(run), "id long, h int, oid long, oh int, dlo int, dhi int, first int, last int")
 
 
-def more_candidates(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates as of ``candidates`` among all documents of a min-hash, with repeats."""
-    strip = checkpointed(around(rows, crowded(found)))
-    classes = checkpointed(in_classes(strip))
+def more_candidates(rows: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """Candidates as of ``candidates`` among all documents of a min-hash, with repeats.
+    Its tables stay in ``folder``."""
+    strip = written(around(rows, crowded(found)), f"{folder}/around")
+    classes = written(in_classes(strip), f"{folder}/classes")
     return (of_classes(strip, classes).union(across(classes))
             .select("id", "h", "oid", "oh", F.floor((F.col("dlo") + F.col("dhi")) / (2 * BAND)).alias("band"), "dlo", "dhi", "first", "last"))
 
@@ -399,15 +400,18 @@ def repeats(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> Data
     spark = docs.sparkSession
     ship(spark)
     rows = keyed(docs)
-    met = checkpointed(met_windows(rows, hashes))
-    found = checkpointed(candidates(met, enough).union(more_candidates(rows, met))
-                         .groupBy("id", "h", "oid", "oh", "band")
-                         .agg(F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi"), F.min("first").alias("first"), F.max("last").alias("last")))
+    folder = new_folder(spark, "repeats")
+    met = written(met_windows(rows, hashes).drop("key"), f"{folder}/met")
+    found = written(candidates(met, enough).union(more_candidates(rows, met, folder))
+                    .groupBy("id", "h", "oid", "oh", "band")
+                    .agg(F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi"), F.min("first").alias("first"), F.max("last").alias("last")), f"{folder}/found")
+    for name in ("met", "around", "classes"):
+        delete(spark, f"{folder}/{name}")
     mine = found.withColumn("tile", F.explode(F.expr(f"sequence(CAST(first div {TILE} AS INT), CAST(last div {TILE} AS INT))")))
     lo, hi = (F.greatest(F.lit(0), F.floor((F.col("tile") * TILE + edge) / TILE)).cast("int") for edge in (-F.col("dhi"), TILE - 1 - F.col("dlo")))
     theirs = mine.where(hi >= 0).withColumn("otile", F.explode(F.sequence(lo, hi)))
     wanted = mine.select("id", "h", "tile").union(theirs.select("oid", "oh", "otile")).distinct()
-    strip = checkpointed(strips(rows, wanted))
+    strip = written(strips(rows, wanted), f"{folder}/strips")
     other = strip.select(F.col("id").alias("oid"), F.col("h").alias("oh"), F.col("tile").alias("otile"), F.col("strip").alias("other"))
     both = theirs.join(other, ["oid", "oh", "otile"]).join(strip, ["id", "h", "tile"])
 
