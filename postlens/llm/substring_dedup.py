@@ -210,8 +210,9 @@ def crowded(found: DataFrame) -> DataFrame:
 
 
 def around(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, id, h, c, at, strip): 16-bit hashes of the tokens within REACH of c; at: of c in it.
-    One row for each side of c that has HALF tokens, its key made of them and the min-hash."""
+    """(key, id, h, c, at, n, cls, strip): 16-bit hashes of the n tokens within REACH of c; at: of c
+    in it; cls: a hash of at and strip.  One row for each side of c that has HALF tokens, its key
+    made of them and the min-hash."""
     lists = wanted.groupBy("id", "h").agg(F.collect_set(F.struct("minhash", "c")).alias("centres"))  # at most a text's windows
     asked = rows.join(lists, ["id", "h"]).select("id", "h", "text", "centres")
 
@@ -221,38 +222,47 @@ def around(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in ta.slices(b.column(2)):
                 g, ptr = tokens(s)
                 small = (g >> _U(11)).astype(np.uint16)
-                out: tuple[list, ...] = ([], [], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
                 for t in range(len(ptr) - 1):
                     k = s.first + t
                     full, own = g[ptr[t]:ptr[t + 1]], small[ptr[t]:ptr[t + 1]]
                     for x in centres[k].as_py():
                         c = x["c"]
                         a = max(0, c - REACH)
+                        strip = own[a:c + REACH + 1].tobytes()
+                        cls = int.from_bytes(hashlib.blake2b(strip + (c - a).to_bytes(2, "little"), digest_size=8).digest(), "little", signed=True)
                         for lo, hi in ((c - HALF, c), (c, c + HALF)):
                             if lo < 0 or hi >= len(own):
                                 continue
                             key = hashlib.blake2b(full[lo:hi + 1].tobytes() + bytes([lo == c]) + x["minhash"].to_bytes(8, "little", signed=True), digest_size=8).digest()
-                            for col, v in zip(out, (int.from_bytes(key, "little", signed=True), ids[k], hs[k], c, c - a, own[a:c + REACH + 1].tobytes())):
+                            for col, v in zip(out, (int.from_bytes(key, "little", signed=True), ids[k], hs[k], c, c - a, len(strip) // 2, cls, strip)):
                                 col.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
-                                                     names=["key", "id", "h", "c", "at", "strip"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()))],
+                                                     names=["key", "id", "h", "c", "at", "n", "cls", "strip"])
 
-    return asked.mapInArrow(released(run), "key long, id long, h int, c int, at int, strip binary")
+    return asked.mapInArrow(released(run), "key long, id long, h int, c int, at int, n int, cls long, strip binary")
 
 
 def in_classes(strip: DataFrame) -> DataFrame:
-    """One row for each class: key, at, strip and its first id, h and c."""
-    return (strip.groupBy("key", "at", "strip").agg(F.min(F.struct("id", "h", "c")).alias("f"))
-            .select("key", "at", "strip", "f.*"))
+    """One row for each class of equal strips of a key: key, cls, at and its first id, h and c.
+    Strips are told apart by their hashes, so none is moved."""
+    return strip.groupBy("key", "cls").agg(F.first("at").alias("at"), F.min(F.struct("id", "h", "c")).alias("f")).select("key", "cls", "at", "f.*")
 
 
 def of_classes(strip: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidates of every window with the first of its class."""
-    first = classes.select("key", "at", "strip", F.col("id").alias("oid"), F.col("h").alias("oh"), F.col("c").alias("oc"))
-    return (strip.join(first, ["key", "at", "strip"]).where((F.col("id") != F.col("oid")) | (F.col("h") != F.col("oh")))
+    first = classes.select("key", "cls", F.col("id").alias("oid"), F.col("h").alias("oh"), F.col("c").alias("oc"))
+    return (strip.select("key", "cls", "id", "h", "c", "at", "n").join(first, ["key", "cls"]).where((F.col("id") != F.col("oid")) | (F.col("h") != F.col("oh")))
             .select("id", "h", "oid", "oh", (F.col("c") - F.col("oc")).alias("dlo"), (F.col("c") - F.col("oc")).alias("dhi"),
-                    (F.col("c") - F.col("at")).alias("first"), (F.col("c") - F.col("at") + F.octet_length("strip") / 2 - 1).cast("int").alias("last")))
+                    (F.col("c") - F.col("at")).alias("first"), (F.col("c") - F.col("at") + F.col("n") - 1).cast("int").alias("last")))
+
+
+def several(classes: DataFrame) -> DataFrame:
+    """Classes of the keys that have several: key, own (a block of the key) and n blocks, first id, h and c."""
+    sizes = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))
+    return (classes.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "h", "c"), F.col("n")).cast("int"))
+            .select("key", "own", "n", "id", "h", "c"))
 
 
 def new_spans(x: np.ndarray, others: np.ndarray, percent: int = PERCENT, least: int = MIN_TOKENS) -> list[tuple[int, int, int]]:
@@ -281,11 +291,12 @@ def new_spans(x: np.ndarray, others: np.ndarray, percent: int = PERCENT, least:
     return out
 
 
-def across(classes: DataFrame) -> DataFrame:
-    """Candidates of the first windows of different classes, compared in blocks."""
-    sizes = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))
-    rows = (classes.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "h", "c"), F.col("n")).cast("int"))
-            .withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+def across(classes: DataFrame, strip: DataFrame) -> DataFrame:
+    """Candidates of the first windows of different classes (as of ``several``), compared in
+    blocks.  Their strips are looked up; a table of classes below the session's broadcast
+    threshold leaves all other strips where they are."""
+    held = strip.select("key", "id", "h", "c", "at", "strip").join(classes, ["key", "id", "h", "c"]).dropDuplicates(["key", "id", "h", "c"])  # documents given twice
+    rows = (held.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
             .select("key", F.least("own", "meets").alias("x"), F.greatest("own", "meets").alias("y"), "own", "id", "h", "c", "at", "strip"))
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id", "h", "c")
@@ -341,7 +352,8 @@ def more_candidates(rows: DataFrame, found: DataFrame, folder: str) -> DataFrame
     Its tables stay in ``folder``."""
     strip = written(around(rows, crowded(found)), f"{folder}/around")
     classes = written(in_classes(strip), f"{folder}/classes")
-    return (of_classes(strip, classes).union(across(classes))
+    more = written(across(written(several(classes), f"{folder}/several"), strip), f"{folder}/across")
+    return (of_classes(strip, classes).union(more)
             .select("id", "h", "oid", "oh", F.floor((F.col("dlo") + F.col("dhi")) / (2 * BAND)).alias("band"), "dlo", "dhi", "first", "last"))
 
 
@@ -405,7 +417,7 @@ def repeats(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> Data
     found = written(candidates(met, enough).union(more_candidates(rows, met, folder))
                     .groupBy("id", "h", "oid", "oh", "band")
                     .agg(F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi"), F.min("first").alias("first"), F.max("last").alias("last")), f"{folder}/found")
-    for name in ("met", "around", "classes"):
+    for name in ("met", "around", "classes", "several", "across"):
         delete(spark, f"{folder}/{name}")
     mine = found.withColumn("tile", F.explode(F.expr(f"sequence(CAST(first div {TILE} AS INT), CAST(last div {TILE} AS INT))")))
     lo, hi = (F.greatest(F.lit(0), F.floor((F.col("tile") * TILE + edge) / TILE)).cast("int") for edge in (-F.col("dhi"), TILE - 1 - F.col("dlo")))
