@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 
 POS_ADVERB = "副詞"
+# Most allowed words of a lexicon that are a literal of the plan; longer ones are joined.
+LEXICON_WORDS = 1 << 16
+_SEP = "\u0001"  # no token holds a control character
 
 
 @dataclass(frozen=True)
@@ -76,13 +79,29 @@ def _allowed_words(opts: TextOptions) -> DataFrame:
     return opts.lexicon.where(F.col("pos").isin(allowed)).select(F.col("word").alias("_word")).distinct()
 
 
+def _is_one_of(words: list[str], buckets: list[int], size: int):
+    """One-argument test of a token: a literal array of texts, each the words of a bucket of
+    hashes between control characters; a token is looked for in its own bucket alone."""
+    texts = [""] * size
+    for word, bucket in zip(words, buckets):
+        texts[bucket] = f"{texts[bucket] or _SEP}{word}{_SEP}"
+    table = F.split(F.lit("\u0002".join(texts)), "\u0002")  # the optimiser folds it
+    return lambda t: F.get(table, _bucket(t, size)).contains(F.concat(F.lit(_SEP), t, F.lit(_SEP)))
+
+
+def _bucket(word: Column, size: int) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(size - 1)).cast("int")
+
+
 def token_arrays(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[str] = ("tweet_id",)) -> DataFrame:
     """One row per post: ``keep`` columns and ``tokens`` (kept tokens in text order,
     empty when none are left).
 
     This is the working representation of the text operators: counts, document
     frequencies, term filters and vectors are computed from the array of each post
-    without shuffling tokens by post.  Only a lexicon (part-of-speech filter) needs a
+    without shuffling tokens by post.  A lexicon (part-of-speech filter) with up to
+    ``LEXICON_WORDS`` allowed words is a hashed literal, in which each post looks its tokens
+    up; nothing is shuffled for it.  A longer one needs a
     join: rows that agree in ``keep`` and tokens are counted as one, their tokens
     joined to the allowed words and gathered again, and the row repeated as often as
     it was counted, so no row id is needed and a post stays a post.
@@ -91,10 +110,17 @@ def token_arrays(df: DataFrame, opts: TextOptions | None = None, keep: Sequence[
     rows = df.select(*keep, _kept_tokens(opts).alias("tokens"))
     if not restricts_classes(opts):
         return rows
+    words = _allowed_words(opts)
+    # Words with a control character equal no token.
+    size = max(1, LEXICON_WORDS // 2)  # a power of two
+    few = words.where(~F.col("_word").rlike("[\\x01\\x02]")).select("_word", _bucket(F.col("_word"), size)).limit(LEXICON_WORDS + 1).collect()
+    if len(few) <= LEXICON_WORDS:
+        listed = _is_one_of([r[0] for r in few], [r[1] for r in few], size)
+        return rows.withColumn("tokens", F.filter("tokens", listed))
     rows = rows.withColumn("_set", F.sha2(F.concat_ws("\u0000", "tokens"), 256))
     each = rows.groupBy(*keep, "_set").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("_rows"))
     items = each.select(*keep, "_set", "_rows", F.posexplode_outer("tokens").alias("_at", "_token"))
-    found = items.join(_allowed_words(opts), F.col("_token") == F.col("_word"), "left")
+    found = items.join(words, F.col("_token") == F.col("_word"), "left")
     hit = F.when(F.col("_word").isNotNull(), F.struct("_at", "_token"))
     back = found.groupBy(*keep, "_set", "_rows").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
     return (back.select(*keep, F.transform("_hits", lambda s: s["_token"]).alias("tokens"),
