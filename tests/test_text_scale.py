@@ -30,3 +30,11 @@ def test_lexicon_is_looked_up_in_place_and_joined_when_long(spark, monkeypatch):
             if listed is lex:
                 assert _rows(TK.token_arrays(_posts(spark), opts)) == here
     assert all("tokens=[]" in r for r in here)
+
+
+def test_modes_are_counted_over_distinct_pieces(spark):
+    posts = _posts(spark)
+    found = TM.mode_frequencies(posts, TK.TextOptions(stopwords="cat"), None)
+    each = [TM.word_frequency(TK.token_arrays(posts, TK.TextOptions(mode=m, stopwords="cat")), None).select(F.lit(m).alias("mode"), "word", "count") for m in "ABC"]
+    assert _rows(found) == _rows(each[0].union(each[1]).union(each[2])) != []
+    assert "split(replace(" in found._jdf.queryExecution().optimizedPlan().toString()
