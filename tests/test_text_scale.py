@@ -38,3 +38,8 @@ def test_modes_are_counted_over_distinct_pieces(spark):
     each = [TM.word_frequency(TK.token_arrays(posts, TK.TextOptions(mode=m, stopwords="cat")), None).select(F.lit(m).alias("mode"), "word", "count") for m in "ABC"]
     assert _rows(found) == _rows(each[0].union(each[1]).union(each[2])) != []
     assert "split(replace(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distinct_tokens_of_repeated_and_missing_ids(spark):
+    posts = _posts(spark)
+    assert _rows(TK.distinct_tokens(posts)) == _rows(TK.tokenize(posts).select("tweet_id", "token").distinct()) != []
