@@ -1097,7 +1097,7 @@ def q_tfidf_vectors(spark, sf):
                           C.round_half_up(l2, 4).alias("l2"))
 
 
-KMEANS_ROUNDS = 12
+KMEANS_ROUNDS = 12  # centre updates at most; posts are assigned once more to the last centres
 
 
 def _kmeans_sql(body: str) -> str:
@@ -1110,7 +1110,7 @@ w AS MATERIALIZED (SELECT t.tweet_id, t.token, t.c * (ln((1 + (SELECT count(*) F
 kk AS (SELECT unnest(range({KMEANS_K})) AS cid),
 c0 AS MATERIALIZED (SELECT cid, w.token, w.x AS c FROM (SELECT tweet_id, row_number() OVER (ORDER BY CAST(tweet_id AS BIGINT)) - 1 AS cid
   FROM (SELECT DISTINCT tweet_id FROM w) d) s JOIN w USING (tweet_id) WHERE cid < {KMEANS_K})"""
-    for r in range(KMEANS_ROUNDS):
+    for r in range(KMEANS_ROUNDS + 1):
         score = r4("coalesce(n.cn, 0) - 2 * coalesce(dots.dot, 0)")
         ctes += f""",
 a{r} AS MATERIALIZED (SELECT tweet_id, cid FROM (
@@ -1122,7 +1122,7 @@ a{r} AS MATERIALIZED (SELECT tweet_id, cid FROM (
 c{r + 1} AS MATERIALIZED (SELECT a.cid, w.token, sum(w.x) / any_value(m.n) AS c FROM a{r} a JOIN w USING (tweet_id)
   JOIN (SELECT cid, count(*) AS n FROM a{r} GROUP BY cid) m ON m.cid = a.cid GROUP BY a.cid, w.token
   UNION ALL SELECT * FROM c{r} WHERE cid NOT IN (SELECT cid FROM a{r}))"""
-    return _S_with(ctes, body.format(a=f"a{KMEANS_ROUNDS - 1}"))
+    return _S_with(ctes, body.format(a=f"a{KMEANS_ROUNDS}"))
 
 
 _SIZES_SQL = "(SELECT CAST(kk.cid AS INTEGER) AS cluster_id, count(x.tweet_id) AS size FROM kk LEFT JOIN {a} x USING (cid) GROUP BY kk.cid)"
@@ -1136,13 +1136,13 @@ SELECT z.cluster_id, z.size, coalesce(t.top_terms, '') AS top_terms FROM {_SIZES
   WHERE rn <= 8 GROUP BY cid) t ON t.cid = z.cluster_id"""))
 def q_kmeans_summary(spark, sf):
     d = stream(spark, sf)
-    return TP.kmeans_cluster_summary(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ROUNDS, start="first")
+    return TP.kmeans_cluster_summary(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ROUNDS + 1, start="first")
 
 
 @query("cluster_sizes", _kmeans_sql("SELECT * FROM " + _SIZES_SQL + " z"))
 def q_cluster_sizes(spark, sf):
     d = stream(spark, sf)
-    assigned, k, _ = TP.kmeans_clusters(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ROUNDS, start="first")
+    assigned, k, _ = TP.kmeans_clusters(d, TK.token_arrays(d), KMEANS_K, KMEANS_FEATURES, KMEANS_ROUNDS + 1, start="first")
     return TP.cluster_sizes(assigned, k)
 
 

@@ -43,3 +43,8 @@ def test_modes_are_counted_over_distinct_pieces(spark):
 def test_distinct_tokens_of_repeated_and_missing_ids(spark):
     posts = _posts(spark)
     assert _rows(TK.distinct_tokens(posts)) == _rows(TK.tokenize(posts).select("tweet_id", "token").distinct()) != []
+
+
+def test_kmeans_assigns_once_more_after_the_last_update():
+    for name in ("kmeans_cluster_summary", "cluster_sizes"):
+        assert "a12 AS MATERIALIZED" in catalog.ORACLE[name] and "FROM kk LEFT JOIN a12 " in catalog.ORACLE[name]
