@@ -104,6 +104,28 @@ def test_lines_without_quoted_breaks_are_not_exchanged(spark, folder, monkeypatc
     assert _exchanges_of_lines(source.records())
 
 
+@pytest.mark.parametrize("split", [200, 3000, 1 << 27])
+def test_records_inside_a_split_are_joined_in_its_task(spark, folder, monkeypatch, split):
+    """Only lines of records that cross a split's border are gathered by an exchange."""
+    monkeypatch.setattr(CSV, "SPAN_LINES", 0)
+    parts = [_posts(0, 60, "two\nlines\n\nor four"), _posts(100, 9, "a long one\n" * 30), _posts(200, 30)]
+    for k, part in enumerate(parts):
+        _file(folder / f"{k}.csv", part)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(before, (split, split // 2, 7)):
+            spark.conf.set(k, str(v))
+        source = CSV.Source(spark, str(folder))
+        assert source.span_lines == source.spans().count() == 60 * 4 + 9 * 31
+        crossing = source.numbered().where("border IS NOT NULL").count()
+        assert crossing == 0 if split == 1 << 27 else 0 < crossing < source.span_lines
+        assert "SortMergeJoin" not in source.records()._jdf.queryExecution().sparkPlan().toString()
+        assert _read(spark, str(folder)) == _expected(*parts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_an_unclosed_quote_takes_the_rest_of_its_file(spark, folder):
     _file(folder / "a.csv", _posts(0, 3))
     (folder / "b.csv").write_text('12345678990,2024-01-05,"never closed,https://x.com/1\n12345678991,2024-01-06,two,https://x.com/2\n')
