@@ -30,8 +30,8 @@ not reported; an empty table gives no rows; extra columns pass through the stage
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -209,45 +209,79 @@ def crowded(found: DataFrame) -> DataFrame:
     return members.join(many, "minhash")
 
 
+class Places(NamedTuple):
+    row: np.ndarray     # of the batch
+    at: np.ndarray      # token of the slice
+    low: np.ndarray     # first token of its text
+    high: np.ndarray    # one past its last
+    rest: list          # the lists' other fields
+
+
+def places(s: ta.Slice, ptr: np.ndarray, lists: pa.ListArray) -> Places:
+    """The tokens that ``lists`` (of structs, c first) ask for in the texts of a slice."""
+    own = lists.slice(s.first, len(ptr) - 1)
+    t = np.repeat(np.arange(len(ptr) - 1), own.value_lengths().to_numpy())
+    c, *rest = (x.to_numpy() for x in own.flatten().flatten())
+    at = ptr[t] + c
+    inside = at < ptr[t + 1]
+    t = t[inside]
+    return Places(s.first + t, at[inside], ptr[t], ptr[t + 1], [x[inside] for x in rest])
+
+
 def around(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, id, h, c, at, n, cls, strip): 16-bit hashes of the n tokens within REACH of c; at: of c
-    in it; cls: a hash of at and strip.  One row for each side of c that has HALF tokens, its key
-    made of them and the min-hash."""
-    lists = wanted.groupBy("id", "h").agg(F.collect_set(F.struct("minhash", "c")).alias("centres"))  # at most a text's windows
+    """(key, id, h, c, at, n, cls): a strip has the 16-bit hashes of the n tokens within REACH of c;
+    at: of c in it; cls: a hash of at and strip.  One row for each side of c that has HALF tokens,
+    its key made of them and the min-hash.  Strips themselves are not kept, see ``class_strips``."""
+    lists = wanted.groupBy("id", "h").agg(F.collect_set(F.struct("c", "minhash")).alias("centres"))  # at most a text's windows
     asked = rows.join(lists, ["id", "h"]).select("id", "h", "text", "centres")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs, centres = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)
+            ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
             for s in ta.slices(b.column(2)):
                 g, ptr = tokens(s)
-                small = (g >> _U(11)).astype(np.uint16)
-                out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for t in range(len(ptr) - 1):
-                    k = s.first + t
-                    full, own = g[ptr[t]:ptr[t + 1]], small[ptr[t]:ptr[t + 1]]
-                    for x in centres[k].as_py():
-                        c = x["c"]
-                        a = max(0, c - REACH)
-                        strip = own[a:c + REACH + 1].tobytes()
-                        cls = int.from_bytes(hashlib.blake2b(strip + (c - a).to_bytes(2, "little"), digest_size=8).digest(), "little", signed=True)
-                        for lo, hi in ((c - HALF, c), (c, c + HALF)):
-                            if lo < 0 or hi >= len(own):
-                                continue
-                            key = hashlib.blake2b(full[lo:hi + 1].tobytes() + bytes([lo == c]) + x["minhash"].to_bytes(8, "little", signed=True), digest_size=8).digest()
-                            for col, v in zip(out, (int.from_bytes(key, "little", signed=True), ids[k], hs[k], c, c - a, len(strip) // 2, cls, strip)):
-                                col.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()))],
-                                                     names=["key", "id", "h", "c", "at", "n", "cls", "strip"])
+                p = places(s, ptr, b.column(3))
+                begin, end = np.maximum(p.low, p.at - REACH), np.minimum(p.high, p.at + REACH + 1)
+                cls = ta.mix64(ta.run_hashes((g >> _U(11)).astype(np.uint16).astype(_U), begin, end) ^ ta.mix64(p.at - begin))
+                minhash = p.rest[0].view(_U)
+                parts = []
+                for side, (lo, hi) in enumerate(((p.at - HALF, p.at), (p.at, p.at + HALF))):
+                    ok = np.flatnonzero((lo >= p.low) & (hi < p.high))
+                    key = ta.mix64(ta.run_hashes(g, lo[ok], hi[ok] + 1) ^ ta.mix64(minhash[ok] + _U(side)))
+                    k = p.row[ok]
+                    parts.append((ta.as_int64(key), ids[k], hs[k], (p.at - p.low)[ok].astype(np.int32), (p.at - begin)[ok].astype(np.int32),
+                                  (end - begin)[ok].astype(np.int32), ta.as_int64(cls[ok])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["key", "id", "h", "c", "at", "n", "cls"])
+
+    return asked.mapInArrow(released(run), "key long, id long, h int, c int, at int, n int, cls long")
+
+
+def class_strips(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``classes`` (as of ``several``) with at and the strip of their first windows, made from the texts again."""
+    lists = classes.groupBy("id", "h").agg(F.collect_list(F.struct("c", "key", "own", "n")).alias("centres"))  # at most a text's windows
+    asked = rows.join(lists, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", "text", "centres")  # documents given twice
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for s in ta.slices(b.column(2)):
+                g, ptr = tokens(s)
+                p = places(s, ptr, b.column(3))
+                begin, end = np.maximum(p.low, p.at - REACH), np.minimum(p.high, p.at + REACH + 1)
+                offsets = np.append(0, np.cumsum(end - begin))
+                data = (g >> _U(11)).astype(np.uint16)[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], end - begin)]
+                strip = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(data)])
+                key, own, n = p.rest
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(n), pa.array(ids[p.row]), pa.array(hs[p.row]), pa.array((p.at - p.low).astype(np.int32)),
+                                                  pa.array((p.at - begin).astype(np.int32)), strip], names=["key", "own", "n", "id", "h", "c", "at", "strip"])
 
-    return asked.mapInArrow(released(run), "key long, id long, h int, c int, at int, n int, cls long, strip binary")
+    return asked.mapInArrow(released(run), "key long, own int, n int, id long, h int, c int, at int, strip binary")
 
 
 def in_classes(strip: DataFrame) -> DataFrame:
-    """One row for each class of equal strips of a key: key, cls, at and its first id, h and c.
+    """One row for each class of equal strips of a key: key, cls and its first id, h and c.
     Strips are told apart by their hashes, so none is moved."""
-    return strip.groupBy("key", "cls").agg(F.first("at").alias("at"), F.min(F.struct("id", "h", "c")).alias("f")).select("key", "cls", "at", "f.*")
+    return strip.groupBy("key", "cls").agg(F.min(F.struct("id", "h", "c")).alias("f")).select("key", "cls", "f.*")
 
 
 def of_classes(strip: DataFrame, classes: DataFrame) -> DataFrame:
@@ -291,14 +325,11 @@ def new_spans(x: np.ndarray, others: np.ndarray, percent: int = PERCENT, least:
     return out
 
 
-def across(classes: DataFrame, strip: DataFrame) -> DataFrame:
-    """Candidates of the first windows of different classes (as of ``several``), compared in
-    blocks.  Their strips are looked up; a table of classes below the session's broadcast
-    threshold leaves all other strips where they are."""
-    held = strip.select("key", "id", "h", "c", "at", "strip").join(classes, ["key", "id", "h", "c"]).dropDuplicates(["key", "id", "h", "c"])  # documents given twice
+def across(held: DataFrame) -> DataFrame:
+    """Candidates of the first windows of different classes (as of ``class_strips``), compared in blocks."""
     rows = (held.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
             .select("key", F.least("own", "meets").alias("x"), F.greatest("own", "meets").alias("y"), "own", "id", "h", "c", "at", "strip"))
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id", "h", "c")
     names = ["id", "h", "oid", "oh", "dlo", "dhi", "first", "last"]
 
@@ -347,12 +378,12 @@ def across(classes: DataFrame, strip: DataFrame) -> DataFrame:
     return rows.mapInArrow(released(run), "id long, h int, oid long, oh int, dlo int, dhi int, first int, last int")
 
 
-def more_candidates(rows: DataFrame, found: DataFrame, folder: str) -> DataFrame:
-    """Candidates as of ``candidates`` among all documents of a min-hash, with repeats.
-    Its tables stay in ``folder``."""
-    strip = written(around(rows, crowded(found)), f"{folder}/around")
+def more_candidates(rows: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
+    """Candidates as of ``candidates`` among all documents of a min-hash (``wanted``: as of
+    ``crowded``), with repeats.  Its tables stay in ``folder``."""
+    strip = written(around(rows, wanted), f"{folder}/around")
     classes = written(in_classes(strip), f"{folder}/classes")
-    more = written(across(written(several(classes), f"{folder}/several"), strip), f"{folder}/across")
+    more = written(across(class_strips(rows, written(several(classes), f"{folder}/several"))), f"{folder}/across")
     return (of_classes(strip, classes).union(more)
             .select("id", "h", "oid", "oh", F.floor((F.col("dlo") + F.col("dhi")) / (2 * BAND)).alias("band"), "dlo", "dhi", "first", "last"))
 
@@ -414,10 +445,13 @@ def repeats(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> Data
     rows = keyed(docs)
     folder = new_folder(spark, "repeats")
     met = written(met_windows(rows, hashes).drop("key"), f"{folder}/met")
-    found = written(candidates(met, enough).union(more_candidates(rows, met, folder))
+    near = written(candidates(met, enough), f"{folder}/near")
+    wanted = written(crowded(met), f"{folder}/crowded")
+    delete(spark, f"{folder}/met")  # the largest table
+    found = written(near.union(more_candidates(rows, wanted, folder))
                     .groupBy("id", "h", "oid", "oh", "band")
                     .agg(F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi"), F.min("first").alias("first"), F.max("last").alias("last")), f"{folder}/found")
-    for name in ("met", "around", "classes", "several", "across"):
+    for name in ("near", "crowded", "around", "classes", "several", "across"):
         delete(spark, f"{folder}/{name}")
     mine = found.withColumn("tile", F.explode(F.expr(f"sequence(CAST(first div {TILE} AS INT), CAST(last div {TILE} AS INT))")))
     lo, hi = (F.greatest(F.lit(0), F.floor((F.col("tile") * TILE + edge) / TILE)).cast("int") for edge in (-F.col("dhi"), TILE - 1 - F.col("dlo")))

@@ -172,6 +172,28 @@ def test_a_variant_between_the_first_and_the_previous_is_found(spark, parts):
     assert (found[60].source_doc_id, found[60].start_word, found[60].end_word) == (25, 0, 100)
 
 
+def test_strips_are_made_from_the_texts_again(spark):
+    """The table of all windows has no strips; those of classes are the token hashes near their centres."""
+    rows = substring_dedup.keyed(documents(spark, [(1, prose(1, 80)), (2, prose(2, 300)), (2, prose(2, 300)), (3, "few words"), (4, None)]))
+    hs = {r.id: (r.h, r.text) for r in rows.collect()}
+    tokens = {i: substring_dedup.tokens(textarrays.Slice(0, buf := np.frombuffer((hs[i][1] or "").encode(), np.uint8), np.array([0, len(buf)])))[0] for i in hs}
+    asked = [(9, i, hs[i][0], c) for i in (1, 2) for c in (0, 30, len(tokens[i]) - 1, len(tokens[i]))]
+    found = substring_dedup.around(rows, spark.createDataFrame(asked, "minhash long, id long, h int, c int"))
+    assert "strip" not in found.columns
+    expected = []
+    for _, i, h, c in asked:
+        if c < len(tokens[i]):
+            a = max(0, c - substring_dedup.REACH)
+            strip = (tokens[i] >> np.uint64(11)).astype(np.uint16)[a:c + substring_dedup.REACH + 1]
+            expected.append((i, c, c - a, strip.tobytes()))
+    sides = {(i, c, at, len(strip) // 2): (c >= substring_dedup.HALF) + (c + substring_dedup.HALF < len(tokens[i])) for i, c, at, strip in expected}
+    got = collections.Counter((r.id, r.c, r.at, r.n) for r in found.dropDuplicates(["key", "id", "c"]).collect())
+    assert got == {k: n for k, n in sides.items() if n}
+    classes = spark.createDataFrame([(5, 0, 1, i, h, c) for _, i, h, c in asked], "key long, own int, n int, id long, h int, c int")
+    made = substring_dedup.class_strips(rows, classes).collect()
+    assert sorted((r.id, r.c, r.at, bytes(r.strip)) for r in made) == sorted(expected)
+
+
 # ---- 2 quality rules --------------------------------------------------------------
 
 def brute_stats(t):
