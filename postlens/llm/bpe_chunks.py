@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .cluster import checkpointed, released, ship
+from .cluster import checkpointed, released, ship, trim
 
 CHUNK_BITS = 9        # chunks of about 2**CHUNK_BITS bytes
 MAX_SHARED = 1 << 15  # chunks in the dictionary, about 8 MB of ids
 MAX_SHARED_BYTES = 1 << 14  # a longer core is encoded in place
-MEMO_PIECES = 400_000  # remembered pieces of a task, about 80 MB
+MEMO_BYTES = 24 << 20  # of the remembered pieces of a task and their ids, as Python objects
 VOCABULARY = "byte_bpe_50k.json"
 
 _GEAR = ta.mix64(np.arange(256, dtype=np.uint64) + np.uint64(77)).astype(np.uint32)
@@ -101,6 +101,11 @@ def _joinable(x: bytes) -> bool:
     return bool(_ASCII[end]) or end >= 0x80 and 0xC3 <= x[-2] < 0xE0
 
 
+def _kept(piece: bytes, ids: bytes) -> int:
+    """Bytes of an entry of the memo: two objects, their headers, and its place."""
+    return len(piece) + len(ids) + 130
+
+
 class Codec:
     """Tokenizer and id table of a worker process."""
 
@@ -123,12 +128,14 @@ class Codec:
             self.table[t["id"]] = t["content"].encode()
         self.lengths = np.array([len(x) for x in self.table], dtype=np.int64)
         self.memo: dict[bytes, bytes] = {}
+        self.memo_bytes = 0
 
     @classmethod
     def get(cls, spec: str) -> "Codec":
         key = hashlib.sha256(spec.encode()).hexdigest()
         if key not in cls._have:
             cls._have[key] = cls(spec)
+            trim()  # what parsing took
         return cls._have[key]
 
     def direct(self, texts: list[bytes]) -> list[bytes]:
@@ -158,19 +165,27 @@ class Codec:
         """Make sure that every piece has its ids in the memo."""
         needed = set(pieces)
         new = needed.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_PIECES and self.memo:
-            # The pieces met first are the most frequent ones: they stay.
-            self.memo = dict(islice(self.memo.items(), MEMO_PIECES // 2))
+        if self.memo_bytes > MEMO_BYTES:
+            # The pieces met first are the most frequent ones: they stay.  No second dictionary is made.
+            for x in list(islice(reversed(self.memo), len(self.memo) // 2)):
+                self.memo_bytes -= _kept(x, self.memo.pop(x))
             new = needed.difference(self.memo)
         plain, odd = [], []
         for x in new:
             (plain if _joinable(x) else odd).append(x)
         for lo in range(0, len(plain), 512):
             part = plain[lo:lo + 512]
-            self.memo.update(zip(part, self.joined(part)))
+            self.remember(part, self.joined(part))
         for lo in range(0, len(odd), 512):
             part = odd[lo:lo + 512]
-            self.memo.update(zip(part, self.direct(part)))
+            self.remember(part, self.direct(part))
+
+    def remember(self, pieces: list[bytes], ids: list[bytes]) -> None:
+        self.memo.update(zip(pieces, ids))
+        self.memo_bytes += sum(map(_kept, pieces, ids))
+
+    def forget(self) -> None:
+        self.memo, self.memo_bytes = {}, 0
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -282,6 +297,21 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], codec: Codec, shared: dict[bytes, bytes], columns: list) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and ``columns`` from those of doc_id and text, a slice at a time.  A batch
+    is given up before the next one is asked for."""
+    try:
+        for b in batches:
+            for s in ta.slices(b.column(1)):
+                done = encode_slice(codec, s, shared)
+                out = [pa.array([f(ids, text) for ids, text in done], kind) for _, _, kind, f in columns]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(done)), *out], names=["doc_id", *(name for name, _, _, _ in columns)])
+                del s, done, out
+            del b
+    finally:
+        codec.forget()  # the worker process lives on in other stages
+
+
 def encode(docs: DataFrame, path: str | None = None, max_shared: int = MAX_SHARED) -> DataFrame:
     """doc_id, ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` of every text."""
     return _encoded(docs, path, max_shared, [("ids", T.BinaryType(), pa.binary(), lambda ids, text: ids),
@@ -298,15 +328,7 @@ def _encoded(docs: DataFrame, path: str | None, max_shared: int, columns: list)
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(name, kind) for name, kind, _, _ in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.get(spec.value)
-        try:
-            for b in batches:
-                for s in ta.slices(b.column(1)):
-                    done = encode_slice(codec, s, shared.value)
-                    out = [pa.array([f(ids, text) for ids, text in done], kind) for _, _, kind, f in columns]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(done)), *out], names=schema.names)
-        finally:
-            codec.memo = {}  # the worker process lives on in other stages
+        yield from encoded_batches(batches, Codec.get(spec.value), shared.value, columns)
 
     return rows.mapInArrow(released(run), schema)
 

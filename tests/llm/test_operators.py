@@ -4,9 +4,11 @@ import collections
 import hashlib
 import os
 import re
+import weakref
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postlens.llm import (bpe_chunks, components, docstats, html_extraction, license_scan, merkle_fingerprints, ngram_join,
@@ -254,6 +256,30 @@ def test_encoding_equals_the_library(spark, corpus, odd):
             assert sorted(map(str, got)) == sorted(map(str, expected)), key
 
 
+def test_encoding_gives_batches_and_pieces_up(monkeypatch):
+    """Of the input one batch is held at a time, and the remembered pieces keep to their bound."""
+    monkeypatch.setattr(bpe_chunks, "MEMO_BYTES", 40_000)
+    codec = bpe_chunks.Codec.get(bpe_chunks.vocabulary())
+    codec.forget()
+    texts = [[prose(10 * k + j, 60) for j in range(5)] for k in range(8)]
+    given, most = [], []
+
+    def batches():
+        for k, part in enumerate(texts):
+            assert all(ref() is None for ref in given)
+            b = pa.RecordBatch.from_arrays([pa.array([10 * k + j for j in range(5)]), pa.array(part)], names=["doc_id", "text"])
+            given.append(weakref.ref(b))
+            yield b
+            del b
+            most.append(codec.memo_bytes)
+            assert codec.memo_bytes == sum(map(bpe_chunks._kept, codec.memo, codec.memo.values()))
+
+    columns = [("ids", None, pa.binary(), lambda ids, text: ids)]
+    found = [bytes(x) for b in bpe_chunks.encoded_batches(batches(), codec, {}, columns) for x in b.column(1).to_pylist()]
+    assert found == codec.direct([t.encode() for part in texts for t in part])
+    assert max(most) < 3 * 40_000 and len(given) == 8 and not codec.memo
+
+
 def test_sync_points_never_change_the_encoding():
     import random
 
