@@ -53,7 +53,8 @@ BAND = 16            # diagonals of a band
 TILE = 64            # tokens of a verified tile; one bit each in a long
 REACH = MIN_TOKENS - 1  # of a strip, to each side of a minimum
 HALF = MIN_TOKENS // 2  # of a side that documents share with the minimum
-BLOCK = 512          # classes of a block
+BLOCK = 4096         # classes of a block
+MANY = 512           # classes from which on the diagonals of all alike windows of a document count
 BUFFER_ROWS = 150_000
 LAST_ID = (1 << 63) - 1  # stands for a null id
 
@@ -201,12 +202,13 @@ def candidates(found: DataFrame, enough: int = ENOUGH) -> DataFrame:
 
 
 def crowded(found: DataFrame) -> DataFrame:
-    """(minhash, id, h, c): windows of the min-hashes of three or more windows."""
+    """(minhash, id, h, c): windows of the min-hashes of three or more windows, not all of one document."""
     members = found.select("minhash", F.explode(F.array(
         *(F.struct(*(F.col(f"{s}{c}").alias(c) for c in ("id", "h", "c"))) for s in ("", "own.", "first.")))).alias("m"))
     members = members.select("minhash", "m.*").where("id is not null").distinct()
-    many = members.groupBy("minhash").agg(F.count("*").alias("n")).where("n > 2").select("minhash")
-    return members.join(many, "minhash")
+    group, doc = Window.partitionBy("minhash"), F.struct("id", "h")
+    return (members.withColumn("n", F.count("*").over(group)).withColumn("d0", F.min(doc).over(group)).withColumn("d1", F.max(doc).over(group))
+            .where("n > 2 and d0 <> d1").select("minhash", "id", "h", "c"))
 
 
 class Places(NamedTuple):
@@ -293,36 +295,145 @@ def of_classes(strip: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def several(classes: DataFrame) -> DataFrame:
-    """Classes of the keys that have several: key, own (a block of the key) and n blocks, first id, h and c."""
-    sizes = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))
+    """Classes of the keys that have them in several documents: key, own (a block of the key) and n blocks, first
+    id, h and c.  Of keys with the same classes (other hash functions, the other side) one is kept."""
+    doc, place = F.struct("id", "h"), ["id", "h", "c"]
+    sizes = (classes.groupBy("key").agg(F.count("*").alias("m"), F.min(doc).alias("d0"), F.max(doc).alias("d1"),
+                                        F.bit_xor(F.xxhash64(*place)).alias("s0"), F.bit_xor(F.xxhash64(*place[::-1], F.lit(1))).alias("s1"))
+             .where("d0 <> d1").groupBy("m", "s0", "s1").agg(F.min("key").alias("key"))
+             .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")))
     return (classes.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "h", "c"), F.col("n")).cast("int"))
             .select("key", "own", "n", "id", "h", "c"))
 
 
-def new_spans(x: np.ndarray, others: np.ndarray, percent: int = PERCENT, least: int = MIN_TOKENS) -> list[tuple[int, int, int]]:
-    """(row of ``others``, start, end) of spans of the strip ``x`` that rows share, of those
-    that share most first; a row whose spans earlier ones cover is left out.
+def binary_tokens(strips_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 16-bit tokens of a binary column and the offsets of its rows in them."""
+    offsets = np.frombuffer(strips_.buffers()[1], dtype=np.int32)[strips_.offset:strips_.offset + len(strips_) + 1].astype(np.int64)
+    data = np.frombuffer(strips_.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data.view(np.uint16), (offsets - offsets[0]) // 2
+
+
+class Spans:
+    """:func:`new_spans` for a row after the other; the spans of patterns that come again are remembered."""
+
+    MOST = 1 << 16  # patterns
+
+    def __init__(self, percent: int = PERCENT, least: int = MIN_TOKENS) -> None:
+        self.percent, self.least = percent, least
+        self.enough = -(-2 * percent * least // (100 + percent))  # shared tokens of a span
+        self.known: dict[bytes, list[tuple[int, int, int]]] = {}
+
+    def of(self, pattern: bytes) -> list[tuple[int, int, int]]:
+        """Start, end and bits of the spans of a pattern, one bit for each token."""
+        found = self.known.get(pattern)
+        if found is None:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            bits = np.unpackbits(np.frombuffer(pattern, np.uint8), bitorder="little").astype(bool)
+            found = self.known[pattern] = [(a, b, (1 << b) - (1 << a)) for a, b in spans_of(bits, self.percent, self.least)]
+        return found
+
+    def new_spans(self, hit: np.ndarray) -> list[tuple[list[int], int, int]]:
+        """(others, start, end) of spans that other strips share with one, of those that share most first; others
+        whose spans earlier ones cover are left out, and those that share the same tokens come together.
+
+        ``hit``: tokens of the strip x others, 1 where the other has the token.
+        """
+        total = hit.sum(0, dtype=np.int16)
+        left = np.flatnonzero(total >= self.enough)
+        left = left[np.argsort(-total[left], kind="stable")]
+        packed = np.packbits(hit[:, left], axis=0, bitorder="little")
+        raw, width = packed.T.tobytes(), len(packed)
+        alike: dict[bytes, list[int]] = {}
+        for j, k in enumerate(left.tolist()):
+            alike.setdefault(raw[j * width:(j + 1) * width], []).append(k)
+        covered = 0
+        out = []
+        for pattern, rows in alike.items():
+            if int.from_bytes(pattern, "little") & ~covered:
+                for a, b, bits in self.of(pattern):
+                    if bits & ~covered:
+                        covered |= bits
+                        out.append((rows, a, b))
+        return out
+
+
+def in_block(g: pa.Table, spans: Spans) -> list[np.ndarray]:
+    """Candidates (as of ``across``) among the classes of a block or of two, in the order of their documents.
 
-    ``others``: strips padded with 1 << 16.
+    Only tokens of several documents can be shared.  Of classes with the same set of those tokens
+    the first stands for all: it comes first for each later document and shares the same with it.
+    Where a strip shares the same with many windows of the other document (a repeated word), the
+    diagonals of those near the first count as well if the classes are more than ``MANY``.
     """
-    place = np.full((1 << 16) + 1, len(x), dtype=np.int16)
-    place[x[::-1]] = np.arange(len(x) - 1, -1, -1)
-    hit = np.zeros((len(others), len(x) + 1), dtype=bool)
-    hit[np.arange(len(others))[:, None], place[others]] = True
-    hit = hit[:, place[x]]  # repeated tokens too
-    total = hit.sum(1)
-    left = np.flatnonzero(total >= -(-2 * percent * least // (100 + percent)))
-    left = left[np.argsort(-total[left], kind="stable")]
-    covered = np.zeros(len(x), dtype=bool)
-    out = []
-    while len(left):
-        k, left = left[0], left[1:]
-        for a, b in spans_of(hit[k], percent, least):
-            if not covered[a:b].all():
-                covered[a:b] = True
-                out.append((int(k), a, b))
-        left = left[(hit[left] & ~covered).any(1)]
-    return out
+    id_, h, c, at, own = (g.column(k).to_numpy() for k in ("id", "h", "c", "at", "own"))
+    fresh = np.append(True, (id_[1:] != id_[:-1]) | (h[1:] != h[:-1]))
+    doc = np.cumsum(fresh) - 1
+    if not doc[-1]:
+        return []
+    begin = np.flatnonzero(fresh)[doc]  # first row of the document
+    one = g.column("x")[0].as_py() == g.column("y")[0].as_py()
+    toks, offsets = binary_tokens(g.column("strip").combine_chunks())
+    n = len(id_)
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(n), size)
+    first, last = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+    first[toks[::-1]] = doc[row[::-1]]
+    last[toks] = doc[row]
+    shared = (first != last)[toks]
+    kinds = np.unique(toks[shared])
+    none = len(kinds)
+    number = np.empty(1 << 16, np.int32)
+    number[kinds] = np.arange(none)
+    code = np.where(shared, number[toks], none).astype(np.int32)
+    count = np.bincount(row[shared], minlength=n)
+    pairs = np.unique(row[shared] * (none + 1) + code[shared])
+    of, kind = np.divmod(pairs, none + 1)
+    with_any, starts = np.unique(of, return_index=True)
+    if not len(with_any):
+        return []
+    sets = np.add.reduceat(ta.mix64(kind.astype(_U) + _U(1)), starts) ^ ta.mix64(own[with_any].astype(_U) + _U(1))
+    _, head, of_set = np.unique(sets, return_index=True, return_inverse=True)
+    mine = with_any[head][of_set]  # the head of each row's set
+    heads = np.sort(with_any[head])
+    low, high = c.astype(np.int64), c.astype(np.int64)  # of heads: centres of alike windows near it
+    if n > MANY:
+        near = (doc[mine] == doc[with_any]) & (abs(c[mine] - c[with_any]) <= 2 * REACH)
+        np.minimum.at(low, mine[near], c[with_any[near]])
+        np.maximum.at(high, mine[near], c[with_any[near]])
+    is_head = np.isin(of, heads)
+    j, kind = np.searchsorted(heads, of[is_head]), kind[is_head]
+    width = (len(heads) + 7) // 8
+    cell, starts = np.unique(kind * width + j // 8, return_inverse=True)
+    having = np.zeros((none + 1) * width, dtype=np.uint8)  # one bit for each head that has a token
+    having[cell] = np.bincount(starts, weights=1 << j % 8)
+    having = having.reshape(none + 1, width)
+    upto = np.searchsorted(heads, begin)  # heads of earlier documents
+    done: dict[tuple, list[tuple[int, ...]]] = {}
+    out: list[tuple[int, ...]] = []
+
+    def candidate(rows: np.ndarray, a: int, b: int) -> tuple[int, ...]:
+        o = rows[0]
+        if n > MANY:
+            rows = rows[(doc[rows] == doc[o]) & (abs(c[rows] - c[o]) <= 2 * REACH)]
+        return int(o), a, b, int(low[rows].min() if n > MANY else c[o]), int(high[rows].max() if n > MANY else c[o])
+
+    for k in np.flatnonzero((count >= spans.enough) & (upto > 0)).tolist():
+        x = code[offsets[k]:offsets[k + 1]]
+        known = (int(upto[k]), 0 if one else int(own[k]), x.tobytes())
+        found = done.get(known)
+        if found is None:
+            p = int(upto[k])
+            hit = np.unpackbits(having[x, :(p + 7) // 8], axis=1, count=p, bitorder="little")
+            if not one:
+                hit[:, own[heads[:p]] == own[k]] = 0
+            found = done[known] = [candidate(heads[rows], a, b) for rows, a, b in spans.new_spans(hit)]
+        out += [(k, *f) for f in found]
+    if not out:
+        return []
+    k, o, a, b, lo, hi = np.array(out, dtype=np.int64).T
+    base = c[k] - at[k]
+    return [id_[k], h[k], id_[o], h[o], *(v.astype(np.int32) for v in (c[k] - hi - BAND, c[k] - lo + BAND, base + a, base + b - 1))]
 
 
 def across(held: DataFrame) -> DataFrame:
@@ -332,6 +443,7 @@ def across(held: DataFrame) -> DataFrame:
     n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id", "h", "c")
     names = ["id", "h", "oid", "oh", "dlo", "dhi", "first", "last"]
+    spans = Spans()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -348,32 +460,9 @@ def across(held: DataFrame) -> DataFrame:
             yield from met([rest])
 
     def met(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for g in groups:
-            if g.num_rows > 1:
-                out += in_block(g)
+        out = [found for g in groups if g.num_rows > 1 and (found := in_block(g, spans))]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(
-                (list(x) for x in zip(*out)), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=names)
-
-    def in_block(g: pa.Table) -> list[tuple]:
-        id_, h, c, at, own = (g.column(k).to_numpy() for k in ("id", "h", "c", "at", "own"))
-        one = g.column("x")[0].as_py() == g.column("y")[0].as_py()
-        strips_ = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in g.column("strip").combine_chunks()]
-        padded = np.full((len(strips_), 2 * REACH + 1), 1 << 16, dtype=np.int32)
-        for k, x in enumerate(strips_):
-            padded[k, :len(x)] = x
-        out = []
-        for k in range(1, len(id_)):  # rows are in the order of their documents
-            earlier = np.arange(k)
-            earlier = earlier[((id_[:k] != id_[k]) | (h[:k] != h[k])) & (one | (own[:k] != own[k]))]
-            if not len(earlier):
-                continue
-            base = int(c[k] - at[k])
-            for j, a, b in new_spans(strips_[k], padded[earlier]):
-                o = earlier[j]
-                out.append((int(id_[k]), int(h[k]), int(id_[o]), int(h[o]), int(c[k] - c[o]) - BAND, int(c[k] - c[o]) + BAND, base + a, base + b - 1))
-        return out
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
 
     return rows.mapInArrow(released(run), "id long, h int, oid long, oh int, dlo int, dhi int, first int, last int")
 
@@ -415,6 +504,22 @@ def strips(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return asked.mapInArrow(released(run), "id long, h int, tile int, strip binary").dropDuplicates(["id", "h", "tile"])
 
 
+def shared_tokens(mine: pa.Array, others: pa.Array) -> np.ndarray:
+    """For each tile one bit for each of its tokens that the other tile has too."""
+    def tiles(strips_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        toks, offsets = binary_tokens(strips_)
+        at = np.minimum(offsets[:-1, None] + np.arange(TILE), offsets[1:, None] - 1)  # the last token again
+        return toks[at], np.diff(offsets)
+
+    x, size = tiles(mine)
+    y, _ = tiles(others)
+    hit = np.zeros(x.shape, dtype=bool)
+    for j in range(TILE):
+        hit |= x == y[:, j:j + 1]
+    hit &= np.arange(TILE) < size[:, None]
+    return np.packbits(hit, axis=1, bitorder="little").view(_U).ravel()
+
+
 def spans_of(matched: np.ndarray, percent: int = PERCENT, least: int = MIN_TOKENS) -> list[tuple[int, int]]:
     """Spans [a, b) that begin and end with a match, of ``least`` or more positions, in
     which matched / (2 * length - matched) reaches ``percent`` per cent; left to right."""
@@ -463,10 +568,7 @@ def repeats(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            masks = np.zeros(b.num_rows, dtype=np.uint64)
-            for k, (x, y) in enumerate(zip(b.column(1), b.column(2))):
-                mine_, theirs_ = np.frombuffer(x.as_buffer(), dtype=np.uint16), np.frombuffer(y.as_buffer(), dtype=np.uint16)
-                masks[k] = int.from_bytes(np.packbits(np.isin(mine_, theirs_), bitorder="little").tobytes(), "little")
+            masks = np.concatenate([shared_tokens(b.column(1).slice(lo, 1024), b.column(2).slice(lo, 1024)) for lo in range(0, b.num_rows, 1024)] or [np.zeros(0, _U)])
             yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(0), pa.array(masks.view(np.int64))], names=["id", "h", "oid", "oh", "band", "dlo", "tile", "mask"])
 
     hits = (both.select("tile", "strip", "other", "id", "h", "oid", "oh", "band", "dlo")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import os
+import random
 import re
 import weakref
 
@@ -196,6 +197,69 @@ def test_strips_are_made_from_the_texts_again(spark):
     assert sorted((r.id, r.c, r.at, bytes(r.strip)) for r in made) == sorted(expected)
 
 
+def test_only_what_can_meet_another_document_is_compared(spark):
+    """Min-hashes and keys of one document are left out, keys with the same classes are compared once."""
+    of = "struct<id:bigint,h:int,c:int,l:int,r:int>"
+    found = spark.createDataFrame([(1, 5, 0, c, 0, 99, None, (5, 0, 0, 0, 99)) for c in (1, 2, 3)] + [(2, i, 0, 7, 0, 99, None, (5, 0, 7, 0, 99)) for i in (6, 7)],
+                                  f"minhash long, id long, h int, c int, l int, r int, own {of}, first {of}")
+    crowded = substring_dedup.crowded(found)
+    assert sorted((r.minhash, r.id, r.c) for r in crowded.collect()) == [(2, 5, 7), (2, 6, 7), (2, 7, 7)]
+    assert "Join" not in crowded._jdf.queryExecution().executedPlan().toString()
+    classes = [(1, k, 5, 0, k) for k in range(4)] + [(key, k, k, 0, 9) for key in (2, 3) for k in (5, 6)] + [(4, 1, 5, 0, 9), (4, 2, 6, 0, 10)]
+    kept = substring_dedup.several(spark.createDataFrame(classes, "key long, cls long, id long, h int, c int")).collect()
+    assert sorted((r.key, r.id, r.c) for r in kept) == [(2, 5, 9), (2, 6, 9), (4, 5, 9), (4, 6, 10)]
+
+
+def block(rows):
+    names = ["key", "x", "y", "own", "id", "h", "c", "at", "strip"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.table({n: pa.array(v, k) for n, k, v in zip(names, kinds, zip(*rows))})
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_classes_of_a_block_meet_as_row_by_row(two):
+    r = random.Random(11)
+    for _ in range(40):
+        passage = [r.randrange(1 << 16) for _ in range(91)] if r.random() < 0.7 else [7] * 91
+        rows = []
+        for _ in range(r.choice([3, 40])):
+            i, a = r.randrange(8), r.randrange(30)
+            strip = [random.Random(i).randrange(1 << 16)] * a + passage[a:70] + [r.randrange(1 << 16) for _ in range(21)]
+            strip[r.randrange(91)] = r.randrange(1 << 16)
+            rows.append((1, 0, int(two), r.randrange(2) if two else 0, i, 0, r.randrange(500), 45, np.array(strip, np.uint16).tobytes()))
+        rows.sort(key=lambda x: (x[4], x[6]))
+        strips = [np.frombuffer(x[8], np.uint16) for x in rows]
+        expected = []
+        for k, x in enumerate(strips):
+            earlier = [o for o in range(k) if rows[o][4] != rows[k][4] and (not two or rows[o][3] != rows[k][3])]
+            hits = {o: np.isin(x, strips[o]) for o in earlier}
+            covered = np.zeros(len(x), dtype=bool)
+            for o in sorted(earlier, key=lambda o: -hits[o].sum()):
+                if hits[o].sum() >= 41 and (hits[o] & ~covered).any():
+                    for a, b in substring_dedup.spans_of(hits[o]):
+                        if not covered[a:b].all():
+                            covered[a:b] = True
+                            d, base = rows[k][6] - rows[o][6], rows[k][6] - 45
+                            expected.append((rows[k][4], 0, rows[o][4], 0, d - 16, d + 16, base + a, base + b - 1))
+        assert [tuple(map(int, x)) for x in zip(*substring_dedup.in_block(block(rows), substring_dedup.Spans()))] == expected
+
+
+def test_alike_windows_of_a_large_group_widen_the_diagonals():
+    """A repeated word: any of its windows fits, so all diagonals of the run are asked for."""
+    run = np.full(91, 7, np.uint16)
+    rows = [(1, 0, 0, 0, 1, 0, c, 45, run.tobytes()) for c in range(100, 160)]
+    rows += [(1, 0, 0, 0, 2 + k, 0, 45, 45, run.tobytes()) for k in range(substring_dedup.MANY)]
+    _, _, oid, _, lo, hi, _, _ = substring_dedup.in_block(block(rows), substring_dedup.Spans())
+    assert set(oid.tolist()) == {1} and set(lo.tolist()) == {45 - 159 - 16} and set(hi.tolist()) == {45 - 100 + 16}
+
+
+def test_shared_tokens_of_tiles():
+    r = random.Random(5)
+    tiles = [[np.array([r.randrange(40) for _ in range(r.choice([1, 30, 64]))], np.uint16) for _ in range(50)] for _ in range(2)]
+    masks = substring_dedup.shared_tokens(*(pa.array([x.tobytes() for x in t], pa.binary()) for t in tiles))
+    assert masks.tolist() == [sum(1 << k for k, v in enumerate(x) if v in y) for x, y in zip(*tiles)]
+
+
 # ---- 2 quality rules --------------------------------------------------------------
 
 def brute_stats(t):
