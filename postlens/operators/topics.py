@@ -72,17 +72,21 @@ def _doubles(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def _with_id(vectors: DataFrame) -> DataFrame:
-    """``vectors`` with features ``_i``, values ``_v`` (all of a dense vector) and a 128-bit id of both."""
+def _cells() -> list[Column]:
+    """Features ``i`` and values ``v`` (all of a dense vector) of a vector."""
     v = F.unwrap_udt("features")
-    parts = vectors.withColumn("_i", F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))).withColumn("_v", v["values"])
-    return parts.withColumn("_a", F.xxhash64("_i", "_v")).withColumn("_b", F.xxhash64("_v", "_i", F.lit(1)))
+    return [F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1)).alias("i"), v["values"].alias("v")]
+
+
+def _with_id(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with a 128-bit id of their features and values."""
+    return vectors.select("*", *_cells()).withColumn("_a", F.xxhash64("i", "v")).withColumn("_b", F.xxhash64("v", "i", F.lit(1))).drop("i", "v")
 
 
 def _distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """One row for each distinct vector: id, ``weight`` (posts), ``norm`` (squared) and
+    """One row for each distinct vector (of ``vectors`` with their ids): id, ``weight`` (posts), ``norm`` (squared) and
     ``cells`` (feature, value), with a cell (-1, 1) that counts the vector itself."""
-    each = (_with_id(vectors).select(*_ID, F.col("_i").alias("i"), F.col("_v").alias("v")).groupBy(*_ID)
+    each = (vectors.select(*_ID, *_cells()).groupBy(*_ID)
             .agg(F.count(F.lit(1)).alias("weight"), F.first("i").alias("i"), F.first("v").alias("v")))
     one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("v")))
     cells = F.concat(one, F.arrays_zip("i", "v"))
@@ -175,7 +179,7 @@ class Clusters:
 
     def assigned(self) -> DataFrame:
         """The posts' vectors with their ``cluster_id``."""
-        return _with_id(self.vectors).join(self.state.select(*_ID, "cluster_id"), _ID).drop(*_ID, "_i", "_v")
+        return self.vectors.join(self.state.select(*_ID, "cluster_id").hint("shuffle_hash"), _ID).drop(*_ID)
 
     def sums(self) -> list:
         return _sums(self.rows, self.state, ["cluster_id"])
@@ -192,7 +196,7 @@ def kmeans(posts: DataFrame, arrays: DataFrame, k: int = 4, max_features: int =
 
 
 def _clustered(vectors: DataFrame, k: int, rounds: int, start: str, words: list[str]) -> Clusters:
-    vectors = materialize(vectors)  # read for the start, the distinct rows and the result
+    vectors = materialize(_with_id(vectors))  # read for the start, the distinct rows and the result
     rows = materialize(_distinct_vectors(vectors))
     centres = _start(vectors, k, start)
     centres += [centres[0]] * (k - len(centres))  # fewer starting posts than clusters: the others stay empty
