@@ -333,22 +333,32 @@ class Spans:
             found = self.known[pattern] = [(a, b, (1 << b) - (1 << a)) for a, b in spans_of(bits, self.percent, self.least)]
         return found
 
-    def new_spans(self, hit: np.ndarray) -> list[tuple[list[int], int, int]]:
+    def new_spans(self, hit: np.ndarray, docs: np.ndarray) -> list[tuple[list[int], int, int]]:
         """(others, start, end) of spans that other strips share with one, of those that share most first; others
-        whose spans earlier ones cover are left out, and those that share the same tokens come together.
+        whose spans earlier ones cover are left out, and those of a document that share the same tokens come together.
 
-        ``hit``: tokens of the strip x others, 1 where the other has the token.
+        ``hit``: tokens of the strip (255 at most) x others, 1 where the other has the token; ``docs``: of the others.
         """
-        total = hit.sum(0, dtype=np.int16)
-        left = np.flatnonzero(total >= self.enough)
-        left = left[np.argsort(-total[left], kind="stable")]
+        total = hit.sum(0, dtype=np.uint8)
+        top = int(total.argmax())
+        if total[top] < self.enough:
+            return []
+        same = np.flatnonzero((total == total[top]) & (docs == docs[top]))
+        same = same[(hit[:, same] == hit[:, top:top + 1]).all(0)].tolist()
+        out, covered = [], 0
+        for a, b, bits in self.of(np.packbits(hit[:, top], bitorder="little").tobytes()):
+            covered |= bits
+            out.append((same, a, b))
+        left_open = np.ones(len(hit), dtype=bool)
+        for _, a, b in out:
+            left_open[a:b] = False
+        left = np.flatnonzero((total >= self.enough) & hit[left_open].any(0))  # the others have nothing new
+        left = left[np.argsort(-total[left].astype(np.int16), kind="stable")]
         packed = np.packbits(hit[:, left], axis=0, bitorder="little")
         raw, width = packed.T.tobytes(), len(packed)
         alike: dict[bytes, list[int]] = {}
         for j, k in enumerate(left.tolist()):
             alike.setdefault(raw[j * width:(j + 1) * width], []).append(k)
-        covered = 0
-        out = []
         for pattern, rows in alike.items():
             if int.from_bytes(pattern, "little") & ~covered:
                 for a, b, bits in self.of(pattern):
@@ -427,7 +437,7 @@ def in_block(g: pa.Table, spans: Spans) -> list[np.ndarray]:
             hit = np.unpackbits(having[x, :(p + 7) // 8], axis=1, count=p, bitorder="little")
             if not one:
                 hit[:, own[heads[:p]] == own[k]] = 0
-            found = done[known] = [candidate(heads[rows], a, b) for rows, a, b in spans.new_spans(hit)]
+            found = done[known] = [candidate(heads[rows], a, b) for rows, a, b in spans.new_spans(hit, doc[heads[:p]])]
         out += [(k, *f) for f in found]
     if not out:
         return []
