@@ -84,9 +84,10 @@ def _with_id(vectors: DataFrame) -> DataFrame:
 
 
 def _distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """One row for each distinct vector (of ``vectors`` with their ids): id, ``weight`` (posts), ``norm`` (squared) and
+    """One row for each distinct vector: id, ``weight`` (posts), ``norm`` (squared) and
     ``cells`` (feature, value), with a cell (-1, 1) that counts the vector itself."""
-    each = (vectors.select(*_ID, *_cells()).groupBy(*_ID)
+    known = vectors if set(_ID) <= set(vectors.columns) else _with_id(vectors)
+    each = (known.select(*_ID, *_cells()).groupBy(*_ID)
             .agg(F.count(F.lit(1)).alias("weight"), F.first("i").alias("i"), F.first("v").alias("v")))
     one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("v")))
     cells = F.concat(one, F.arrays_zip("i", "v"))
