@@ -30,7 +30,7 @@ not reported; an empty table gives no rows; extra columns pass through the stage
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +54,9 @@ TILE = 64            # tokens of a verified tile; one bit each in a long
 REACH = MIN_TOKENS - 1  # of a strip, to each side of a minimum
 HALF = MIN_TOKENS // 2  # of a side that documents share with the minimum
 BLOCK = 4096         # classes of a block
+WORDS = 1 << 19      # of 64 bits, compared at a time
+TURNS = 8            # heads that rows meet together; those not done go on one by one ...
+FEW = 16             # ... and so do rows fewer than these
 MANY = 512           # classes from which on the diagonals of all alike windows of a document count
 BUFFER_ROWS = 150_000
 LAST_ID = (1 << 63) - 1  # stands for a null id
@@ -329,8 +332,7 @@ class Spans:
         if found is None:
             if len(self.known) >= self.MOST:
                 self.known.clear()
-            bits = np.unpackbits(np.frombuffer(pattern, np.uint8), bitorder="little").astype(bool)
-            found = self.known[pattern] = [(a, b, (1 << b) - (1 << a)) for a, b in spans_of(bits, self.percent, self.least)]
+            found = self.known[pattern] = [(a, b, (1 << b) - (1 << a)) for a, b in joined_runs(runs_of(int.from_bytes(pattern, "little")), self.percent, self.least)]
         return found
 
     def new_spans(self, hit: np.ndarray, docs: np.ndarray) -> list[tuple[list[int], int, int]]:
@@ -368,82 +370,208 @@ class Spans:
         return out
 
 
+def changed(*cols: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it; the first does."""
+    out = np.ones(len(cols[0]), dtype=bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return out
+
+
+def bit_counts(words: np.ndarray) -> list[np.ndarray]:
+    """For each bit of words (n x ...), how many of the n words have it: one array for each binary digit, the
+    lowest first.  Words are added three at a time, to their sum without carry and their carry."""
+    digits, todo = [], [words]
+    while todo:
+        now, carries = todo.pop(0), []
+        while len(now) > 1:
+            k = max(1, len(now) // 3)
+            a, b, rest = now[:k], now[k:2 * k], now[2 * k:]
+            odd = a ^ b
+            if len(rest) >= k:
+                carries.append(a & b | odd & rest[:k])
+                odd ^= rest[:k]
+                rest = rest[k:]
+            else:
+                carries.append(a & b)
+            now = np.concatenate([odd, rest])
+        digits.append(now[0])
+        if todo or carries:
+            todo = [np.concatenate([*todo, *carries])]
+    return digits
+
+
 def in_block(g: pa.Table, spans: Spans) -> list[np.ndarray]:
-    """Candidates (as of ``across``) among the classes of a block or of two, in the order of their documents.
+    """Candidates (as of ``across``) among the classes of a block or of two, in the order of their documents;
+    ``g`` may hold several such groups, told apart by key, x and y.
 
     Only tokens of several documents can be shared.  Of classes with the same set of those tokens
     the first stands for all: it comes first for each later document and shares the same with it.
+    The classes that have a token are bits of words, so all rows meet all earlier ones word by word.
     Where a strip shares the same with many windows of the other document (a repeated word), the
     diagonals of those near the first count as well if the classes are more than ``MANY``.
     """
-    id_, h, c, at, own = (g.column(k).to_numpy() for k in ("id", "h", "c", "at", "own"))
-    fresh = np.append(True, (id_[1:] != id_[:-1]) | (h[1:] != h[:-1]))
-    doc = np.cumsum(fresh) - 1
-    if not doc[-1]:
-        return []
-    begin = np.flatnonzero(fresh)[doc]  # first row of the document
-    one = g.column("x")[0].as_py() == g.column("y")[0].as_py()
-    toks, offsets = binary_tokens(g.column("strip").combine_chunks())
+    id_, h, c, at, own, x_, y_ = (g.column(k).to_numpy() for k in ("id", "h", "c", "at", "own", "x", "y"))
     n = len(id_)
-    size = np.diff(offsets)
-    row = np.repeat(np.arange(n), size)
-    first, last = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
-    first[toks[::-1]] = doc[row[::-1]]
-    last[toks] = doc[row]
-    shared = (first != last)[toks]
-    kinds = np.unique(toks[shared])
-    none = len(kinds)
-    number = np.empty(1 << 16, np.int32)
-    number[kinds] = np.arange(none)
-    code = np.where(shared, number[toks], none).astype(np.int32)
-    count = np.bincount(row[shared], minlength=n)
-    pairs = np.unique(row[shared] * (none + 1) + code[shared])
-    of, kind = np.divmod(pairs, none + 1)
-    with_any, starts = np.unique(of, return_index=True)
-    if not len(with_any):
+    new = changed(g.column("key").to_numpy(), x_, y_)
+    fresh = new | changed(id_, h)
+    group, doc = np.cumsum(new) - 1, np.cumsum(fresh) - 1
+    group_at = np.flatnonzero(new)
+    many = np.diff(np.append(group_at, n))[group] > MANY
+    toks, offsets = binary_tokens(g.column("strip").combine_chunks())
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    width = int(np.diff(offsets).max())
+    # Group, token (16 bits), row (20) and place in the strip (8) as one number.
+    every = np.sort((group[row] << 44 | toks.astype(np.int64) << 28 | row << 8 | np.arange(len(toks)) - offsets[row]).view(_U)).view(np.int64)
+    token, row, place = every >> 28, every >> 8 & 0xFFFFF, every & 0xFF
+    fresh_token = changed(token)
+    starts = np.flatnonzero(fresh_token)
+    shared = doc[row[starts]] != doc[row[np.append(starts[1:], len(row)) - 1]]
+    none = int(shared.sum())
+    if not none:
         return []
-    sets = np.add.reduceat(ta.mix64(kind.astype(_U) + _U(1)), starts) ^ ta.mix64(own[with_any].astype(_U) + _U(1))
-    _, head, of_set = np.unique(sets, return_index=True, return_inverse=True)
+    code = np.where(shared, np.cumsum(shared) - 1, none)[np.cumsum(fresh_token) - 1]
+    table = np.full((n, width), none, dtype=np.int32)
+    table[row, place] = code
+    once = (fresh_token | changed(row)) & (code < none)
+    row, code = row[once], code[once]
+    sums = np.zeros(n, dtype=_U)
+    np.add.at(sums, row, ta.mix64(code.astype(_U) + _U(1)))
+    with_any = np.flatnonzero(np.bincount(row, minlength=n))
+    _, head, of_set = np.unique(sums[with_any] ^ ta.mix64(own[with_any].astype(_U) + _U(1)), return_index=True, return_inverse=True)
     mine = with_any[head][of_set]  # the head of each row's set
     heads = np.sort(with_any[head])
     low, high = c.astype(np.int64), c.astype(np.int64)  # of heads: centres of alike windows near it
-    if n > MANY:
-        near = (doc[mine] == doc[with_any]) & (abs(c[mine] - c[with_any]) <= 2 * REACH)
-        np.minimum.at(low, mine[near], c[with_any[near]])
-        np.maximum.at(high, mine[near], c[with_any[near]])
-    is_head = np.isin(of, heads)
-    j, kind = np.searchsorted(heads, of[is_head]), kind[is_head]
-    width = (len(heads) + 7) // 8
-    cell, starts = np.unique(kind * width + j // 8, return_inverse=True)
-    having = np.zeros((none + 1) * width, dtype=np.uint8)  # one bit for each head that has a token
-    having[cell] = np.bincount(starts, weights=1 << j % 8)
-    having = having.reshape(none + 1, width)
-    upto = np.searchsorted(heads, begin)  # heads of earlier documents
-    done: dict[tuple, list[tuple[int, ...]]] = {}
-    out: list[tuple[int, ...]] = []
-
-    def candidate(rows: np.ndarray, a: int, b: int) -> tuple[int, ...]:
-        o = rows[0]
-        if n > MANY:
-            rows = rows[(doc[rows] == doc[o]) & (abs(c[rows] - c[o]) <= 2 * REACH)]
-        return int(o), a, b, int(low[rows].min() if n > MANY else c[o]), int(high[rows].max() if n > MANY else c[o])
-
-    for k in np.flatnonzero((count >= spans.enough) & (upto > 0)).tolist():
-        x = code[offsets[k]:offsets[k + 1]]
-        known = (int(upto[k]), 0 if one else int(own[k]), x.tobytes())
-        found = done.get(known)
-        if found is None:
-            p = int(upto[k])
-            hit = np.unpackbits(having[x, :(p + 7) // 8], axis=1, count=p, bitorder="little")
-            if not one:
-                hit[:, own[heads[:p]] == own[k]] = 0
-            found = done[known] = [candidate(heads[rows], a, b) for rows, a, b in spans.new_spans(hit, doc[heads[:p]])]
-        out += [(k, *f) for f in found]
-    if not out:
+    near = many[mine] & (doc[mine] == doc[with_any]) & (abs(c[mine] - c[with_any]) <= 2 * REACH)
+    np.minimum.at(low, mine[near], c[with_any[near]])
+    np.maximum.at(high, mine[near], c[with_any[near]])
+    is_head = np.zeros(n, dtype=bool)
+    is_head[heads] = True
+    before = np.append(0, np.cumsum(is_head))  # heads before a row
+    base = before[group_at][group]             # those of earlier groups
+    rank = before[:-1] - base                  # of a head in its group
+    upto = before[np.flatnonzero(fresh)[doc]] - base  # heads of earlier documents
+    wide = int(rank[heads].max()) // 64 + 1
+    bit = _U(1) << (rank % 64).astype(_U)
+    of_head = is_head[row]
+    row, cell = row[of_head], code[of_head] * wide + rank[row[of_head]] // 64
+    starts = np.flatnonzero(changed(cell)) if len(cell) else cell
+    having = np.zeros((none + 1) * wide, dtype=_U)  # one bit for each head that has a token
+    having[cell[starts]] = np.bitwise_or.reduceat(bit[row], starts)
+    having = having.reshape(none + 1, wide)
+    apart = x_ != y_
+    side = np.where(apart, own == y_, 0).astype(np.int64)
+    sides = np.zeros((len(group_at), 2, wide), dtype=_U)
+    np.bitwise_or.at(sides, (group[heads], side[heads], rank[heads] // 64), bit[heads])
+
+    rows = np.flatnonzero(((table < none).sum(1) >= spans.enough) & (upto > 0))
+    if not len(rows):
+        return []
+    # Rows with the same tokens in the same places find the same.
+    like = ta.mix64(table[rows].astype(_U) << _U(8) | np.arange(width, dtype=_U)).sum(1, dtype=_U) ^ ta.mix64((2 * upto + side)[rows].astype(_U))
+    _, once, alike = np.unique(like, return_index=True, return_inverse=True)
+    once = rows[once]
+    out: list[tuple[np.ndarray, ...]] = []  # number in once, order, head, start, end, lowest and highest centre
+    step = max(1, WORDS // (width * wide))
+    for lo in range(0, len(once), step):
+        k = once[lo:lo + step]
+        left = (upto[k, None] - 64 * np.arange(wide)).clip(0, 64)
+        early = np.where(left == 64, ~_U(0), (_U(1) << (left % 64).astype(_U)) - _U(1))
+        early[apart[k]] &= sides[group[k], 1 - side[k]][apart[k]]
+        j, word, place, a, b, same, rest = row_spans(having[table[k].T] & early, spans)
+        first = heads[base[k[j]] + 64 * word + place]
+        cl, ch = low[first], high[first]
+        for i in np.flatnonzero(many[k[j]] & (np.bitwise_count(same).sum(1) > 1)).tolist():
+            near = heads[base[k[j[i]]] + np.flatnonzero(np.unpackbits(same[i].view(np.uint8), bitorder="little"))]
+            near = near[(doc[near] == doc[first[i]]) & (abs(c[near] - c[first[i]]) <= 2 * REACH)]
+            cl[i], ch[i] = low[near].min(), high[near].max()
+        out.append((lo + j, np.arange(len(j)), first, a, b, cl, ch))
+        more: list[tuple[int, ...]] = []
+        for j, hit in rest:
+            r = int(k[j])
+            others = heads[base[r]:base[r] + upto[r]]
+            for order, (some, a, b) in enumerate(spans.new_spans(hit[:, :upto[r]], doc[others])):
+                near = others[some]
+                o = near[0]
+                near = near[(doc[near] == doc[o]) & (abs(c[near] - c[o]) <= 2 * REACH)] if many[r] else near[:1]
+                more.append((lo + j, order, int(o), a, b, int(low[near].min()), int(high[near].max())))
+        if more:
+            out.append(tuple(np.array(more, dtype=np.int64).T))
+    which, order, *found = (np.concatenate(x) for x in zip(*out))
+    by = np.lexsort((order, which))
+    count = np.bincount(which, minlength=len(once))
+    ends, each = np.cumsum(count), count[alike]
+    k = np.repeat(rows, each)
+    by = by[np.arange(len(k)) + np.repeat((ends - count)[alike] - (np.cumsum(each) - each), each)]
+    o, a, b, lo, hi = (x[by] for x in found)
+    if not len(k):
         return []
-    k, o, a, b, lo, hi = np.array(out, dtype=np.int64).T
-    base = c[k] - at[k]
-    return [id_[k], h[k], id_[o], h[o], *(v.astype(np.int32) for v in (c[k] - hi - BAND, c[k] - lo + BAND, base + a, base + b - 1))]
+    start = c[k] - at[k]
+    return [id_[k], h[k], id_[o], h[o], *(v.astype(np.int32) for v in (c[k] - hi - BAND, c[k] - lo + BAND, start + a, start + b - 1))]
+
+
+def row_spans(hits: np.ndarray, spans: Spans) -> tuple:
+    """As ``Spans.new_spans`` for many rows at a time, a turn for each next head: row, word and bit of the head,
+    start, end and the heads that share just the same, for each span; and (row, hit as of ``Spans.new_spans``)
+    of the rows that are not done when few are left or after ``TURNS``.
+
+    ``hits``: places of a strip x rows x words, of each place's token the bits of the heads that have it.
+    """
+    width, n, wide = hits.shape
+    ones, zero = ~_U(0), _U(0)
+    digits = np.stack(bit_counts(hits))
+    more, equal = np.zeros((n, wide), _U), np.full((n, wide), ones)  # heads that share more than or just ``enough``
+    for d in range(max(len(digits), spans.enough.bit_length()) - 1, -1, -1):
+        digit = digits[d] if d < len(digits) else np.zeros((n, wide), _U)
+        if not spans.enough >> d & 1:
+            more |= equal & digit
+        equal &= digit if spans.enough >> d & 1 else ~digit
+    left, at, covered = more | equal, np.arange(n), np.zeros((width, n), dtype=bool)
+    found: list[tuple[np.ndarray, ...]] = []
+    for turn in range(TURNS):
+        if turn:
+            left &= np.bitwise_or.reduce(np.where(covered[:, :, None], zero, hits), axis=0)  # the others have nothing new
+        open_ = np.flatnonzero(left.any(1))
+        if len(open_) < len(at):
+            hits, digits, covered, left, at = hits[:, open_], digits[:, open_], covered[:, open_], left[open_], at[open_]
+        if len(at) < FEW and turn or not len(at):
+            break
+        every, top, best = np.arange(len(at)), np.zeros(len(at), np.int64), left.copy()
+        for d in range(len(digits) - 1, -1, -1):
+            those = best & digits[d]
+            some = those.any(1)
+            best[some] = those[some]
+            top += some.astype(np.int64) << d
+        word = (best != 0).argmax(1)
+        low = best[every, word]
+        bit = np.bitwise_count((low & (~low + _U(1))) - _U(1)).astype(np.int64)
+        hit = (hits[:, every, word] >> bit.astype(_U) & _U(1)).astype(bool)
+        same = best & ~np.bitwise_or.reduce(hits ^ np.where(hit, ones, zero)[:, :, None], axis=0)
+        left &= ~same
+        a, b = hit.argmax(0), width - hit[::-1].argmax(0)
+        # Spans are parted only where both sides together have too few matches; if all have enough, it is one span.
+        whole = (100 + spans.percent) * top >= 2 * spans.percent * (b - a)
+        inside = (np.arange(width)[:, None] >= a) & (np.arange(width)[:, None] < b) & (whole & (b - a >= spans.least))
+        one = np.flatnonzero((inside & ~covered).any(0))
+        covered |= inside
+        parts = [(k, int(a[k]), int(b[k])) for k in one.tolist()]
+        packed = np.packbits(hit.T, axis=1, bitorder="little")
+        for k in np.flatnonzero(~whole).tolist():
+            for p, q, _ in spans.of(packed[k].tobytes()):
+                if not covered[p:q, k].all():
+                    covered[p:q, k] = True
+                    parts.append((k, p, q))
+        if parts:
+            k, a, b = np.array(parts, dtype=np.int64).T
+            found.append((at[k], word[k], bit[k], a, b, same[k]))
+    rest = [(int(at[k]), np.unpackbits(np.ascontiguousarray(hits[:, k]).view(np.uint8), axis=1, bitorder="little")) for k in np.flatnonzero(left.any(1)).tolist()]
+    if not found:
+        return (*(np.zeros(0, np.int64) for _ in range(5)), left[:0], rest)
+    found = [np.concatenate(x) for x in zip(*found)]
+    done = np.ones(n, dtype=bool)
+    done[[k for k, _ in rest]] = False
+    by = np.argsort(found[0], kind="stable")
+    by = by[done[found[0][by]]]
+    return (*(x[by] for x in found), rest)
 
 
 def across(held: DataFrame) -> DataFrame:
@@ -465,14 +593,18 @@ def across(held: DataFrame) -> DataFrame:
             key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")])
             edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
             rest = t.slice(edges[-1])
-            yield from met([t.slice(p, q - p) for p, q in zip(edges, edges[1:])])
+            yield from met(t, np.diff(edges))
         if rest is not None:
-            yield from met([rest])
+            yield from met(rest, np.array([rest.num_rows]))
 
-    def met(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        out = [found for g in groups if g.num_rows > 1 and (found := in_block(g, spans))]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+    def met(t: pa.Table, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of the first groups of ``t``.  Groups of a like size meet in a like number of words."""
+        like = np.where(sizes > 1, np.frexp((sizes - 1) // 64)[1], -1)
+        of_row = np.full(t.num_rows, -1)
+        of_row[:sizes.sum()] = np.repeat(like, sizes)
+        for w in np.unique(like[like >= 0]).tolist():
+            if found := in_block(t.filter(pa.array(of_row == w)).combine_chunks(), spans):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     return rows.mapInArrow(released(run), "id long, h int, oid long, oh int, dlo int, dhi int, first int, last int")
 
@@ -537,7 +669,23 @@ def spans_of(matched: np.ndarray, percent: int = PERCENT, least: int = MIN_TOKEN
     if len(at) < least * percent // 100:
         return []
     cut = np.flatnonzero(np.diff(at) > 1)
-    runs = list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + 1).tolist()))
+    return joined_runs(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + 1).tolist()), percent, least)
+
+
+def runs_of(bits: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of set bits, from the lowest."""
+    at = 0
+    while bits:
+        gap = (bits & -bits).bit_length() - 1
+        bits >>= gap
+        run = (~bits & bits + 1).bit_length() - 1
+        bits >>= run
+        yield at + gap, at + gap + run
+        at += gap + run
+
+
+def joined_runs(runs: Iterable[tuple[int, int]], percent: int, least: int) -> list[tuple[int, int]]:
+    """``spans_of`` the runs of matches."""
     out: list[tuple[int, int, int]] = []  # start, end, matched
     for a, b in runs:
         span = (a, b, b - a)

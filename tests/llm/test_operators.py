@@ -253,6 +253,49 @@ def test_alike_windows_of_a_large_group_widen_the_diagonals():
     assert set(oid.tolist()) == {1} and set(lo.tolist()) == {45 - 159 - 16} and set(hi.tolist()) == {45 - 100 + 16}
 
 
+def test_groups_of_a_table_meet_at_once_as_one_by_one():
+    """Keys with few classes need no pass of their own."""
+    r = random.Random(5)
+    groups = []
+    for key in range(30):
+        passage = [r.randrange(1 << 16) for _ in range(91)]
+        rows = []
+        for _ in range(r.choice([2, 3, 150])):
+            strip = list(passage)
+            for _ in range(r.randrange(4)):
+                strip[r.randrange(91)] = r.randrange(1 << 16)
+            rows.append((key, 0, 0, 0, r.randrange(40), 0, r.randrange(500), 45, np.array(strip, np.uint16).tobytes()))
+        groups.append(block(sorted(rows, key=lambda x: (x[4], x[6]))))
+    one_by_one = [substring_dedup.in_block(g, substring_dedup.Spans()) for g in groups]
+    at_once = substring_dedup.in_block(pa.concat_tables(groups), substring_dedup.Spans())
+    assert [x.tolist() for x in at_once] == [np.concatenate(x).tolist() for x in zip(*(f for f in one_by_one if f))]
+
+
+def test_rows_meet_heads_in_turns_as_row_by_row():
+    """Rows done in the turns, and those left after them, have the spans that each has by itself."""
+    r = np.random.default_rng(3)
+    spans = substring_dedup.Spans()
+    for n, heads in ((40, 3), (40, 70), (3, 130)):
+        hit = r.random((91, n, heads)) < 0.02
+        for k in range(n):
+            for j in range(heads):
+                a = r.integers(0, 45)
+                hit[a:a + r.integers(30, 70), k, j] = True
+                hit[r.integers(91), k, j] = False
+        packed = np.packbits(hit, axis=2, bitorder="little")
+        words = np.pad(packed, ((0, 0), (0, 0), (0, -packed.shape[2] % 8))).view(np.uint64)
+        rows, word, bit, a, b, _, rest = substring_dedup.row_spans(words, spans)
+        left = {k: h[:, :heads] for k, h in rest}
+        assert not set(left) & set(rows.tolist())
+        for k in range(n):
+            expected = [(some[0], p, q) for some, p, q in spans.new_spans(hit[:, k].astype(np.uint8), np.arange(heads))]
+            if k in left:
+                assert (left[k] == hit[:, k]).all()
+            else:
+                mine = rows == k
+                assert list(zip((64 * word + bit)[mine].tolist(), a[mine].tolist(), b[mine].tolist())) == expected
+
+
 def test_shared_tokens_of_tiles():
     r = random.Random(5)
     tiles = [[np.array([r.randrange(40) for _ in range(r.choice([1, 30, 64]))], np.uint16) for _ in range(50)] for _ in range(2)]
