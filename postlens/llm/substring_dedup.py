@@ -94,22 +94,30 @@ def compact_windows(f: np.ndarray, ptr: np.ndarray, least: int) -> tuple[np.ndar
     low = np.minimum(low[:n - least + 1], low[least - span:least - span + n - least + 1])
     centre = (low & _U((1 << bits) - 1)).astype(np.int64)[valid[:len(low)]]
     centre = centre[np.append(True, centre[1:] != centre[:-1])]
-    first, last = np.empty(len(centre), np.int64), np.empty(len(centre), np.int64)
-    values, places = order[centre].tolist(), centre.tolist()
+    values = order[centre]
     text = np.searchsorted(ptr, centre, "right") - 1
-    begin, end = ptr[text].tolist(), ptr[text + 1].tolist()
-    stack: list[int] = []  # of the path to the last node: centres with ascending hashes
-    lo, hi = first.tolist(), last.tolist()
-    for k, v in enumerate(values):
-        b = begin[k]
-        while stack and (places[stack[-1]] < b or values[stack[-1]] > v):
-            j = stack.pop()
-            hi[j] = (places[k] if places[j] >= b else end[j]) - 1
-        lo[k] = places[stack[-1]] + 1 if stack else b
-        stack.append(k)
-    for j in stack:
-        hi[j] = end[j] - 1
-    return centre, np.array(lo, dtype=np.int64), np.array(hi, dtype=np.int64)
+    left, right = nearest_smaller(values, text), len(values) - 1 - nearest_smaller(values[::-1], text[::-1])[::-1]
+    first = np.where(left < 0, ptr[text], centre[left] + 1)
+    last = np.where(right == len(values), ptr[text + 1], centre[np.minimum(right, len(values) - 1)]) - 1
+    return centre, first, last
+
+
+def nearest_smaller(values: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each of distinct values the place of the nearest smaller one to its left in its text, or -1.
+
+    All between a place and the one it points to are larger than it, so it may go on to
+    where that one points; ways double, and most places are done after a few steps.
+    """
+    left = np.arange(-1, len(values) - 1)
+    left[changed(text)] = -1
+    open_ = np.flatnonzero(left >= 0)
+    while len(open_):
+        to = left[open_]
+        on = values[to] > values[open_]
+        open_ = open_[on]
+        left[open_] = left[to[on]]
+        open_ = open_[left[open_] >= 0]
+    return left
 
 
 _OWN = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.IntegerType()), T.StructField("c", T.IntegerType()),
@@ -672,6 +680,14 @@ def spans_of(matched: np.ndarray, percent: int = PERCENT, least: int = MIN_TOKEN
     return joined_runs(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + 1).tolist()), percent, least)
 
 
+def spans_of_tiles(masks: np.ndarray) -> list[tuple[int, int]]:
+    """``spans_of`` the bits of consecutive tiles; of few tiles they are one number."""
+    if len(masks) > 64:
+        return spans_of(np.unpackbits(masks.view(np.uint8), bitorder="little").astype(bool))
+    bits = int.from_bytes(masks.tobytes(), "little")
+    return joined_runs(runs_of(bits), PERCENT, MIN_TOKENS) if bits.bit_count() >= MIN_TOKENS * PERCENT // 100 else []
+
+
 def runs_of(bits: int) -> Iterator[tuple[int, int]]:
     """Start and end of each run of set bits, from the lowest."""
     at = 0
@@ -777,9 +793,9 @@ def repeats(docs: DataFrame, hashes: int = HASHES, enough: int = ENOUGH) -> Data
             if doc[a]:
                 close()
             tile = cols["tile"][a:z]
-            bits = np.zeros((int(tile[-1] - tile[0]) + 1, TILE), dtype=bool)
-            bits[tile - tile[0]] = np.unpackbits(cols["mask"][a:z].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-            for p, q in spans_of(bits.ravel()):
+            tiles = np.zeros(int(tile[-1] - tile[0]) + 1, dtype=np.int64)
+            tiles[tile - tile[0]] = cols["mask"][a:z]
+            for p, q in spans_of_tiles(tiles):
                 p, q = p + int(tile[0]) * TILE, q + int(tile[0]) * TILE
                 mine_.append((int(cols["id"][a]), int(cols["h"][a]), p, q + WIDTH - 1, int(cols["oid"][a]), int(cols["oh"][a]), max(0, p - int(cols["dlo"][a]))))
         close()

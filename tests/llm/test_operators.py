@@ -253,6 +253,22 @@ def test_alike_windows_of_a_large_group_widen_the_diagonals():
     assert set(oid.tolist()) == {1} and set(lo.tolist()) == {45 - 159 - 16} and set(hi.tolist()) == {45 - 100 + 16}
 
 
+def test_nearest_smaller_ones_and_spans_of_tiles_as_one_by_one():
+    """Borders of windows and spans of tiles need no Python step for each place."""
+    r = np.random.default_rng(9)
+    for n in (0, 1, 7, 300):
+        for values in (r.permutation(n), np.arange(n), np.arange(n)[::-1]):
+            text = np.sort(r.integers(0, 1 + n // 9, n))
+            expected = [max((j for j in range(k) if text[j] == text[k] and values[j] < values[k]), default=-1) for k in range(n)]
+            assert substring_dedup.nearest_smaller(values, text).tolist() == expected
+    for n in (1, 2, 9, 70):
+        for share in (0.3, 0.8, 0.95, 1):
+            bits = r.random(64 * n) < share
+            bits[r.integers(64 * n):][:30] = False
+            masks = np.packbits(bits, bitorder="little").view(np.int64)
+            assert substring_dedup.spans_of_tiles(masks) == substring_dedup.spans_of(bits)
+
+
 def test_groups_of_a_table_meet_at_once_as_one_by_one():
     """Keys with few classes need no pass of their own."""
     r = random.Random(5)
